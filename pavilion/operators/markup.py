@@ -6,27 +6,36 @@ sent to the tasks by value, so executors need no copy of the package.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 
-_SILENT = {"script", "style"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "wbr"}
+_RAW = {"script", "style", "title"}
+_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
+_STRUCTURE = {"table", "thead", "tbody", "tfoot", "tr", "td", "th", "center", "a"}
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
 
-class _PageReader(HTMLParser):
+def _attribute(text: str, name: str) -> str | None:
+    for key, value in _ATTRIBUTE.findall(text):
+        if key.lower() == name:
+            return unescape(value[1:-1] if value[:1] in ("'", '"') else value)
+    return None
+
+
+class _PageReader:
     """Collects tables, links and note lines of one page; tolerates unclosed cells and rows."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.title: list[str] | None = None
-        self.in_title = False
+        self.title: str | None = None
         self.links: list[dict] = []
         self.tables: list[dict] = []
         self.open: list[tuple[str, dict]] = []      # open table / tr / td / center, outermost first
         self.anchor: dict | None = None
-        self.silent = 0
         # notes: text of the open <b>, then the siblings behind the first notes heading
         self.depth: list[str] = []
         self.bold: tuple[int, list[str]] | None = None
@@ -34,6 +43,33 @@ class _PageReader(HTMLParser):
         self.notes: list[list[str]] = []
         self.notes_done = False
 
+    def read(self, page: str) -> None:
+        at, with_notes = 0, "notes" in page.lower()
+        while True:
+            token = _TOKEN.search(page, at)
+            start = token.start() if token else len(page)
+            if start > at:
+                data = page[at:start]
+                self.handle_data(unescape(data) if "&" in data else data)
+            if token is None:
+                return
+            at = token.end()
+            tag = token[2]
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if tag not in _STRUCTURE and tag not in _RAW and not with_notes:
+                continue
+            if token[1]:
+                self.handle_endtag(tag)
+            elif tag in _RAW:
+                end = _END[tag].search(page, at)
+                if tag == "title" and self.title is None:
+                    self.title = unescape(page[at:end.start() if end else len(page)])
+                at = end.end() if end else len(page)
+            else:
+                self.handle_starttag(tag, token[3])
+
     # -- table structure
     def _close(self, kinds: set[str], stop: str = "table") -> None:
         """Close the innermost open element of ``kinds`` in the current table, and all inside it."""
@@ -50,12 +86,7 @@ class _PageReader(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self._note_start(tag)
-        attrs = dict(attrs)
-        if tag in _SILENT:
-            self.silent += 1
-        elif tag == "title" and self.title is None:
-            self.title, self.in_title = [], True
-        elif tag == "table":
+        if tag == "table":
             node = {"text": [], "rows": []}
             self.tables.append(node)
             self.open.append(("table", node))
@@ -69,7 +100,7 @@ class _PageReader(HTMLParser):
             self.open.append(("tr", node))
         elif tag in ("td", "th"):
             self._close({"td"}, stop="tr")
-            node = {"tag": tag, "text": [], "anchors": [], "tooltip": attrs.get("onmouseover"), "center": None}
+            node = {"tag": tag, "text": [], "anchors": [], "tooltip": _attribute(attrs, "onmouseover"), "center": None}
             for row in self._within("tr"):
                 row["cells"].append(node)
             self.open.append(("td", node))
@@ -80,24 +111,15 @@ class _PageReader(HTMLParser):
                     cell["center"] = node
             self.open.append(("center", node))
         elif tag == "a":
-            self.anchor = {"text": [], "href": attrs.get("href")}
+            self.anchor = {"text": [], "href": _attribute(attrs, "href")}
             self.links.append(self.anchor)
             for kind, node in self.open:
                 if kind != "table":
                     node["anchors"].append(self.anchor)
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
-            self.handle_endtag(tag)
-
     def handle_endtag(self, tag):
         self._note_end(tag)
-        if tag in _SILENT:
-            self.silent = max(0, self.silent - 1)
-        elif tag == "title":
-            self.in_title = False
-        elif tag == "table":
+        if tag == "table":
             self._close({"table"}, stop="")
         elif tag == "tr":
             self._close({"tr"})
@@ -109,10 +131,6 @@ class _PageReader(HTMLParser):
             self.anchor = None
 
     def handle_data(self, data):
-        if self.silent:
-            return
-        if self.in_title:
-            self.title.append(data)
         for _, node in self.open:
             node["text"].append(data)
         if self.anchor is not None:
@@ -172,12 +190,11 @@ def _joined(node: dict, seen: set[int]) -> None:
 def _read_page(doc_id: str, content: bytes | str | None) -> dict:
     text = content.decode("utf-8", errors="ignore") if isinstance(content, bytes) else content or ""
     reader = _PageReader()
-    reader.feed(text)
-    reader.close()
+    reader.read(text)
     seen: set[int] = set()
     for node in (*reader.tables, *reader.links):
         _joined(node, seen)
-    return {"doc_id": doc_id, "title": None if reader.title is None else "".join(reader.title),
+    return {"doc_id": doc_id, "title": reader.title,
             "raw": text, "notes": ["".join(n) for n in reader.notes],
             "links": reader.links, "tables": reader.tables}
 

@@ -46,7 +46,7 @@ def html_links(docs: DataFrame) -> DataFrame:
     return links.select("doc_id", "link_no", "a.href", clean_text("a.text").alias("text"))
 
 
-def page_title(docs: DataFrame) -> Column:
+def page_title() -> Column:
     """Title of a parsed page; the generic one gives way to the title set by script."""
     title = clean_text("title")
     return F.when(title == fixed.GENERIC_PAGE_TITLE, F.coalesce("script_title", title)).otherwise(title)

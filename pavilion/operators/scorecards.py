@@ -67,7 +67,7 @@ def with_meta(docs: DataFrame) -> DataFrame:
     venue_text, result, toss = F.col("_venue.text"), F.col("_result"), F.col("_toss")
     people = ["umpire1", "umpire2", *OFFICIALS.values()]
     meta = F.struct(
-        page_title(pages).alias("title"),
+        page_title().alias("title"),
         url_entity_id(cup.href, "tournament").alias("tournament_id"),
         F.when(cup.isNotNull(), clean_text(cup.text)).alias("tournament_name"), cup.href.alias("tournament_url"),
         cricket.extract_date(venue_text).alias("date"),

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_archive, queries_careers, queries_tables
+from . import queries_archive, queries_careers, queries_pages, queries_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = [queries_careers, queries_archive, queries_tables]
+MODULES = [queries_careers, queries_archive, queries_tables, queries_pages]
 
 
 def entries() -> dict[str, tuple[Query, str | None]]:
