@@ -61,7 +61,7 @@ def flatten_events(df: DataFrame, col: str = "value") -> DataFrame:
         return F.struct(_text(s.team.displayName).alias("name"), _text(s.team.abbreviation).alias("abbreviation"),
                         _text(s.score).alias("score"))
 
-    parts = {"current_batsman": now.lastBattingTeam.displayName, "current_over": now.over,
+    parts = {"current_batsman": now.lastBattingTeam.displayName, "current_over": now["over"],
              "current_rr": now.currentRunRate, "required_rr": now.requiredRunRate,
              "last_wicket": now.lastWicket, "note": now.note}
     told = F.coalesce(*parts.values()).isNotNull()
@@ -101,12 +101,12 @@ def roster_stats(df: DataFrame, col: str = "value", *keep: str) -> DataFrame:
 
     def figures(kind: str) -> Column:
         of_kind = F.filter("p.statistics", lambda s: s.type == kind)
-        stats = F.filter(F.try_element_at(of_kind, F.lit(-1)).stats, lambda s: s.name.isNotNull())
+        stats = F.filter(F.try_element_at(of_kind, F.lit(-1)).stats, lambda s: s["name"].isNotNull())
         # a figure named twice keeps its last value
-        names = F.transform(stats, lambda s: s.name)
+        names = F.transform(stats, lambda s: s["name"])
         last = F.filter(stats, lambda s, i: ~F.array_contains(
-            F.slice(names, i + 2, F.greatest(F.size(names) - i - 1, F.lit(0))), s.name))
-        return F.map_from_entries(F.transform(last, lambda s: F.struct(s.name, s.displayValue)))
+            F.slice(names, i + 2, F.greatest(F.size(names) - i - 1, F.lit(0))), s["name"]))
+        return F.map_from_entries(F.transform(last, lambda s: F.struct(s["name"], s.displayValue)))
 
     return players.select(*keep, _text("p.athlete.displayName").alias("name"), "team",
                           figures("batting").alias("batting"), figures("bowling").alias("bowling"))
@@ -175,7 +175,7 @@ def normalize_commentary(df: DataFrame, feed: str, col: str = "value", *keep: st
     i = F.col("i")
     yes = lambda c: F.coalesce(c, F.lit(False))
     if feed == "a":
-        fields = {"over": _text(i.over.number), "ball": _text(i.over.ball),
+        fields = {"over": _text(i["over"].number), "ball": _text(i["over"].ball),
                   "runs": F.coalesce(i.scoreValue, F.lit(0)), "batsman": _text(i.batsman.athlete.displayName),
                   "bowler": _text(i.bowler.athlete.displayName), "text": F.coalesce(i.text, i.shortText, F.lit("")),
                   "is_wicket": ~is_blank(i.dismissal.text), "is_boundary": yes(i.isBoundary) | yes(i.isSix),

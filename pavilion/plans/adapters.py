@@ -59,7 +59,7 @@ ADAPTERS = {
     "scraped_fow": """
         SELECT l_orderkey AS match_id, l_linenumber AS innings_number, l_partkey * 1000000 + l_suppkey AS id,
                '1-' || CAST(CAST(l_quantity AS INT) AS STRING) AS fow_string
-        FROM {lineitem} WHERE l_linestatus = 'F'""",
+        FROM {lineitem}""",
     "scraped_batting": """
         SELECT l_partkey * 1000000 + l_suppkey AS id, l_orderkey AS match_id, l_linenumber AS innings_number,
                'Player ' || CAST(l_suppkey AS STRING) AS player_name,
@@ -75,7 +75,7 @@ ADAPTERS = {
         FROM {lineitem} WHERE l_returnflag = 'A'""",
     "progress": """
         SELECT o_orderkey AS match_id, o_custkey * 100000000 + o_orderkey AS seq
-        FROM {orders} WHERE o_orderstatus <> 'O'""",
+        FROM {orders}""",
     "players": "SELECT CAST(c_custkey AS STRING) AS player_id, c_name AS name FROM {customer}",
     "team_dim": "SELECT n_nationkey AS team_id, n_name AS name FROM {nation}",
     "team_names": """
@@ -118,6 +118,116 @@ ADAPTERS = {
                CASE WHEN o_orderstatus = 'P' THEN 'PENDING' WHEN o_orderstatus = 'F' THEN 'COMPLETED'
                     ELSE 'FAILED' END AS status
         FROM {orders}""",
+    # --- texts and numbers ---------------------------------------------------------------------------
+    "messy_numbers": """
+        SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_quantity AS INT) AS q,
+               CASE WHEN l_linenumber % 4 = 1 THEN CAST(CAST(l_quantity AS INT) AS STRING) || 'x'
+                    ELSE ' -' || CAST(CAST(l_quantity AS INT) AS STRING) || ',00' || CAST(l_linenumber AS STRING) || ' ' END
+                 AS int_text,
+               CASE l_linenumber WHEN 1 THEN '' WHEN 2 THEN CAST(CAST(l_quantity AS INT) AS STRING) || '.'
+                    ELSE CAST(CAST(l_quantity AS INT) AS STRING) || '.5' END AS real_text,
+               CASE l_linenumber WHEN 1 THEN 'DNB' WHEN 2 THEN 'nan'
+                    ELSE CAST(CAST(l_quantity AS INT) AS STRING) || '.25*' END AS cell,
+               CASE WHEN l_linenumber = 3 THEN NULL ELSE '  a ' || CAST(CAST(l_quantity AS INT) AS STRING) || '   ' END AS padded
+        FROM {lineitem}""",
+    "match_texts": """
+        SELECT o_orderkey AS k, o_orderstatus AS st, substr(o_orderpriority, 1, 1) AS p, year(o_orderdate) AS y,
+               CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'Somewhere'
+                    ELSE 'Park on 2nd May ' || CAST(year(o_orderdate) AS STRING) ||
+                      CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN ' (20-over match)' WHEN '2' THEN ' (One-Day)'
+                        WHEN '3' THEN ' (four-day match)' ELSE '' END END AS venue,
+               CASE o_orderstatus WHEN 'F' THEN 'One Day Cup' WHEN 'O' THEN 'County Plate' ELSE 'Friendlies' END AS tournament,
+               CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Greatest T20' WHEN '2' THEN 'World Twenty20'
+                    WHEN '3' THEN 'One DAY final' WHEN '4' THEN 'Ipl night' ELSE 'League' END AS event,
+               CASE o_orderstatus WHEN 'F' THEN 'BLUE won the toss and chose to bat first, not field'
+                    WHEN 'O' THEN 'Red (and blue) will field' ELSE 'Nobody' END AS toss,
+               'Red' AS side1, 'Blue' AS side2,
+               CASE WHEN o_orderpriority < '3' THEN 'Red won by ' || CAST(year(o_orderdate) % 100 AS STRING) || ' runs'
+                    WHEN o_orderpriority < '4' THEN 'Red won by 4 wickets' ELSE 'No result' END AS result
+        FROM {orders}""",
+    "score_lines": """
+        SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_quantity AS INT) AS q,
+               '(' || CASE WHEN l_linenumber > 2 THEN CAST(CAST(l_quantity AS INT) AS STRING) || ' b, ' ELSE '' END ||
+                 CAST(l_linenumber AS STRING) || ' lb' ||
+                 CASE WHEN l_linenumber > 4 THEN ', ' || CAST(l_linenumber + 1 AS STRING) || ' w' ELSE '' END || ')' AS extras,
+               CASE l_linenumber WHEN 1 THEN '(All Out, ' || CAST(CAST(l_quantity AS INT) AS STRING) || '.4 overs)'
+                    WHEN 2 THEN '(innings closed)'
+                    ELSE '(' || CAST(l_linenumber AS STRING) || ' wickets, ' || CAST(CAST(l_quantity AS INT) AS STRING) || '.4 overs)'
+               END AS total
+        FROM {lineitem}""",
+    "over_texts": """
+        SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_quantity AS INT) AS q,
+               CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN CAST(CAST(l_quantity AS INT) AS STRING)
+                    WHEN 3 THEN CAST(CAST(l_quantity AS INT) AS STRING) || '.x'
+                    WHEN 4 THEN CAST(CAST(l_quantity AS INT) AS STRING) || '.25'
+                    WHEN 5 THEN CAST(CAST(l_quantity AS INT) AS STRING) || '.5'
+                    WHEN 6 THEN CAST(CAST(l_quantity AS INT) AS STRING) || '.6'
+                    ELSE CAST(CAST(l_quantity AS INT) AS STRING) || '.3.9' END AS overs
+        FROM {lineitem}""",
+    "order_figures": """
+        SELECT o_orderkey AS k, CAST(floor(o_totalprice / 10) AS BIGINT) AS runs, o_custkey % 50 AS inns,
+               CASE WHEN o_orderstatus = 'F' THEN o_custkey % 50 WHEN o_custkey % 50 > 7 THEN o_custkey % 7 ELSE 0 END AS outs,
+               o_custkey AS balls
+        FROM {orders}""",
+    "team_labels": """
+        SELECT c_custkey AS k, CASE c_custkey % 7 WHEN 0 THEN 'india' WHEN 1 THEN 'u.a.e.' WHEN 2 THEN 'nz'
+                 WHEN 3 THEN 'land far south sea' WHEN 4 THEN 'London' WHEN 5 THEN 'abc' ELSE 'England' END AS label
+        FROM {customer}""",
+    "player_labels": """
+        SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN ' P ' || CAST(c_custkey AS STRING) || '†* ( A B )'
+                 ELSE 'P ' || CAST(c_custkey AS STRING) || '#' END AS label,
+               CASE c_custkey % 3 WHEN 0 THEN 'ignored' WHEN 1 THEN ' Land ' ELSE 'None' END AS country
+        FROM {customer}""",
+    "raw_players": """
+        SELECT CAST(c_custkey AS STRING) AS player_id, c_name AS name, c_mktsegment AS team,
+               CASE c_nationkey % 6 WHEN 0 THEN 'Batsman' WHEN 1 THEN 'Bowler' WHEN 2 THEN 'Allrounder'
+                    WHEN 3 THEN 'Wicketkeeper' WHEN 4 THEN 'Umpire' END AS role,
+               CASE WHEN c_acctbal > 5000 THEN c_acctbal END AS batting_avg,
+               CASE WHEN c_acctbal > 0 THEN c_acctbal END AS bowling_avg,
+               CASE WHEN c_acctbal < 0 THEN c_acctbal END AS economy
+        FROM {customer}""",
+    # --- leaderboard records and squads ----------------------------------------------------------------
+    "bat_records": """
+        SELECT CASE o_custkey % 5 WHEN 0 THEN 'Mark Dhoni' ELSE 'P. Cust-' || CAST(o_custkey AS STRING) || ' Cummins' END AS name,
+               CASE o_custkey % 6 WHEN 0 THEN 'IND' WHEN 1 THEN 'AUS' WHEN 2 THEN 'UNK' WHEN 3 THEN '' ELSE 'ENG' END AS team,
+               CASE o_orderstatus WHEN 'F' THEN 'Test' WHEN 'O' THEN 'ODI' ELSE 'T20' END AS format, o_orderkey AS seq,
+               CAST(year(o_orderdate) - 9 AS STRING) || '-' || CAST(year(o_orderdate) + 25 AS STRING) AS span,
+               CAST(o_custkey % 40 AS INT) AS matches, CAST(o_orderkey % 30 AS INT) AS innings, CAST(o_orderkey % 997 AS INT) AS runs,
+               (o_orderkey % 200) / CAST(4 AS DOUBLE) AS batting_avg, (o_orderkey % 300) / CAST(2 AS DOUBLE) AS batting_sr
+        FROM {orders}""",
+    "bowl_records": """
+        SELECT CASE o_custkey % 5 WHEN 0 THEN 'Mark Dhoni' ELSE 'P. Cust-' || CAST(o_custkey AS STRING) || ' Cummins' END AS name,
+               CASE o_custkey % 6 WHEN 0 THEN 'IND' WHEN 1 THEN 'AUS' WHEN 2 THEN 'UNK' WHEN 3 THEN '' ELSE 'ENG' END AS team,
+               CASE o_orderstatus WHEN 'F' THEN 'T20' WHEN 'O' THEN 'ODI' ELSE 'List A' END AS format, o_orderkey AS seq,
+               CASE WHEN o_orderstatus = 'P' THEN '' ELSE CAST(year(o_orderdate) + 24 AS STRING) END AS span,
+               CAST(o_custkey % 50 AS INT) AS matches, CAST(o_orderkey % 20 AS INT) AS innings, CAST(o_orderkey % 97 AS INT) AS wickets,
+               (o_orderkey % 160) / CAST(4 AS DOUBLE) AS bowling_avg, (o_orderkey % 120) / CAST(2 AS DOUBLE) AS bowling_sr,
+               (o_orderkey % 40) / CAST(4 AS DOUBLE) AS economy
+        FROM {orders}""",
+    "squads": """
+        SELECT c_name AS player_id, c_mktsegment AS team,
+               CASE c_nationkey % 5 WHEN 0 THEN 'Batsman' WHEN 1 THEN 'Bowler' WHEN 2 THEN 'Allrounder'
+                    WHEN 3 THEN 'Wicketkeeper' ELSE 'Coach' END AS role,
+               c_nationkey / CAST(100 AS DOUBLE) AS recent_form
+        FROM {customer}""",
+    "named_players": """
+        SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'M Cust' || CAST(o_custkey AS STRING)
+                 WHEN 'O' THEN 'Mo X de Cust' || CAST(o_custkey AS STRING) ELSE 'N Cust' || CAST(o_custkey AS STRING) END AS name,
+               substr(o_orderpriority, 1, 1) AS team
+        FROM {orders}""",
+    "known_names": """
+        SELECT CASE WHEN c_acctbal > 2000 THEN 'Mary Cust' ELSE 'N Cust' END || CAST(c_custkey AS STRING) AS name,
+               CASE WHEN c_acctbal > 2000 THEN CAST(c_nationkey % 5 AS STRING) ELSE '3' END AS team
+        FROM {customer}""",
+    "ball_by_ball": """
+        SELECT l_partkey * 1000000 + l_suppkey AS id, CAST(l_orderkey AS STRING) AS match_id, 1 AS innings,
+               CAST(l_quantity AS INT) AS over, l_linenumber AS ball, 'B' || CAST(l_suppkey AS STRING) AS batter,
+               'W' || CAST(l_partkey AS STRING) AS bowler, 'N' AS non_striker,
+               CASE WHEN l_returnflag = 'A' THEN NULL ELSE l_linenumber END AS runs_batter,
+               CASE WHEN l_returnflag = 'N' THEN NULL ELSE 1 END AS runs_extras,
+               CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS is_wicket,
+               CASE WHEN l_linestatus = 'F' THEN 'caught' ELSE '' END AS dismissal_kind, '' AS player_dismissed
+        FROM {lineitem}""",
     # --- entities for de-duplication and merges ----------------------------------------------------
     "entity_rows": """
         SELECT l_suppkey AS id, 'N' || CAST(l_partkey AS STRING) AS name,
@@ -127,9 +237,9 @@ ADAPTERS = {
         FROM {lineitem}""",
     "target_rows": """
         SELECT c_custkey AS id, c_name AS name, CASE WHEN c_mktsegment < 'F' THEN c_mktsegment END AS dob
-        FROM {customer} WHERE c_acctbal > 0""",
+        FROM {customer}""",
     "source_rows": """
-        SELECT o_custkey AS id, 'O' || CAST(o_orderkey AS STRING) AS name,
+        SELECT o_custkey * 2 AS id, 'O' || CAST(o_orderkey AS STRING) AS name,
                CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS dob, o_orderkey AS seq
         FROM {orders}""",
 }

@@ -178,7 +178,15 @@ ENTRIES = {
             UNION ALL SELECT c || '7' || n, 'Bowl ' || n, NULL, CAST(k AS VARCHAR) FROM inns
             UNION ALL SELECT c || '80', 'U ' || c, NULL, CAST(k AS VARCHAR) FROM cards
             UNION ALL SELECT c || '81', 'V', NULL, CAST(k AS VARCHAR) FROM cards WHERE st = 'F') GROUP BY id""")),
-    "entity_teams": (_teams, None),
+    "entity_teams": (
+        _teams,
+        card_oracle("""SELECT kind, CAST(id AS VARCHAR) AS id, arg_max(name, seen_at) AS name, arg_max(url, seen_at) AS url FROM (
+            SELECT 'team' AS kind, c AS id, 'Side ' || c AS name, CASE WHEN st = 'P' THEN '/Teams/1/' || c || '/' || c || '.html'
+              ELSE '/Teams/1/' || c || '.html' END AS url, CAST(k AS VARCHAR) AS seen_at FROM cards
+            UNION ALL SELECT 'team', c + 1, 'Side ' || (c + 1), CASE WHEN st = 'P' THEN '/Teams/1/' || (c + 1) || '.html'
+              ELSE '/Teams/1/' || (c + 1) || '/' || (c + 1) || '.html' END, CAST(k AS VARCHAR) FROM cards
+            UNION ALL SELECT 'tournament', c, 'Cup ' || c || CASE WHEN pr = '5' THEN ' T20' WHEN pr = '4' THEN ' Shield' ELSE '' END,
+              '/Events/' || c || '/Cup.html', CAST(k AS VARCHAR) FROM cards) GROUP BY kind, id""")),
     "attach_batting": (
         _attach_batting,
         card_oracle(f"""SELECT match_id, innings_number, player_id, runs,

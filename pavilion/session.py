@@ -55,6 +55,18 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of a table of deeply nested rows.
+
+    Such rows vary a lot in size. A checkpoint is read back row by row, where a columnar
+    file would be read thousands of whole pages at a time.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(work_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def spread(scan: DataFrame, key: str) -> DataFrame:
     """Give every core a share of a small scan before heavy work per row.
 
