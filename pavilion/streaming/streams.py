@@ -10,7 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import is_blank
 from ..operators.dedup import last_wins
-from ..operators.pages import parse_pages, valid_pages
+from ..operators.pages import parse_pages
+
+BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 #: Keeps the state of long-running jobs on local disk of the executors, with changelog
 #: checkpoints in the shared folder, instead of in their heap.
@@ -29,7 +31,7 @@ def use_disk_state(spark: SparkSession) -> None:
 
 def stream_pages(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """Pages as they arrive in a folder, each file once, as (doc_id, content)."""
-    reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", True) \
+    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", True) \
         .option("pathGlobFilter", "*.html")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -114,6 +116,3 @@ def run_until_post(stream: DataFrame, show: Callable[[DataFrame], None], checkpo
     query.stop()
     return bool(ended)
 
-
-__all__ = ["STATE_STORE", "latest_scores", "new_commentary", "newest_last", "page_outcomes", "read_changelog",
-           "run_until_post", "start_append", "start_changelog", "stream_pages", "use_disk_state", "valid_pages"]
