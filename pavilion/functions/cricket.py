@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import fixed_values as fixed
 from .text import (as_col, blank_default, contains_any, first_group, is_blank, literal_lookup,
-                   round2, strip)
+                   round2, sql_text, strip)
 
 # ---------------------------------------------------------------- overs and rates
 
@@ -25,7 +25,7 @@ def overs_to_balls(overs: Column | str, is_double: bool = False) -> Column:
     odd = F.when(F.size(parts) > 1, F.try_element_at(parts, F.lit(2)).try_cast("bigint")).otherwise(F.lit(0))
     balls = whole * 6 + F.when(odd >= 6, odd % 6).otherwise(odd)
     if is_double:
-        tenths = F.round(overs * 10).cast("bigint")
+        tenths = F.floor(overs * 10 + 0.5)
         odd = tenths % 10
         plain = F.floor(tenths / 10) * 6 + F.when(odd >= 6, odd % 6).otherwise(odd)
         balls = F.when((overs >= 0) & (overs < 100000) & (tenths / 10 == overs), plain).otherwise(balls)
@@ -231,10 +231,11 @@ def form_score(active: Column, bat_avg: Column, bowl_avg: Column, bowl_inns: Col
 def known_name(name: Column | str, team: Column | str, names: dict[str, list[str]]) -> Column:
     """J9 for a fixed list: equal to a listed name, or same initial and surname."""
     name = as_col(name)
-    listed = {t: F.array(*[F.struct(F.lit(n).alias("full"), F.lit(n.split()[-1]).alias("surname"),
-                                    F.lit(n[0]).alias("initial"), F.lit(len(n.split()) > 1).alias("many"))
-                           for n in ns]) for t, ns in names.items()}
-    entries = F.try_element_at(F.create_map(*[x for t, a in listed.items() for x in (F.lit(t), a)]), as_col(team))
-    hit = F.exists(entries, lambda k: (name == k.full) | (
-        k.many & F.endswith(name, k.surname) & (F.substring(name, 1, 1) == k.initial)))
-    return F.coalesce(hit, F.lit(False))
+    listed = F.try_element_at(F.expr(sql_text(names)), as_col(team))
+
+    def fits(known: Column) -> Column:
+        surname = F.regexp_extract(known, r"(\S+)$", 1)
+        return (name == known) | ((surname != known) & F.endswith(name, surname)
+                                  & (F.substring(name, 1, 1) == F.substring(known, 1, 1)))
+
+    return F.coalesce(F.exists(listed, fits), F.lit(False))

@@ -92,15 +92,31 @@ def round2(value: Column | str) -> Column:
     """Two decimals, rounded on the exact binary value with ties to even.
 
     Spark's own ``round`` works on the shortest decimal text of the double and rounds
-    ties away from zero, which gives 2.68 for 2.675; the exact value gives 2.67.
+    ties away from zero, which gives 2.68 for 2.675; the exact value gives 2.67. Only values
+    that come close to a tie need the exact text, the others are rounded arithmetically.
     """
-    return F.call_function("format_number", as_col(value).cast("double"), F.lit("0.00")).cast("double")
+    value = as_col(value).cast("double")
+    whole = F.floor(value * 100.0)
+    rest = value * 100.0 - whole
+    plain = (whole + F.when(rest > 0.5, 1).otherwise(0)) / 100.0
+    exact = F.call_function("format_number", value, F.lit("0.00")).cast("double")
+    return F.when((F.abs(value) < 1e7) & (F.abs(rest - 0.5) > 1e-6), plain).otherwise(exact)
+
+
+def sql_text(value) -> str:
+    """A fixed value as SQL; one parse is cheaper than a call per literal of a table."""
+    if isinstance(value, dict):
+        return f"map({', '.join(sql_text(x) for item in value.items() for x in item)})"
+    if isinstance(value, (list, tuple)):
+        return f"array({', '.join(sql_text(x) for x in value)})"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value}D" if isinstance(value, float) else str(value)
 
 
 def literal_lookup(table: dict, key: Column | str) -> Column:
     """Value of ``key`` in a small fixed table, NULL when it is not listed."""
-    pairs = [F.lit(x) for item in table.items() for x in item]
-    return F.try_element_at(F.create_map(*pairs), as_col(key))
+    return F.try_element_at(F.expr(sql_text(table)), as_col(key))
 
 
 def lookup(table: dict, key: Column | str, default) -> Column:

@@ -185,12 +185,13 @@ def scorecards(matches: DataFrame, innings: DataFrame, fow: DataFrame, batting:
     return _documents(heads, rows, max_rows).join(meta, "match_id")
 
 
-def _gaps(rows: DataFrame) -> DataFrame:
-    """Innings below a match's highest one that have no row."""
-    played = rows.select("match_id", "innings_number").distinct()
-    every = rows.groupBy("match_id").agg(F.max("innings_number").alias("_top")).filter(F.col("_top") >= 1)
-    every = every.select("match_id", F.explode(F.sequence(F.lit(1), F.col("_top"))).alias("innings_number"))
-    return every.join(played, ["match_id", "innings_number"], "left_anti")
+def _archive_span(matches: DataFrame, batting: DataFrame, bowling: DataFrame) -> DataFrame:
+    """Highest innings of each match, and the innings that have rows; one pass over two columns."""
+    seen = batting.select("match_id", "innings_number").unionByName(bowling.select("match_id", "innings_number"))
+    spans = seen.filter(F.col("innings_number") >= 1).groupBy("match_id").agg(
+        F.max("innings_number").alias("_top"), F.collect_set("innings_number").alias("_played"))
+    spans = spans.join(matches.select("match_id").distinct(), "match_id", "left_semi")
+    return spans.select("match_id", F.sequence(F.lit(1), F.col("_top")).alias("_every"), "_played")
 
 
 def _archive_rows(matches: DataFrame, batting: DataFrame, bowling: DataFrame) -> DataFrame:
@@ -203,10 +204,12 @@ def _label() -> Column:
 
 
 def archive_scorecard_rows(matches: DataFrame, batting: DataFrame, bowling: DataFrame) -> DataFrame:
-    """J11, flat: rows of innings 1 to the highest one seen; an innings without rows gives one empty row."""
+    """J11, W4, flat: rows of innings 1 to the highest one seen; one without rows gives one empty row."""
     rows = _archive_rows(matches, batting, bowling)
     shape = {f.name: f.dataType for f in rows.schema.fields}
-    empty = _gaps(rows).select("match_id", "innings_number", F.lit("empty").alias("section"),
+    gaps = _archive_span(matches, batting, bowling).select(
+        "match_id", F.explode(F.array_except("_every", "_played")).alias("innings_number"))
+    empty = gaps.select("match_id", "innings_number", F.lit("empty").alias("section"),
                                *[F.lit(None).cast(shape[f]).alias(f) for f in ["row_id", *ROW_FIELDS]])
     return rows.unionByName(empty).select("match_id", "innings_number", _label(), "section", "row_id", *ROW_FIELDS)
 
@@ -215,8 +218,8 @@ def archive_scorecards(matches: DataFrame, batting: DataFrame, bowling: DataFram
                        max_rows: int = 10_000) -> DataFrame:
     """J11, nested: one document per innings 1 to the highest one; gaps are empty innings."""
     rows = _archive_rows(matches, batting, bowling)
-    played = rows.select("match_id", "innings_number").distinct()
-    heads = played.unionByName(_gaps(rows)).select("match_id", "innings_number", _label())
+    heads = _archive_span(matches, batting, bowling).select("match_id", F.explode("_every").alias("innings_number"))
+    heads = heads.select("match_id", "innings_number", _label())
     none = F.array().cast("array<string>").alias("fow")
     return _documents(heads, rows, max_rows).select("match_id", "innings_number", "batting_team", "part", "batting",
                                                     "bowling", none)

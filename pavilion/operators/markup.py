@@ -2,6 +2,10 @@
 
 Runs inside Spark tasks. The module uses nothing but the standard library and Arrow, and is
 sent to the tasks by value, so executors need no copy of the package.
+
+Text pieces, links, rows and cells are kept in one list each, in page order. An element
+remembers where it starts and ends in those lists, so unclosed and nested elements cost
+nothing extra and no text is copied while reading.
 """
 
 from __future__ import annotations
@@ -12,12 +16,17 @@ from html import unescape
 
 import pyarrow as pa
 
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "wbr"}
-_RAW = {"script", "style", "title"}
-_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
-_STRUCTURE = {"table", "thead", "tbody", "tfoot", "tr", "td", "th", "center", "a"}
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S)
+_INSIDE = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(script|style|title)\b[^>]*>(.*?)(?:</\1\s*>|\Z)"
+    rf"|<(/?)(table|thead|tbody|tfoot|tr|td|th|center|a)(?=[\s/>])({_INSIDE})>"
+    rf"|<[a-zA-Z/!?]{_INSIDE}>|<[a-zA-Z/!?][^>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_SCRIPT_TITLE = re.compile(r'document\.title\s*=\s*"([^"]+)"')
+_HEADING = re.compile(r"<b(?:\s[^>]*)?>((?:(?!</b\s*>).)*)</b\s*>", re.S | re.I)
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_INSIDE})>", re.S)
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "wbr"}
 
 
 def _attribute(text: str, name: str) -> str | None:
@@ -27,176 +36,173 @@ def _attribute(text: str, name: str) -> str | None:
     return None
 
 
+class _Node:
+    """An open or closed element: its share of the pieces, links and parts of the page."""
+
+    __slots__ = ("kind", "extra", "text", "links", "parts")
+
+    def __init__(self, kind: str, extra, reader: _PageReader) -> None:
+        self.kind, self.extra = kind, extra
+        self.text = [len(reader.pieces), None]
+        self.links = [len(reader.links), None]
+        self.parts = [len(reader.parts_of(kind)), None]
+
+    def close(self, reader: _PageReader) -> None:
+        self.text[1], self.links[1] = len(reader.pieces), len(reader.links)
+        self.parts[1] = len(reader.parts_of(self.kind))
+
+
 class _PageReader:
-    """Collects tables, links and note lines of one page; tolerates unclosed cells and rows."""
+    """Tables, rows, cells, links and title of a page."""
 
     def __init__(self) -> None:
         self.title: str | None = None
-        self.links: list[dict] = []
-        self.tables: list[dict] = []
-        self.open: list[tuple[str, dict]] = []      # open table / tr / td / center, outermost first
-        self.anchor: dict | None = None
-        # notes: text of the open <b>, then the siblings behind the first notes heading
-        self.depth: list[str] = []
-        self.bold: tuple[int, list[str]] | None = None
-        self.heading: int | None = None
-        self.notes: list[list[str]] = []
-        self.notes_done = False
+        self.pieces: list[str] = []
+        self.links: list[list] = []                 # [href, first piece, last piece]
+        self.tables: list[_Node] = []
+        self.rows: list[_Node] = []
+        self.cells: list[_Node] = []
+        self.centers: list[_Node] = []
+        self.open: list[_Node] = []
+        self.anchor: list | None = None
+        self.parts = {"table": self.rows, "tr": self.cells, "td": self.centers, "center": []}
+
+    def parts_of(self, kind: str) -> list:
+        return self.parts[kind]
+
+    def _close_anchor(self) -> None:
+        if self.anchor is not None:
+            self.anchor[2] = len(self.pieces)
+            self.anchor = None
+
+    def _close(self, kind: str, stop: str) -> None:
+        """Close the innermost open ``kind`` within the innermost ``stop``, and all inside it."""
+        for i in range(len(self.open) - 1, -1, -1):
+            here = self.open[i].kind
+            if here == kind:
+                self._close_anchor()
+                for node in self.open[i:]:
+                    node.close(self)
+                del self.open[i:]
+                return
+            if here == stop:
+                return
+
+    def _start(self, kind: str, extra, into: list) -> None:
+        into.append(node := _Node(kind, extra, self))
+        self.open.append(node)
 
     def read(self, page: str) -> None:
-        at, with_notes = 0, "notes" in page.lower()
-        while True:
-            token = _TOKEN.search(page, at)
-            start = token.start() if token else len(page)
+        at = 0
+        for token in _TOKEN.finditer(page):
+            start = token.start()
             if start > at:
                 data = page[at:start]
-                self.handle_data(unescape(data) if "&" in data else data)
-            if token is None:
-                return
+                self.pieces.append(unescape(data) if "&" in data else data)
             at = token.end()
-            tag = token[2]
+            tag = token[4]
             if tag is None:
+                if token[1] and self.title is None and token[1].lower() == "title":
+                    self.title = unescape(token[2])
                 continue
             tag = tag.lower()
-            if tag not in _STRUCTURE and tag not in _RAW and not with_notes:
-                continue
-            if token[1]:
-                self.handle_endtag(tag)
-            elif tag in _RAW:
-                end = _END[tag].search(page, at)
-                if tag == "title" and self.title is None:
-                    self.title = unescape(page[at:end.start() if end else len(page)])
-                at = end.end() if end else len(page)
+            if token[3]:
+                self._end(tag)
+            elif tag == "td" or tag == "th":
+                self._close("td", "tr")
+                self._start("td", (tag, _attribute(token[5], "onmouseover") if token[5] else None), self.cells)
+            elif tag == "a":
+                self._close_anchor()
+                self.anchor = [_attribute(token[5], "href"), len(self.pieces), None]
+                self.links.append(self.anchor)
+            elif tag == "tr":
+                self._close("tr", "table")
+                self._start("tr", None, self.rows)
+            elif tag == "table":
+                self._start("table", None, self.tables)
+            elif tag == "center":
+                self._start("center", None, self.centers)
             else:
-                self.handle_starttag(tag, token[3])
-
-    # -- table structure
-    def _close(self, kinds: set[str], stop: str = "table") -> None:
-        """Close the innermost open element of ``kinds`` in the current table, and all inside it."""
-        for i in range(len(self.open) - 1, -1, -1):
-            kind = self.open[i][0]
-            if kind in kinds:
-                del self.open[i:]
-                return
-            if kind == stop:
-                return
-
-    def _within(self, kind: str) -> list[dict]:
-        return [node for k, node in self.open if k == kind]
-
-    def handle_starttag(self, tag, attrs):
-        self._note_start(tag)
-        if tag == "table":
-            node = {"text": [], "rows": []}
-            self.tables.append(node)
-            self.open.append(("table", node))
-        elif tag in ("thead", "tbody", "tfoot"):
-            self._close({"tr"})
+                self._close("tr", "table")
+        if at < len(page):
+            data = page[at:]
+            self.pieces.append(unescape(data) if "&" in data else data)
+        self._close_anchor()
+        for node in self.open:
+            node.close(self)
+
+    def _end(self, tag: str) -> None:
+        if tag == "a":
+            self._close_anchor()
+        elif tag == "table":
+            self._close("table", "")
         elif tag == "tr":
-            self._close({"tr"})
-            node = {"text": [], "anchors": [], "cells": []}
-            for table in self._within("table"):
-                table["rows"].append(node)
-            self.open.append(("tr", node))
-        elif tag in ("td", "th"):
-            self._close({"td"}, stop="tr")
-            node = {"tag": tag, "text": [], "anchors": [], "tooltip": _attribute(attrs, "onmouseover"), "center": None}
-            for row in self._within("tr"):
-                row["cells"].append(node)
-            self.open.append(("td", node))
+            self._close("tr", "table")
         elif tag == "center":
-            node = {"text": [], "anchors": []}
-            for cell in self._within("td"):
-                if cell["center"] is None:
-                    cell["center"] = node
-            self.open.append(("center", node))
-        elif tag == "a":
-            self.anchor = {"text": [], "href": _attribute(attrs, "href")}
-            self.links.append(self.anchor)
-            for kind, node in self.open:
-                if kind != "table":
-                    node["anchors"].append(self.anchor)
-
-    def handle_endtag(self, tag):
-        self._note_end(tag)
-        if tag == "table":
-            self._close({"table"}, stop="")
-        elif tag == "tr":
-            self._close({"tr"})
+            self._close("center", "td")
         elif tag in ("td", "th"):
-            self._close({"td"}, stop="tr")
-        elif tag == "center":
-            self._close({"center"}, stop="td")
-        elif tag == "a":
-            self.anchor = None
-
-    def handle_data(self, data):
-        for _, node in self.open:
-            node["text"].append(data)
-        if self.anchor is not None:
-            self.anchor["text"].append(data)
-        self._note_text(data)
-
-    # -- notes: siblings of the first bold heading, up to a rule or a table
-    def _note_start(self, tag):
-        if self.heading is not None and not self.notes_done and len(self.depth) == self.heading:
-            if tag in ("hr", "table"):
-                self.notes_done = True
-            else:
-                self.notes.append([])
-        if tag not in _VOID:
-            self.depth.append(tag)
-            if tag == "b" and self.heading is None and self.bold is None:
-                self.bold = (len(self.depth) - 1, [])
-
-    def _note_end(self, tag):
-        if tag not in self.depth:
-            return
-        while self.depth.pop() != tag:
-            pass
-        level = len(self.depth)
-        if self.bold is not None and level <= self.bold[0]:
-            words = "".join(self.bold[1]).lower()
-            if tag == "b" and ("notes" in words or "footnotes" in words):
-                self.heading = level
-                self.notes.append([])
-            self.bold = None
-        elif self.heading is not None:
-            if level < self.heading:
-                self.notes_done = True
-            elif level == self.heading and not self.notes_done:
-                self.notes.append([])
-
-    def _note_text(self, data):
-        if self.bold is not None:
-            self.bold[1].append(data)
-        if self.heading is not None and not self.notes_done:
-            self.notes[-1].append(data)
-
-
-def _joined(node: dict, seen: set[int]) -> None:
-    """Turn the text pieces of a node into one string, once per shared node."""
-    if id(node) in seen:
-        return
-    seen.add(id(node))
-    node["text"] = "".join(node["text"])
-    for key in ("anchors", "rows", "cells"):
-        for child in node.get(key, ()):
-            _joined(child, seen)
-    if node.get("center"):
-        _joined(node["center"], seen)
-
-
-def _read_page(doc_id: str, content: bytes | str | None) -> dict:
-    text = content.decode("utf-8", errors="ignore") if isinstance(content, bytes) else content or ""
+            self._close("td", "tr")
+
+    # -- what was read, as plain rows
+    def result(self) -> dict:
+        pieces, join = self.pieces, "".join
+        links = [{"text": join(pieces[a:b]), "href": href} for href, a, b in self.links]
+
+        def base(node: _Node) -> dict:
+            return {"text": join(pieces[node.text[0]:node.text[1]]), "anchors": links[node.links[0]:node.links[1]]}
+
+        centers = [base(c) for c in self.centers]
+        cells = []
+        for node in self.cells:
+            cell = base(node)
+            cell["tag"], cell["tooltip"] = node.extra
+            a, b = node.parts
+            cell["center"] = centers[a] if b > a else None
+            cells.append(cell)
+        rows = []
+        for node in self.rows:
+            row = base(node)
+            row["cells"] = cells[node.parts[0]:node.parts[1]]
+            rows.append(row)
+        tables = [{"text": join(pieces[t.text[0]:t.text[1]]), "rows": rows[t.parts[0]:t.parts[1]]} for t in self.tables]
+        return {"title": self.title, "links": links, "tables": tables}
+
+
+def _note_lines(page: str) -> list[str]:
+    """Texts of the siblings behind the first bold notes heading, up to a rule or a table."""
+    for heading in _HEADING.finditer(page):
+        words = _TAG.sub("", heading[1]).lower()
+        if "notes" in words:                        # footnotes included
+            break
+    else:
+        return []
+    lines, at, depth = [[]], heading.end(), 0
+    while (tag := _TAG.search(page, at)) is not None:
+        lines[-1].append(page[at:tag.start()])
+        at, name = tag.end(), (tag[2] or "").lower()
+        if tag[1]:
+            depth -= 1
+            if depth < 0:
+                break
+        elif depth == 0 and name in ("hr", "table"):
+            break
+        if depth == 0 and name:
+            lines.append([])
+        if name and not tag[1] and name not in _VOID:
+            depth += 1
+    else:
+        lines[-1].append(page[at:])
+    return [unescape("".join(line)) for line in lines]
+
+
+def read_page(doc_id: str, content: bytes | str | None) -> dict:
+    """Everything later steps need from one page."""
+    page = content.decode("utf-8", errors="ignore") if isinstance(content, bytes) else content or ""
     reader = _PageReader()
-    reader.read(text)
-    seen: set[int] = set()
-    for node in (*reader.tables, *reader.links):
-        _joined(node, seen)
-    return {"doc_id": doc_id, "title": reader.title,
-            "raw": text, "notes": ["".join(n) for n in reader.notes],
-            "links": reader.links, "tables": reader.tables}
+    reader.read(page)
+    script = _SCRIPT_TITLE.search(page)
+    return {"doc_id": doc_id, "script_title": script[1] if script else None,
+            "notes": _note_lines(page) if "notes" in page.lower() else [], **reader.result()}
 
 
 def batch_reader(schema: pa.Schema, rows_per_batch: int = 256) -> Callable:
@@ -207,7 +213,7 @@ def batch_reader(schema: pa.Schema, rows_per_batch: int = 256) -> Callable:
             ids, contents = batch.column(0), batch.column(1)
             for start in range(0, batch.num_rows, rows_per_batch):
                 stop = min(start + rows_per_batch, batch.num_rows)
-                rows = [_read_page(ids[i].as_py(), contents[i].as_py()) for i in range(start, stop)]
+                rows = [read_page(ids[i].as_py(), contents[i].as_py()) for i in range(start, stop)]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return read

@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schemas
 from ..functions import fixed_values as fixed
-from ..functions.text import clean_text, first_group, strip
+from ..functions.text import clean_text, strip
 from . import markup
 
 cloudpickle.register_pickle_by_value(markup)
@@ -27,9 +27,7 @@ def parse_pages(pages: DataFrame, doc_id: str = "doc_id", content: str = "conten
     row below it, those of nested tables included, and a row every cell below it.
     """
     reader = markup.batch_reader(to_arrow_schema(schemas.PAGE))
-    read = pages.select(F.col(doc_id).cast("string"), content).mapInArrow(reader, schemas.PAGE)
-    script = first_group("raw", r'document\.title\s*=\s*"([^"]+)"')
-    return read.select("doc_id", "title", script.alias("script_title"), "notes", "links", "tables")
+    return pages.select(F.col(doc_id).cast("string"), content).mapInArrow(reader, schemas.PAGE)
 
 
 def html_cells(docs: DataFrame) -> DataFrame:

@@ -94,4 +94,5 @@ _ROW = _struct(text=_TEXT, anchors=ANCHORS, cells=T.ArrayType(_CELL))
 PAGE_TABLES = T.ArrayType(_struct(text=_TEXT, rows=T.ArrayType(_ROW)))
 
 #: what the markup pass returns for a page
-PAGE = _struct(doc_id=_TEXT, title=_TEXT, raw=_TEXT, notes=T.ArrayType(_TEXT), links=ANCHORS, tables=PAGE_TABLES)
+PAGE = _struct(doc_id=_TEXT, title=_TEXT, script_title=_TEXT, notes=T.ArrayType(_TEXT), links=ANCHORS,
+               tables=PAGE_TABLES)
