@@ -15,20 +15,21 @@ from .text import (as_col, blank_default, contains_any, first_group, is_blank, l
 def overs_to_balls(overs: Column | str, is_double: bool = False) -> Column:
     """Balls in an O.B figure; NULL or unreadable gives 0.
 
-    Six or more balls after the dot keep only the rest modulo six. A figure held as a
-    double with one decimal, the usual case, is read arithmetically; its text is looked
-    at only when it is something else.
+    Balls after the dot count modulo six. A figure held as a double with one decimal, the
+    usual case, is read arithmetically; its text is looked at only when it is something else.
     """
     overs = as_col(overs)
-    parts = F.split(strip(overs.cast("string")), r"\.")
-    whole = F.try_element_at(parts, F.lit(1)).try_cast("bigint")
-    odd = F.when(F.size(parts) > 1, F.try_element_at(parts, F.lit(2)).try_cast("bigint")).otherwise(F.lit(0))
-    balls = whole * 6 + F.when(odd >= 6, odd % 6).otherwise(odd)
+    if is_double:
+        digits = overs.cast("string")
+        whole, odd = F.split_part(digits, F.lit("."), F.lit(1)), F.split_part(digits, F.lit("."), F.lit(2))
+    else:
+        parts = F.split(strip(overs), r"\.")
+        whole, odd = F.try_element_at(parts, F.lit(1)), F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("0"))
+    balls = whole.try_cast("bigint") * 6 + odd.try_cast("bigint") % 6
     if is_double:
         tenths = F.floor(overs * 10 + 0.5)
-        odd = tenths % 10
-        plain = F.floor(tenths / 10) * 6 + F.when(odd >= 6, odd % 6).otherwise(odd)
-        balls = F.when((overs >= 0) & (overs < 100000) & (tenths / 10 == overs), plain).otherwise(balls)
+        plain = F.floor(tenths / 10) * 6 + tenths % 10 % 6
+        balls = F.when((overs >= 0) & (overs < 1e12) & (tenths / 10 == overs), plain).otherwise(balls)
     return F.coalesce(balls, F.lit(0)).cast("bigint")
 
 

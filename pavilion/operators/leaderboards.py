@@ -23,13 +23,13 @@ def resolve(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
 
 def _grid(table: Column, no: Column) -> Column:
     """Header and body of a table; only a first row made of heading cells is a header."""
-    rows = F.filter(table.rows, lambda r: F.size(r.cells) > 0)
-    first = F.try_element_at(rows, F.lit(1)).cells
+    rows = F.filter(table.rows, lambda r: F.size(r) > 0)
+    first = F.try_element_at(rows, F.lit(1))
     headed = (F.size(first) > 0) & F.forall(first, lambda c: c.tag == "th")
     texts = lambda cells: F.transform(cells, lambda c: clean_text(c.text))
     header = F.when(headed, F.transform(texts(first), F.lower)).otherwise(F.array().cast("array<string>"))
     body = F.transform(F.when(headed, F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))))
-                       .otherwise(rows), lambda r: texts(r.cells))
+                       .otherwise(rows), texts)
     return F.struct(no.alias("no"), header.alias("header"), body.alias("body"),
                     F.size(body).alias("n_rows"),
                     F.greatest(F.size(header), F.array_max(F.transform(body, F.size))).alias("n_cols"))

@@ -36,20 +36,8 @@ def _attribute(text: str, name: str) -> str | None:
     return None
 
 
-class _Node:
-    """An open or closed element: its share of the pieces, links and parts of the page."""
-
-    __slots__ = ("kind", "extra", "text", "links", "parts")
-
-    def __init__(self, kind: str, extra, reader: _PageReader) -> None:
-        self.kind, self.extra = kind, extra
-        self.text = [len(reader.pieces), None]
-        self.links = [len(reader.links), None]
-        self.parts = [len(reader.parts_of(kind)), None]
-
-    def close(self, reader: _PageReader) -> None:
-        self.text[1], self.links[1] = len(reader.pieces), len(reader.links)
-        self.parts[1] = len(reader.parts_of(self.kind))
+# an open or closed element: its kind, its share of the pieces, links and parts, what else is known
+_KIND, _TEXT, _TEXT_END, _LINKS, _LINKS_END, _PARTS, _PARTS_END, _EXTRA = range(8)
 
 
 class _PageReader:
@@ -59,61 +47,76 @@ class _PageReader:
         self.title: str | None = None
         self.pieces: list[str] = []
         self.links: list[list] = []                 # [href, first piece, last piece]
-        self.tables: list[_Node] = []
-        self.rows: list[_Node] = []
-        self.cells: list[_Node] = []
-        self.centers: list[_Node] = []
-        self.open: list[_Node] = []
+        self.tables: list[list] = []
+        self.rows: list[list] = []
+        self.cells: list[list] = []
+        self.centers: list[list] = []
+        self.open: list[list] = []
         self.anchor: list | None = None
         self.parts = {"table": self.rows, "tr": self.cells, "td": self.centers, "center": []}
 
-    def parts_of(self, kind: str) -> list:
-        return self.parts[kind]
-
     def _close_anchor(self) -> None:
         if self.anchor is not None:
             self.anchor[2] = len(self.pieces)
             self.anchor = None
 
+    def _finish(self, node: list) -> None:
+        node[_TEXT_END], node[_LINKS_END] = len(self.pieces), len(self.links)
+        node[_PARTS_END] = len(self.parts[node[_KIND]])
+
     def _close(self, kind: str, stop: str) -> None:
         """Close the innermost open ``kind`` within the innermost ``stop``, and all inside it."""
-        for i in range(len(self.open) - 1, -1, -1):
-            here = self.open[i].kind
+        opened = self.open
+        for i in range(len(opened) - 1, -1, -1):
+            here = opened[i][_KIND]
             if here == kind:
-                self._close_anchor()
-                for node in self.open[i:]:
-                    node.close(self)
-                del self.open[i:]
+                if self.anchor is not None:
+                    self._close_anchor()
+                for node in opened[i:]:
+                    self._finish(node)
+                del opened[i:]
                 return
             if here == stop:
                 return
 
     def _start(self, kind: str, extra, into: list) -> None:
-        into.append(node := _Node(kind, extra, self))
+        node = [kind, len(self.pieces), 0, len(self.links), 0, len(self.parts[kind]), 0, extra]
+        into.append(node)
         self.open.append(node)
 
     def read(self, page: str) -> None:
-        at = 0
+        at, add, opened = 0, self.pieces.append, self.open
         for token in _TOKEN.finditer(page):
-            start = token.start()
+            start, end = token.span()
             if start > at:
                 data = page[at:start]
-                self.pieces.append(unescape(data) if "&" in data else data)
-            at = token.end()
-            tag = token[4]
+                add(unescape(data) if "&" in data else data)
+            at = end
+            raw, inner, closing, tag, attributes = token.groups()
             if tag is None:
-                if token[1] and self.title is None and token[1].lower() == "title":
-                    self.title = unescape(token[2])
+                if raw and self.title is None and raw.lower() == "title":
+                    self.title = unescape(inner)
                 continue
             tag = tag.lower()
-            if token[3]:
-                self._end(tag)
+            if closing:
+                if tag == "td" or tag == "th":
+                    if opened:
+                        self._close("td", "tr")
+                elif tag == "a":
+                    self._close_anchor()
+                elif tag == "tr":
+                    self._close("tr", "table")
+                elif tag == "table":
+                    self._close("table", "")
+                elif tag == "center":
+                    self._close("center", "td")
             elif tag == "td" or tag == "th":
-                self._close("td", "tr")
-                self._start("td", (tag, _attribute(token[5], "onmouseover") if token[5] else None), self.cells)
+                if opened and opened[-1][_KIND] != "tr":
+                    self._close("td", "tr")
+                self._start("td", (tag, _attribute(attributes, "onmouseover") if attributes else None), self.cells)
             elif tag == "a":
                 self._close_anchor()
-                self.anchor = [_attribute(token[5], "href"), len(self.pieces), None]
+                self.anchor = [_attribute(attributes, "href"), len(self.pieces), None]
                 self.links.append(self.anchor)
             elif tag == "tr":
                 self._close("tr", "table")
@@ -126,45 +129,29 @@ class _PageReader:
                 self._close("tr", "table")
         if at < len(page):
             data = page[at:]
-            self.pieces.append(unescape(data) if "&" in data else data)
+            add(unescape(data) if "&" in data else data)
         self._close_anchor()
-        for node in self.open:
-            node.close(self)
-
-    def _end(self, tag: str) -> None:
-        if tag == "a":
-            self._close_anchor()
-        elif tag == "table":
-            self._close("table", "")
-        elif tag == "tr":
-            self._close("tr", "table")
-        elif tag == "center":
-            self._close("center", "td")
-        elif tag in ("td", "th"):
-            self._close("td", "tr")
+        for node in opened:
+            self._finish(node)
 
     # -- what was read, as plain rows
     def result(self) -> dict:
         pieces, join = self.pieces, "".join
         links = [{"text": join(pieces[a:b]), "href": href} for href, a, b in self.links]
 
-        def base(node: _Node) -> dict:
-            return {"text": join(pieces[node.text[0]:node.text[1]]), "anchors": links[node.links[0]:node.links[1]]}
+        def base(node: list) -> dict:
+            return {"text": join(pieces[node[_TEXT]:node[_TEXT_END]]), "anchors": links[node[_LINKS]:node[_LINKS_END]]}
 
         centers = [base(c) for c in self.centers]
         cells = []
-        for node in self.cells:
-            cell = base(node)
-            cell["tag"], cell["tooltip"] = node.extra
-            a, b = node.parts
-            cell["center"] = centers[a] if b > a else None
-            cells.append(cell)
-        rows = []
-        for node in self.rows:
-            row = base(node)
-            row["cells"] = cells[node.parts[0]:node.parts[1]]
-            rows.append(row)
-        tables = [{"text": join(pieces[t.text[0]:t.text[1]]), "rows": rows[t.parts[0]:t.parts[1]]} for t in self.tables]
+        for _, t0, t1, l0, l1, c0, c1, (tag, tooltip) in self.cells:
+            cells.append({"tag": tag, "text": pieces[t0] if t1 == t0 + 1 else join(pieces[t0:t1]),
+                          "anchors": links[l0:l1], "tooltip": tooltip, "center": centers[c0] if c1 > c0 else None})
+        tables = []
+        for table in self.tables:
+            rows = self.rows[table[_PARTS]:table[_PARTS_END]]
+            tables.append({"text": join(pieces[table[_TEXT]:table[_TEXT_END]]), "header": base(rows[0]) if rows else None,
+                           "rows": [cells[row[_PARTS]:row[_PARTS_END]] for row in rows]})
         return {"title": self.title, "links": links, "tables": tables}
 
 

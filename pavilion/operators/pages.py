@@ -34,7 +34,7 @@ def html_cells(docs: DataFrame) -> DataFrame:
     """Flat cell table, positions counted from 0."""
     tables = docs.select("doc_id", F.posexplode("tables").alias("table_no", "t"))
     rows = tables.select("doc_id", "table_no", F.posexplode("t.rows").alias("row_no", "r"))
-    cells = rows.select("doc_id", "table_no", "row_no", F.posexplode("r.cells").alias("cell_no", "c"))
+    cells = rows.select("doc_id", "table_no", "row_no", F.posexplode("r").alias("cell_no", "c"))
     return cells.select("doc_id", "table_no", "row_no", "cell_no", "c.text", "c.anchors", "c.tooltip")
 
 

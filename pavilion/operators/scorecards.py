@@ -19,7 +19,7 @@ OFFICIALS = {"TV umpire": "tv_umpire", "Referee": "referee", "Reserve Umpire": "
 
 
 def _data_cells(row: Column) -> Column:
-    return F.filter(row.cells, lambda c: c.tag == "td")
+    return F.filter(row, lambda c: c.tag == "td")
 
 
 def _last(rows: Column) -> Column:
@@ -95,11 +95,11 @@ def match_meta(pages: DataFrame) -> DataFrame:
 
 
 def _header(table: Column) -> Column:
-    return F.lower(clean_text(F.try_element_at(table.rows, F.lit(1)).text))
+    return F.lower(clean_text(table.header.text))
 
 
 def _header_anchor(table: Column) -> Column:
-    return _anchor(F.try_element_at(table.rows, F.lit(1)).anchors)
+    return _anchor(table.header.anchors)
 
 
 def _numbered_tables() -> Column:

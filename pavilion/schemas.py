@@ -90,8 +90,8 @@ _TEXT = T.StringType()
 ANCHORS = T.ArrayType(_struct(text=_TEXT, href=_TEXT))
 _CELL = _struct(tag=_TEXT, text=_TEXT, anchors=ANCHORS, tooltip=_TEXT,
                 center=_struct(text=_TEXT, anchors=ANCHORS))
-_ROW = _struct(text=_TEXT, anchors=ANCHORS, cells=T.ArrayType(_CELL))
-PAGE_TABLES = T.ArrayType(_struct(text=_TEXT, rows=T.ArrayType(_ROW)))
+PAGE_TABLES = T.ArrayType(_struct(text=_TEXT, header=_struct(text=_TEXT, anchors=ANCHORS),
+                                  rows=T.ArrayType(T.ArrayType(_CELL))))
 
 #: what the markup pass returns for a page
 PAGE = _struct(doc_id=_TEXT, title=_TEXT, script_title=_TEXT, notes=T.ArrayType(_TEXT), links=ANCHORS,
