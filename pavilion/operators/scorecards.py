@@ -140,6 +140,11 @@ def innings_tables(pages: DataFrame) -> DataFrame:
                          other.alias("bowling_team_id"), "body")
 
 
+def innings_key(name: str = "innings_id") -> Column:
+    """P25: key of an innings; it follows from the page, so rows of a page need no join to learn it."""
+    return row_key("match_id", "innings_number").alias(name)
+
+
 def innings(pages: DataFrame) -> DataFrame:
     """One row per innings with extras and totals."""
     tables = innings_tables(pages)
@@ -148,7 +153,7 @@ def innings(pages: DataFrame) -> DataFrame:
     rows = tables.withColumns({"_extras": named["Extras"], "_total": named["Total"]})
     cell = lambda row, n: F.try_element_at(F.col(row), F.lit(n)).text
     return rows.select(
-        row_key("match_id", "innings_number").alias("id"), "match_id", "innings_number", "batting_team_id",
+        innings_key("id"), "match_id", "innings_number", "batting_team_id",
         "bowling_team_id", lenient_int(cell("_total", 3)).alias("runs"),
         total_wickets(cell("_total", 2)).alias("wickets"), total_overs(cell("_total", 2)).alias("overs"),
         *[extras_part(cell("_extras", 2), unit).alias(name) for name, unit in
@@ -193,7 +198,7 @@ def batting_rows(pages: DataFrame) -> DataFrame:
     c = F.col("cells")
     mins = F.when(F.size("cells") >= 5, lenient_int(_at(c, 4)))
     return lines.select(
-        "match_id", "table_no", "innings_number", "row_no", url_entity_id("_a.href", "player").alias("player_id"),
+        "match_id", "table_no", "innings_number", innings_key(), "row_no", url_entity_id("_a.href", "player").alias("player_id"),
         clean_text(_at(c, 1)).alias("dismissal_text"), lenient_int(_at(c, 2)).alias("runs"),
         lenient_int(_at(c, 3)).alias("balls"), mins.alias("mins"), lenient_int(_at(c, 5)).alias("fours"),
         lenient_int(_at(c, 6)).alias("sixes"), lenient_int(_at(c, 7)).alias("dots"),
@@ -201,15 +206,15 @@ def batting_rows(pages: DataFrame) -> DataFrame:
         F.col("_a.href").alias("url"), cricket.dob(F.try_element_at(c, F.lit(1)).tooltip).alias("dob"))
 
 
-def bowling_rows(pages: DataFrame) -> DataFrame:
+def bowling_rows(pages: DataFrame, *keep: str) -> DataFrame:
     """One row per bowling line; ``ordinal`` counts the side's bowling tables on the page."""
     tables = F.transform(_bowling_tables(), lambda n: F.struct(
         n.no.alias("no"), url_entity_id(_header_anchor(n.t).href, "team").alias("team"), _body(n.t).alias("body")))
-    tables = pages.select("doc_id", tables.alias("_tables"))
-    tables = tables.select("doc_id", "_tables", F.posexplode("_tables").alias("_pos", "t"))
+    tables = pages.select("doc_id", *keep, tables.alias("_tables"))
+    tables = tables.select("doc_id", *keep, "_tables", F.posexplode("_tables").alias("_pos", "t"))
     earlier = F.filter(F.slice("_tables", F.lit(1), F.col("_pos") + 1),
                        lambda u: u.team.eqNullSafe(F.col("t.team")))
-    lines = tables.select(F.col("doc_id").alias("match_id"), F.col("t.no").alias("table_no"), F.size(earlier).alias("ordinal"),
+    lines = tables.select(*keep, F.col("doc_id").alias("match_id"), F.col("t.no").alias("table_no"), F.size(earlier).alias("ordinal"),
                           F.col("t.team").alias("bowling_team_id"),
                           F.posexplode("t.body").alias("row_no", "cells"))
     lines = lines.withColumn("_a", _anchor(F.try_element_at("cells", F.lit(1)).anchors)).filter(
@@ -218,7 +223,7 @@ def bowling_rows(pages: DataFrame) -> DataFrame:
     econ = F.when(F.size("cells") >= 12, lenient_double(_at(c, 11))).otherwise(lenient_double(_at(c, 10)))
     names = ["maidens", "runs", "wickets", "wides", "no_balls", "dots", "fours", "sixes"]
     return lines.select(
-        "match_id", "table_no", "row_no", "ordinal", "bowling_team_id",
+        *keep, "match_id", "table_no", "row_no", "ordinal", "bowling_team_id",
         url_entity_id("_a.href", "player").alias("player_id"), lenient_double(_at(c, 1)).alias("overs"),
         *[lenient_int(_at(c, n)).alias(name) for n, name in enumerate(names, start=2)], econ.alias("econ"),
         clean_text("_a.text").alias("name"), F.col("_a.href").alias("url"))
@@ -240,7 +245,7 @@ def fall_of_wickets(pages: DataFrame) -> DataFrame:
     link = _anchor_at("anchors", F.col("part_no") + 1)
     over = first_group(part, r"(\d+\.?\d*)\s+ov")
     return parts.filter(part.rlike(r"^\d+-\d+")).select(
-        "match_id", "table_no", "innings_number", "row_no", "part_no",
+        "match_id", "table_no", "innings_number", innings_key(), "row_no", "part_no",
         F.regexp_extract(part, r"^(\d+)-(\d+)", 1).try_cast("int").alias("wicket_num"),
         F.regexp_extract(part, r"^(\d+)-(\d+)", 2).try_cast("int").alias("score"),
         url_entity_id(link.href, "player").alias("player_out_id"),
@@ -296,8 +301,29 @@ def harvest_entities(pages: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- facts to innings
 
 
+def bowling_by_innings(pages: DataFrame, mode: str = "ordinal") -> DataFrame:
+    """J3 within the page: bowling rows with the number and key of their innings, without a shuffle."""
+    _check(mode)
+    bat_ids = F.transform(_innings_tables(), lambda n: url_entity_id(_header_anchor(n.t).href, "team"))
+    one, two = F.col("meta.team1_id"), F.col("meta.team2_id")
+    sides = F.transform(bat_ids, lambda t, i: F.struct(
+        (i + 1).alias("innings_number"), F.when(t.eqNullSafe(one), two).otherwise(one).alias("team")))
+    rows = bowling_rows(pages.withColumn("_sides", sides), "_sides")
+    own = F.filter("_sides", lambda s: s.team.eqNullSafe(F.col("bowling_team_id")))
+    if mode == "ordinal":
+        own = F.filter(F.slice(own, F.col("ordinal"), 1), lambda s: s.innings_number.isNotNull())
+    rows = rows.withColumn("_own", F.explode(own)).withColumn("innings_number", F.col("_own.innings_number"))
+    return rows.withColumn("innings_id", innings_key()).drop("_own", "_sides")
+
+
+def _check(mode: str) -> None:
+    if mode not in ("ordinal", "team"):
+        raise ValueError(f"unknown mode: {mode}")
+
+
 def attach_batting(rows: DataFrame, inns: DataFrame) -> DataFrame:
-    """Batting or wicket rows with the id of their innings."""
+    """Batting or wicket rows of a table with the id of their innings."""
+    rows = rows.drop("innings_id")
     keys = inns.select("match_id", "innings_number", F.col("id").alias("innings_id"))
     return rows.join(keys, ["match_id", "innings_number"])
 
@@ -309,8 +335,7 @@ def attach_bowling(rows: DataFrame, inns: DataFrame, mode: str = "ordinal") -> D
     twice in a two-innings match. ``mode="ordinal"`` also asks for the k-th bowling table
     of the side to meet the k-th innings it bowled in.
     """
-    if mode not in ("ordinal", "team"):
-        raise ValueError(f"unknown mode: {mode}")
+    _check(mode)
     # A match has a handful of innings; they are numbered per side inside one small array.
     order = F.array_sort(F.collect_list(F.struct("innings_number", F.col("id").alias("innings_id"))))
     sides = inns.groupBy("match_id", "bowling_team_id").agg(order.alias("_list"))

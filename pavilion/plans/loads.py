@@ -43,23 +43,25 @@ def empty_warehouse(spark: SparkSession) -> dict[str, DataFrame]:
 def load_scorecards(raw: DataFrame, warehouse: dict[str, DataFrame], mode: str = "ordinal") -> Load:
     """M8: load scorecard pages (doc_id, content).
 
-    A page whose match is registered already adds nothing but its link in the registry.
-    Pages are parsed once; everything else is derived from the checkpointed result. Keys
-    follow from the page, so loading the same pages again adds no row.
+    A page whose match is registered already adds nothing but its link in the registry, and
+    of several copies of a page only one is read. Pages are parsed once; everything else is
+    derived from the checkpointed result. New pages are picked by their row in it, a unique
+    key, and all rows of a page follow from the page alone, so nothing but narrow metadata
+    and entities is ever shuffled. Keys follow from the page too: loading the same pages
+    again adds no row.
     """
-    parsed = scorecards.with_meta(cut_lineage(pages.parse_pages(raw)))
-    meta = scorecards.match_meta(parsed)
-    batch = meta.select(F.col("team1_name").alias("team1"), F.col("team2_name").alias("team2"), "date", "format",
-                        F.lit("ca").alias("source"), F.col("match_id").alias("source_id"))
+    tagged = pages.parse_pages(raw).withColumn("_row", F.monotonically_increasing_id())
+    parsed = scorecards.with_meta(cut_lineage(tagged))
+    seen = parsed.select("_row", F.col("meta.team1_name").alias("team1"), F.col("meta.team2_name").alias("team2"),
+                         "meta.date", "meta.format", F.lit("ca").alias("source"), F.col("doc_id").alias("source_id"))
+    batch = dedup.pick_one(seen, ["source_id"], "_row")
     registered, told = registry.register(warehouse["match_registry"], batch, "source_id")
-    new = materialise(told.filter("is_new").select(F.col("source_id").alias("doc_id")), "new_matches")
-    fresh = parsed.join(new, "doc_id", "left_semi")
+    new = materialise(told.filter("is_new").select("_row"), "new_pages")
+    fresh = parsed.join(new, "_row", "left_semi")
 
-    inns = scorecards.innings(fresh)
     place = lambda *at: row_key("innings_id", *at).alias("id")
-    bat = scorecards.attach_batting(scorecards.batting_rows(fresh), inns)
-    bowl = scorecards.attach_bowling(scorecards.bowling_rows(fresh), inns, mode)
-    fow = scorecards.attach_batting(scorecards.fall_of_wickets(fresh), inns)
+    inns, bat, fow = (f(fresh) for f in (scorecards.innings, scorecards.batting_rows, scorecards.fall_of_wickets))
+    bowl = scorecards.bowling_by_innings(fresh, mode)
     notes = pages.match_notes(fresh).withColumnRenamed("doc_id", "match_id")
     added = {
         "innings": inns, "batting": bat.withColumn("id", place("row_no")),
@@ -76,8 +78,7 @@ def load_scorecards(raw: DataFrame, warehouse: dict[str, DataFrame], mode: str =
         "players": maintenance.fill_null(
             maintenance.insert_ignore(warehouse["players"], people, "player_id", "match_id"),
             people, "player_id", "dob", "match_id"),
-        "matches": maintenance.upsert(warehouse["matches"], meta.join(
-            new.withColumnRenamed("doc_id", "match_id"), "match_id", "left_semi"), "match_id", F.lit(0))}
+        "matches": maintenance.upsert(warehouse["matches"], scorecards.match_meta(fresh), "match_id", F.lit(0))}
     for kind, table in (("team", "teams"), ("tournament", "tournaments")):
         one = dedup.last_wins(found.filter(F.col("kind") == kind), ["match_id", "id"], "seen")
         one = one.withColumnRenamed("id", f"{kind}_id")

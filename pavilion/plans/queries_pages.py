@@ -65,6 +65,11 @@ def _attach_bowling(mode):
     return run
 
 
+def _in_page(s, d):
+    rows = scorecards.bowling_by_innings(_meta(s, d))
+    return rows.select("match_id", "player_id", "bowling_team_id", "ordinal", "innings_number", "innings_id")
+
+
 _KEY = "sha256(CAST({k} AS VARCHAR) || chr(31) || {n}) AS innings_id"
 
 
@@ -195,6 +200,10 @@ ENTRIES = {
         _attach_bowling("ordinal"),
         card_oracle(f"""SELECT CAST(k AS VARCHAR) AS match_id, c || '7' || n AS player_id, CAST(bowl AS VARCHAR) AS bowling_team_id,
           CASE WHEN n = 3 THEN 2 ELSE 1 END AS ordinal, n AS innings_number, {_KEY.format(k='k', n='n')} FROM inns""")),
+    "bowling_by_innings": (
+        _in_page,
+        card_oracle(f"""SELECT CAST(k AS VARCHAR) AS match_id, c || '7' || n AS player_id, CAST(bowl AS VARCHAR) AS bowling_team_id,
+          CASE WHEN n = 3 THEN 2 ELSE 1 END AS ordinal, n AS innings_number, {_KEY.format(k='k', n='n')} FROM inns""")),
     "attach_bowling_by_team": (
         _attach_bowling("team"),
         card_oracle(f"""SELECT CAST(r.k AS VARCHAR) AS match_id, r.c || '7' || r.n AS player_id,

@@ -46,17 +46,27 @@ def page_outcomes(pages: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("ca_match_id"), (F.size("tables") >= 2).alias("ok"))
 
 
-def new_commentary(stream: DataFrame, ts: str | None = None, delay: str | None = None) -> DataFrame:
+def new_commentary(stream: DataFrame, ts: str | None = None, delay: str | None = None, salts: int = 8) -> DataFrame:
     """Each text of a match once, blank texts dropped.
 
     Exact by default, with state that grows with the distinct texts. With an event time
     column and a delay the state is bounded: a text may come again after the delay.
+
+    Copies of one text all meet in one task. So they are first thinned out in up to
+    ``salts`` tasks, by the input task they come from, and only the rest meets; that costs
+    a second state entry per text. ``salts=1`` leaves the first step out.
     """
+    key = ["match_id", "text"]
     spoken = stream.filter(~is_blank("text"))
-    if ts is None:
-        return spoken.dropDuplicates(["match_id", "text"])
-    timed = spoken.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay or "1 hour")
-    return timed.dropDuplicatesWithinWatermark(["match_id", "text"])
+    if ts is not None:
+        spoken = spoken.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay or "1 hour")
+
+    def once(df: DataFrame, columns: list[str]) -> DataFrame:
+        return df.dropDuplicates(columns) if ts is None else df.dropDuplicatesWithinWatermark(columns)
+
+    if salts > 1:
+        spoken = once(spoken.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts))), [*key, "_salt"]).drop("_salt")
+    return once(spoken, key)
 
 
 def latest_scores(stream: DataFrame, value: list[str], order: Column | str = "ts", key: str = "match_id") -> DataFrame:

@@ -10,7 +10,7 @@ def counts(tables):
 
 def test_load_twice(spark, tmp_path):
     other = PAGE.replace("26th July", "27th July").replace("dob: 1st Jan 1990", "none")
-    rows = [("m1", PAGE), ("m2", other), ("m3", PAGE), ("bad", "<p>nothing</p>")]
+    rows = [("m1", PAGE), ("m2", other), ("m3", PAGE), ("m1", PAGE), ("m1", PAGE), ("bad", "<p>nothing</p>")]
     raw = spark.createDataFrame(rows, "doc_id string, content string")
     warehouse = loads.empty_warehouse(spark)
     load = loads.load_scorecards(raw, warehouse)

@@ -41,7 +41,7 @@ def test_scorecard(spark):
     assert (m.umpire1_id, m.umpire2_id, m.referee_id, m.points) == ("1", "2", None, None)
     inn = scorecards.innings(meta).first()
     assert inn[1:] == ("m0", 1, "10", "11", 150, 10, "18.4", 2, 9, 1, 2, 14)
-    bat = [r[4:] for r in scorecards.batting_rows(meta).orderBy("row_no").collect()]
+    bat = [r[5:] for r in scorecards.batting_rows(meta).orderBy("row_no").collect()]
     assert bat[0] == ("7", "not out", 1050, 30, 40, 6, 2, 3, 166.66, "A & Bat", "/Players/0/7/7.html", "1st Jan 1990")
     assert bat[1] == ("8", "did not bat", 0, 0, None, 0, 0, 0, 0.0, "B Bat", "/Players/0/8/8.html", None)
     assert [b[0] for b in bat] == ["7", "8", "7"]          # the wicket list below its label counts as a line

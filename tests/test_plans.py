@@ -58,5 +58,5 @@ def test_pages_to_facts_without_a_shuffle(spark, sf_dir):
     raw = spark.createDataFrame([("m", "<table></table>")], "doc_id string, content string")
     meta = scorecards.with_meta(pages.parse_pages(raw))
     for rows in (scorecards.match_meta(meta), scorecards.innings(meta), scorecards.batting_rows(meta),
-                 scorecards.bowling_rows(meta), scorecards.fall_of_wickets(meta), scorecards.harvest_entities(meta)):
+                 scorecards.bowling_by_innings(meta), scorecards.fall_of_wickets(meta), scorecards.harvest_entities(meta)):
         assert "Exchange" not in physical(rows)
