@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_tags, url_entity_id
 from ..operators import dedup, leaderboards, pages, scorecards
-from ..session import spread
+from ..session import cut_lineage, spread
 from . import derived
 from .adapters import read
 from .derived import card_oracle
@@ -24,6 +24,11 @@ def _meta(s, d):
     return scorecards.with_meta(_cards(s, d))
 
 
+def _meta_once(s, d):
+    """For queries that read the parsed pages several times."""
+    return scorecards.with_meta(cut_lineage(_cards(s, d)))
+
+
 _META_COLUMNS = ["match_id", "title", "tournament_id", "tournament_name", "date", "venue", "ground_id", "format",
                  "team1_id", "team1_name", "team2_id", "team2_name", "toss_winner_id", "toss_decision", "result",
                  "win_margin_runs", "win_margin_wickets", "win_margin_text", "umpire1_id", "umpire2_id", "referee_id",
@@ -51,14 +56,14 @@ FROM inns"""
 
 
 def _attach_batting(s, d):
-    meta = _meta(s, d)
+    meta = _meta_once(s, d)
     rows = scorecards.attach_batting(scorecards.batting_rows(meta), scorecards.innings(meta))
     return rows.select("match_id", "innings_number", "player_id", "runs", "innings_id")
 
 
 def _attach_bowling(mode):
     def run(s, d):
-        meta = _meta(s, d)
+        meta = _meta_once(s, d)
         rows = scorecards.attach_bowling(scorecards.bowling_rows(meta), scorecards.innings(meta), mode)
         return rows.select("match_id", "player_id", "bowling_team_id", "ordinal", "innings_number", "innings_id")
 
@@ -74,13 +79,13 @@ _KEY = "sha256(CAST({k} AS VARCHAR) || chr(31) || {n}) AS innings_id"
 
 
 def _players(s, d):
-    found = scorecards.harvest_entities(_meta(s, d)).filter(F.col("kind") == "player")
+    found = scorecards.harvest_entities(_meta_once(s, d)).filter(F.col("kind") == "player")
     ordered = found.withColumn("seen", F.struct("match_id", "seen"))
     return dedup.unique_players(ordered).select("id", "name", "dob")
 
 
 def _teams(s, d):
-    found = scorecards.harvest_entities(_meta(s, d)).filter(F.col("kind") != "player")
+    found = scorecards.harvest_entities(_meta_once(s, d)).filter(F.col("kind") != "player")
     return dedup.last_wins(found, ["kind", "id"], F.struct("match_id", "seen")).select("kind", "id", "name", "url")
 
 

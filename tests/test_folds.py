@@ -148,3 +148,29 @@ def test_hot_key_takes_a_third_of_all_rows(spark):
     matches = spark.createDataFrame([("m", "ODI")], "match_id string, format string")
     total = careers.batting_career(rows, innings, matches).agg(F.sum("matches"), F.max("matches")).first()
     assert total[0] == n and total[1] == rows.filter("player_id = 'p0'").count() > n / 3
+
+
+def test_hot_innings_is_split_by_the_join(spark):
+    """With broadcasts off and small thresholds, the join to the formats splits the hot innings."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32KB",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        n = 90_000
+        inn = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 3000).cast("int")
+        rows = spark.range(0, n, 1, 8).select(
+            inn.alias("innings_id"), F.concat(F.lit("player "), F.col("id").cast("string")).alias("player_id"),
+            F.lit("b").alias("dismissal_text"), F.lit(2).alias("runs"), F.lit(3).alias("balls"), F.lit(1).alias("fours"),
+            F.lit(0).alias("sixes"))
+        innings = spark.range(3000).select(F.col("id").cast("int"), F.col("id").cast("string").alias("match_id"))
+        matches = spark.range(3000).select(F.col("id").cast("string").alias("match_id"), F.lit("ODI").alias("format"))
+        out = careers.batting_career(rows, innings, matches)
+        assert len(out.collect()) == n
+        assert "SortMergeJoin(skew=true)" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
