@@ -324,7 +324,7 @@ def _check(mode: str) -> None:
 def attach_batting(rows: DataFrame, inns: DataFrame) -> DataFrame:
     """Batting or wicket rows of a table with the id of their innings."""
     rows = rows.drop("innings_id")
-    keys = inns.select("match_id", "innings_number", F.col("id").alias("innings_id"))
+    keys = inns.select("match_id", "innings_number", F.col("id").alias("innings_id")).distinct()
     return rows.join(keys, ["match_id", "innings_number"])
 
 
@@ -336,7 +336,9 @@ def attach_bowling(rows: DataFrame, inns: DataFrame, mode: str = "ordinal") -> D
     of the side to meet the k-th innings it bowled in.
     """
     _check(mode)
-    # A match has a handful of innings; they are numbered per side inside one small array.
+    # Copies of an innings go first; what is left of a match are its own few innings, which
+    # are numbered per side inside one small array.
+    inns = inns.select("match_id", "innings_number", "bowling_team_id", "id").distinct()
     order = F.array_sort(F.collect_list(F.struct("innings_number", F.col("id").alias("innings_id"))))
     sides = inns.groupBy("match_id", "bowling_team_id").agg(order.alias("_list"))
     keys = sides.select(F.col("match_id").alias("_match"), F.col("bowling_team_id").alias("_team"),
