@@ -8,8 +8,10 @@ import __spark_entry__ as entry
 from pavilion.plans import queries_pages
 
 QUERIES = entry.queries()
+#: queries that start from pages already parsed into a checkpoint, so their own plan has no Python left
+PARSED_BEFORE = {"attach_batting", "attach_bowling", "attach_bowling_by_team", "entity_players", "entity_teams"}
 #: the markup pass is the only Python in any plan
-WITH_PAGES = {n for n in queries_pages.ENTRIES if n not in ("strip_tags", "url_ids")}
+WITH_PAGES = set(queries_pages.ENTRIES) - {"strip_tags", "url_ids"} - PARSED_BEFORE
 STREAMED = {"new_commentary", "latest_scores"}
 
 
