@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from pavilion.plans import catalog
 from pavilion.plans.adapters import TABLES
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -35,7 +36,7 @@ def _rows(rows, order):
     return sorted(tuple(_value(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.entries()))
 def test_query(name, spark, duck, sf_dir_module):
     df = QUERIES[name](spark, sf_dir_module)
     got = df.collect()
