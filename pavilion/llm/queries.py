@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, language, minhash, mixing, packing, personal, topk, url_filter, warc
+from . import embed_dedup, language, minhash, mixing, packing, personal, phrases, topk, url_filter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,10 @@ def _warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_repeated(table(spark, sf_dir, "documents"))
+
+
 def _position_sql(share: str) -> str:
     """The inverse of the schedules in SQL, from the same constants."""
     def inverse(schedule: mixing.Schedule) -> str:
@@ -133,4 +137,5 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "op7_embedding_dedup": (_embed_dedup, _EMBED_SQL),
     "op8_url_filter": (_url_filter, None),
     "op9_warc": (_warc, None),
+    "op10_repeated_phrases": (_phrases, None),
 }
