@@ -79,7 +79,7 @@ def invert(share: Column, schedule: Schedule) -> Column:
     for t, length, w, slope, before in reversed(cumulative(schedule)):
         rest = F.greatest(share - F.lit(before), F.lit(0.0))
         root = F.lit(w) + F.sqrt(F.greatest(F.lit(w * w) + F.lit(2 * slope) * rest, F.lit(0.0)))
-        here = F.lit(t) + F.least(F.when(root > 0, F.lit(2.0) * rest / root).otherwise(F.lit(0.0)), F.lit(length))
+        here = F.lit(t) + F.least(F.when(root > 0, F.try_divide(F.lit(2.0) * rest, root)).otherwise(F.lit(0.0)), F.lit(length))
         position = here if position is None else F.when(share < F.lit(after), here).otherwise(position)
         after = before
     return position
@@ -121,16 +121,16 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[
     rows = rows.join(sums, (F.col("ordinal") == F.col("o")) & (F.col("stretch") == F.col("r")))
     before = F.col("words_before") + F.col("before")
     goal_words, full = F.floor("target"), F.col("source_size")
-    epochs = F.when(full > 0, F.floor(goal_words / full)).otherwise(F.lit(0)).cast("long")
+    epochs = F.coalesce(F.floor(F.try_divide(goal_words, full)), F.lit(0)).cast("long")
     rest = goal_words - epochs * full
     cut = F.least(F.greatest(rest - before, F.lit(0)), F.col("size"))
     copies = epochs + F.when((cut == F.col("size")) & (cut > 0), 1).otherwise(0)
-    share = before / goal_words
+    share = F.try_divide(before, goal_words)
     rank = (F.col("ordinal") % len(weights)).cast("int")
     position = invert(share, schedules[0])
     for k in range(1, len(schedules)):
         position = F.when(rank == k, invert(share, schedules[k])).otherwise(position)
-    rows = rows.withColumns({"taken": epochs * F.col("size") + cut, "copies": copies, "share": share, "step": full / goal_words,
+    rows = rows.withColumns({"taken": epochs * F.col("size") + cut, "copies": copies, "share": share, "step": F.try_divide(full, goal_words),
                              "cut": F.when(cut < F.col("size"), cut).otherwise(F.lit(0)), "rank": rank})
     rows = rows.withColumn("position", F.when(F.col("taken") > 0, position))
     return rows.select("doc_id", "size", "source_size", "target", "taken", "copies", "cut", "position", "share", "step", "rank",
