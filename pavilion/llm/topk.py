@@ -106,19 +106,20 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
     asks = asks.select(each(n_cells).alias("cell"), deal(n_blocks).alias("block"), "vec_id", "vec", F.lit(True).alias("asks"))
 
     def score(part: pd.DataFrame) -> pd.DataFrame:
-        cell, queries = part[~part["asks"]], part[part["asks"]]
+        cell, queries = part[~part["asks"]].sort_values("vec_id"), part[part["asks"]]
         width = int(part["vec"].map(len).max())
         ids, matrix = cell["vec_id"].to_numpy(), _matrix(cell["vec"], width)
+        ids, first = np.unique(ids, return_index=True)
         found = []
         for start in range(0, len(queries) if len(ids) else 0, STEP):
             block = queries.iloc[start:start + STEP]
             scores = accumulate(_matrix(block["vec"], width), matrix)
+            if len(ids) < len(matrix):  # rows that repeat a vec_id count once, by the better
+                scores = np.maximum.reduceat(scores, first, axis=1)
             found += [(q, *hit) for q, row in zip(block["vec_id"], scores) for hit in best(ids, row, q, k)]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64")
 
     found = cells.unionByName(asks).groupBy("cell", "block").applyInPandas(score, "query_id long, vec_id long, score long")
-    # a row that repeats a vec_id may be found twice; its better copy counts
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
