@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import cricket
 from ..functions.text import blank_default
-from .grouping import collect_parts
 
 CATEGORIES = {"international": "International", "domestic": "Domestic"}
 
@@ -98,7 +97,8 @@ def warehouse_status(matches: DataFrame | None = None, progress: DataFrame | Non
 
 def recent_extractions(progress: DataFrame, matches: DataFrame, n: int = 10, order: str = "seq") -> DataFrame:
     """Labels of the matches extracted last."""
-    latest = progress.join(matches, "match_id").orderBy(F.desc(order)).limit(n)
+    shown = progress.select("match_id", order).join(matches.select("match_id"), "match_id", "left_semi").orderBy(F.desc(order)).limit(n)
+    latest = matches.select("match_id", "team1", "team2", "season").join(shown, "match_id").orderBy(F.desc(order)).limit(n)
     name = lambda c: blank_default(c, F.lit("Unknown"))
     label = F.concat(name("team1"), F.lit(" vs "), name("team2"), F.lit(" ("), name("season"), F.lit(")"))
     return latest.select(order, "match_id", label.alias("label"))
@@ -120,15 +120,20 @@ def _card_rows(batting: DataFrame, bowling: DataFrame) -> DataFrame:
         shaped(bowling, "bowling", BOWL_FIELDS, batting))
 
 
-def _last_fow(fow: DataFrame) -> DataFrame:
-    order = "id" if "id" in fow.columns else "fow_string"
-    return fow.groupBy("match_id", "innings_number").agg(F.max_by("fow_string", order).alias("fow"))
-
-
 def _innings_heads(matches: DataFrame, innings: DataFrame, fow: DataFrame) -> DataFrame:
-    known = innings.join(matches.select("match_id").distinct(), "match_id", "left_semi")
-    return known.join(_last_fow(fow), ["match_id", "innings_number"], "left").withColumn(
-        "fow", F.coalesce("fow", F.lit("")))
+    """One row per innings that its match lists, with its last fall of wickets.
+
+    Innings and wickets are stacked and grouped once, so the keys move once for both.
+    """
+    order = "id" if "id" in fow.columns else "fow_string"
+    kinds = dict(fow.dtypes)
+    stacked = innings.select("match_id", "innings_number", F.lit(1).alias("_listed"), F.lit(None).cast(kinds[order]).alias("_at"),
+                             F.lit(None).cast("string").alias("_fow"))
+    stacked = stacked.unionByName(fow.select("match_id", "innings_number", F.lit(None).cast("int").alias("_listed"),
+                                             F.col(order).alias("_at"), F.col("fow_string").alias("_fow")))
+    heads = stacked.groupBy("match_id", "innings_number").agg(
+        F.max("_listed").alias("_listed"), F.coalesce(F.max_by("_fow", "_at"), F.lit("")).alias("fow"))
+    return heads.filter("_listed = 1").drop("_listed").join(matches.select("match_id"), "match_id", "left_semi")
 
 
 def scorecard_rows(matches: DataFrame, innings: DataFrame, fow: DataFrame, batting: DataFrame, bowling: DataFrame,
@@ -141,62 +146,84 @@ def scorecard_rows(matches: DataFrame, innings: DataFrame, fow: DataFrame, batti
     if match_id is not None:
         matches, innings, fow, batting, bowling = (match_by_id(t, match_id)
                                                    for t in (matches, innings, fow, batting, bowling))
-    heads = _innings_heads(matches, innings, fow)
-    rows = _card_rows(batting, bowling).join(heads.select("match_id", "innings_number").distinct(),
-                                             ["match_id", "innings_number"], "left_semi")
+    # an inner join on unique keys stays above the union, so the heads are worked out once
+    heads = _innings_heads(matches, innings, fow).select(
+        F.col("match_id").alias("_match"), F.col("innings_number").alias("_innings"), "fow")
+    rows = _card_rows(batting, bowling)
     shape = {f.name: f.dataType for f in rows.schema.fields}
-    top = heads.select("match_id", "innings_number", F.lit("innings").alias("section"),
-                       F.lit(0).cast("bigint").alias("row_id"),
-                       *[F.lit(None).cast(shape[f]).alias(f) for f in ROW_FIELDS], "fow")
-    return top.unionByName(rows.withColumn("fow", F.lit("")))
-
-
-def _item() -> Column:
-    return F.struct("section", "row_id", *ROW_FIELDS)
+    top = innings.select("match_id", "innings_number", F.lit("innings").alias("section"), F.lit(0).cast("bigint").alias("row_id"),
+                         *[F.lit(None).cast(shape[f]).alias(f) for f in ROW_FIELDS])
+    rows = top.unionByName(rows).join(heads, (F.col("match_id") == F.col("_match")) & (F.col("innings_number") == F.col("_innings")))
+    shown = F.when(F.col("section") == "innings", F.col("fow")).otherwise(F.lit(""))
+    return rows.select("match_id", "innings_number", "section", "row_id", *ROW_FIELDS, shown.alias("fow"))
 
 
 def _section(section: str, fields: list[str]) -> Column:
     rows = F.filter("rows", lambda r: r.section == section)
-    return F.transform(rows, lambda r: F.struct(r.row_id.alias("id"), *[r[f].alias(f) for f in fields]))
+    return F.transform(rows, lambda r: F.struct(r.row_id.alias("id"), *[r[f].alias(f) for f in fields])).alias(section)
+
 
+def _cards(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of each innings as sorted arrays. An innings is small by nature, so it is one document at every size."""
+    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("section", "row_id", *ROW_FIELDS))).alias("rows"))
+    return packed.select(*keys, _section("batting", BAT_FIELDS), _section("bowling", BOWL_FIELDS))
 
-def _documents(heads: DataFrame, rows: DataFrame, max_rows: int) -> DataFrame:
+
+def _with_cards(heads: DataFrame, rows: DataFrame) -> DataFrame:
     keys = ["match_id", "innings_number"]
-    packed = collect_parts(rows, keys, _item(), F.struct("section", "row_id"), "rows", max_rows)
-    cards = heads.join(packed, keys, "left")
-    none = F.array().cast(packed.schema["rows"].dataType)
-    cards = cards.withColumns({"rows": F.coalesce("rows", none), "part": F.coalesce("part", F.lit(0))})
-    return cards.withColumns({"batting": _section("batting", BAT_FIELDS), "bowling": _section("bowling", BOWL_FIELDS)}
-                             ).drop("rows")
+    cards = _cards(rows, keys)
+    none = {c: F.array().cast(cards.schema[c].dataType) for c in ("batting", "bowling")}
+    return heads.join(cards, keys, "left").withColumns({c: F.coalesce(c, empty) for c, empty in none.items()})
 
 
 def scorecards(matches: DataFrame, innings: DataFrame, fow: DataFrame, batting: DataFrame, bowling: DataFrame,
-               match_id=None, max_rows: int = 10_000) -> DataFrame:
-    """J10, nested: one document per innings with its batting and bowling arrays.
-
-    An innings of more than ``max_rows`` rows comes as several parts of the same innings.
-    """
+               match_id=None) -> DataFrame:
+    """J10, nested by innings: one document per innings with its batting and bowling arrays."""
     if match_id is not None:
         matches, innings, fow, batting, bowling = (match_by_id(t, match_id)
                                                    for t in (matches, innings, fow, batting, bowling))
     heads = _innings_heads(matches, innings, fow)
-    rows = _card_rows(batting, bowling)
     meta = matches.select("match_id", F.struct(*matches.columns).alias("match_meta"))
-    return _documents(heads, rows, max_rows).join(meta, "match_id")
+    return _with_cards(heads, _card_rows(batting, bowling)).join(meta, "match_id")
 
 
-def _archive_span(matches: DataFrame, batting: DataFrame, bowling: DataFrame) -> DataFrame:
-    """Highest innings of each match, and the innings that have rows; one pass over two columns."""
-    seen = batting.select("match_id", "innings_number").unionByName(bowling.select("match_id", "innings_number"))
-    spans = seen.filter(F.col("innings_number") >= 1).groupBy("match_id").agg(
-        F.max("innings_number").alias("_top"), F.collect_set("innings_number").alias("_played"))
-    spans = spans.join(matches.select("match_id").distinct(), "match_id", "left_semi")
-    return spans.select("match_id", F.sequence(F.lit(1), F.col("_top")).alias("_every"), "_played")
+def match_scorecards(matches: DataFrame, innings: DataFrame, fow: DataFrame, batting: DataFrame, bowling: DataFrame,
+                     match_id=None) -> DataFrame:
+    """One document per match, its metadata and its innings in order; a match without innings has none."""
+    if match_id is not None:
+        matches, innings, fow, batting, bowling = (match_by_id(t, match_id)
+                                                   for t in (matches, innings, fow, batting, bowling))
+    heads = _innings_heads(matches, innings, fow)
+    return _by_match(matches, _with_cards(heads, _card_rows(batting, bowling)), "match_meta",
+                     ["innings_number", "fow", "batting", "bowling"])
+
+
+def _by_match(matches: DataFrame, cards: DataFrame, meta: str, fields: list[str]) -> DataFrame:
+    """A row per match with its innings documents in order."""
+    every = cards.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("innings"))
+    heads = matches.select("match_id", F.struct(*matches.columns).alias(meta))
+    joined = heads.join(every, "match_id", "left")
+    return joined.withColumn("innings", F.coalesce("innings", F.array().cast(every.schema["innings"].dataType)))
+
+
+# ---------------------------------------------------------------- archive scorecards
+
+#: No match has more innings; a row that says so is rejected, since gaps up to its number would have to be filled.
+MAX_INNINGS = 100
+
+
+def _possible() -> Column:
+    return F.col("innings_number").between(1, MAX_INNINGS)
+
+
+def rejected_rows(batting: DataFrame, bowling: DataFrame) -> DataFrame:
+    """Rows whose innings number is missing or no possible one."""
+    return _card_rows(batting, bowling).filter(~F.coalesce(_possible(), F.lit(False)))
 
 
 def _archive_rows(matches: DataFrame, batting: DataFrame, bowling: DataFrame) -> DataFrame:
-    rows = _card_rows(batting, bowling).filter(F.col("innings_number") >= 1)
-    return rows.join(matches.select("match_id").distinct(), "match_id", "left_semi")
+    rows = _card_rows(batting, bowling).filter(_possible())
+    return rows.join(matches.select(F.col("match_id").alias("_match")).distinct(), F.col("match_id") == F.col("_match")).drop("_match")
 
 
 def _label() -> Column:
@@ -207,19 +234,38 @@ def archive_scorecard_rows(matches: DataFrame, batting: DataFrame, bowling: Data
     """J11, W4, flat: rows of innings 1 to the highest one seen; one without rows gives one empty row."""
     rows = _archive_rows(matches, batting, bowling)
     shape = {f.name: f.dataType for f in rows.schema.fields}
-    gaps = _archive_span(matches, batting, bowling).select(
-        "match_id", F.explode(F.array_except("_every", "_played")).alias("innings_number"))
+    spans = rows.groupBy("match_id").agg(F.max("innings_number").alias("_top"), F.collect_set("innings_number").alias("_played"))
+    gaps = spans.select("match_id", F.explode(F.array_except(F.sequence(F.lit(1), F.col("_top")), "_played")).alias("innings_number"))
     empty = gaps.select("match_id", "innings_number", F.lit("empty").alias("section"),
                                *[F.lit(None).cast(shape[f]).alias(f) for f in ["row_id", *ROW_FIELDS]])
     return rows.unionByName(empty).select("match_id", "innings_number", _label(), "section", "row_id", *ROW_FIELDS)
 
 
-def archive_scorecards(matches: DataFrame, batting: DataFrame, bowling: DataFrame,
-                       max_rows: int = 10_000) -> DataFrame:
-    """J11, nested: one document per innings 1 to the highest one; gaps are empty innings."""
-    rows = _archive_rows(matches, batting, bowling)
-    heads = _archive_span(matches, batting, bowling).select("match_id", F.explode("_every").alias("innings_number"))
-    heads = heads.select("match_id", "innings_number", _label())
-    none = F.array().cast("array<string>").alias("fow")
-    return _documents(heads, rows, max_rows).select("match_id", "innings_number", "batting_team", "part", "batting",
-                                                    "bowling", none)
+def archive_scorecards(matches: DataFrame, batting: DataFrame, bowling: DataFrame) -> DataFrame:
+    """J11, nested by innings: one document per innings 1 to the highest one; gaps are empty innings."""
+    cards = archive_match_scorecards(matches, batting, bowling).select("match_id", F.explode("innings").alias("i"))
+    return cards.select("match_id", "i.*")
+
+
+def archive_match_scorecards(matches: DataFrame, batting: DataFrame, bowling: DataFrame) -> DataFrame:
+    """One document per match, its metadata and its innings 1 to the highest one seen.
+
+    Gaps are empty innings; a match without rows has none. Rows are grouped by innings and then by match;
+    the gaps come from the grouped rows, so nothing is read twice.
+    """
+    cards = _cards(_card_rows(batting, bowling).filter(_possible()), ["match_id", "innings_number"])
+    fields = F.struct("innings_number", _label(), "batting", "bowling", F.array().cast("array<string>").alias("fow"))
+    every = cards.groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct("innings_number", fields.alias("card")))).alias("_cards"),
+                                          F.max("innings_number").alias("_top"))
+    kind = every.schema["_cards"].dataType.valueType
+    arrays = {f.name: f.dataType for f in kind.fields}
+
+    def gap(i: Column) -> Column:
+        return F.struct(i.alias("innings_number"), F.concat(F.lit("Innings "), i.cast("string")).alias("batting_team"),
+                        *[F.array().cast(arrays[c]).alias(c) for c in ("batting", "bowling", "fow")])
+
+    whole = every.select(F.col("match_id").alias("_match"), F.transform(
+        F.sequence(F.lit(1), F.col("_top")), lambda i: F.coalesce(F.try_element_at("_cards", i), gap(i))).alias("innings"))
+    heads = matches.select("match_id", F.struct(*matches.columns).alias("metadata"))
+    joined = heads.join(whole, heads["match_id"] == whole["_match"], "left").drop("_match")
+    return joined.withColumn("innings", F.coalesce("innings", F.array().cast(whole.schema["innings"].dataType)))

@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Parts that the rows of a key are dealt to, whatever their number.
+PARTS = 16
 
-def collect_parts(df: DataFrame, keys: list[str], item: Column, row_id: str | Column, name: str,
-                  max_rows: int = 10_000) -> DataFrame:
-    """Sorted array of ``item`` per key, as one or more numbered parts.
 
-    A key of up to ``max_rows`` rows gives one part, number 0. A larger one is spread over
-    enough parts by a hash of its unique ``row_id``; every row is in exactly one part, so
-    nothing is dropped and no array grows with the key.
-    """
-    large = (df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > max_rows)
-             .select(*keys, F.ceil(F.col("_n") / max_rows).alias("_parts")))
-    part = F.pmod(F.xxhash64(row_id), F.coalesce("_parts", F.lit(1))).cast("int")
-    spread = df.join(large, keys, "left").select(*keys, part.alias("part"), item.alias("_item"))
-    return spread.groupBy(*keys, "part").agg(F.array_sort(F.collect_list("_item")).alias(name))
+def part_of(row_id: str | Column, parts: int = PARTS) -> Column:
+    """Part of a row, from a hash of its id alone."""
+    row_id = F.col(row_id) if isinstance(row_id, str) else row_id
+    head = F.substring(F.md5(F.coalesce(row_id.cast("string"), F.lit(""))), 1, 7)
+    return (F.conv(head, 16, 10).cast("bigint") % parts).cast("int")
+
 
+def collect_parts(df: DataFrame, keys: list[str], item: Column, row_id: str | Column, name: str, parts: int = PARTS) -> DataFrame:
+    """Sorted arrays of ``item`` per key and numbered part.
+
+    Rows are always dealt to ``parts`` parts of their key by a hash of ``row_id``; a part without rows is not there.
+    The shape does not depend on how many rows a key has: with a thousand times the rows, take more parts.
+    """
+    dealt = df.select(*keys, part_of(row_id, parts).alias("part"), item.alias("_item"))
+    return dealt.groupBy(*keys, "part").agg(F.array_sort(F.collect_list("_item")).alias(name))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cricket
 from ..functions import fixed_values as fixed
 from ..functions.text import as_col, literal_lookup, lookup, round2, slug
-from .grouping import collect_parts
+from .grouping import PARTS, collect_parts
 
 BAT = ["span", "matches", "innings", "runs", "batting_avg", "batting_sr"]
 BOWL = ["span", "matches", "innings", "wickets", "bowling_avg", "bowling_sr", "economy"]
@@ -77,18 +77,28 @@ def player_profiles(bat: DataFrame, bowl: DataFrame, order: str = "seq", active_
 
 def team_heads(players: DataFrame) -> DataFrame:
     """The teams of a player table with display name and home advantage."""
+    return players.select("team").distinct().select(*_team_columns())
+
+
+def _team_columns() -> list[Column]:
     name = F.coalesce(literal_lookup(cricket.CODE_NAMES, "team"), F.col("team"))
-    return players.select("team").distinct().select(
-        F.col("team").alias("team_id"), name.alias("name"), name.alias("country"),
-        F.create_map().cast("map<string,int>").alias("format_rankings"),
-        lookup(fixed.HOME_ADVANTAGE, "team", fixed.DEFAULT_HOME_ADVANTAGE).alias("home_advantage"))
+    return [F.col("team").alias("team_id"), name.alias("name"), name.alias("country"),
+            F.create_map().cast("map<string,int>").alias("format_rankings"),
+            lookup(fixed.HOME_ADVANTAGE, "team", fixed.DEFAULT_HOME_ADVANTAGE).alias("home_advantage")]
+
 
+def team_rows(players: DataFrame) -> DataFrame:
+    """A13, flat: every player with the columns of the team in front; nothing is collected or moved."""
+    return players.select(*_team_columns(), *[F.col(c).alias(f"player_{c}" if c in ("name", "team") else c) for c in players.columns])
 
-def team_rollup(players: DataFrame, max_players: int = 10_000) -> DataFrame:
-    """Teams with their squads as arrays; a larger squad comes in several parts."""
-    squads = collect_parts(players, ["team"], F.struct(*players.columns), "player_id", "players", max_players)
-    heads = team_heads(players)
-    return heads.join(squads, heads["team_id"] == squads["team"]).drop("team")
+
+def team_rollup(players: DataFrame, parts: int = PARTS) -> DataFrame:
+    """Teams with their squads as arrays, in a fixed number of parts by a hash of player_id; ``parts=1``: whole squads.
+
+    Players without a team are a squad of their own, without a team_id.
+    """
+    squads = collect_parts(players, ["team"], F.struct(*players.columns), "player_id", "players", parts)
+    return squads.select(*_team_columns(), "part", "players")
 
 
 def squad_sizes(players: DataFrame, n: int = 30, team: str = "team") -> DataFrame:

@@ -55,7 +55,7 @@ def _agg(table: str, fields) -> str:
 
 
 def _documents(heads: str) -> str:
-    return f"""SELECT h.*, 0 AS part, coalesce(b.txt, '') AS batting, coalesce(o.txt, '') AS bowling
+    return f"""SELECT h.*, coalesce(b.txt, '') AS batting, coalesce(o.txt, '') AS bowling
       FROM {heads} h LEFT JOIN ({_agg('scraped_batting', _BAT_TEXT)}) b
         ON h.match_id = b.match_id AND h.innings_number = b.innings_number
       LEFT JOIN ({_agg('scraped_bowling', _BOWL_TEXT)}) o
@@ -64,17 +64,46 @@ def _documents(heads: str) -> str:
 
 def _scorecards(s, d):
     docs = archive.scorecards(*adapt(s, d, *_CARD))
-    return docs.select("match_id", "innings_number", "fow", "part", _joined("batting", *_BAT_TEXT),
+    return docs.select("match_id", "innings_number", "fow", _joined("batting", *_BAT_TEXT),
                        _joined("bowling", *_BOWL_TEXT), F.col("match_meta.title").alias("title"))
 
 
 def _archive_scorecards(s, d):
     m, _, _, bat, bowl = adapt(s, d, *_CARD)
     docs = archive.archive_scorecards(m, bat, bowl)
-    return docs.select("match_id", "innings_number", "batting_team", "part", _joined("batting", *_BAT_TEXT),
+    return docs.select("match_id", "innings_number", "batting_team", _joined("batting", *_BAT_TEXT),
                        _joined("bowling", *_BOWL_TEXT))
 
 
+def _innings_text(*head: str):
+    """The innings of a match document as one text."""
+    item = lambda rows, fields: F.array_join(F.transform(
+        F.array_sort(rows, lambda a, b: F.when(a.id < b.id, -1).when(a.id > b.id, 1).otherwise(a.runs - b.runs)),
+        lambda r: F.concat_ws(":", *[r[f].cast("string") for f in fields])), ";")
+    return F.array_join(F.transform("innings", lambda i: F.concat_ws(
+        "|", *[i[h].cast("string") for h in head], item(i.batting, _BAT_TEXT), item(i.bowling, _BOWL_TEXT))), "/").alias("innings")
+
+
+def _match_scorecards(s, d):
+    docs = archive.match_scorecards(*adapt(s, d, *_CARD))
+    return docs.select("match_id", F.col("match_meta.title").alias("title"), F.size("innings").alias("n"),
+                       _innings_text("innings_number", "fow"))
+
+
+def _archive_match_scorecards(s, d):
+    m, _, _, bat, bowl = adapt(s, d, *_CARD)
+    docs = archive.archive_match_scorecards(m, bat, bowl)
+    return docs.select("match_id", F.col("metadata.title").alias("title"), F.size("innings").alias("n"),
+                       _innings_text("innings_number", "batting_team"))
+
+
+def _match_documents(head: str) -> str:
+    return f"""SELECT m.match_id, m.title, CAST(count(x.match_id) AS INT) AS n,
+        coalesce(string_agg(CAST(x.innings_number AS VARCHAR) || '|' || {head} || '|' || x.batting || '|' || x.bowling, '/'
+                            ORDER BY x.innings_number), '') AS innings
+      FROM scraped_matches m LEFT JOIN docs x ON m.match_id = x.match_id GROUP BY m.match_id, m.title"""
+
+
 def _archive_rows(s, d):
     m, _, _, bat, bowl = adapt(s, d, *_CARD)
     return archive.archive_scorecard_rows(m, bat, bowl)
@@ -145,6 +174,15 @@ ENTRIES = {
         _scorecards,
         oracle(f""", {_HEADS.strip()} SELECT x.*, m.title FROM ({_documents('heads')}) x
                  JOIN scraped_matches m ON x.match_id = m.match_id""", *_CARD)),
+    "match_scorecard_documents": (
+        _match_scorecards,
+        oracle(f""", {_HEADS.strip()}, docs AS ({_documents('heads')}) {_match_documents('x.fow')}""", *_CARD)),
+    "archive_match_documents": (
+        _archive_match_scorecards,
+        oracle(f""", {_ROWS.strip()}, {_GAPS.strip()},
+            inns AS (SELECT DISTINCT match_id, innings_number FROM known UNION ALL SELECT * FROM gaps),
+            labelled AS (SELECT match_id, innings_number, 'Innings ' || CAST(innings_number AS VARCHAR) AS batting_team
+                         FROM inns), docs AS ({_documents('labelled')}) {_match_documents('x.batting_team')}""", *_CARD)),
     "archive_scorecard_rows": (
         _archive_rows,
         oracle(f""", {_ROWS.strip()}, {_GAPS.strip()}

@@ -117,8 +117,10 @@ ENTRIES = {
                "named_players", "known_names")),
     "team_rollup": (
         _rollup,
-        oracle("""SELECT team AS team_id, team AS name, CAST(0.03 AS DOUBLE) AS home_advantage, 0 AS part,
-              CAST(count(*) AS INT) AS n, string_agg(player_id, ';' ORDER BY player_id) AS squad FROM squads GROUP BY team""",
+        oracle("""SELECT team AS team_id, team AS name, CAST(0.03 AS DOUBLE) AS home_advantage, part,
+              CAST(count(*) AS INT) AS n, string_agg(player_id, ';' ORDER BY player_id) AS squad
+              FROM (SELECT *, CAST(CAST('0x' || substr(md5(player_id), 1, 7) AS BIGINT) % 16 AS INT) AS part FROM squads)
+              GROUP BY team, part""",
                "squads")),
     "playing_xi": (
         lambda s, d: profiles.playing_xi(adapt(s, d, "squads")),

@@ -14,16 +14,14 @@ def _stem(suffix: str):
     return F.regexp_replace(F.col("_metadata.file_name"), rf"{suffix}$", "")
 
 
-def scan_pages(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     """``.html`` files of a flat or sharded folder as (doc_id, content).
 
     The bytes are kept; undecodable ones are dropped when the page is parsed.
-    ``limit`` bounds the number of files for a trial load.
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
              .option("pathGlobFilter", "*.html").load(path))
-    pages = files.select(_stem(r"\.html").alias("doc_id"), "content")
-    return pages.limit(limit) if limit else pages
+    return files.select(_stem(r"\.html").alias("doc_id"), "content")
 
 
 def scan_match_json(spark: SparkSession, path: str) -> DataFrame:

@@ -7,13 +7,21 @@ from pavilion.operators.grouping import collect_parts
 
 
 def test_parts_hold_every_row_once(spark):
-    df = spark.range(5000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("k"), "id")
-    parts = collect_parts(df, ["k"], F.struct("id"), "id", "items", max_rows=500)
-    hot = parts.filter("k = 0")
-    assert hot.count() == 6 and hot.agg(F.max(F.size("items"))).first()[0] < 700
-    assert parts.filter("k > 0").agg(F.max("part"), F.count("*")).first()[:] == (0, 2000)
+    df = spark.range(60_000).select(F.when(F.col("id") < 40_000, 0).otherwise(F.col("id")).alias("k"), "id")
+    parts = collect_parts(df, ["k"], F.struct("id"), "id", "items")
+    hot = parts.filter("k = 0")  # far beyond any number at which the shape might change
+    assert hot.count() == 16 and hot.agg(F.max(F.size("items")), F.min(F.size("items"))).first()[0] < 3_000
+    assert parts.filter("k > 0").agg(F.max("part"), F.count("*")).first()[:] == (15, 20_000)
     ids = parts.select(F.explode("items").alias("i")).select("i.id")
-    assert ids.count() == 5000 and ids.distinct().count() == 5000
+    assert ids.count() == 60_000 and ids.distinct().count() == 60_000
+
+
+def test_rollup_has_one_shape(spark):
+    for n in (20, 30_000):
+        players = spark.range(n).select(F.col("id").cast("string").alias("player_id"), F.lit("N").alias("name"), F.lit("IND").alias("team"))
+        assert profiles.team_rollup(players).count() == 16 or n == 20
+        assert profiles.team_rollup(players, parts=1).select(F.size("players")).first()[0] == n
+        assert profiles.team_rows(players).count() == n
 
 
 def test_scorecard_documents(spark):
@@ -30,11 +38,17 @@ def test_scorecard_documents(spark):
     assert [(d.innings_number, d.fow, len(d.batting), len(d.bowling), d.match_meta.title) for d in docs] == [
         (1, "new", 40, 1, "t"), (2, "", 0, 0, "t")]
     assert [b.id for b in docs[0].batting] == list(range(40))
-    split = archive.scorecards(matches, innings, fow, batting, bowling, max_rows=10).filter("innings_number = 1").collect()
-    assert len(split) > 1 and sum(len(d.batting) for d in split) == 40
     old = archive.archive_scorecards(matches, batting, bowling).orderBy("innings_number").collect()
     assert [(d.batting_team, len(d.batting), len(d.bowling), d.fow) for d in old] == [
         ("Innings 1", 40, 1, []), ("Innings 2", 0, 0, []), ("Innings 3", 1, 0, [])]
+    whole = archive.match_scorecards(matches, innings, fow, batting, bowling).collect()
+    assert [(w.match_meta.title, [(i.innings_number, i.fow, len(i.batting)) for i in w.innings]) for w in whole] == [("t", [(1, "new", 40), (2, "", 0)])]
+    two = matches.union(spark.createDataFrame([(2, "u")], matches.schema))
+    assert {m.match_id: len(m.innings) for m in archive.match_scorecards(two, innings, fow, batting, bowling).collect()} == {1: 2, 2: 0}
+    found = {m.match_id: (m.metadata.title, [i.batting_team for i in m.innings]) for m in archive.archive_match_scorecards(two, batting, bowling).collect()}
+    assert found == {1: ("t", ["Innings 1", "Innings 2", "Innings 3"]), 2: ("u", [])}
+    bad = batting.withColumn("innings_number", F.lit(2_000_000_000))
+    assert archive.archive_scorecard_rows(matches, bad, bowling).count() == 1 and archive.rejected_rows(bad, bowling).count() == 41
     flat = archive.scorecard_rows(matches, innings, fow, batting, bowling, match_id=2)
     assert flat.count() == 0
 
@@ -42,7 +56,7 @@ def test_scorecard_documents(spark):
 def test_team_rollup(spark):
     players = spark.createDataFrame([("a_ind", "A", "IND"), ("b_ind", "B", "IND"), ("c_zzz", "C", "ZZZ")],
                                     "player_id string, name string, team string")
-    teams = {r.team_id: r for r in profiles.team_rollup(players).collect()}
+    teams = {r.team_id: r for r in profiles.team_rollup(players, parts=1).collect()}
     assert teams["IND"].name == "India" and teams["IND"].home_advantage == 0.12
     assert [p.player_id for p in teams["IND"].players] == ["a_ind", "b_ind"]
     assert teams["ZZZ"].name == "ZZZ" and teams["ZZZ"].home_advantage == 0.03

@@ -4,10 +4,9 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
-from pavilion.plans import queries_pages
+from pavilion.plans import catalog, queries_pages
 
-QUERIES = entry.queries()
+QUERIES = {name: run for name, (run, _) in catalog.entries().items()}
 #: queries that start from pages already parsed into a checkpoint, so their own plan has no Python left
 PARSED_BEFORE = {"attach_batting", "attach_bowling", "attach_bowling_by_team", "entity_players", "entity_teams"}
 #: the markup pass is the only Python in any plan
@@ -62,3 +61,15 @@ def test_pages_to_facts_without_a_shuffle(spark, sf_dir):
     for rows in (scorecards.match_meta(meta), scorecards.innings(meta), scorecards.batting_rows(meta),
                  scorecards.bowling_by_innings(meta), scorecards.fall_of_wickets(meta), scorecards.harvest_entities(meta)):
         assert "Exchange" not in physical(rows)
+
+
+def test_scorecard_rows_move_once(spark, sf_dir):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = physical(QUERIES["scorecard_rows"](spark, sf_dir))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(re.findall(r"(?<!, )Exchange hashpartitioning", text)) <= 5, text
