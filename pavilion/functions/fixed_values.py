@@ -205,3 +205,6 @@ TABLE_MARKERS = {
     "bowling": ["mat", "inns", "wkts", "ave"],
 }
 SUMMARY_LABELS = ["nan", "overall", "total", ""]
+
+#: The script element that embeds a page's data, whatever its other attributes and their order.
+EMBEDDED_DATA = r"""(?s)<script\b(?=[^>]*\sid\s*=\s*["']?__NEXT_DATA__["'\s>])[^>]*>(.+?)</script>"""

@@ -94,13 +94,15 @@ def round2(value: Column | str) -> Column:
     Spark's own ``round`` works on the shortest decimal text of the double and rounds
     ties away from zero, which gives 2.68 for 2.675; the exact value gives 2.67. Only values
     that come close to a tie need the exact text, the others are rounded arithmetically.
+    Infinity and NaN stay as they are.
     """
     value = as_col(value).cast("double")
     whole = F.floor(value * 100.0)
     rest = value * 100.0 - whole
     plain = (whole + F.when(rest > 0.5, 1).otherwise(0)) / 100.0
-    exact = F.call_function("format_number", value, F.lit("0.00")).cast("double")
-    return F.when((F.abs(value) < 1e7) & (F.abs(rest - 0.5) > 1e-6), plain).otherwise(exact)
+    exact = F.call_function("format_number", value, F.lit("0.00")).try_cast("double")
+    finite = F.when((F.abs(value) < 1e7) & (F.abs(rest - 0.5) > 1e-6), plain).otherwise(exact)
+    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), value).otherwise(finite)
 
 
 def sql_text(value) -> str:

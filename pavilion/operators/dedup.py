@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
-from ..functions.text import as_col, blank_default, is_blank
+from ..functions.text import as_col, is_blank
 
 
 def pick_one(df: DataFrame, keys: list[str], order: Column | str, last: bool = False) -> DataFrame:
@@ -38,20 +38,26 @@ def dedup_log(df: DataFrame, line: str = "line_no", id_cols: tuple[str, ...] = (
 
     The first line stands unless a later one has a strictly longer title that is not a live
     headline. So the result is the longest title among the first line and the lines without
-    a live headline, the earliest one on equal length.
+    a live headline, the earliest one on equal length. Only an absent source takes the
+    default; one that is there but blank stays blank.
+
+    Lines are picked by their number and length alone; whole records are looked up afterwards.
     """
     ident = F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in id_cols])
-    records = df.withColumns({"_id": ident, "_source": blank_default("source", F.lit(source))})
+    records = df.withColumns({"_id": ident, "_source": F.coalesce("source", F.lit(source))})
     records = records.filter(F.col("_id").isNotNull())
     title = F.coalesce("title", F.lit(""))
     length = F.length(title)
-    row = F.struct(length.alias("_len"), *df.columns)
-    settled = F.when(~title.contains(fixed.LIVE_TITLE_MARK), F.struct(-length, F.col(line)))
-    best = records.groupBy("_source", "_id").agg(F.min_by(row, line).alias("f"), F.min_by(row, settled).alias("b"))
-    kept = best.select("_source", "_id", F.when(F.col("b._len") > F.col("f._len"), F.col("b"))
-                       .otherwise(F.col("f")).alias("r"))
-    return kept.select(*[F.col("_source").alias(c) if c == "source" else F.col(f"r.{c}").alias(c)
-                         for c in df.columns], F.col("_id").alias("log_id"))
+    settled = ~title.contains(fixed.LIVE_TITLE_MARK)
+    narrow = records.select("_source", "_id", F.col(line).alias("_line"), length.alias("_len"), settled.alias("_settled"))
+    best = narrow.groupBy("_source", "_id").agg(
+        F.min_by("_len", "_line").alias("_first_len"), F.min("_line").alias("_first"),
+        F.max(F.when(F.col("_settled"), F.col("_len"))).alias("_best_len"),
+        F.min(F.when(F.col("_settled"), F.struct((-F.col("_len")).alias("l"), F.col("_line").alias("at")))).alias("_best"))
+    picked = F.when(F.col("_best_len") > F.col("_first_len"), F.col("_best.at")).otherwise(F.col("_first"))
+    lines = best.select(picked.alias("_line"))
+    kept = records.join(lines, records[line] == lines["_line"], "left_semi")
+    return kept.select(*[F.col("_source").alias(c) if c == "source" else F.col(c) for c in df.columns], F.col("_id").alias("log_id"))
 
 
 def prefer_sources(dfs: list[DataFrame], key: str | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as fixed
 from ..functions.cricket import detect_format
 from ..functions.text import as_col, blank_default, first_group, is_blank, strip_tags
 
@@ -35,13 +36,43 @@ FEED_B = ("overNumber string, ballNumber string, totalRuns int, batsmanStriker s
           "bowlerStriker struct<name:string>, commentTextItems array<struct<html:string>>, text string, "
           "isWicket boolean, isBoundary boolean, dismissalText string")
 
-_EMBEDDED = r'(?s)<script id="__NEXT_DATA__" type="application/json">(.+?)</script>'
+
+
+#: The situation as a map: one that tells other things than the known six still is one.
+_SITUATED = "competitions array<struct<situation:map<string,string>>>"
 
 
 def _text(value: Column | str) -> Column:
     return F.coalesce(as_col(value), F.lit(""))
 
 
+# ---------------------------------------------------------------- answers of feeds
+
+
+def unwrap(df: DataFrame, keys: tuple[str, ...], col: str = "value", *keep: str) -> DataFrame:
+    """Items of a feed's answer, a row each with the item's JSON as ``value``.
+
+    The first of ``keys`` that the answer has counts, whatever it holds; an answer without any, or with something else than
+    a list there, gives no row.
+    """
+    answer = F.from_json(col, "map<string,string>")
+    read = df.select(*keep, answer.alias("_a"))
+    value = F.lit(None).cast("string")
+    for key in reversed(keys):
+        value = F.when(F.map_contains_key("_a", F.lit(key)), F.col("_a")[key]).otherwise(value)
+    return read.select(*keep, F.posexplode(F.from_json(F.when(value.startswith("["), value), "array<string>")).alias("item_no", "value"))
+
+
+def score_board(df: DataFrame, col: str = "value", *keep: str) -> DataFrame:
+    """Events of a score board's answer."""
+    return unwrap(df, ("events",), col, *keep)
+
+
+def commentary_answer(df: DataFrame, feed: str, col: str = "value", *keep: str) -> DataFrame:
+    """Commentary items of either feed's answer."""
+    return unwrap(df, ("commentary", "items") if feed == "a" else ("commentaryList", "comments"), col, *keep)
+
+
 # ---------------------------------------------------------------- score boards
 
 
@@ -53,7 +84,8 @@ def _competitions(df: DataFrame, col: str, *keep: str) -> DataFrame:
 
 def flatten_events(df: DataFrame, col: str = "value") -> DataFrame:
     """One row per event with two sides; ``situation`` is NULL unless the feed has one."""
-    events = _competitions(df, col)
+    told = F.try_element_at(F.from_json(col, _SITUATED)["competitions"], F.lit(1)).situation
+    events = _competitions(df.withColumn("_told", told), col, "_told")
     kind, now = "c.status.type", F.col("c.situation")
 
     def side(n: int) -> Column:
@@ -64,7 +96,6 @@ def flatten_events(df: DataFrame, col: str = "value") -> DataFrame:
     parts = {"current_batsman": now.lastBattingTeam.displayName, "current_over": now["over"],
              "current_rr": now.currentRunRate, "required_rr": now.requiredRunRate,
              "last_wicket": now.lastWicket, "note": now.note}
-    told = F.coalesce(*parts.values()).isNotNull()
     return events.select(
         _text("e.id").alias("match_id"), _text("e.name").alias("name"), _text("e.shortName").alias("short_name"),
         _text(f"{kind}.state").alias("status"),
@@ -72,7 +103,7 @@ def flatten_events(df: DataFrame, col: str = "value") -> DataFrame:
         side(1).alias("team1"), side(2).alias("team2"), _text("c.venue.fullName").alias("venue"),
         _text("e.season.name").alias("series"), _text("e.date").alias("start_time"),
         detect_format("e.name").alias("format"),
-        F.when(told, F.struct(*[_text(v).alias(k) for k, v in parts.items()])).alias("situation"))
+        F.when(F.size("_told") > 0, F.struct(*[_text(v).alias(k) for k, v in parts.items()])).alias("situation"))
 
 
 def explode_linescores(df: DataFrame, col: str = "value") -> DataFrame:
@@ -118,7 +149,7 @@ def roster_stats(df: DataFrame, col: str = "value", *keep: str) -> DataFrame:
 def _embedded(df: DataFrame, html: str, parts: list[str], lists: list[str], items: str, keep) -> DataFrame:
     inner = ",".join(f"{name}:{items}" for name in lists)
     outer = ",".join(f"{part}:struct<{inner}>" for part in parts)
-    props = F.from_json(first_group(html, _EMBEDDED), f"props struct<pageProps:struct<{outer}>>")
+    props = F.from_json(first_group(html, fixed.EMBEDDED_DATA), f"props struct<pageProps:struct<{outer}>>")
     read = df.select(*keep, props["props"]["pageProps"].alias("pp"))
     none = F.array().cast(items)
     every = F.concat(*[F.coalesce(F.col(f"pp.{part}.{name}"), none) for part in parts for name in lists])

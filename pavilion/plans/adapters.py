@@ -86,9 +86,9 @@ ADAPTERS = {
     "venues": "SELECT s_suppkey AS venue_id, 'Park%' || s_name AS name FROM {supplier}",
     # --- logs, registry, queue ------------------------------------------------------------------
     "log": """
-        SELECT CASE WHEN source < 'src3' THEN source END AS source,
-               CASE WHEN lang = 'fr' THEN '' ELSE lang || CAST(n_chars % 97 AS STRING) END AS match_id,
-               CASE WHEN lang = 'fr' AND n_chars % 3 <> 0 THEN CAST(n_chars % 89 AS STRING) END AS id,
+        SELECT CASE WHEN source < 'src3' THEN source WHEN source < 'src5' THEN '' END AS source,
+               CASE WHEN lang = 'fr' THEN '' ELSE lang || CAST(CAST(floor(doc_id / 40) AS BIGINT) AS STRING) END AS match_id,
+               CASE WHEN lang = 'fr' AND n_chars % 3 <> 0 THEN CAST(CAST(floor(doc_id / 90) AS BIGINT) AS STRING) END AS id,
                CASE WHEN n_chars % 5 = 0 THEN 'Live Cricket Score ' || text ELSE text END AS title,
                doc_id AS line_no
         FROM {documents}""",

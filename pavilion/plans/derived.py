@@ -123,20 +123,26 @@ def match_documents(spark, sf_dir) -> DataFrame:
 
 _EVENT_JSON = """{"id": [[k]], "name": "[[case pr when '1' then 'Greatest Cup' when '2' then 'IPL ' || c when '3' then 'One Day Cup' else 'League' end]]", "date": "[[yr]]-05-01", "season": {"name": "S[[yr]]"},
 "competitions": [{"status": {"type": {"state": "[[case when st = 'F' then 'post' else 'in' end]]", "detail": "[[case when st = 'O' then '' else 'Day ' || pr end]]", "description": "Desc"}},
-[[case when st = 'P' then '"situation": {"over": 12.3, "lastBattingTeam": {"displayName": "T' || c || '"}},' else '' end]]
+[[case when st = 'P' then '"situation": {"over": 12.3, "lastBattingTeam": {"displayName": "T' || c || '"}},' when st = 'O' and pr = '1' then '"situation": {"odds": 1.5},' else '' end]]
 "competitors": [{"team": {"displayName": "T[[c]]", "abbreviation": "A[[c]]"}, "score": "[[a]]", "linescores": [{"runs": [[a]], "wickets": 3, "overs": 20.0}, {"runs": 7}]}[[case when pr = '5' then '' else ', {"team": {"displayName": "U"}, "linescores": [{"wickets": 1}]}' end]]]}]}"""
 
 _SUMMARY_JSON = """{"header": {"competitions": [{"status": {"type": {"detail": "D[[pr]]"}}, "venue": {"fullName": "V[[c]]"}}]},
 "rosters": [{"team": {"displayName": "T[[c]]"}, "roster": [{"athlete": {"displayName": "P[[k]]"}, "statistics": [{"type": "batting", "stats": [{"name": "runs", "displayValue": "[[a]]"}, {"name": "runs", "displayValue": "[[a + 1]]"}, {"name": "balls", "displayValue": "9"}]}[[case when st = 'F' then ', {"type": "bowling", "stats": [{"name": "wickets", "displayValue": "' || pr || '"}]}' else '' end]]]}, {"athlete": {"displayName": "Q"}}]}]}"""
 
-_EMBEDDED = """<html><script id="__NEXT_DATA__" type="application/json">{"props": {"pageProps": {"data": {"matches": [{"objectId": [[k]], "title": "M[[k]]", "state": "LIVE", "team1": {"name": "T[[c]]"}}], "events": {"not": "a list"}},
+_EMBEDDED = """<html><script>no data</script><script [[case when st = 'F' then 'id="__NEXT_DATA__" type="application/json"' else 'type="application/json" nonce="x" id="__NEXT_DATA__"' end]]>{"props": {"pageProps": {"data": {"matches": [{"objectId": [[k]], "title": "M[[k]]", "state": "LIVE", "team1": {"name": "T[[c]]"}}], "events": {"not": "a list"}},
 "appData": {"liveMatches": [{"id": "x[[k]]", "name": "N", "status": "done", "statusDetail": "by [[a]]", "ground": {"name": "G[[c]]"}, "format": "ODI"}], "commentary": [{"over": [[pr]], "text": "<b>Four</b> to [[c]]", "runs": 4}, {"text": ""}],
 "recentBalls": [{"over": "1.2", "html": "<i>Out</i> [[a]]", "isWicket": true}]}, "content": {"matches": [{"id": 5}]}}}}</script></html>"""
 
 
+_BOARD = """[[case when st = 'F' then '{"day": 1, "events": [{"id": "e' || k || '"}, {"id": "f' || c || '"}]}' when st = 'O' then '{"events": {"id": "no list"}}' else '{"leagues": [{"id": 1}]}' end]]"""
+_ANSWER = """{"[[case when pr = '1' then '{first}' else '{second}' end]]": [{"text": "t[[k]]", "runs": 1}, {"text": "u[[c]]"}][[case when pr = '2' then ', "{first}": []' else '' end]]}"""
+ANSWERS = {"board": _BOARD, "answer_a": _ANSWER.replace("{first}", "commentary").replace("{second}", "items"),
+           "answer_b": _ANSWER.replace("{first}", "commentaryList").replace("{second}", "comments")}
+
+
 def order_documents(spark, sf_dir, kind: str) -> DataFrame:
-    """A live-feed document per order: event, match summary, or a page that embeds JSON."""
-    template = {"event": _EVENT_JSON, "summary": _SUMMARY_JSON, "embedded": _EMBEDDED}[kind]
+    """A live-feed document per order: event, match summary, a feed's answer, or a page that embeds JSON."""
+    template = {"event": _EVENT_JSON, "summary": _SUMMARY_JSON, "embedded": _EMBEDDED, **ANSWERS}[kind]
     src = _cards(spark, sf_dir)
     return src.select(F.col("k").cast("string").alias("doc_id"), fill(template).alias("value"))
 

@@ -40,6 +40,24 @@ def _commentary(feed):
     return lambda s, d: live.normalize_commentary(derived.commentary_items(s, d, feed), feed, "value", "event_id")
 
 
+def _board(s, d):
+    items = live.score_board(_docs(s, d, "board"), "value", "doc_id")
+    return items.select("doc_id", "item_no", F.get_json_object("value", "$.id").alias("id"))
+
+
+def _answer(feed):
+    def run(s, d):
+        items = live.commentary_answer(_docs(s, d, f"answer_{feed}"), feed, "value", "doc_id")
+        return live.normalize_commentary(items, feed, "value", "doc_id", "item_no").select("doc_id", "item_no", "text", "type")
+
+    return run
+
+
+def _answer_sql(kind):
+    return card_oracle(f"""SELECT CAST(k AS VARCHAR) AS doc_id, i AS item_no, CASE i WHEN 0 THEN 't' || k ELSE 'u' || c END AS text,
+        '{kind}' AS type FROM cards, (VALUES (0), (1)) v(i) WHERE pr <> '2'""")
+
+
 def _event_stream(s, d):
     """The events table as a stream of commentary."""
     schema = read(s, d, "events").schema
@@ -99,8 +117,9 @@ ENTRIES = {
             CASE WHEN st = 'F' THEN 'post' ELSE 'in' END AS status, CASE WHEN st = 'O' THEN 'Desc' ELSE 'Day ' || pr END AS status_detail,
             'T' || c AS team1, CAST(a AS VARCHAR) AS score1, 'U' AS team2, '' AS abbr2, '' AS venue, 'S' || yr AS series,
             yr || '-05-01' AS start_time, CASE pr WHEN '1' THEN 'Test' WHEN '2' THEN 'T20' WHEN '3' THEN 'ODI' ELSE 'Unknown' END AS format,
-            CASE WHEN st = 'P' THEN '12.3' END AS over, CASE WHEN st = 'P' THEN 'T' || c END AS batsman,
-            CASE WHEN st = 'P' THEN '' END AS note FROM cards WHERE pr <> '5'""")),
+            CASE WHEN st = 'P' THEN '12.3' WHEN st = 'O' AND pr = '1' THEN '' END AS over,
+            CASE WHEN st = 'P' THEN 'T' || c WHEN st = 'O' AND pr = '1' THEN '' END AS batsman,
+            CASE WHEN st = 'P' OR st = 'O' AND pr = '1' THEN '' END AS note FROM cards WHERE pr <> '5'""")),
     "live_linescores": (
         lambda s, d: live.explode_linescores(_docs(s, d, "event")),
         card_oracle("""SELECT CAST(k AS VARCHAR) AS match_id, side, CASE WHEN side = 0 THEN 'A' || c ELSE '' END AS team, i AS innings_num,
@@ -115,6 +134,12 @@ ENTRIES = {
         card_oracle("""SELECT CAST(k AS VARCHAR) AS doc_id, CASE WHEN i = 0 THEN 'P' || k ELSE 'Q' END AS name, 'T' || c AS team,
             CASE WHEN i = 0 THEN CAST(a + 1 AS VARCHAR) END AS runs, CASE WHEN i = 0 THEN '9' END AS balls,
             CASE WHEN i = 0 AND st = 'F' THEN pr END AS wickets FROM cards, (VALUES (0), (1)) v(i)""")),
+    "score_board": (
+        _board,
+        card_oracle("""SELECT CAST(k AS VARCHAR) AS doc_id, i AS item_no, CASE i WHEN 0 THEN 'e' || k ELSE 'f' || c END AS id
+            FROM cards, (VALUES (0), (1)) v(i) WHERE st = 'F'""")),
+    "commentary_answer_a": (_answer("a"), _answer_sql("dot")),
+    "commentary_answer_b": (_answer("b"), _answer_sql("ball")),
     "embedded_matches": (
         lambda s, d: live.embedded_matches(_docs(s, d, "embedded"), "value", "doc_id"),
         card_oracle("""SELECT CAST(k AS VARCHAR) AS doc_id, i AS item_no, CASE i WHEN 0 THEN CAST(k AS VARCHAR) WHEN 1 THEN 'x' || k

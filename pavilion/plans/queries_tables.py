@@ -9,7 +9,7 @@ from ..sources import sinks
 from .adapters import adapt, oracle, read
 
 _LOG = """
-r AS (SELECT *, coalesce(nullif(match_id, ''), nullif(id, '')) AS lid, coalesce(nullif(source, ''), 'history') AS src,
+r AS (SELECT *, coalesce(nullif(match_id, ''), nullif(id, '')) AS lid, coalesce(source, 'history') AS src,
         coalesce(title, '') AS t FROM log),
 k AS (SELECT *, row_number() OVER (PARTITION BY src, lid ORDER BY line_no) AS pos FROM r WHERE lid IS NOT NULL),
 best AS (SELECT *, row_number() OVER (PARTITION BY src, lid ORDER BY length(t) DESC, line_no) AS rn
