@@ -14,7 +14,7 @@ import sys
 import types
 import zlib
 from collections import deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, slices
+from .words import GOLD, Words, mix
 
 SIZE = 2048
 #: Cost of a window's end: at a document's end, at a sentence's end, anywhere else; in tokens of padding.
@@ -34,7 +35,33 @@ STRIDE = 64
 HORIZON, AGAIN = 1 << 20, 8 * SIZE
 END_OF_DOCUMENT = 1
 #: Entries of a worker's table of encoded words; a full table is started anew.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 2_000_000
+
+
+class KnownWords:
+    """Ids of words by a 64-bit hash, in sorted arrays: some 40 bytes a word."""
+
+    def __init__(self) -> None:
+        self.keys, self.start, self.size = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.ids, self.used = np.zeros(1 << 20, dtype="<u4"), 0
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each key, whether it is known)."""
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), dtype=bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        return at, known
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """New keys, ascending, with their ids one after the other."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), dtype="<u4")])
+        self.ids[self.used:self.used + len(ids)] = ids
+        at = np.searchsorted(self.keys, keys)
+        start = self.used + np.cumsum(size) - size
+        self.keys, self.start, self.size = (np.insert(own, at, new) for own, new in ((self.keys, keys), (self.start, start), (self.size, size)))
+        self.used += len(ids)
 
 
 class Encoder:
@@ -42,48 +69,88 @@ class Encoder:
 
     The pre-tokens of such a file never run across the place before a single blank or around a single line end between
     non-blanks, so the ids of a text are those of its words, each led by its blank or line end. Every different word goes through the
-    tokenizer once and is then looked up. Texts with any other white space go through the tokenizer whole.
+    tokenizer once; a batch is then put together from the ids of its different words, found by a 64-bit hash. Texts with any other
+    white space go through the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        # kept by the worker process, so the next task of the same worker knows these words already
-        kept = sys.modules.setdefault("known_words_of_worker", types.ModuleType("known_words_of_worker"))
-        self.known: dict[str, bytes] = vars(kept).setdefault(path, {})
+        # kept by the worker process, so the next task of the same worker knows the words already
+        kept = vars(sys.modules.setdefault("known_words_of_worker", types.ModuleType("known_words_of_worker")))
+        if path not in kept:
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+            sentence = [bool(re.search(r"[.!?\n][\"')\]]*$", tokenizer.decode([i], skip_special_tokens=False))) for i in range(tokenizer.get_vocab_size())]
+            kept[path] = {"tokenizer": tokenizer, "sentence": np.array(sentence)}
+        self.kept = kept[path]
+        self.tokenizer, self.sentence = self.kept["tokenizer"], self.kept["sentence"]
         self.line_end, = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.sentence = np.array([bool(re.search(r"[.!?\n][\"')\]]*$", self.tokenizer.decode([i], skip_special_tokens=False)))
-                                  for i in range(self.tokenizer.get_vocab_size())])
-
-    def _ids(self, texts: Sequence[str]) -> list[np.ndarray]:
-        return [np.asarray(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
-
-    def _learn(self, words: list[str], lead: str, before: bytes) -> None:
-        """Encode words of one kind in runs, a line a word, and take the runs apart at their line ends."""
-        for start in range(0, len(words), 500):
-            part = words[start:start + 500]
-            ids, = self._ids(["\n".join(part)])
-            ends = np.flatnonzero(ids == self.line_end).tolist()
-            pieces = [ids[a:b].tobytes() for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)])]
-            self.known.update((lead + w.lstrip(" "), before + piece) for w, piece in zip(part, pieces, strict=True))
-
-    def __call__(self, texts: Sequence[str]) -> list[np.ndarray]:
-        units = [("\n" + text).replace("\n", " \n").split(" ")[1:] for text in texts]
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        new = set().union(*units).difference(self.known)
-        blank = [" " + w for w in new if w.split() == [w]]
-        line = [w[1:] for w in new if w[:1] == "\n" and w[1:].split() == [w[1:]]]
-        self._learn(blank, "", b"")
-        self._learn(line, "\n", np.array([self.line_end], dtype="<u4").tobytes())
-        get, out = self.known.__getitem__, []
-        for text, words in zip(texts, units):
-            try:
-                out.append(np.frombuffer(b"".join(map(get, words)), dtype="<u4")[1:])
-            except KeyError:  # other white space
-                out.append(self._ids([text])[0])
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words and how many each has; words are encoded in runs, a line a word, and the runs taken apart at their line ends."""
+        runs = ["\n".join([lead + w for w in words[i:i + 500]]) + "\n" for i in range(0, len(words), 500)]
+        ids = np.concatenate([*self._ids(runs), np.zeros(0, dtype="<u4")])
+        ends = np.flatnonzero(ids == self.line_end)
+        return ids[ids != self.line_end], np.diff(ends, prepend=-1) - 1
+
+    def _lookup(self, words: Words, keys: np.ndarray, at: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, size) in the table's ids of different words (``keys``, one place ``at`` of each), and those with white space inside."""
+        known = self.kept.get("known")
+        if known is None or len(known.keys) > KNOWN_WORDS:
+            known = self.kept["known"] = KnownWords()
+        new = np.flatnonzero(~known.find(keys)[1])
+        odd = np.zeros(0, dtype=np.int64)
+        for lead, some in ((" ", new[~line[at[new]]]), ("", new[line[at[new]]])):
+            places = zip(words.start[at[some]].tolist(), words.end[at[some]].tolist())
+            found = [words.data[a:b].tobytes().decode() for a, b in places]
+            if re.search(r"[^\S\n]", "\n".join(found)):  # other white space than a byte's
+                bad = np.array([w.split() != [w] for w in found])
+                odd, some, found = np.concatenate([odd, some[bad]]), some[~bad], [w for w, b in zip(found, bad) if not b]
+            if found:
+                ids, size = self._words(found, lead)
+                known.add(keys[some], ids, size)
+        place, there = known.find(keys)
+        place[~there] = 0
+        return known.start[place] if len(known.keys) else place, np.where(there, known.size[place] if len(known.keys) else 0, 0), odd
+
+    def __call__(self, texts: pa.StringArray) -> list[np.ndarray]:
+        words = Words(texts)
+        n, offsets, first = len(texts), words.offsets, words.first
+        count = np.diff(first)
+        owner = np.repeat(np.arange(n), count)
+        begins = first[:-1][count > 0]
+        lead = words.data[words.start - 1] if len(words) else np.zeros(0, dtype=np.uint8)
+        fits = np.ones(len(words), dtype=bool)
+        fits[1:] = (words.start[1:] - words.end[:-1] == 1) & ((lead[1:] == 0x20) | (lead[1:] == 0x0A))
+        fits[begins] = words.start[begins] == offsets[:-1][count > 0]
+        line = lead == 0x0A
+        line[begins] = True
+        whole = np.diff(offsets) > 0
+        whole[count > 0] = words.end[first[1:][count > 0] - 1] != offsets[1:][count > 0]
+        whole[owner[~fits]] = True
+        keys, at, which = np.unique(mix(words.hashes + line * GOLD), return_index=True, return_inverse=True)
+        start, size, odd = self._lookup(words, keys, at, line)
+        if len(odd):
+            whole[owner[np.isin(which, odd)]] = True
+        # words that a line end leads have its id before their own, but for the first of a text
+        ends_line = line.copy()
+        ends_line[begins] = False
+        start, size = start[which], size[which]
+        ends = np.cumsum(size + ends_line)
+        flat = np.full(int(ends[-1]) if len(ends) else 0, self.line_end, dtype="<u4")
+        here = np.ones(len(flat), dtype=bool)
+        here[(ends - size - 1)[ends_line]] = False
+        here = np.flatnonzero(here)
+        flat[here] = self.kept["known"].ids[np.repeat(start - (ends - size), size) + here]
+        bounds = np.concatenate([[0], ends])[first].tolist()
+        out = [flat[a:b] for a, b in zip(bounds, bounds[1:])]
+        some = np.flatnonzero(whole).tolist()
+        for i, ids in zip(some, self._ids(texts.take(pa.array(some, pa.int64())).to_pylist()) if some else ()):
+            out[i] = ids
         return out
 
 
@@ -220,8 +287,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE, i
             if packer is None:
                 encode = Encoder(tokenizer_path)
                 packer = Packer(encode.sentence, size, TaskContext.get().partitionId() << 40)
-            texts = part.column("text").to_pylist()
-            for doc_id, found in zip(part.column("doc_id").to_pylist(), encode(texts)):
+            for doc_id, found in zip(part.column("doc_id").to_pylist(), encode(part.column("text"))):
                 pieces += packer.add(doc_id, np.append(found, np.uint32(END_OF_DOCUMENT)))
                 if len(pieces) >= 2000:
                     yield batch(pieces)

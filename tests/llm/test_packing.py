@@ -4,6 +4,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -86,7 +87,7 @@ def test_encoder_is_the_tokenizer(texts):
     except NameError:
         encoder = ENCODER = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     texts = [*texts, "a <|endoftext|> b"]
-    assert [x.tolist() for x in encoder(texts)] == [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder(pa.array(texts))] == [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def cost(at, penalty, ends, size):
