@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cricket
 from ..functions import fixed_values as fixed
 from ..functions.text import cell_double, cell_int, clean_text
+from .pages import cells_of, explode_all, rows_of, text_of
 
 
 def resolve(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
@@ -23,10 +24,10 @@ def resolve(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
 
 def _grid(table: Column, no: Column) -> Column:
     """Header and body of a table; only a first row made of heading cells is a header."""
-    rows = F.filter(table.rows, lambda r: F.size(r) > 0)
+    rows = F.filter(rows_of(table), lambda r: r.c1 > r.c0)
     first = F.try_element_at(rows, F.lit(1))
-    headed = (F.size(first) > 0) & F.forall(first, lambda c: c.tag == "th")
-    texts = lambda cells: F.transform(cells, lambda c: clean_text(c.text))
+    headed = F.coalesce((first.c1 > first.c0) & F.forall(cells_of(first), lambda c: c.tag == "th"), F.lit(False))
+    texts = lambda row: F.transform(cells_of(row), lambda c: clean_text(text_of(c)))
     header = F.when(headed, F.transform(texts(first), F.lower)).otherwise(F.array().cast("array<string>"))
     body = F.transform(F.when(headed, F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))))
                        .otherwise(rows), texts)
@@ -41,7 +42,7 @@ def best_stat_table(docs: DataFrame, kind: str = "batting") -> DataFrame:
     Without any marked table it is the third one, and failing that the longest.
     """
     markers = F.array(*[F.lit(m) for m in fixed.TABLE_MARKERS.get(kind, fixed.TABLE_MARKERS["batting"])])
-    filled = F.filter("tables", lambda t: clean_text(t.text) != "")
+    filled = F.filter("tables", lambda t: clean_text(text_of(t)) != "")
     grids = docs.select("doc_id", F.transform(filled, lambda t, i: _grid(t, i)).alias("_g"))
 
     def top(keep, score) -> Column:
@@ -61,7 +62,7 @@ def best_stat_table(docs: DataFrame, kind: str = "batting") -> DataFrame:
 
 def _leaderboard(table: DataFrame, headers: dict[str, list[str]], numbers: dict[str, str],
                  texts: dict[str, str]) -> DataFrame:
-    rows = table.select("doc_id", "header", F.posexplode("body").alias("row_no", "cells"))
+    rows = explode_all(table, ["doc_id", "header"], F.col("body"), "row_no", "cells")
 
     def value(*names: str) -> Column:
         picks = [F.when(F.array_position("header", n.lower()) > 0,

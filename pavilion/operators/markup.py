@@ -1,11 +1,12 @@
-"""Markup reader: records the tables, links and note lines of one page.
+"""Markup reader: records the tables, links and note lines of pages.
 
 Runs inside Spark tasks. The module uses nothing but the standard library and Arrow, and is
 sent to the tasks by value, so executors need no copy of the package.
 
-Text pieces, links, rows and cells are kept in one list each, in page order. An element
-remembers where it starts and ends in those lists, so unclosed and nested elements cost
-nothing extra and no text is copied while reading.
+A page becomes flat lists: text pieces in page order, and links, centred parts, cells, rows and tables that
+remember where they start and end in those lists. So every element is recorded once, however deep it is nested, and what is
+"all below it" is a range. Reading takes time in proportion to the page: an unclosed quote or comment ends the page's
+markup once, and open elements are kept by kind.
 """
 
 from __future__ import annotations
@@ -16,180 +17,219 @@ from html import unescape
 
 import pyarrow as pa
 
-_INSIDE = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|title)\b[^>]*>(.*?)(?:</\1\s*>|\Z)"
-    rf"|<(/?)(table|thead|tbody|tfoot|tr|td|th|center|a)(?=[\s/>])({_INSIDE})>"
-    rf"|<[a-zA-Z/!?]{_INSIDE}>|<[a-zA-Z/!?][^>]*>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_QUOTED = r"""(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+"""
+_TOKENS = (r"([^<]*+)(?:<!--.*?(?:-->|\Z)"
+           r"|<(script|style|title)\b[^>]*+(?:>(.*?)(?:</\2\s*>|\Z)|\Z)"
+           r"|<(?=[a-z/!?])(/?+)((?:[a-z][^\s/>\"']*+)?+)({inside})(>|\Z)"
+           r"|(<)|\Z)")
+#: Tags whose attributes may hold ">" in quotes, and tags that end at the next ">" whatever the quotes.
+_TOKEN = re.compile(_TOKENS.replace("{inside}", _QUOTED), re.S | re.I)
+_PLAIN = re.compile(_TOKENS.replace("{inside}", "[^>]*+"), re.S | re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]+))?""")
 _SCRIPT_TITLE = re.compile(r'document\.title\s*=\s*"([^"]+)"')
-_HEADING = re.compile(r"<b(?:\s[^>]*)?>((?:(?!</b\s*>).)*)</b\s*>", re.S | re.I)
-_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_INSIDE})>", re.S)
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "wbr"}
+_TABLE, _ROW, _CELL, _CENTER, _LINK, _SECTION = range(6)
+_KINDS = {"table": _TABLE, "tr": _ROW, "td": _CELL, "th": _CELL, "center": _CENTER, "a": _LINK,
+          "thead": _SECTION, "tbody": _SECTION, "tfoot": _SECTION}
+#: Closing an element looks no further out than the innermost open one of this kind.
+_STOP = {_CELL: _ROW, _ROW: _TABLE, _TABLE: None, _CENTER: _CELL}
+
+
+def tokens(page: str) -> list[tuple]:
+    """(text, raw element, its content, "/", tag, attributes, ">", "<") in page order; most of them empty.
+
+    A tag whose quotes never let it end is dropped up to the next ">", and from there on quotes count no more.
+    """
+    found = _TOKEN.findall(page)
+    for pattern in (_PLAIN, None):
+        cut = next((i for i in range(len(found) - 1, max(-1, len(found) - 3), -1) if _unended(found[i])), None)
+        if cut is None:
+            return found
+        text, _, _, slash, tag, inside, _, _ = found[cut]
+        rest = slash + tag + inside
+        end = rest.find(">")
+        found = found[:cut]
+        if end < 0 or pattern is None:
+            return [*found, (text, "", "", "", "", "", "", ""), ("<" + rest, "", "", "", "", "", "", "")]
+        found = [*found, (text, "", "", "", "", "", "", ""), *pattern.findall(rest[end + 1:])]
+    return found
+
+
+def _unended(token: tuple) -> bool:
+    return not token[6] and bool(token[3] or token[4] or token[5])
 
 
 def _attribute(text: str, name: str) -> str | None:
+    if name not in text.lower():
+        return None
     for key, value in _ATTRIBUTE.findall(text):
         if key.lower() == name:
             return unescape(value[1:-1] if value[:1] in ("'", '"') else value)
     return None
 
 
-# an open or closed element: its kind, its share of the pieces, links and parts, what else is known
-_KIND, _TEXT, _TEXT_END, _LINKS, _LINKS_END, _PARTS, _PARTS_END, _EXTRA = range(8)
-
-
-class _PageReader:
-    """Tables, rows, cells, links and title of a page."""
+class Page:
+    """The flat lists of one page. An element is [text from, to, links from, to, parts from, to, own values...]."""
 
     def __init__(self) -> None:
         self.title: str | None = None
         self.pieces: list[str] = []
         self.links: list[list] = []                 # [href, first piece, last piece]
-        self.tables: list[list] = []
-        self.rows: list[list] = []
-        self.cells: list[list] = []
-        self.centers: list[list] = []
-        self.open: list[list] = []
-        self.anchor: list | None = None
-        self.parts = {"table": self.rows, "tr": self.cells, "td": self.centers, "center": []}
-
-    def _close_anchor(self) -> None:
-        if self.anchor is not None:
-            self.anchor[2] = len(self.pieces)
-            self.anchor = None
-
-    def _finish(self, node: list) -> None:
-        node[_TEXT_END], node[_LINKS_END] = len(self.pieces), len(self.links)
-        node[_PARTS_END] = len(self.parts[node[_KIND]])
-
-    def _close(self, kind: str, stop: str) -> None:
-        """Close the innermost open ``kind`` within the innermost ``stop``, and all inside it."""
-        opened = self.open
-        for i in range(len(opened) - 1, -1, -1):
-            here = opened[i][_KIND]
-            if here == kind:
-                if self.anchor is not None:
-                    self._close_anchor()
-                for node in opened[i:]:
-                    self._finish(node)
-                del opened[i:]
-                return
-            if here == stop:
-                return
-
-    def _start(self, kind: str, extra, into: list) -> None:
-        node = [kind, len(self.pieces), 0, len(self.links), 0, len(self.parts[kind]), 0, extra]
-        into.append(node)
-        self.open.append(node)
-
-    def read(self, page: str) -> None:
-        at, add, opened = 0, self.pieces.append, self.open
-        for token in _TOKEN.finditer(page):
-            start, end = token.span()
-            if start > at:
-                data = page[at:start]
-                add(unescape(data) if "&" in data else data)
-            at = end
-            raw, inner, closing, tag, attributes = token.groups()
-            if tag is None:
-                if raw and self.title is None and raw.lower() == "title":
-                    self.title = unescape(inner)
+        self.lists: list[list[list]] = [[], [], [], []]  # tables, rows, cells, centred parts
+        self.stack: list[tuple[int, list]] = []
+        self.places: list[list[int]] = [[], [], [], []]  # of each kind, where its open elements are in the stack
+
+    def _start(self, kind: int, *own) -> None:
+        parts = self.lists[kind + 1] if kind < _CENTER else ()
+        node = [len(self.pieces), 0, len(self.links), 0, len(parts), 0, *own]
+        self.lists[kind].append(node)
+        self.places[kind].append(len(self.stack))
+        self.stack.append((kind, node))
+
+    def _end(self, at: int) -> None:
+        """End the open elements from the stack's place ``at`` on."""
+        text, links = len(self.pieces), len(self.links)
+        while len(self.stack) > at:
+            kind, node = self.stack.pop()
+            self.places[kind].pop()
+            node[1], node[3] = text, links
+            node[5] = len(self.lists[kind + 1]) if kind < _CENTER else 0
+
+    def read(self, found: list[tuple]) -> None:
+        pieces, links, places, stack = self.pieces, self.links, self.places, self.stack
+        anchor, kinds = None, _KINDS
+        for text, raw, inner, slash, tag, inside, _, lone in found:
+            if text:
+                pieces.append(unescape(text) if "&" in text else text)
+            if not tag:
+                if raw:
+                    if self.title is None and raw.lower() == "title":
+                        self.title = unescape(inner)
+                elif lone:
+                    pieces.append(lone)
+                continue
+            kind = kinds.get(tag)
+            if kind is None:
+                tag = tag.lower()
+                kind = kinds.get(tag)
+                if kind is None:
+                    continue
+            if inside and inside[0] in "\"'":
+                continue
+            if kind == _LINK:
+                if anchor is not None:
+                    anchor[2] = len(pieces)
+                    anchor = None
+                if not slash:
+                    anchor = [_attribute(inside, "href"), len(pieces), len(pieces)]
+                    links.append(anchor)
                 continue
-            tag = tag.lower()
-            if closing:
-                if tag == "td" or tag == "th":
-                    if opened:
-                        self._close("td", "tr")
-                elif tag == "a":
-                    self._close_anchor()
-                elif tag == "tr":
-                    self._close("tr", "table")
-                elif tag == "table":
-                    self._close("table", "")
-                elif tag == "center":
-                    self._close("center", "td")
-            elif tag == "td" or tag == "th":
-                if opened and opened[-1][_KIND] != "tr":
-                    self._close("td", "tr")
-                self._start("td", (tag, _attribute(attributes, "onmouseover") if attributes else None), self.cells)
-            elif tag == "a":
-                self._close_anchor()
-                self.anchor = [_attribute(attributes, "href"), len(self.pieces), None]
-                self.links.append(self.anchor)
-            elif tag == "tr":
-                self._close("tr", "table")
-                self._start("tr", None, self.rows)
-            elif tag == "table":
-                self._start("table", None, self.tables)
-            elif tag == "center":
-                self._start("center", None, self.centers)
+            if slash:
+                if kind == _SECTION:
+                    continue
+                close = kind
             else:
-                self._close("tr", "table")
-        if at < len(page):
-            data = page[at:]
-            add(unescape(data) if "&" in data else data)
-        self._close_anchor()
-        for node in opened:
-            self._finish(node)
-
-    # -- what was read, as plain rows
-    def result(self) -> dict:
-        pieces, join = self.pieces, "".join
-        links = [{"text": join(pieces[a:b]), "href": href} for href, a, b in self.links]
-
-        def base(node: list) -> dict:
-            return {"text": join(pieces[node[_TEXT]:node[_TEXT_END]]), "anchors": links[node[_LINKS]:node[_LINKS_END]]}
-
-        centers = [base(c) for c in self.centers]
-        cells = []
-        for _, t0, t1, l0, l1, c0, c1, (tag, tooltip) in self.cells:
-            cells.append({"tag": tag, "text": pieces[t0] if t1 == t0 + 1 else join(pieces[t0:t1]),
-                          "anchors": links[l0:l1], "tooltip": tooltip, "center": centers[c0] if c1 > c0 else None})
-        tables = []
-        for table in self.tables:
-            rows = self.rows[table[_PARTS]:table[_PARTS_END]]
-            tables.append({"text": join(pieces[table[_TEXT]:table[_TEXT_END]]), "header": base(rows[0]) if rows else None,
-                           "rows": [cells[row[_PARTS]:row[_PARTS_END]] for row in rows]})
-        return {"title": self.title, "links": links, "tables": tables}
-
-
-def _note_lines(page: str) -> list[str]:
-    """Texts of the siblings behind the first bold notes heading, up to a rule or a table."""
-    for heading in _HEADING.finditer(page):
-        words = _TAG.sub("", heading[1]).lower()
-        if "notes" in words:                        # footnotes included
-            break
-    else:
-        return []
-    lines, at, depth = [[]], heading.end(), 0
-    while (tag := _TAG.search(page, at)) is not None:
-        lines[-1].append(page[at:tag.start()])
-        at, name = tag.end(), (tag[2] or "").lower()
-        if tag[1]:
+                close = _ROW if kind in (_ROW, _SECTION) else _CELL if kind == _CELL and stack and stack[-1][0] != _ROW else None
+            if close is not None and places[close]:
+                at, stop = places[close][-1], _STOP[close]
+                if stop is None or not places[stop] or at > places[stop][-1]:
+                    if anchor is not None:
+                        anchor[2] = len(pieces)
+                        anchor = None
+                    self._end(at)
+            if not slash:
+                if kind == _CELL:
+                    self._start(_CELL, tag, _attribute(inside, "onmouseover") if inside else None)
+                elif kind != _SECTION:
+                    self._start(kind)
+        if anchor is not None:
+            anchor[2] = len(pieces)
+        self._end(0)
+
+
+def note_lines(found: list[tuple]) -> list[str]:
+    """Texts of the siblings behind the first bold notes heading, up to a rule or a table.
+
+    A heading is a bold element that holds one string and nothing else, however deep.
+    """
+    opened, closing = [], []                        # open tags right before here; those still to be closed right behind a heading
+    for i, (text, _, _, slash, tag, *_) in enumerate(found):
+        tag = tag.lower()
+        if closing:
+            if not text and slash and tag == closing[-1]:
+                closing.pop()
+                if not closing:
+                    return _lines(found[i + 1:])
+                continue
+            closing = []
+        if text:
+            if slash and tag and tag == (opened[-1] if opened else None) and "b" in opened and "notes" in unescape(text).lower():
+                inner = opened[len(opened) - opened[::-1].index("b") - 1:]
+                closing = inner[:-1]
+                if not closing:
+                    return _lines(found[i + 1:])
+            opened = []
+        if slash or not tag:
+            opened = []
+        elif tag not in _VOID:
+            opened.append(tag)
+        else:
+            opened = []
+    return []
+
+
+def _lines(found: list[tuple]) -> list[str]:
+    lines, depth = [[]], 0
+    for text, _, _, slash, tag, _, _, lone in found:
+        lines[-1].append(text + lone)
+        tag = tag.lower()
+        if slash:
             depth -= 1
             if depth < 0:
                 break
-        elif depth == 0 and name in ("hr", "table"):
+        elif depth == 0 and tag in ("hr", "table"):
             break
-        if depth == 0 and name:
+        if depth == 0 and tag:
             lines.append([])
-        if name and not tag[1] and name not in _VOID:
+        if tag and not slash and tag not in _VOID:
             depth += 1
-    else:
-        lines[-1].append(page[at:])
     return [unescape("".join(line)) for line in lines]
 
 
-def read_page(doc_id: str, content: bytes | str | None) -> dict:
-    """Everything later steps need from one page."""
-    page = content.decode("utf-8", errors="ignore") if isinstance(content, bytes) else content or ""
-    reader = _PageReader()
-    reader.read(page)
-    script = _SCRIPT_TITLE.search(page)
-    return {"doc_id": doc_id, "script_title": script[1] if script else None,
-            "notes": _note_lines(page) if "notes" in page.lower() else [], **reader.result()}
+#: Per element list: name, its Arrow type, and which of an element's values they are.
+_SPAN = [("p0", 0), ("p1", 1), ("l0", 2), ("l1", 3)]
+_FIELDS = {
+    "tables": [*_SPAN, ("r0", 4), ("r1", 5)], "rows": [*_SPAN, ("c0", 4), ("c1", 5)],
+    "cells": [*_SPAN, ("m0", 4), ("m1", 5), ("tag", 6), ("tooltip", 7)], "centers": _SPAN,
+}
+_TEXTS = ("tag", "tooltip", "href")
+
+
+def _lists(pages: list[list], fields: list[tuple[str, int]]) -> pa.ListArray:
+    """A list of structs per page from lists of values."""
+    offsets, flat = [0], []
+    for page in pages:
+        flat += page
+        offsets.append(len(flat))
+    arrays = [pa.array([e[i] for e in flat], pa.string() if name in _TEXTS else pa.int32()) for name, i in fields]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(arrays, names=[n for n, _ in fields]))
+
+
+def _strings(pages: list[list[str]]) -> pa.ListArray:
+    offsets, flat = [0], []
+    for page in pages:
+        flat += page
+        offsets.append(len(flat))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.string()))
+
+
+def read_page(content: bytes | str | None) -> tuple[Page, str | None, list[str]]:
+    """(lists, title that a script sets, note lines) of one page."""
+    text = content.decode("utf-8", errors="ignore") if isinstance(content, bytes) else content or ""
+    page, found = Page(), tokens(text)
+    page.read(found)
+    script = _SCRIPT_TITLE.search(text) if "document.title" in text else None
+    return page, script[1] if script else None, note_lines(found) if "notes" in text.lower() else []
 
 
 def batch_reader(schema: pa.Schema, rows_per_batch: int = 256) -> Callable:
@@ -197,10 +237,16 @@ def batch_reader(schema: pa.Schema, rows_per_batch: int = 256) -> Callable:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, contents = batch.column(0), batch.column(1)
             for start in range(0, batch.num_rows, rows_per_batch):
-                stop = min(start + rows_per_batch, batch.num_rows)
-                rows = [read_page(ids[i].as_py(), contents[i].as_py()) for i in range(start, stop)]
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                part = batch.slice(start, rows_per_batch)
+                found = [read_page(content) for content in part.column(1).to_pylist()]
+                pages = [f[0] for f in found]
+                lists = {name: _lists([p.lists[i] for p in pages], _FIELDS[name]) for i, name in enumerate(("tables", "rows", "cells", "centers"))}
+                columns = {
+                    "doc_id": part.column(0), "title": pa.array([p.title for p in pages], pa.string()),
+                    "script_title": pa.array([f[1] for f in found], pa.string()), "notes": _strings([f[2] for f in found]),
+                    "pieces": _strings([p.pieces for p in pages]),
+                    "links": _lists([p.links for p in pages], [("href", 0), ("p0", 1), ("p1", 2)]), **lists}
+                yield pa.RecordBatch.from_arrays([columns[n].cast(t) for n, t in zip(schema.names, schema.types)], schema=schema)
 
     return read

@@ -1,8 +1,11 @@
-"""Pages: markup to nested tables, titles, links, notes.
+"""Pages: markup to tables, titles, links, notes.
 
-One pass over the markup is the only Python work in the library. It records structure and
+One pass over the markup is the only Python work on pages. It records structure and
 text, nothing else; what the tables mean is worked out downstream in column expressions.
 Each page gives one row, so every step from a page to its facts is free of shuffles.
+
+A page row holds each element once, with ranges for what is below it. The functions here turn
+the ranges of the elements that are wanted into texts, links, rows and cells.
 """
 
 from __future__ import annotations
@@ -20,28 +23,76 @@ from . import markup
 cloudpickle.register_pickle_by_value(markup)
 
 
+#: columns of a page row that ranges point into
+LISTS = ["pieces", "links", "centers", "cells", "rows"]
+
+
 def parse_pages(pages: DataFrame, doc_id: str = "doc_id", content: str = "content") -> DataFrame:
-    """One row per page with its title, links, note lines and nested tables.
+    """One row per page with its title, note lines, text pieces, links, tables, rows and cells.
 
-    ``content`` is text or bytes; bytes that are not UTF-8 are dropped. A table holds every
+    ``content`` is text or bytes; bytes that are not UTF-8 are dropped. A table has every
     row below it, those of nested tables included, and a row every cell below it.
     """
     reader = markup.batch_reader(to_arrow_schema(schemas.PAGE))
     return pages.select(F.col(doc_id).cast("string"), content).mapInArrow(reader, schemas.PAGE)
 
 
+def _range(name: str, start: Column, end: Column) -> Column:
+    return F.slice(name, start + 1, F.greatest(end - start, F.lit(0)))
+
+
+def text_of(element: Column) -> Column:
+    """All text below an element."""
+    return F.array_join(_range("pieces", element.p0, element.p1), "")
+
+
+def links_of(element: Column) -> Column:
+    """All links below an element, with their texts."""
+    return F.transform(_range("links", element.l0, element.l1), lambda a: F.struct(text_of(a).alias("text"), a.href.alias("href")))
+
+
+def rows_of(table: Column) -> Column:
+    return _range("rows", table.r0, table.r1)
+
+
+def cells_of(row: Column) -> Column:
+    return _range("cells", row.c0, row.c1)
+
+
+def cell(element: Column) -> Column:
+    """A cell with its text and links."""
+    return F.struct(element.tag.alias("tag"), text_of(element).alias("text"), links_of(element).alias("anchors"),
+                    element.tooltip.alias("tooltip"))
+
+
+def center_of(element: Column) -> Column:
+    """The first centred part of a cell, NULL if there is none."""
+    center = F.get("centers", element.m0)
+    return F.when((element.m1 > element.m0) & center.isNotNull(),
+                  F.struct(text_of(center).alias("text"), links_of(center).alias("anchors")))
+
+
+def explode_all(df: DataFrame, keep: list, items: Column, position: str, name: str) -> DataFrame:
+    """A row per item of a computed array.
+
+    The outer form keeps Spark from working the array out a second time for a filter on its size.
+    """
+    return df.select(*keep, F.posexplode_outer(items).alias(position, name)).filter(F.col(position).isNotNull())
+
+
 def html_cells(docs: DataFrame) -> DataFrame:
     """Flat cell table, positions counted from 0."""
-    tables = docs.select("doc_id", F.posexplode("tables").alias("table_no", "t"))
-    rows = tables.select("doc_id", "table_no", F.posexplode("t.rows").alias("row_no", "r"))
-    cells = rows.select("doc_id", "table_no", "row_no", F.posexplode("r").alias("cell_no", "c"))
-    return cells.select("doc_id", "table_no", "row_no", "cell_no", "c.text", "c.anchors", "c.tooltip")
+    found = docs.select("doc_id", *LISTS, F.posexplode("tables").alias("table_no", "t"))
+    found = explode_all(found, ["doc_id", "pieces", "links", "cells", "table_no"], rows_of(F.col("t")), "row_no", "r")
+    found = explode_all(found, ["doc_id", "pieces", "links", "table_no", "row_no"], cells_of(F.col("r")), "cell_no", "c")
+    return found.select("doc_id", "table_no", "row_no", "cell_no", text_of(F.col("c")).alias("text"),
+                        links_of(F.col("c")).alias("anchors"), "c.tooltip")
 
 
 def html_links(docs: DataFrame) -> DataFrame:
     """Every link of a page in document order."""
-    links = docs.select("doc_id", F.posexplode("links").alias("link_no", "a"))
-    return links.select("doc_id", "link_no", "a.href", clean_text("a.text").alias("text"))
+    links = docs.select("doc_id", "pieces", F.posexplode("links").alias("link_no", "a"))
+    return links.select("doc_id", "link_no", "a.href", clean_text(text_of(F.col("a"))).alias("text"))
 
 
 def page_title() -> Column:

@@ -1,6 +1,6 @@
 """Scorecard pages: metadata, innings, batting, bowling, fall of wickets, entities.
 
-Works on the nested rows of ``parse_pages``. Everything is a projection or an explode of a
+Works on the rows of ``parse_pages``. Everything is a projection or an explode of a
 page's own row; nothing is shuffled until facts of different tables are joined.
 """
 
@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from ..functions import cricket, text
 from ..functions import fixed_values as fixed
 from ..functions.text import clean_text, first_group, lenient_double, lenient_int, row_key, url_entity_id
-from .pages import page_title
+from .pages import LISTS, cell, cells_of, center_of, explode_all, links_of, page_title, rows_of, text_of
 
 OFFICIALS = {"TV umpire": "tv_umpire", "Referee": "referee", "Reserve Umpire": "reserve_umpire",
              "Player of the Match": "player_of_match"}
 
 
 def _data_cells(row: Column) -> Column:
-    return F.filter(row, lambda c: c.tag == "td")
+    return F.filter(cells_of(row), lambda c: c.tag == "td")
 
 
 def _last(rows: Column) -> Column:
@@ -35,12 +35,12 @@ def _anchor(value: Column, n: int = 1) -> Column:
 
 def with_meta(docs: DataFrame) -> DataFrame:
     """Add the match metadata of each page as ``meta``; pages without any are left out."""
-    main = F.filter("tables", lambda t: text.contains_any(t.text, ["Venue", "Toss", "Result"]))
+    main = F.filter("tables", lambda t: text.contains_any(text_of(t), ["Venue", "Toss", "Result"]))
     pages = docs.withColumn("_main", F.try_element_at(main, F.lit(1))).filter(F.col("_main").isNotNull())
-    keyed = F.transform("_main.rows", lambda r: _data_cells(r))
+    keyed = F.transform(rows_of(F.col("_main")), lambda r: _data_cells(r))
     keyed = F.transform(F.filter(keyed, lambda c: F.size(c) >= 2), lambda c: F.struct(
-        clean_text(c[0].text).alias("key"), clean_text(c[1].text).alias("text"),
-        c[1].anchors.alias("anchors"), c[1].center.alias("center")))
+        clean_text(text_of(c[0])).alias("key"), clean_text(text_of(c[1])).alias("text"),
+        links_of(c[1]).alias("anchors"), center_of(c[1]).alias("center")))
     pages = pages.withColumn("_kv", keyed)
 
     def row(key: str, linked: bool = False) -> Column:
@@ -94,17 +94,21 @@ def match_meta(pages: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- innings
 
 
-def _header(table: Column) -> Column:
-    return F.lower(clean_text(table.header.text))
+def _first_row(table: Column) -> Column:
+    return F.when(table.r1 > table.r0, F.get("rows", table.r0))
 
 
-def _header_anchor(table: Column) -> Column:
-    return _anchor(table.header.anchors)
+def _numbered_tables() -> Column:
+    """Tables with their place on the page, lower-case header and first link of the header."""
+    return F.transform("tables", lambda t, i: F.struct(
+        i.alias("no"), F.lower(clean_text(text_of(_first_row(t)))).alias("header"), t.alias("t")))
 
 
-def _numbered_tables() -> Column:
-    """Tables with their place on the page and lower-case header."""
-    return F.transform("tables", lambda t, i: F.struct(i.alias("no"), _header(t).alias("header"), t.alias("t")))
+def _header_link(table: Column) -> Column:
+    """First link of a table's header."""
+    row = _first_row(table)
+    link = F.when(row.l1 > row.l0, F.get("links", row.l0))
+    return F.when(link.isNotNull(), F.struct(text_of(link).alias("text"), link.href.alias("href")))
 
 
 def _innings_tables() -> Column:
@@ -117,9 +121,9 @@ def _bowling_tables() -> Column:
 
 
 def _body(table: Column) -> Column:
-    """Cells of each row behind the header."""
-    return F.transform(F.slice(table.rows, F.lit(2), F.greatest(F.size(table.rows) - 1, F.lit(0))),
-                       lambda r: _data_cells(r))
+    """Data cells of each row behind the header."""
+    rows = F.slice("rows", table.r0 + 2, F.greatest(table.r1 - table.r0 - 1, F.lit(0)))
+    return F.transform(rows, lambda r: F.transform(_data_cells(r), cell))
 
 
 def _first_text(cells: Column) -> Column:
@@ -128,12 +132,11 @@ def _first_text(cells: Column) -> Column:
 
 def innings_tables(pages: DataFrame) -> DataFrame:
     """Innings tables in document order with number, sides and body rows."""
-    tables = pages.select("doc_id", "meta", F.posexplode(_innings_tables()).alias("_pos", "n"))
-    anchor = _header_anchor(F.col("n.t"))
+    tables = explode_all(pages, ["doc_id", "meta", *LISTS], _innings_tables(), "_pos", "n")
     bat = F.col("batting_team_id")
     tables = tables.select("doc_id", "meta", F.col("n.no").alias("table_no"),
                            (F.col("_pos") + 1).alias("innings_number"),
-                           url_entity_id(anchor.href, "team").alias("batting_team_id"),
+                           url_entity_id(_header_link(F.col("n.t")).href, "team").alias("batting_team_id"),
                            _body(F.col("n.t")).alias("body"))
     other = F.when(bat.eqNullSafe(F.col("meta.team1_id")), F.col("meta.team2_id")).otherwise(F.col("meta.team1_id"))
     return tables.select(F.col("doc_id").alias("match_id"), "table_no", "innings_number", bat,
@@ -188,8 +191,7 @@ def batting_rows(pages: DataFrame) -> DataFrame:
     Any line whose first cell links to a player counts, also the line below a bare
     "Fall of wickets" label; a line that is Extras, Total or a wicket list does not.
     """
-    lines = innings_tables(pages).select("match_id", "table_no", "innings_number",
-                                         F.posexplode("body").alias("row_no", "cells"))
+    lines = explode_all(innings_tables(pages), ["match_id", "table_no", "innings_number"], F.col("body"), "row_no", "cells")
     first = _first_text(F.col("cells"))
     anchor = _anchor(F.try_element_at("cells", F.lit(1)).anchors)
     lines = lines.filter(F.size("cells") > 0).withColumn("_a", anchor).filter(
@@ -209,14 +211,14 @@ def batting_rows(pages: DataFrame) -> DataFrame:
 def bowling_rows(pages: DataFrame, *keep: str) -> DataFrame:
     """One row per bowling line; ``ordinal`` counts the side's bowling tables on the page."""
     tables = F.transform(_bowling_tables(), lambda n: F.struct(
-        n.no.alias("no"), url_entity_id(_header_anchor(n.t).href, "team").alias("team"), _body(n.t).alias("body")))
-    tables = pages.select("doc_id", *keep, tables.alias("_tables"))
-    tables = tables.select("doc_id", *keep, "_tables", F.posexplode("_tables").alias("_pos", "t"))
+        n.no.alias("no"), url_entity_id(_header_link(n.t).href, "team").alias("team"), n.t.alias("t")))
+    tables = pages.select("doc_id", *keep, *LISTS, tables.alias("_tables"))
+    tables = explode_all(tables, ["doc_id", *keep, *LISTS, "_tables"], F.col("_tables"), "_pos", "t")
     earlier = F.filter(F.slice("_tables", F.lit(1), F.col("_pos") + 1),
                        lambda u: u.team.eqNullSafe(F.col("t.team")))
     lines = tables.select(*keep, F.col("doc_id").alias("match_id"), F.col("t.no").alias("table_no"), F.size(earlier).alias("ordinal"),
-                          F.col("t.team").alias("bowling_team_id"),
-                          F.posexplode("t.body").alias("row_no", "cells"))
+                          F.col("t.team").alias("bowling_team_id"), _body(F.col("t.t")).alias("_body"))
+    lines = explode_all(lines, [*keep, "match_id", "table_no", "ordinal", "bowling_team_id"], F.col("_body"), "row_no", "cells")
     lines = lines.withColumn("_a", _anchor(F.try_element_at("cells", F.lit(1)).anchors)).filter(
         (F.size("cells") >= 2) & F.col("_a.href").contains("/Players/"))
     c = F.col("cells")
@@ -231,8 +233,7 @@ def bowling_rows(pages: DataFrame, *keep: str) -> DataFrame:
 
 def fall_of_wickets(pages: DataFrame) -> DataFrame:
     """One row per fallen wicket; the k-th part of the list belongs to the k-th link."""
-    tables = innings_tables(pages)
-    lines = tables.select("match_id", "table_no", "innings_number", "body", F.posexplode("body").alias("row_no", "cells"))
+    lines = explode_all(innings_tables(pages), ["match_id", "table_no", "innings_number", "body"], F.col("body"), "row_no", "cells")
     lines = lines.filter((F.size("cells") > 0) & F.lower(_first_text(F.col("cells"))).contains("fall of wickets"))
     here = F.try_element_at("cells", F.lit(1))
     below = F.try_element_at(F.try_element_at("body", F.col("row_no") + 2), F.lit(1))
@@ -280,9 +281,10 @@ def harvest_entities(pages: DataFrame) -> DataFrame:
     from_meta = pages.select(F.col("doc_id").alias("match_id"), F.posexplode(F.array(*meta)).alias("_n", "e"))
     from_meta = from_meta.select("match_id", order(-1, "_n", 0).alias("seen"), "e.*")
 
-    heads = F.concat(_innings_tables(), _bowling_tables())
-    from_heads = pages.select(F.col("doc_id").alias("match_id"), F.explode(heads).alias("n"))
-    from_heads = from_heads.select("match_id", F.col("n.no").alias("table_no"), _header_anchor(F.col("n.t")).alias("a"))
+    heads = F.transform(F.concat(_innings_tables(), _bowling_tables()),
+                        lambda n: F.struct(n.no.alias("no"), _header_link(n.t).alias("a")))
+    from_heads = explode_all(pages, [F.col("doc_id").alias("match_id")], heads, "_n", "n")
+    from_heads = from_heads.select("match_id", F.col("n.no").alias("table_no"), F.col("n.a").alias("a"))
     from_heads = from_heads.select("match_id", order("table_no", -1, 0).alias("seen"), entry(
         "team", url_entity_id("a.href", "team"), clean_text("a.text"), F.col("a.href")).alias("e"))
     from_heads = from_heads.select("match_id", "seen", "e.*")
@@ -304,7 +306,7 @@ def harvest_entities(pages: DataFrame) -> DataFrame:
 def bowling_by_innings(pages: DataFrame, mode: str = "ordinal") -> DataFrame:
     """J3 within the page: bowling rows with the number and key of their innings, without a shuffle."""
     _check(mode)
-    bat_ids = F.transform(_innings_tables(), lambda n: url_entity_id(_header_anchor(n.t).href, "team"))
+    bat_ids = F.transform(_innings_tables(), lambda n: url_entity_id(_header_link(n.t).href, "team"))
     one, two = F.col("meta.team1_id"), F.col("meta.team2_id")
     sides = F.transform(bat_ids, lambda t, i: F.struct(
         (i + 1).alias("innings_number"), F.when(t.eqNullSafe(one), two).otherwise(one).alias("team")))

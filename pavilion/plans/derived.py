@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import prefix_id
 from ..schemas import MATCH_JSON
-from ..session import spread
 from .adapters import read
 
 
@@ -68,7 +67,8 @@ _THIRD = (_INNINGS.replace("{side}", "0") + _BOWLING.replace("{side}", "1")).rep
 
 
 def _cards(spark, sf_dir) -> DataFrame:
-    return spread(spark.sql(CARD_SOURCE, orders=read(spark, sf_dir, "orders")), "k")
+    # the rows are narrow here and become whole documents, so they are always dealt out first
+    return spark.sql(CARD_SOURCE, orders=read(spark, sf_dir, "orders")).repartition("k")
 
 
 def scorecard_pages(spark, sf_dir) -> DataFrame:
@@ -102,7 +102,7 @@ _BOWL_BOARD = """<table><tr><th>Player</th><th>Country</th><th>Span</th><th>Mat<
 def leaderboard_pages(spark, sf_dir, kind: str) -> DataFrame:
     """A leaderboard page per customer."""
     board = fill(_BAT_BOARD if kind == "batting" else _BOWL_BOARD)
-    return spread(read(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_custkey").cast("string").alias("doc_id"),
+    return read(spark, sf_dir, "customer").repartition("c_custkey").select(F.col("c_custkey").cast("string").alias("doc_id"),
                                                   board.alias("content"))
 
 

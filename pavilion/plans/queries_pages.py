@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_tags, url_entity_id
 from ..operators import dedup, leaderboards, pages, scorecards
-from ..session import cut_lineage, spread
+from ..session import cut_lineage
 from . import derived
 from .adapters import read
 from .derived import card_oracle
 
 
 def _web(s, d):
-    return pages.parse_pages(spread(read(s, d, "pages"), "page_id"), "page_id", "html")
+    return pages.parse_pages(read(s, d, "pages"), "page_id", "html")
 
 
 def _cards(s, d):

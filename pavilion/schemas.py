@@ -86,13 +86,13 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
-_TEXT = T.StringType()
-ANCHORS = T.ArrayType(_struct(text=_TEXT, href=_TEXT))
-_CELL = _struct(tag=_TEXT, text=_TEXT, anchors=ANCHORS, tooltip=_TEXT,
-                center=_struct(text=_TEXT, anchors=ANCHORS))
-PAGE_TABLES = T.ArrayType(_struct(text=_TEXT, header=_struct(text=_TEXT, anchors=ANCHORS),
-                                  rows=T.ArrayType(T.ArrayType(_CELL))))
-
-#: what the markup pass returns for a page
-PAGE = _struct(doc_id=_TEXT, title=_TEXT, script_title=_TEXT, notes=T.ArrayType(_TEXT), links=ANCHORS,
-               tables=PAGE_TABLES)
+_TEXT, _INT = T.StringType(), T.IntegerType()
+#: pieces and links of an element, from and to
+_SPAN = {"p0": _INT, "p1": _INT, "l0": _INT, "l1": _INT}
+
+#: what the markup pass returns for a page: every element once, with what is below it as ranges
+PAGE = _struct(
+    doc_id=_TEXT, title=_TEXT, script_title=_TEXT, notes=T.ArrayType(_TEXT), pieces=T.ArrayType(_TEXT),
+    links=T.ArrayType(_struct(href=_TEXT, p0=_INT, p1=_INT)), centers=T.ArrayType(_struct(**_SPAN)),
+    cells=T.ArrayType(_struct(**_SPAN, m0=_INT, m1=_INT, tag=_TEXT, tooltip=_TEXT)),
+    rows=T.ArrayType(_struct(**_SPAN, c0=_INT, c1=_INT)), tables=T.ArrayType(_struct(**_SPAN, r0=_INT, r1=_INT)))

@@ -65,13 +65,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(work_dir(df.sparkSession))
     return df.checkpoint()
-
-
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of a small scan before heavy work per row.
-
-    ``scan`` must be a plain scan, without a shuffle. One that already has a partition per
-    core stays as it is, so large inputs are never shuffled for this.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)

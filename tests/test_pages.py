@@ -1,6 +1,10 @@
 """Markup pass and scorecard pages on a hand-written page."""
 
-from pavilion.operators import leaderboards, pages, scorecards
+import time
+
+import pytest
+
+from pavilion.operators import leaderboards, markup, pages, scorecards
 
 PAGE = """<html><head><title>The Home of CricketArchive</title><script>document.title = "A v B"; var x = "<table><tr>";</script></head><body>
 <!-- <table><tr><td>Venue</td></tr></table> -->
@@ -88,3 +92,54 @@ def test_best_table_fallbacks(spark):
 def test_header_aliases(spark):
     df = spark.createDataFrame([(1, 2)], "`AVE ` int, avg int")
     assert leaderboards.resolve(df, {"mean": ["Ave", "Avg"]}).columns == ["mean", "avg"]
+
+
+BAD = {
+    "unclosed quotes": lambda n: "<table><tr>" + '<td a="x><b>y</b>' * n,
+    "one quote, no end": lambda n: "<table><tr><td>" + "<a '" * n,
+    "quotes that hide every end": lambda n: '<a "<a ">" "' * n,
+    "unclosed bold": lambda n: "notes<table>" + "<b>Notes " * n,
+    "bold in bold": lambda n: "notes" + "<b>" * n + "x",
+    "open centres": lambda n: "<table><tr><td>" + "<center>" * n + "</center></td>" * n,
+    "nested tables": lambda n: "<table><tr><td>x" * n,
+    "comments": lambda n: "<!-- <table> " * n,
+    "scripts": lambda n: "<script <title " * n,
+    "signs": lambda n: "< " * n,
+    "attributes": lambda n: "<td onmouseover" + " = " * n + ">",
+}
+
+
+@pytest.mark.parametrize("kind", BAD)
+def test_reading_is_linear(kind):
+    def run(n):
+        page = BAD[kind](n)
+        start = time.process_time()
+        found, _, notes = markup.read_page(page)
+        taken = time.process_time() - start
+        return taken, sum(map(len, found.lists)) + len(found.pieces) + len(found.links) + len(notes), sum(map(len, found.pieces))
+
+    run(1000)
+    small, large = (min(run(n) for _ in range(3)) for n in (10_000, 40_000))
+    assert large[0] < 8 * small[0] + 0.02, (small, large)
+    assert large[1] <= 4.2 * small[1] + 100 and large[2] <= 4.2 * small[2] + 100
+
+
+def test_bad_markup_reads_as_meant():
+    def cells(page):
+        found = markup.read_page(page)[0]
+        return ["".join(found.pieces[c[0]:c[1]]) for c in found.lists[2]]
+
+    assert cells("<table><tr><td>a<td>b<tr><th>c</table>d") == ["a", "b", "c"]
+    assert cells('<table><tr><td a="1>2">x</td><TD A=\'">"\'>y') == ["x", "y"]
+    assert cells("<table><tr><td>1 < 2 &lt; 3 <") == ["1 < 2 < 3 <"]
+    assert cells('<table><tr><td>x</td><td "y>z') == ["x", "z"]
+    assert cells("<table><tr><td>a<table><tr><td>b</table>c</table>") == ["abc", "b"]
+
+
+def test_notes_heading_holds_one_string():
+    lines = lambda page: markup.read_page(page)[2]
+    assert lines("<b>Notes</b>--> a<br>--> b<hr>c") == ["--> a", "--> b"]
+    assert lines("<b><i>Match NOTES</i></b>x") == ["x"]
+    assert lines("<b>Notes <i>more</i></b>x<b>Footnotes</b>y") == ["y"]
+    assert lines("<b><br>Notes</b>x") == [] and lines("<i>Notes</i>x") == [] and lines("<b>Notes") == []
+    assert lines("<p><b>Notes</b>x<i>y<u>z</u></i></p>w") == ["x", "yz", ""]
