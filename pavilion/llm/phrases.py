@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .common import partitions, slices
-from .words import Words, grams
+from .words import U, Words, grams, mix
 
 WINDOW, ANCHOR = 20, 7
 #: Passages of a shard that are compiled together, at the end of an anchor.
@@ -51,12 +51,25 @@ def anchored(words: Words, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[
 def repeated(at: np.ndarray, hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Whether a window's hash occurs earlier in its own text."""
     out = np.zeros(len(at), dtype=bool)
-    if len(at):
-        order = np.lexsort((at, hashes, text))
-        out[order[1:]] = (hashes[order[1:]] == hashes[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+    key = hashes ^ mix(text.astype(np.uint64) + U(1))
+    order = np.sort(key)
+    twice = np.unique(order[1:][order[1:] == order[:-1]])
+    if len(twice):  # few windows, as a rule
+        some = np.flatnonzero(np.isin(key, twice))
+        order = some[np.argsort(key[some], kind="stable")]
+        out[order[1:]] = key[order[1:]] == key[order[:-1]]
     return out
 
 
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Rows at which any of the columns differs from the row before."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = False
+    for column in columns:
+        new[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(new)
+
+
 def joined(words: Words, gone: np.ndarray | None = None) -> list[str]:
     """For every text the SHA-256, in hexadecimal, of its words (but those ``gone``) joined by one blank."""
     start, end = (words.start, words.end) if gone is None else (words.start[~gone], words.end[~gone])
@@ -80,13 +93,19 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = words.first.tolist()
             at, anchor, text = anchored(words)
             own = repeated(at, grams(words.hashes, WINDOW)[at], text)
-            runs = np.unique(np.stack([text.astype(np.uint64), anchor]), axis=1) if len(at) else np.zeros((2, 0), dtype=np.uint64)
-            offsets = np.searchsorted(runs[0], np.arange(part.num_rows + 1, dtype=np.uint64)).astype(np.int32)
+            own_text = text[own]
+            some = changes(text, anchor)
+            anchor, text = anchor[some], text[some]
+            order = np.lexsort((anchor, text))
+            anchor, text = anchor[order], text[order]
+            some = changes(text, anchor)
+            anchor, text = anchor[some], text[some]
+            offsets = np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32)
             digests = [hashlib.md5(words.hashes[a:b].tobytes()).digest() for a, b in zip(first, first[1:])]
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"), part.column("tag"), pa.array(np.diff(words.first).astype(np.int64)), pa.array(joined(words)),
-                pa.array(digests, pa.binary()), pa.array(np.bincount(text[own], minlength=part.num_rows) > 0),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(runs[1].view(np.int64)))],
+                pa.array(digests, pa.binary()), pa.array(np.bincount(own_text, minlength=part.num_rows) > 0),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(anchor.view(np.int64)))],
                 names=["doc_id", "tag", "n_words", "sha", "digest", "repeats", "anchors"])
 
 
@@ -98,75 +117,103 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, anchor, text = anchored(words)
             hashes = grams(words.hashes, WINDOW)[at]
             fresh = ~repeated(at, hashes, text)
-            known = part.column("anchors").fill_null(pa.scalar([], part.column("anchors").type)) if part.column("anchors").null_count else part.column("anchors")
-            sizes = np.asarray(known.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
-            wanted = np.stack([np.repeat(np.arange(len(sizes)), sizes).astype(np.uint64), known.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)])
+            # a text and an anchor as one number; a chance meeting would only add a passage that is not confirmed
+            column = part.column("anchors")
+            of = np.repeat(np.arange(part.num_rows), column.value_lengths().to_numpy(zero_copy_only=False))
+            known = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ mix(of.astype(np.uint64) + U(1))
             hot = np.asarray(part.column("hot").flatten().to_numpy(zero_copy_only=False), dtype=bool)
-            order = np.lexsort((wanted[1], wanted[0]))
-            wanted, hot = wanted[:, order], hot[order]
-            # pairs (text, anchor) as one sortable value
-            pair = np.empty(len(at), dtype=[("t", "<u8"), ("a", "<u8")])
-            pair["t"], pair["a"] = text, anchor
-            table = np.empty(len(hot), dtype=pair.dtype)
-            table["t"], table["a"] = wanted
-            place = np.searchsorted(table, pair)
-            place[place == len(table)] = 0
-            found = (table[place] == pair) & fresh if len(table) else np.zeros(len(at), dtype=bool)
-            at, anchor, text, hashes, hot = at[found], anchor[found], text[found], hashes[found], hot[place[found]]
-            new = np.ones(len(at), dtype=bool)
-            new[1:] = (np.diff(at) != 1) | (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
-            begin = np.flatnonzero(new)
-            end = np.append(begin[1:], len(at))
-            ids, tags, low = part.column("doc_id").to_pylist(), part.column("tag").to_pylist(), words.hashes.astype(np.uint32)
-            base = words.first
-            rows = [(int(anchor[b]), ids[text[b]], tags[text[b]], int(at[b] - base[text[b]]), None if hot[b] else low[at[b]:at[e - 1] + WINDOW].tobytes(),
-                     hashes[b:e].view(np.int64) if hot[b] else None) for b, e in zip(begin.tolist(), end.tolist())]
-            columns = list(zip(*rows)) or [[]] * 6
+            order = np.argsort(known)
+            known, hot = known[order], hot[order]
+            some = changes(text, anchor)
+            place = np.searchsorted(known, anchor[some] ^ mix(text[some].astype(np.uint64) + U(1)))
+            place[place == len(known)] = 0
+            found = known[place] == anchor[some] ^ mix(text[some].astype(np.uint64) + U(1)) if len(known) else np.zeros(len(some), dtype=bool)
+            sizes = np.diff(np.append(some, len(at)))
+            keep = np.repeat(found, sizes) & fresh
+            at, anchor, text, hashes = at[keep], anchor[keep], text[keep], hashes[keep]
+            hot = np.repeat(hot[place], sizes)[keep] if len(known) else keep[keep]
+            begin = changes(text, anchor, at - np.arange(len(at)))
+            end = np.append(begin[1:], len(at))[:len(begin)]
+            hot, text = hot[begin], text[begin]
+            words_in = np.where(hot, 0, end - begin + WINDOW - 1)
+            windows_in = np.where(hot, end - begin, 0)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.array(columns[0], dtype=np.uint64).view(np.int64)), *(pa.array(columns[i], pa.int64()) for i in (1, 2, 3)),
-                pa.array(columns[4], pa.binary()), pa.array(columns[5], pa.list_(pa.int64()))], names=["anchor", "doc_id", "tag", "start", "words", "windows"])
+                pa.array(anchor[begin].view(np.int64)), part.column("doc_id").take(pa.array(text)), part.column("tag").take(pa.array(text)),
+                pa.array(at[begin] - words.first[text]), _lists(words.hashes.astype(np.uint32), at[begin], words_in, binary=True, null=hot),
+                _lists(hashes.view(np.int64), begin, windows_in, binary=False, null=~hot)],
+                names=["anchor", "doc_id", "tag", "start", "words", "windows"])
+
+
+def _lists(values: np.ndarray, begin: np.ndarray, sizes: np.ndarray, binary: bool, null: np.ndarray) -> pa.Array:
+    """values[b:b + n] for every b and n, as binaries or lists."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    flat = values[np.repeat(begin - offsets[:-1], sizes) + np.arange(offsets[-1])]
+    if binary:
+        valid = pa.array(~null).buffers()[1]
+        width = values.dtype.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(begin), [valid, pa.py_buffer((offsets * width).astype(np.int32)), pa.py_buffer(flat)])
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat), mask=pa.array(null))
 
 
-def locate(docs: list[int], starts: list[int], words: list[bytes], window: int = WINDOW) -> list[tuple[int, int, int]]:
+def locate(anchors: list[int], docs: list[int], starts: list[int], words: list[bytes], window: int = WINDOW) -> list[tuple[int, int, int]]:
     """Occurrences of recurring windows that are not in their first document: (passage, first and last start of a run of windows).
 
-    ``docs`` ascend within an anchor. Confirms the windows that two documents share, compiles them and streams all passages.
+    Passages come by anchor, then by doc_id. Equal passages are one; a passage of two documents is confirmed as a whole, and a window
+    is confirmed by itself if different passages share it. What is confirmed is compiled, with the first document that has it, and all passages are streamed.
     """
     import ahocorasick
 
-    sizes = np.array([len(w) // 4 for w in words])
-    flat = np.frombuffer(b"".join(words), dtype=np.uint32)
-    _, number = np.unique(flat, return_inverse=True)
-    ends = np.cumsum(sizes + 1)
-    text = np.full(int(ends[-1]), FIRST_WORD - 1, dtype="<u4")
+    number, kinds, owner, several, of_anchor = {}, [], [], [], {}
+    for anchor, doc, passage in zip(anchors, docs, words):
+        k = number.setdefault(passage, len(kinds))
+        if k == len(kinds):
+            owner.append(doc)
+            several.append(False)
+            of_anchor.setdefault(anchor, []).append(k)
+            kinds.append(k)
+        elif owner[k] != doc:
+            several[k] = True
+    passages = list(number)
+    sizes = np.array([len(p) // 4 for p in passages])
+    _, code = np.unique(np.frombuffer(b"".join(passages), dtype=np.uint32), return_inverse=True)
+    stops = np.cumsum(sizes + 1) - 1
+    text = np.full(int(stops[-1]) + 1, FIRST_WORD - 1, dtype="<u4")
     inside = np.ones(len(text), dtype=bool)
-    inside[ends - 1] = False
-    text[inside] = number + FIRST_WORD
+    inside[stops] = False
+    text[inside] = code + FIRST_WORD
     text = text.tobytes().decode("utf-32-le")
-    first: dict[str, int] = {}
-    automaton, begin = ahocorasick.Automaton(), 0
-    for doc, end in zip(docs, (ends - 1).tolist()):
-        for i in range(begin, end - window + 1):
-            key = text[i:i + window]
-            owner = first.setdefault(key, doc)
-            if owner != doc:
-                automaton.add_word(key, owner)
-        begin = end + 1
+    begins, ends = (stops - sizes).tolist(), stops.tolist()
+    automaton = ahocorasick.Automaton()
+    for k, more in enumerate(several):
+        if more:
+            automaton.add_word(text[begins[k]:ends[k]], (owner[k], int(sizes[k]) - window + 1))
+    for group in of_anchor.values():
+        first: dict[str, int] = {}
+        for k in group if len(group) > 1 else ():
+            for i in range(begins[k], ends[k] - window + 1):
+                key = text[i:i + window]
+                if (one := first.setdefault(key, k)) != k:
+                    automaton.add_word(key, (owner[one], 1))
     if not len(automaton):
         return []
     automaton.make_automaton()
-    hits = list(automaton.iter(text))
-    last = np.array([h[0] for h in hits])
-    owner = np.array([h[1] for h in hits])
-    piece = np.searchsorted(ends - 1, last)
-    doc = np.array(docs)[piece]
-    keep = doc > owner
-    last, piece = last[keep], piece[keep]
-    start = last - (window - 1) - (ends - 1 - sizes)[piece] + np.array(starts)[piece]
-    new = np.ones(len(start), dtype=bool)
-    new[1:] = (np.diff(start) != 1) | (np.diff(piece) != 0)
-    begin = np.flatnonzero(new)
-    return list(zip(piece[begin].tolist(), start[begin].tolist(), start[np.append(begin[1:], len(start)) - 1].tolist())) if len(start) else []
+    # the first document of every window of every different passage
+    slots = np.concatenate([[0], np.cumsum(sizes - window + 1)])
+    least = np.full(int(slots[-1]), LAST, dtype=np.int64)
+    hits = [(end, doc, n) for end, (doc, n) in automaton.iter(text)]
+    end, doc, n = (np.array(c) for c in zip(*hits))
+    kind = np.searchsorted(stops, end)
+    last = slots[kind] + end - (stops - sizes)[kind] - (window - 1)
+    np.minimum.at(least, np.repeat(last - n + 1 - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())), np.repeat(doc, n))
+    kind = np.array([number[p] for p in words])
+    n = (sizes - window + 1)[kind]
+    before = np.cumsum(n) - n
+    piece = np.repeat(np.arange(len(kind)), n)
+    nth = np.arange(len(piece)) - before[piece]
+    gone = np.array(docs)[piece] > least[slots[kind][piece] + nth]
+    piece, start = piece[gone], (np.array(starts)[piece] + nth)[gone]
+    begin = changes(piece, start - np.arange(len(start)))
+    return list(zip(piece[begin].tolist(), start[begin].tolist(), start[np.append(begin[1:], len(start))[:len(begin)] - 1].tolist()))
 
 
 RUNS = "doc_id long, tag long, low long, high long"
@@ -175,18 +222,18 @@ RUNS = "doc_id long, tag long, low long, high long"
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (anchor, doc_id): compile and stream them a few thousand passages at a time, whole anchors each."""
     def result(held: list[tuple]) -> pa.RecordBatch:
-        docs, tags, starts, words = map(list, zip(*held)) if held else ([], [], [], [])
-        found = [(docs[i], tags[i], low, high) for i, low, high in (locate(docs, starts, words) if len(held) > 1 else [])]
+        anchors, docs, tags, starts, words = map(list, zip(*held)) if held else [[]] * 5
+        found = [(docs[i], tags[i], low, high) for i, low, high in (locate(anchors, docs, starts, words) if len(held) > 1 else [])]
         return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(4)], names=["doc_id", "tag", "low", "high"])
 
     held, anchor = [], None
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in ("anchor", "doc_id", "tag", "start", "words")]
-        for key, *row in zip(*columns):
-            if key != anchor and len(held) >= SHARD:
+        for row in zip(*columns):
+            if row[0] != anchor and len(held) >= SHARD:
                 yield result(held)
                 held = []
-            anchor = key
+            anchor = row[0]
             held.append(row)
     yield result(held)
 
@@ -235,10 +282,10 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     chosen = chosen.select("doc_id", "tag", F.coalesce("found.anchor", F.array().cast("array<long>")).alias("anchors"),
                            F.coalesce("found.hot", F.array().cast("array<boolean>")).alias("hot"))
     chosen = materialise(texts.join(chosen, ["doc_id", "tag"]), "chosen")
-    passages = chosen.mapInArrow(_passages, "anchor long, doc_id long, tag long, start long, words binary, windows array<long>")
-    cold = passages.where("words IS NOT NULL").drop("windows")
+    kinds = "anchor long, doc_id long, tag long, start long, words binary, windows array<long>"
+    cold = chosen.mapInArrow(_passages, kinds).where("words IS NOT NULL").drop("windows")
     runs = cold.repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "start").mapInArrow(_shards, RUNS)
-    heat = passages.where("windows IS NOT NULL").select("doc_id", "tag", "start", F.posexplode("windows").alias("k", "window"))
+    heat = chosen.where(F.exists("hot", lambda h: h)).mapInArrow(_passages, kinds).where("windows IS NOT NULL").select("doc_id", "tag", "start", F.posexplode("windows").alias("k", "window"))
     owners = heat.groupBy("window").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
     hits = heat.join(owners, "window").where("doc_id > owner").select("doc_id", "tag", (F.col("start") + F.col("k")).alias("low"))
     runs = runs.unionByName(hits.withColumn("high", F.col("low")))
