@@ -152,29 +152,19 @@ def note_lines(found: list[tuple]) -> list[str]:
 
     A heading is a bold element that holds one string and nothing else, however deep.
     """
-    opened, closing = [], []                        # open tags right before here; those still to be closed right behind a heading
-    for i, (text, _, _, slash, tag, *_) in enumerate(found):
-        tag = tag.lower()
-        if closing:
-            if not text and slash and tag == closing[-1]:
-                closing.pop()
-                if not closing:
-                    return _lines(found[i + 1:])
-                continue
-            closing = []
-        if text:
-            if slash and tag and tag == (opened[-1] if opened else None) and "b" in opened and "notes" in unescape(text).lower():
-                inner = opened[len(opened) - opened[::-1].index("b") - 1:]
-                closing = inner[:-1]
-                if not closing:
-                    return _lines(found[i + 1:])
-            opened = []
-        if slash or not tag:
-            opened = []
-        elif tag not in _VOID:
-            opened.append(tag)
-        else:
-            opened = []
+    for i, token in enumerate(found):
+        if not token[0] or not token[3] or "notes" not in unescape(token[0]).lower():
+            continue
+        opened, at = [], i - 1                      # the tags that open right before the string, innermost first
+        while at >= 0 and found[at][4] and not found[at][3] and found[at][4].lower() not in _VOID:
+            opened.append(found[at][4].lower())
+            if opened[-1] == "b" or found[at][0]:
+                break
+            at -= 1
+        end = i + len(opened)
+        closed = [t[4].lower() for t in found[i:end] if t[3] and (t is token or not t[0])]
+        if opened and opened[-1] == "b" and closed == opened:
+            return _lines(found[end:])
     return []
 
 
