@@ -9,6 +9,12 @@ from ..functions import fixed_values as fixed
 from ..functions.cricket import match_signature, team_name
 
 
+def touched(registry: DataFrame, batch: DataFrame) -> DataFrame:
+    """The rows of a registry that a batch can change: those with the signature of one of its sightings."""
+    sign = match_signature(F.col("team1"), F.col("team2"), F.col("date"), F.col("format")).alias("universal_match_id")
+    return registry.join(batch.select(sign).distinct(), "universal_match_id", "left_semi")
+
+
 def register(registry: DataFrame, batch: DataFrame, order: str = "seq") -> tuple[DataFrame, DataFrame]:
     """M4: register a batch; returns the new registry and the batch with ``is_new``.
 

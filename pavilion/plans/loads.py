@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators import dedup, maintenance, nested, pages, registry, scorecards
 from ..functions.text import row_key
-from ..session import cut_lineage, materialise
+from ..session import materialise
 from ..sources import sinks
 
 TABLES = {
@@ -20,19 +21,58 @@ TABLES = {
 }
 
 
+#: key by which a table's later rows replace earlier ones; the others only grow
+KEYS = {"match_registry": "universal_match_id", "tournaments": "tournament_id", "teams": "team_id", "players": "player_id",
+        "matches": "match_id"}
+LOADS = "seq bigint, load_id string"
+
+
 @dataclass
 class Load:
-    """Result of a load: rows to add to some tables, new content of others."""
+    """Result of a load: rows to add to some tables, and rows of others that are new or changed."""
 
+    load_id: str
     added: dict[str, DataFrame]
-    replaced: dict[str, DataFrame]
+    changed: dict[str, DataFrame]
+
+    def write(self, root: str) -> None:
+        """Add the load to the warehouse at ``root``.
+
+        Every table gets a folder for this load. They count from the moment its commit is there, which is the last step: a load that
+        stopped on the way is invisible, and running it again replaces its folders. One that is committed already changes nothing.
+        """
+        spark = next(iter(self.added.values())).sparkSession
+        done = _commits(spark, root)
+        if done.filter(F.col("load_id") == self.load_id).count():
+            return
+        seq = (done.agg(F.max("seq")).first()[0] or 0) + 1
+        for name, df in {**self.added, **self.changed}.items():
+            sinks.replace_part(df, f"{root}/{name}", self.load_id)
+        sinks.replace_part(spark.createDataFrame([(seq, self.load_id)], LOADS).coalesce(1), f"{root}/loads", self.load_id)
+
+
+def create_warehouse(spark: SparkSession, root: str) -> None:
+    """Empty tables at ``root``."""
+    for name, schema in {**TABLES, "loads": LOADS}.items():
+        sinks.replace_part(spark.createDataFrame([], schema), f"{root}/{name}", "none")
+
 
-    def write(self, facts: str, dims: str) -> None:
-        """Append the added rows below ``facts``; write the new content to the fresh folder ``dims``."""
-        for name, df in self.replaced.items():
-            sinks.refresh(df, f"{dims}/{name}")
-        for name, df in self.added.items():
-            sinks.append(df, f"{facts}/{name}")
+def _stored(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    return spark.read.schema(f"{schema}, load_id string").parquet(f"{root}/{name}")
+
+
+def _commits(spark: SparkSession, root: str) -> DataFrame:
+    """Committed loads, one small row each."""
+    return spark.read.schema(LOADS).parquet(f"{root}/loads").filter(F.col("seq").isNotNull())
+
+
+def read_warehouse(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables at ``root`` as the committed loads left them; of a key that several loads wrote, the last row counts."""
+    done, out = _commits(spark, root).select("load_id", "seq"), {}
+    for name, schema in TABLES.items():
+        rows = _stored(spark, root, name, schema).join(done, "load_id").drop("load_id")
+        out[name] = (dedup.pick_one(rows, [KEYS[name]], "seq", last=True) if name in KEYS else rows).drop("seq")
+    return out
 
 
 def empty_warehouse(spark: SparkSession) -> dict[str, DataFrame]:
@@ -45,17 +85,22 @@ def load_scorecards(raw: DataFrame, warehouse: dict[str, DataFrame], mode: str =
 
     A page whose match is registered already adds nothing but its link in the registry, and
     of several copies of a page only one is read. Pages are parsed once; everything else is
-    derived from the checkpointed result. New pages are picked by their row in it, a unique
-    key, and all rows of a page follow from the page alone, so nothing but narrow metadata
-    and entities is ever shuffled. Keys follow from the page too: loading the same pages
-    again adds no row.
+    derived from the written result, of which each table reads its own columns. New pages are picked by
+    their row in it, a unique key, and all rows of a page follow from the page alone, so nothing but
+    narrow metadata and entities is ever shuffled. Keys follow from the page too: loading the
+    same pages again adds no row. Of the tables that change, only the rows that the batch touches
+    are grouped and written, so a day's pages cost a day's work.
     """
-    tagged = pages.parse_pages(raw).withColumn("_row", F.monotonically_increasing_id())
-    parsed = scorecards.with_meta(cut_lineage(tagged))
+    sign = F.xxhash64("doc_id", F.coalesce("title", F.lit("")), F.array_join("pieces", "")).cast("decimal(38,0)")
+    tagged = pages.parse_pages(raw).withColumns({"_row": F.monotonically_increasing_id(), "_sign": sign})
+    stored = materialise(tagged, "pages", row_group=16 << 20)
+    count, total = stored.agg(F.count("*"), F.sum("_sign")).first()
+    load_id = hashlib.md5(f"{count} {total}".encode()).hexdigest()
+    parsed = scorecards.with_meta(stored)
     seen = parsed.select("_row", F.col("meta.team1_name").alias("team1"), F.col("meta.team2_name").alias("team2"),
                          "meta.date", "meta.format", F.lit("ca").alias("source"), F.col("doc_id").alias("source_id"))
     batch = dedup.pick_one(seen, ["source_id"], "_row")
-    registered, told = registry.register(warehouse["match_registry"], batch, "source_id")
+    registered, told = registry.register(registry.touched(warehouse["match_registry"], batch), batch, "source_id")
     new = materialise(told.filter("is_new").select("_row"), "new_pages")
     fresh = parsed.join(new, "_row", "left_semi")
 
@@ -73,17 +118,23 @@ def load_scorecards(raw: DataFrame, warehouse: dict[str, DataFrame], mode: str =
     people = found.filter(F.col("kind") == "player")
     people = dedup.pick_one(people, ["match_id", "id"], F.struct(F.col("dob").isNull().alias("_none"), F.col("seen")))
     people = people.withColumnRenamed("id", "player_id")
-    replaced = {
+    meta = scorecards.match_meta(fresh)
+
+    def known(table: str, key: str, rows: DataFrame) -> DataFrame:
+        """The rows of a table that the batch can change."""
+        return warehouse[table].join(rows.select(key).distinct(), key, "left_semi").select(warehouse[table].columns)
+
+    changed = {
         "match_registry": registered,
         "players": maintenance.fill_null(
-            maintenance.insert_ignore(warehouse["players"], people, "player_id", "match_id"),
+            maintenance.insert_ignore(known("players", "player_id", people), people, "player_id", "match_id"),
             people, "player_id", "dob", "match_id"),
-        "matches": maintenance.upsert(warehouse["matches"], scorecards.match_meta(fresh), "match_id", F.lit(0))}
+        "matches": maintenance.upsert(known("matches", "match_id", meta), meta, "match_id", F.lit(0))}
     for kind, table in (("team", "teams"), ("tournament", "tournaments")):
         one = dedup.last_wins(found.filter(F.col("kind") == kind), ["match_id", "id"], "seen")
         one = one.withColumnRenamed("id", f"{kind}_id")
-        replaced[table] = maintenance.insert_ignore(warehouse[table], one, f"{kind}_id", "match_id")
-    return Load({n: df.select(warehouse[n].columns) for n, df in added.items()}, replaced)
+        changed[table] = maintenance.insert_ignore(known(table, f"{kind}_id", one), one, f"{kind}_id", "match_id")
+    return Load(load_id, {n: df.select(warehouse[n].columns) for n, df in added.items()}, changed)
 
 
 def load_ball_by_ball(documents: DataFrame, matches: DataFrame, deliveries: DataFrame) -> dict[str, DataFrame]:

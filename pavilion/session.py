@@ -44,14 +44,15 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/pavilion-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+def materialise(df: DataFrame, name: str = "table", row_group: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Cuts the lineage of a table with many consumers, and survives lost executors.
+    Cuts the lineage of a table with many consumers, each of which reads its own columns, and survives lost executors.
+    ``row_group``: bytes of a row group; rows that hold whole pages want small ones, since a reader takes up to a group at a time.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}"
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,45 +1,84 @@
-"""Loading scorecard pages: registry gate, tables, and a second load."""
+"""Loading scorecard pages: registry gate, tables, a second load, loads that stop on the way."""
+
+import pytest
 
 from pavilion.plans import loads
 from test_pages import PAGE
 
+FACTS = {"innings": 2, "batting": 6, "bowling": 2, "fall_of_wickets": 4, "match_notes": 4}
+DIMS = {"match_registry": 2, "players": 5, "matches": 2, "teams": 2, "tournaments": 1}
+
 
 def counts(tables):
     return {n: df.count() for n, df in tables.items()}
 
 
-def test_load_twice(spark, tmp_path):
+def raw_pages(spark):
     other = PAGE.replace("26th July", "27th July").replace("dob: 1st Jan 1990", "none")
     rows = [("m1", PAGE), ("m2", other), ("m3", PAGE), ("m1", PAGE), ("m1", PAGE), ("bad", "<p>nothing</p>")]
-    raw = spark.createDataFrame(rows, "doc_id string, content string")
-    warehouse = loads.empty_warehouse(spark)
-    load = loads.load_scorecards(raw, warehouse)
-    added = counts(load.added)
-    assert added == {"innings": 2, "batting": 6, "bowling": 2, "fall_of_wickets": 4, "match_notes": 4}
-    load.write(str(tmp_path / "facts"), str(tmp_path / "dims1"))
-
-    def stored(dims):
-        return {n: spark.read.schema(s).parquet(f"{tmp_path}/{'facts' if n in load.added else dims}/{n}")
-                for n, s in loads.TABLES.items()}
-
-    tables = stored("dims1")
-    assert counts({n: tables[n] for n in load.replaced}) == {"match_registry": 2, "players": 5, "matches": 2, "teams": 2, "tournaments": 1}
+    return spark.createDataFrame(rows, "doc_id string, content string")
+
+
+def test_load_twice(spark, tmp_path):
+    root, raw = str(tmp_path / "warehouse"), raw_pages(spark)
+    loads.create_warehouse(spark, root)
+    load = loads.load_scorecards(raw, loads.read_warehouse(spark, root))
+    assert counts(load.added) == FACTS
+    load.write(root)
+    tables = loads.read_warehouse(spark, root)
+    assert counts(tables) == {**FACTS, **DIMS}
     assert sorted(r.ca_id for r in tables["match_registry"].collect()) == ["m2", "m3"]     # the later page is linked
     assert {r.player_id: r.dob for r in tables["players"].collect()}["7"] == "1st Jan 1990"
     inn = {r.id for r in tables["innings"].collect()}
     assert {r.innings_id for r in tables["batting"].collect()} == inn == {r.innings_id for r in tables["bowling"].collect()}
-
     again = loads.load_scorecards(raw, tables)
-    assert set(counts(again.added).values()) == {0}
-    again.write(str(tmp_path / "facts"), str(tmp_path / "dims2"))
-    assert counts(stored("dims2")) == counts(tables)
+    assert set(counts(again.added).values()) == {0} and again.load_id == load.load_id
+    again.write(root)
+    assert counts(loads.read_warehouse(spark, root)) == {**FACTS, **DIMS}
 
 
-def test_dob_is_filled_by_a_later_load(spark, tmp_path):
-    raw = lambda i, html: spark.createDataFrame([(i, html)], "doc_id string, content string")
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("after", (0, 4, 10))
+def test_a_load_that_stopped_leaves_nothing_twice(spark, tmp_path, monkeypatch, after):
+    root, raw, written = str(tmp_path / "warehouse"), raw_pages(spark), []
+    loads.create_warehouse(spark, root)
+    plain = loads.sinks.replace_part
+
+    def failing(df, path, load_id):
+        if len(written) == after:
+            raise Stopped
+        plain(df, path, load_id)
+        written.append(path)
+
+    monkeypatch.setattr(loads.sinks, "replace_part", failing)
+    with pytest.raises(Stopped):
+        loads.load_scorecards(raw, loads.read_warehouse(spark, root)).write(root)
+    assert set(counts(loads.read_warehouse(spark, root)).values()) == {0}  # nothing is seen before the commit
+    monkeypatch.setattr(loads.sinks, "replace_part", plain)
+    more = raw.union(spark.createDataFrame([("m9", PAGE.replace("26th July", "29th July"))], raw.schema))
+    batch = more if after == 4 else raw  # the repeat may bring more pages
+    loads.load_scorecards(batch, loads.read_warehouse(spark, root)).write(root)
+    found = counts(loads.read_warehouse(spark, root))
+    assert found["innings"] == (3 if after == 4 else 2) and found["batting"] == (9 if after == 4 else 6)
+
+
+def test_later_loads_write_only_what_they_touch(spark, tmp_path):
+    root = str(tmp_path / "warehouse")
+    page = lambda i, html: spark.createDataFrame([(i, html)], "doc_id string, content string")
     bare = PAGE.replace("dob: 1st Jan 1990", "none")
-    first = loads.load_scorecards(raw("m1", bare), loads.empty_warehouse(spark))
-    tables = {**loads.empty_warehouse(spark), **first.replaced}
-    assert tables["players"].filter("dob IS NOT NULL").count() == 0
-    second = loads.load_scorecards(raw("m2", PAGE.replace("26th", "28th")), tables)
-    assert {r.player_id: r.dob for r in second.replaced["players"].collect()}["7"] == "1st Jan 1990"
+    loads.create_warehouse(spark, root)
+    loads.load_scorecards(page("m1", bare), loads.read_warehouse(spark, root)).write(root)
+    loads.load_scorecards(page("x", PAGE.replace("/10/10", "/77/77").replace("Alpha", "Gamma").replace("/7/7", "/70/70")),
+                          loads.read_warehouse(spark, root)).write(root)
+    tables = loads.read_warehouse(spark, root)
+    assert tables["players"].filter("dob IS NOT NULL").count() == 1
+    third = loads.load_scorecards(page("m2", PAGE.replace("26th", "28th")), tables)
+    assert third.changed["match_registry"].count() == 1 and third.changed["matches"].count() == 1
+    assert {r.player_id: r.dob for r in third.changed["players"].collect()}["7"] == "1st Jan 1990"
+    third.write(root)
+    tables = loads.read_warehouse(spark, root)
+    assert tables["matches"].count() == 3 and tables["match_registry"].count() == 3
+    assert {r.player_id: r.dob for r in tables["players"].collect()}["7"] == "1st Jan 1990"
