@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -104,18 +104,30 @@ def newest_last(batch: DataFrame, position: str) -> DataFrame:
     return batch.orderBy(F.desc(position))
 
 
+def shown_order(polls: DataFrame, position: str, key: str = "match_id") -> DataFrame:
+    """T6 for many polls at once: ``shown``, the place from 1 at which a ball is shown within its own poll."""
+    return polls.withColumn("shown", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(position))))
+
+
 def run_until_post(stream: DataFrame, show: Callable[[DataFrame], None], checkpoint: str,
                    interval: str = "30 seconds", timeout: float | None = None) -> bool:
     """T5: hand each poll to ``show`` and stop once a row has status ``post``.
 
-    Returns whether the end state was seen.
+    Returns whether the end state was seen. A poll is read once; one that arrives while the query is
+    being stopped is not shown any more.
     """
     ended = []
 
     def poll(batch: DataFrame, batch_id: int) -> None:
-        show(batch)
-        if not batch.filter(F.col("status") == "post").isEmpty():
-            ended.append(batch_id)
+        if ended:
+            return
+        batch = batch.persist()
+        try:
+            show(batch)
+            if not batch.filter(F.col("status") == "post").isEmpty():
+                ended.append(batch_id)
+        finally:
+            batch.unpersist()
 
     query = stream.writeStream.foreachBatch(poll).option("checkpointLocation", checkpoint) \
         .trigger(processingTime=interval).start()
@@ -125,4 +137,3 @@ def run_until_post(stream: DataFrame, show: Callable[[DataFrame], None], checkpo
         waited += 0.5
     query.stop()
     return bool(ended)
-

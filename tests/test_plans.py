@@ -4,14 +4,15 @@ import re
 
 import pytest
 
-from pavilion.plans import catalog, queries_pages
+from pavilion.plans import catalog, queries_files, queries_pages
 
 QUERIES = {name: run for name, (run, _) in catalog.entries().items()}
 #: queries that start from pages already parsed into a checkpoint, so their own plan has no Python left
 PARSED_BEFORE = {"attach_batting", "attach_bowling", "attach_bowling_by_team", "entity_players", "entity_teams"}
 #: the markup pass is the only Python in any plan
 WITH_PAGES = set(queries_pages.ENTRIES) - {"strip_tags", "url_ids"} - PARSED_BEFORE
-STREAMED = {"new_commentary", "latest_scores"}
+#: queries that write files, streams or tables first and read them back
+STREAMED = {"new_commentary", "latest_scores"} | set(queries_files.ENTRIES)
 
 
 def plan(df):
