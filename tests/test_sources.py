@@ -80,7 +80,8 @@ def test_teams_round_trip(spark, tmp_path):
     assert [r.player_id for r in rejected.collect()] == ["p2"]
     out = str(tmp_path / "teams")
     sinks.write_teams_json(profiles.team_heads(valid), valid, out)
-    back = json.loads(spark.read.text(out).first().value)
+    back = json.loads(spark.read.text(out).first().value)["IND"]
+    assert {r.player_name for r in scans.parse_teams(spark.read.text(out)).collect()} == {"P"}
     assert back["team_id"] == "IND" and back["home_advantage"] == 0.12
     assert back["players"][0]["bowling_avg"] == 99.0 and back["players"][0]["is_captain"] is False
 
