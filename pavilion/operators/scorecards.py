@@ -185,6 +185,42 @@ def _at(cells: Column, n: int) -> Column:
     return F.try_element_at(cells, F.lit(n + 1)).text
 
 
+def _player_link(cells: Column) -> Column:
+    """First link of a line's first cell."""
+    return _anchor(F.try_element_at(cells, F.lit(1)).anchors)
+
+
+def _is_batting(cells: Column) -> Column:
+    first = _first_text(cells)
+    return F.coalesce((F.size(cells) > 0) & ~first.isin("Extras", "Total") & ~F.lower(first).contains("fall of wickets")
+                      & _player_link(cells).href.contains("/Players/"), F.lit(False))
+
+
+def _is_bowling(cells: Column) -> Column:
+    return F.coalesce((F.size(cells) >= 2) & _player_link(cells).href.contains("/Players/"), F.lit(False))
+
+
+def _has_wickets(cells: Column) -> Column:
+    return (F.size(cells) > 0) & F.lower(_first_text(cells)).contains("fall of wickets")
+
+
+def _wicket_cell(cells: Column, body: Column, row_no: Column) -> Column:
+    """The cell that lists the wickets: the label's own, or the one below a bare label."""
+    here = F.try_element_at(cells, F.lit(1))
+    below = F.try_element_at(F.try_element_at(body, row_no + 2), F.lit(1))
+    return F.when((F.size(here.anchors) == 0) & below.isNotNull(), below).otherwise(here)
+
+
+def _wicket_parts(cell_: Column) -> Column:
+    """The wickets of a list as texts; the k-th belongs to the k-th link."""
+    listing = text.strip(F.replace(clean_text(cell_.text), F.lit("Fall of wickets:"), F.lit("")))
+    return F.transform(F.split(listing, r"\),"), text.strip)
+
+
+def _is_wicket(part: Column) -> Column:
+    return part.rlike(r"^\d+-\d+")
+
+
 def batting_rows(pages: DataFrame) -> DataFrame:
     """One row per batting line, with the player's name, link and date of birth.
 
@@ -192,11 +228,7 @@ def batting_rows(pages: DataFrame) -> DataFrame:
     "Fall of wickets" label; a line that is Extras, Total or a wicket list does not.
     """
     lines = explode_all(innings_tables(pages), ["match_id", "table_no", "innings_number"], F.col("body"), "row_no", "cells")
-    first = _first_text(F.col("cells"))
-    anchor = _anchor(F.try_element_at("cells", F.lit(1)).anchors)
-    lines = lines.filter(F.size("cells") > 0).withColumn("_a", anchor).filter(
-        ~first.isin("Extras", "Total") & ~F.lower(first).contains("fall of wickets")
-        & F.col("_a.href").contains("/Players/"))
+    lines = lines.filter(_is_batting(F.col("cells"))).withColumn("_a", _player_link(F.col("cells")))
     c = F.col("cells")
     mins = F.when(F.size("cells") >= 5, lenient_int(_at(c, 4)))
     return lines.select(
@@ -219,8 +251,7 @@ def bowling_rows(pages: DataFrame, *keep: str) -> DataFrame:
     lines = tables.select(*keep, F.col("doc_id").alias("match_id"), F.col("t.no").alias("table_no"), F.size(earlier).alias("ordinal"),
                           F.col("t.team").alias("bowling_team_id"), _body(F.col("t.t")).alias("_body"))
     lines = explode_all(lines, [*keep, "match_id", "table_no", "ordinal", "bowling_team_id"], F.col("_body"), "row_no", "cells")
-    lines = lines.withColumn("_a", _anchor(F.try_element_at("cells", F.lit(1)).anchors)).filter(
-        (F.size("cells") >= 2) & F.col("_a.href").contains("/Players/"))
+    lines = lines.filter(_is_bowling(F.col("cells"))).withColumn("_a", _player_link(F.col("cells")))
     c = F.col("cells")
     econ = F.when(F.size("cells") >= 12, lenient_double(_at(c, 11))).otherwise(lenient_double(_at(c, 10)))
     names = ["maidens", "runs", "wickets", "wides", "no_balls", "dots", "fours", "sixes"]
@@ -234,18 +265,15 @@ def bowling_rows(pages: DataFrame, *keep: str) -> DataFrame:
 def fall_of_wickets(pages: DataFrame) -> DataFrame:
     """One row per fallen wicket; the k-th part of the list belongs to the k-th link."""
     lines = explode_all(innings_tables(pages), ["match_id", "table_no", "innings_number", "body"], F.col("body"), "row_no", "cells")
-    lines = lines.filter((F.size("cells") > 0) & F.lower(_first_text(F.col("cells"))).contains("fall of wickets"))
-    here = F.try_element_at("cells", F.lit(1))
-    below = F.try_element_at(F.try_element_at("body", F.col("row_no") + 2), F.lit(1))
-    source = F.when((F.size(here.anchors) == 0) & below.isNotNull(), below).otherwise(here)
+    lines = lines.filter(_has_wickets(F.col("cells")))
+    source = _wicket_cell(F.col("cells"), F.col("body"), F.col("row_no"))
     lines = lines.select("match_id", "table_no", "innings_number", "row_no", source.alias("_cell"))
-    listing = text.strip(F.replace(clean_text("_cell.text"), F.lit("Fall of wickets:"), F.lit("")))
-    parts = lines.select("match_id", "table_no", "innings_number", "row_no", "_cell.anchors",
-                         F.posexplode(F.split(listing, r"\),")).alias("part_no", "part"))
-    part = text.strip("part")
+    parts = explode_all(lines, ["match_id", "table_no", "innings_number", "row_no", "_cell.anchors"], _wicket_parts(F.col("_cell")),
+                        "part_no", "part")
+    part = F.col("part")
     link = _anchor_at("anchors", F.col("part_no") + 1)
     over = first_group(part, r"(\d+\.?\d*)\s+ov")
-    return parts.filter(part.rlike(r"^\d+-\d+")).select(
+    return parts.filter(_is_wicket(part)).select(
         "match_id", "table_no", "innings_number", innings_key(), "row_no", "part_no",
         F.regexp_extract(part, r"^(\d+)-(\d+)", 1).try_cast("int").alias("wicket_num"),
         F.regexp_extract(part, r"^(\d+)-(\d+)", 2).try_cast("int").alias("score"),
@@ -262,42 +290,50 @@ def _anchor_at(anchors: str, n: Column) -> Column:
 
 
 def harvest_entities(pages: DataFrame) -> DataFrame:
-    """Every team, player and tournament a page names, with the order it was seen in."""
-    people = ["umpire1", "umpire2", *OFFICIALS.values()]
+    """Every team, player and tournament a page names, with the order it was seen in.
+
+    The page's metadata, the headers of its tables and their lines go through one chain of explodes, so a page is read once.
+    """
     none = F.lit(None).cast("string")
 
-    def entry(kind, ident, name, url, dob=None):
-        return F.struct(F.lit(kind).alias("kind"), ident.alias("id"), name.alias("name"), url.alias("url"),
-                        (none if dob is None else dob).alias("dob"))
-
-    def named(kind: str, who: str):
-        return entry(kind, *(F.col(f"meta.{who}_{part}") for part in ("id", "name", "url")))
-
-    def order(*at) -> Column:
-        return F.array(*[F.lit(a).cast("int") if isinstance(a, int) else F.col(a).cast("int") for a in at])
-
-    meta = [named("team", "team1"), named("team", "team2"), named("tournament", "tournament"),
-            *[named("player", p) for p in people]]
-    from_meta = pages.select(F.col("doc_id").alias("match_id"), F.posexplode(F.array(*meta)).alias("_n", "e"))
-    from_meta = from_meta.select("match_id", order(-1, "_n", 0).alias("seen"), "e.*")
-
-    heads = F.transform(F.concat(_innings_tables(), _bowling_tables()),
-                        lambda n: F.struct(n.no.alias("no"), _header_link(n.t).alias("a")))
-    from_heads = explode_all(pages, [F.col("doc_id").alias("match_id")], heads, "_n", "n")
-    from_heads = from_heads.select("match_id", F.col("n.no").alias("table_no"), F.col("n.a").alias("a"))
-    from_heads = from_heads.select("match_id", order("table_no", -1, 0).alias("seen"), entry(
-        "team", url_entity_id("a.href", "team"), clean_text("a.text"), F.col("a.href")).alias("e"))
-    from_heads = from_heads.select("match_id", "seen", "e.*")
-
-    def players(rows: DataFrame, ident: str, seen: Column, dob: Column | None = None) -> DataFrame:
-        e = entry("player", F.col(ident), F.col("name"), F.col("url"), dob)
-        return rows.select("match_id", seen.alias("seen"), e.alias("e")).select("match_id", "seen", "e.*")
-
-    bat = players(batting_rows(pages), "player_id", order("table_no", "row_no", 0), F.col("dob"))
-    fow = players(fall_of_wickets(pages), "player_out_id", order("table_no", "row_no", "part_no"))
-    bowl = players(bowling_rows(pages), "player_id", order("table_no", "row_no", 0))
-    found = from_meta.unionByName(from_heads).unionByName(bat).unionByName(fow).unionByName(bowl)
-    return found.filter(~text.is_blank("id"))
+    def entry(seen: list, kind: str, ident: Column, name: Column, url: Column, dob: Column = none) -> Column:
+        at = F.array(*[F.lit(s).cast("int") if isinstance(s, int) else s.cast("int") for s in seen])
+        return F.struct(at.alias("seen"), F.lit(kind).alias("kind"), ident.alias("id"), name.alias("name"), url.alias("url"),
+                        dob.alias("dob"))
+
+    def linked(seen: list, kind: str, link: Column, dob: Column = none) -> Column:
+        return entry(seen, kind, url_entity_id(link.href, kind), F.when(link.isNotNull(), clean_text(link.text)), link.href, dob)
+
+    named = [("team", "team1"), ("team", "team2"), ("tournament", "tournament"),
+             *[("player", p) for p in ("umpire1", "umpire2", *OFFICIALS.values())]]
+    from_meta = F.array(*[entry([-1, n, 0], kind, *(F.col(f"meta.{who}_{part}") for part in ("id", "name", "url")))
+                          for n, (kind, who) in enumerate(named)])
+    # the first "table" stands for the metadata, the first "line" of a table for its header
+    kinds = F.filter(_numbered_tables(), lambda n: F.contains(n.header, F.lit(" innings")) | F.contains(n.header, F.lit(" bowling")))
+    tables = F.transform(kinds, lambda n: F.struct(n.no.alias("no"), F.contains(n.header, F.lit(" innings")).alias("bats"), n.t.alias("t")))
+    blank = F.array(F.lit(None).cast("struct<no:int,bats:boolean,t:struct<p0:int,p1:int,l0:int,l1:int,r0:int,r1:int>>"))
+    found = explode_all(pages, ["doc_id", "meta", *LISTS], F.concat(blank, tables), "_i", "n")
+    found = found.select(F.col("doc_id").alias("match_id"), F.col("n.no").alias("no"), F.col("n.bats").alias("bats"),
+                         F.when(F.col("n").isNull(), from_meta).alias("_meta"), _header_link(F.col("n.t")).alias("_head"),
+                         F.when(F.col("n").isNotNull(), _body(F.col("n.t"))).alias("body"))
+    lines = F.concat(F.array(F.lit(-1)), F.when(F.size("body") > 0, F.sequence(F.lit(0), F.size("body") - 1)).otherwise(F.array().cast("array<int>")))
+    found = explode_all(found, ["match_id", "no", "bats", "_meta", "_head", "body"], lines, "_j", "row_no")
+    found = found.withColumn("cells", F.get("body", F.col("row_no")))
+    no, row, cells = F.col("no"), F.col("row_no"), F.col("cells")
+    empty = F.array().cast("array<struct<seen:array<int>,kind:string,id:string,name:string,url:string,dob:string>>")
+
+    link, dob = _player_link(cells), cricket.dob(F.try_element_at(cells, F.lit(1)).tooltip)
+    wickets = _wicket_cell(cells, F.col("body"), row)
+    fallen = F.transform(_wicket_parts(wickets), lambda part, i: F.when(
+        _is_wicket(part), linked([no, row, i], "player", F.get(wickets.anchors, i))))
+    in_line = (
+        F.when(row == -1, F.coalesce("_meta", F.array(linked([no, -1, 0], "team", F.col("_head")))))
+        .when(F.col("bats") & _has_wickets(cells), F.filter(fallen, lambda e: e.isNotNull()))
+        .when(F.col("bats") & _is_batting(cells), F.array(linked([no, row, 0], "player", link, dob)))
+        .when(~F.col("bats") & _is_bowling(cells), F.array(linked([no, row, 0], "player", link)))
+        .otherwise(empty))
+    every = explode_all(found, ["match_id"], in_line, "_k", "e").select("match_id", "e.*")
+    return every.filter(~text.is_blank("id")).select("match_id", "seen", "kind", "id", "name", "url", "dob")
 
 
 # ---------------------------------------------------------------- facts to innings

@@ -83,6 +83,9 @@ ADAPTERS = {
                CASE WHEN c_nationkey % 3 = 0 THEN 'IND' WHEN c_nationkey % 3 = 1 THEN 'India'
                     ELSE ' Side ' || CAST(c_nationkey AS STRING) END AS name
         FROM {customer}""",
+    "side_names": """
+        SELECT 's' || CAST(s_suppkey AS STRING) AS team_id, CASE WHEN s_nationkey % 2 = 0 THEN 'AUS' ELSE s_name END AS name
+        FROM {supplier}""",
     "venues": "SELECT s_suppkey AS venue_id, 'Park%' || s_name AS name FROM {supplier}",
     # --- logs, registry, queue ------------------------------------------------------------------
     "log": """

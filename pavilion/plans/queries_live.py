@@ -69,6 +69,7 @@ def _event_stream(s, d):
 
 def _new_commentary(s, d):
     folder = work_dir(s)
+    streams.use_disk_state(s)
     rows = streams.new_commentary(_event_stream(s, d)).select("match_id", "text")
     query = streams.start_append(rows, f"{folder}/rows", f"{folder}/state", availableNow=True)
     query.awaitTermination()
@@ -77,6 +78,7 @@ def _new_commentary(s, d):
 
 def _latest_scores(s, d):
     folder = work_dir(s)
+    streams.use_disk_state(s)
     rows = streams.latest_scores(_event_stream(s, d), ["value", "event_id"], F.struct("ts", "event_id"))
     query = streams.start_changelog(rows, f"{folder}/log", f"{folder}/state", availableNow=True)
     query.awaitTermination()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_tags, url_entity_id
 from ..operators import dedup, leaderboards, pages, scorecards
-from ..session import cut_lineage
+from ..session import materialise
 from . import derived
 from .adapters import read
 from .derived import card_oracle
@@ -26,7 +26,7 @@ def _meta(s, d):
 
 def _meta_once(s, d):
     """For queries that read the parsed pages several times."""
-    return scorecards.with_meta(cut_lineage(_cards(s, d)))
+    return scorecards.with_meta(materialise(_cards(s, d), "pages", row_group=16 << 20))
 
 
 _META_COLUMNS = ["match_id", "title", "tournament_id", "tournament_name", "date", "venue", "ground_id", "format",
@@ -79,13 +79,13 @@ _KEY = "sha256(CAST({k} AS VARCHAR) || chr(31) || {n}) AS innings_id"
 
 
 def _players(s, d):
-    found = scorecards.harvest_entities(_meta_once(s, d)).filter(F.col("kind") == "player")
+    found = scorecards.harvest_entities(_meta(s, d)).filter(F.col("kind") == "player")
     ordered = found.withColumn("seen", F.struct("match_id", "seen"))
     return dedup.unique_players(ordered).select("id", "name", "dob")
 
 
 def _teams(s, d):
-    found = scorecards.harvest_entities(_meta_once(s, d)).filter(F.col("kind") != "player")
+    found = scorecards.harvest_entities(_meta(s, d)).filter(F.col("kind") != "player")
     return dedup.last_wins(found, ["kind", "id"], F.struct("match_id", "seen")).select("kind", "id", "name", "url")
 
 

@@ -104,7 +104,7 @@ ENTRIES = {
         oracle("""SELECT id, name, dob, seen FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seen DESC) AS rn
                   FROM entity_rows) WHERE rn = 1""", "entity_rows")),
     "prefer_sources": (
-        lambda s, d: dedup.prefer_sources([_prefer(s, d)[0].filter("name = 'nobody'"), *_prefer(s, d)]),
+        lambda s, d: dedup.prefer_sources(list(_prefer(s, d))),
         oracle("SELECT id, 'account' AS origin, name FROM target_rows", *_TARGET)),
     "prefer_sources_by_key": (
         lambda s, d: dedup.prefer_sources(list(_prefer(s, d)), "id"),
@@ -201,9 +201,8 @@ ENTRIES = {
                "sightings", "team_names")),
     "lookup_ids_default": (
         lambda s, d: joins.lookup_ids(adapt(s, d, "sightings").select("seq", "team2"),
-                                      adapt(s, d, "team_names").filter("name <> 'India'"), {"team2": "team2_id"},
-                                      default_prefix="T_"),
+                                      adapt(s, d, "side_names"), {"team2": "team2_id"}, default_prefix="T_"),
         oracle("""SELECT s.seq, s.team2, coalesce(b.team_id, 'T_' || upper(substr(s.team2, 1, 3))) AS team2_id
-                  FROM sightings s LEFT JOIN (SELECT name, min(team_id) AS team_id FROM team_names WHERE name <> 'India'
-                    GROUP BY name) b ON s.team2 = b.name""", "sightings", "team_names")),
+                  FROM sightings s LEFT JOIN (SELECT name, min(team_id) AS team_id FROM side_names GROUP BY name) b
+                    ON s.team2 = b.name""", "sightings", "side_names")),
 }

@@ -7,8 +7,8 @@ import pytest
 from pavilion.plans import catalog, queries_files, queries_pages
 
 QUERIES = {name: run for name, (run, _) in catalog.entries().items()}
-#: queries that start from pages already parsed into a checkpoint, so their own plan has no Python left
-PARSED_BEFORE = {"attach_batting", "attach_bowling", "attach_bowling_by_team", "entity_players", "entity_teams"}
+#: queries that start from pages already parsed into a written table, so their own plan has no Python left
+PARSED_BEFORE = {"attach_batting", "attach_bowling", "attach_bowling_by_team"}
 #: the markup pass is the only Python in any plan
 WITH_PAGES = set(queries_pages.ENTRIES) - {"strip_tags", "url_ids"} - PARSED_BEFORE
 #: queries that write files, streams or tables first and read them back
@@ -74,3 +74,10 @@ def test_scorecard_rows_move_once(spark, sf_dir):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(re.findall(r"(?<!, )Exchange hashpartitioning", text)) <= 5, text
+
+
+@pytest.mark.parametrize("name", ["entity_players", "entity_teams"])
+def test_entities_take_one_pass_and_one_exchange(name, spark, sf_dir):
+    text = physical(QUERIES[name](spark, sf_dir))
+    assert len(re.findall("MapInArrow", text)) == 1
+    assert len(re.findall(r"Exchange hashpartitioning\((?!k#)", text)) == 1  # besides the rows that pages are made of
