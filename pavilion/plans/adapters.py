@@ -83,6 +83,10 @@ ADAPTERS = {
                CASE WHEN c_nationkey % 3 = 0 THEN 'IND' WHEN c_nationkey % 3 = 1 THEN 'India'
                     ELSE ' Side ' || CAST(c_nationkey AS STRING) END AS name
         FROM {customer}""",
+    "team_heads": """
+        SELECT n_nationkey AS team_id, n_name AS name,
+               CASE WHEN n_nationkey % 2 = 0 THEN CAST(0.125 AS DOUBLE) END AS home_advantage
+        FROM {nation}""",
     "side_names": """
         SELECT 's' || CAST(s_suppkey AS STRING) AS team_id, CASE WHEN s_nationkey % 2 = 0 THEN 'AUS' ELSE s_name END AS name
         FROM {supplier}""",

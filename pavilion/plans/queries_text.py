@@ -94,6 +94,15 @@ def _conform(n):
     return run
 
 
+def _valid_formats(s, d):
+    rows = adapt(s, d, "match_texts").select("k", cricket.detect_format("event").alias("format"))
+    return profiles.valid_formats(rows)
+
+
+def _conform_teams(s, d):
+    return profiles.conform_teams(adapt(s, d, "team_heads"))
+
+
 _HOME = ", ".join(f"('{k}', {v})" for k, v in fixed.HOME_ADVANTAGE.items())
 _NAMES = ", ".join(f"('{k}', '{v}')" for k, v in cricket.CODE_NAMES.items())
 _CODE = """CASE k % 7 WHEN 0 THEN 'IND' WHEN 1 THEN 'UAE' WHEN 2 THEN 'NZ' WHEN 3 THEN 'LFS' WHEN 4 THEN 'LON'
@@ -173,4 +182,10 @@ ENTRIES = {
         _conform(1),
         oracle("""SELECT * FROM raw_players WHERE coalesce(role, '') NOT IN ('Batsman', 'Bowler', 'Allrounder', 'Wicketkeeper')""",
                "raw_players")),
+    "valid_formats": (
+        _valid_formats,
+        oracle("""SELECT k, format FROM (SELECT k, CASE p WHEN '1' THEN 'T20' WHEN '2' THEN 'T20' WHEN '3' THEN 'ODI' WHEN '4' THEN 'T20'
+                    ELSE 'Unknown' END AS format FROM match_texts) WHERE format <> 'Unknown'""", "match_texts")),
+    "conform_teams": (
+        _conform_teams, oracle("SELECT team_id, name, coalesce(home_advantage, 0) AS home_advantage FROM team_heads", "team_heads")),
 }
