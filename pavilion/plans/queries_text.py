@@ -184,7 +184,7 @@ ENTRIES = {
                "raw_players")),
     "valid_formats": (
         _valid_formats,
-        oracle("""SELECT k, format FROM (SELECT k, CASE p WHEN '1' THEN 'T20' WHEN '2' THEN 'T20' WHEN '3' THEN 'ODI' WHEN '4' THEN 'T20'
+        oracle("""SELECT k, format FROM (SELECT k, CASE p WHEN '1' THEN 'Test' WHEN '2' THEN 'T20' WHEN '3' THEN 'ODI' WHEN '4' THEN 'T20'
                     ELSE 'Unknown' END AS format FROM match_texts) WHERE format <> 'Unknown'""", "match_texts")),
     "conform_teams": (
         _conform_teams, oracle("SELECT team_id, name, coalesce(home_advantage, 0) AS home_advantage FROM team_heads", "team_heads")),
