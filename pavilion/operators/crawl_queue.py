@@ -16,6 +16,18 @@ def missing_ids(spark: SparkSession, lo: int, hi: int, known: DataFrame, key: st
     return only_new(every, known, key).withColumn("status", F.lit("PENDING"))
 
 
+def missing_below(bounds: DataFrame, known: DataFrame, key: str = "ca_match_id", block: int = 10_000) -> DataFrame:
+    """The same for bounds (lo, hi) that a table tells, one row a range; nothing runs while the plan is built.
+
+    A range is cut into blocks first, so no row holds more than ``block`` ids.
+    """
+    first = F.explode(F.sequence(F.col("lo"), F.col("hi"), F.lit(block).cast("bigint"))).alias("first")
+    blocks = bounds.select(F.col("lo").cast("bigint"), F.col("hi").cast("bigint")).filter("lo <= hi").select("hi", first)
+    ids = F.explode(F.sequence(F.col("first"), F.least("hi", F.col("first") + block - 1))).alias("id")
+    every = blocks.repartition("first").select(ids).select(F.col("id").cast("string").alias(key))
+    return only_new(every, known, key).withColumn("status", F.lit("PENDING"))
+
+
 def requeue_missing(queue: DataFrame, files: DataFrame, file_id: str = "doc_id") -> DataFrame:
     """M5: fetched rows without a file go back to pending."""
     lost = missing_artifacts(queue, files, file_id=file_id).select("ca_match_id").distinct()

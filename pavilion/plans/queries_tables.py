@@ -63,9 +63,9 @@ def _merge(fn, *extra):
 
 def _missing_ids(s, d):
     docs, labels = read(s, d, "documents"), read(s, d, "labels")
-    top = docs.agg(F.max("doc_id")).first()[0]
+    bounds = docs.agg(F.lit(1).cast("bigint").alias("lo"), F.max("doc_id").alias("hi"))
     known = labels.select(F.col("doc_id").cast("string").alias("ca_match_id"))
-    return crawl_queue.missing_ids(s, 1, int(top), known)
+    return crawl_queue.missing_below(bounds, known)
 
 
 def _requeue(s, d):

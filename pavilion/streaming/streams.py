@@ -99,6 +99,15 @@ def read_changelog(spark: SparkSession, path: str, key: str = "match_id") -> Dat
     return last_wins(spark.read.parquet(path), [key], F.col("batch_id")).drop("batch_id")
 
 
+def compact_changelog(spark: SparkSession, path: str, into: str, key: str = "match_id") -> None:
+    """Write the rows of a log of changes that still count to the new folder ``into``, which reads like the log.
+
+    To be run between two runs of the stream; the next run then goes on in ``into``.
+    """
+    latest = last_wins(spark.read.parquet(path), [key], F.col("batch_id"))
+    latest.repartition("batch_id").write.partitionBy("batch_id").parquet(into)
+
+
 def newest_last(batch: DataFrame, position: str) -> DataFrame:
     """A poll lists the newest ball first; show it last."""
     return batch.orderBy(F.desc(position))

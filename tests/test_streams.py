@@ -55,6 +55,9 @@ def test_latest_scores_on_disk_state(spark, tmp_path):
             spark.conf.unset(key)
     got = {r.match_id: r.score for r in streams.read_changelog(spark, str(tmp_path / "log")).collect()}
     assert got == {1: 12, 2: 5}
+    streams.compact_changelog(spark, str(tmp_path / "log"), str(tmp_path / "small"))
+    assert spark.read.parquet(str(tmp_path / "small")).count() == 2
+    assert {r.match_id: r.score for r in streams.read_changelog(spark, str(tmp_path / "small")).collect()} == got
 
 
 def test_pages_arrive_once(spark, tmp_path):
