@@ -74,12 +74,12 @@ def detect_format(name: Column | str) -> Column:
 
 def extract_date(text: Column | str) -> Column:
     """Date phrase of a venue line, NULL when there is none."""
-    return strip(first_group(text, r"on\s+([0-9a-zA-Z\s,]+)(?:\s+\(|\s*$)"))
+    return strip(first_group(text, fixed.VENUE_DATE))
 
 
 def ordinal_date(series: Column | str, venue: Column | str) -> Column:
     """Day-month-year phrase from the series, else from the venue."""
-    pattern = r"on (\d+(?:st|nd|rd|th)? [A-Za-z]+ \d{4})"
+    pattern = fixed.ORDINAL_DATE
     return F.coalesce(first_group(series, pattern), first_group(venue, pattern), F.lit("Date Unknown"))
 
 
@@ -102,13 +102,13 @@ def toss_winner(text: Column | str, name1: Column | str, name2: Column | str,
 
 def margin_runs(result: Column | str) -> Column:
     """Winning margin in runs."""
-    return F.coalesce(first_group(result, r"won by (\d+) run").try_cast("int"), F.lit(0))
+    return F.coalesce(first_group(result, fixed.WON_BY_RUNS).try_cast("int"), F.lit(0))
 
 
 def margin_wickets(result: Column | str) -> Column:
     """Winning margin in wickets, counted only when no runs margin is given."""
-    wickets = F.coalesce(first_group(result, r"won by (\d+) wicket").try_cast("int"), F.lit(0))
-    return F.when(as_col(result).rlike(r"won by \d+ run"), F.lit(0)).otherwise(wickets)
+    wickets = F.coalesce(first_group(result, fixed.WON_BY_WICKETS).try_cast("int"), F.lit(0))
+    return F.when(as_col(result).rlike(fixed.WON_BY_RUNS), F.lit(0)).otherwise(wickets)
 
 
 def margin_text(result: Column | str) -> Column:
@@ -133,13 +133,13 @@ def pending_result(result: Column | str, series: Column | str) -> Column:
 
 def season_year(venue: Column | str, series: Column | str) -> Column:
     """First year from 1700 to 2099 in the venue, else in the series."""
-    pattern = r"(?U)\b(?:17|18|19|20)\d{2}\b"
+    pattern = fixed.SEASON_YEAR
     return F.coalesce(first_group(venue, pattern, 0), first_group(series, pattern, 0))
 
 
 def dob(tooltip: Column | str) -> Column:
     """Date of birth in a tooltip."""
-    return strip(F.replace(first_group(tooltip, r"dob:\s*([^']+)"), F.lit("<br>"), F.lit("")))
+    return strip(F.replace(first_group(tooltip, fixed.DATE_OF_BIRTH), F.lit("<br>"), F.lit("")))
 
 
 # ---------------------------------------------------------------- teams and registry
@@ -180,13 +180,12 @@ def team_code(value: Column | str) -> Column:
     return F.when(F.length(code) > 5, short).otherwise(code)
 
 
-_LABEL = r"^(.+?)\s*\(([^)]+)\)\s*$"
 
 
 def player_name(label: Column | str) -> Column:
     """Player name of a leaderboard label, marks and team removed."""
     bare = strip(F.regexp_replace(as_col(label), "[†‡*#]", ""))
-    return F.when(bare.rlike(_LABEL), strip(F.regexp_extract(bare, _LABEL, 1))).otherwise(bare)
+    return F.when(bare.rlike(fixed.PLAYER_LABEL), strip(F.regexp_extract(bare, fixed.PLAYER_LABEL, 1))).otherwise(bare)
 
 
 def player_team(label: Column | str, country: Column | str) -> Column:
@@ -194,7 +193,7 @@ def player_team(label: Column | str, country: Column | str) -> Column:
     bare = strip(F.regexp_replace(as_col(label), "[†‡*#]", ""))
     land = strip(as_col(country).cast("string"))
     land = F.when(~F.lower(land).isin("nan", "", "none"), land)
-    return F.when(bare.rlike(_LABEL), strip(F.regexp_extract(bare, _LABEL, 2))) \
+    return F.when(bare.rlike(fixed.PLAYER_LABEL), strip(F.regexp_extract(bare, fixed.PLAYER_LABEL, 2))) \
         .otherwise(F.coalesce(land, F.lit("UNK")))
 
 

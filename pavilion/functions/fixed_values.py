@@ -206,5 +206,19 @@ TABLE_MARKERS = {
 }
 SUMMARY_LABELS = ["nan", "overall", "total", ""]
 
+# --- patterns of fixed texts, in the order in which pages are read ----------------------------------
+VENUE_DATE = r"on\s+([0-9a-zA-Z\s,]+)(?:\s+\(|\s*$)"
+ORDINAL_DATE = r"on (\d+(?:st|nd|rd|th)? [A-Za-z]+ \d{4})"
+SEASON_YEAR = r"(?U)\b(?:17|18|19|20)\d{2}\b"
+WON_BY_RUNS = r"won by (\d+) run"
+WON_BY_WICKETS = r"won by (\d+) wicket"
+EXTRAS_PART = r"(\d+)\s+{unit}"
+TOTAL_WICKETS = r"(\d+)\s+wicket"
+TOTAL_OVERS = r"(\d+\.?\d*)\s+over"
+FALLEN_WICKET = r"^(\d+)-(\d+)"
+FALLEN_OVERS = r"(\d+\.?\d*)\s+ov"
+DATE_OF_BIRTH = r"dob:\s*([^']+)"
+PLAYER_LABEL = r"^(.+?)\s*\(([^)]+)\)\s*$"
+
 #: The script element that embeds a page's data, whatever its other attributes and their order.
 EMBEDDED_DATA = r"""(?s)<script\b(?=[^>]*\sid\s*=\s*["']?__NEXT_DATA__["'\s>])[^>]*>(.+?)</script>"""

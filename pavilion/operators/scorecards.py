@@ -166,19 +166,19 @@ def innings(pages: DataFrame) -> DataFrame:
 
 def extras_part(line: Column, unit: str) -> Column:
     """One kind of extra from a line such as ``(2 b, 9 lb, 1 nb, 2 w)``."""
-    return F.coalesce(first_group(clean_text(line), rf"(\d+)\s+{unit}").try_cast("int"), F.lit(0))
+    return F.coalesce(first_group(clean_text(line), fixed.EXTRAS_PART.format(unit=unit)).try_cast("int"), F.lit(0))
 
 
 def total_wickets(line: Column) -> Column:
     """Wickets of a total line; "all out" is ten."""
     line = clean_text(line)
     return F.when(F.lower(line).contains("all out"), F.lit(10)).otherwise(
-        F.coalesce(first_group(line, r"(\d+)\s+wicket").try_cast("int"), F.lit(0)))
+        F.coalesce(first_group(line, fixed.TOTAL_WICKETS).try_cast("int"), F.lit(0)))
 
 
 def total_overs(line: Column) -> Column:
     """Overs of a total line, as text."""
-    return F.coalesce(first_group(clean_text(line), r"(\d+\.?\d*)\s+over"), F.lit(""))
+    return F.coalesce(first_group(clean_text(line), fixed.TOTAL_OVERS), F.lit(""))
 
 
 def _at(cells: Column, n: int) -> Column:
@@ -218,7 +218,7 @@ def _wicket_parts(cell_: Column) -> Column:
 
 
 def _is_wicket(part: Column) -> Column:
-    return part.rlike(r"^\d+-\d+")
+    return part.rlike(fixed.FALLEN_WICKET)
 
 
 def batting_rows(pages: DataFrame) -> DataFrame:
@@ -272,11 +272,11 @@ def fall_of_wickets(pages: DataFrame) -> DataFrame:
                         "part_no", "part")
     part = F.col("part")
     link = _anchor_at("anchors", F.col("part_no") + 1)
-    over = first_group(part, r"(\d+\.?\d*)\s+ov")
+    over = first_group(part, fixed.FALLEN_OVERS)
     return parts.filter(_is_wicket(part)).select(
         "match_id", "table_no", "innings_number", innings_key(), "row_no", "part_no",
-        F.regexp_extract(part, r"^(\d+)-(\d+)", 1).try_cast("int").alias("wicket_num"),
-        F.regexp_extract(part, r"^(\d+)-(\d+)", 2).try_cast("int").alias("score"),
+        F.regexp_extract(part, fixed.FALLEN_WICKET, 1).try_cast("int").alias("wicket_num"),
+        F.regexp_extract(part, fixed.FALLEN_WICKET, 2).try_cast("int").alias("score"),
         url_entity_id(link.href, "player").alias("player_out_id"),
         F.coalesce(lenient_double(over), F.lit(0.0)).alias("overs"),
         F.when(link.isNotNull(), clean_text(link.text)).alias("name"), link.href.alias("url"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as fixed
 from ..operators import crawl_queue, dedup, joins, maintenance, registry
 from ..sources import sinks
 from .adapters import adapt, oracle, read
@@ -20,10 +21,8 @@ def _fixed_source(log):
     return dedup.dedup_log(log, source="history")
 
 
-_TEAM = """CASE WHEN coalesce({c}, '') = '' THEN 'Unknown' ELSE CASE trim({c})
-  WHEN 'IND' THEN 'India' WHEN 'AUS' THEN 'Australia' WHEN 'ENG' THEN 'England' WHEN 'SA' THEN 'South Africa'
-  WHEN 'PAK' THEN 'Pakistan' WHEN 'NZ' THEN 'New Zealand' WHEN 'SL' THEN 'Sri Lanka' WHEN 'WI' THEN 'West Indies'
-  WHEN 'BAN' THEN 'Bangladesh' WHEN 'AFG' THEN 'Afghanistan' ELSE trim({c}) END END"""
+_KNOWN = " ".join(f"WHEN '{code}' THEN '{name}'" for code, name in fixed.REGISTRY_TEAMS.items())
+_TEAM = "CASE WHEN coalesce({c}, '') = '' THEN 'Unknown' ELSE CASE trim({c}) " + _KNOWN + " ELSE trim({c}) END END"
 
 _SIGNED = f"""
 named AS (SELECT *, {_TEAM.format(c='team1')} AS n1, {_TEAM.format(c='team2')} AS n2, lower(source) AS src FROM sightings),
