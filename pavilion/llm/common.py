@@ -22,6 +22,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of an Arrow batch. Texts differ much in length; few of them a batch bound what a Python worker and its JVM hold.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends Python at most BATCH_ROWS rows at a time from now on."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``most`` bytes in ``column`` (one row at least)."""
     sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()

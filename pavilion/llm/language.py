@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 from .words import GOLD, U, mix, text_bytes
 
 #: Bytes of context.
@@ -170,7 +170,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     About ``sample`` documents a language are learned from, whole. The counts of their grams are summed up by Spark; what comes to the
     driver is bounded by the sample.
     """
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("doc_id"))
+    rows = small_batches(docs).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("doc_id"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -191,7 +191,7 @@ def classify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
     """Columns ``keep`` of ``docs`` with _lang (UNKNOWN without text or letter), _score and _bits (a byte, in the best language) added."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.lower(F.col("text").cast("string")).alias("_text"), F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    rows = small_batches(docs).select(*keep, F.lower(F.col("text").cast("string")).alias("_text"), F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value

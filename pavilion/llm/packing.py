@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices
+from .common import partitions, slices, small_batches
 from .words import GOLD, Words, mix
 
 SIZE = 2048
@@ -32,7 +32,7 @@ PER_WINDOW, LEAST = 24, 64
 #: Cuts in stretches without an end of a sentence lie so many tokens apart.
 STRIDE = 64
 #: Tokens that are planned together; the last windows of a plan, which its end has shaped, are planned again with what follows.
-HORIZON, AGAIN = 1 << 20, 8 * SIZE
+HORIZON, AGAIN = 1 << 18, 4 * SIZE
 END_OF_DOCUMENT = 1
 #: Entries of a worker's table of encoded words; a full table is started anew.
 KNOWN_WORDS = 2_000_000
@@ -253,8 +253,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE, i
     integers), doc_tokens (all of the document's, with the end-of-document id 1), sequence_id, offset (place in the sequence), and with ``ids`` the ids themselves.
     A sequence is padded to ``size`` unless its length is a power of two.
 
-    Documents are range-partitioned by doc_id and packed in that order in every partition; sequence ids rise with doc_id. A partition plans about a
-    million tokens at a time and carries the last windows over, so memory doesn't grow with it. The last window of a partition
+    Documents are range-partitioned by doc_id and packed in that order in every partition; sequence ids rise with doc_id. A partition plans some
+    hundred thousand tokens at a time and carries the last windows over, so memory doesn't grow with it. The last window of a partition
     is the only one that its end cuts short. Null and empty texts are the end-of-document id alone. Null doc_ids come first, repeated rows are packed each; ties
     lie by a hash of the text. Empty table: no rows.
     """
@@ -264,7 +264,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE, i
 
         tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
     tie = F.xxhash64("text")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(partitions(spark), F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()),
               ("sequence_id", pa.int64()), ("offset", pa.int64()), *([("ids", pa.list_(pa.int32()))] if ids else [])]

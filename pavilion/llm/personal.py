@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 #: Kinds in the order in which spans with the same start are listed. The first four are the base: confirmed
 #: by form and checksum alone. The others need a score of THRESHOLD.
@@ -184,7 +184,7 @@ def detect(docs: DataFrame) -> DataFrame:
                                                  names=["doc_id", *FOUND.names])
 
     counts = ", ".join(f"n_{kind} long" for kind in BASE)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, f"doc_id long, {counts}, base_sha256 string, spans string, scores array<double>")
 
 
@@ -208,4 +208,4 @@ def redact(docs: DataFrame) -> DataFrame:
                     columns["n_chars"] = pa.array(chars, part.column("n_chars").type)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
