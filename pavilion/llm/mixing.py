@@ -105,6 +105,7 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[
     if not keep:  # narrow: the texts are read once
         rows = materialise(rows, "sizes")
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, most)
+    goal = materialise(goal, "targets")  # its size is known then, so texts aren't exchanged to meet a small table
     digits = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = rows.withColumn("place", digits)
     # md5 is even, so its leading 32 bits deal a source's documents evenly to ranges in the order of the hash
