@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import components, partitions, slices
+from .common import components, partitions, slices, small_batches
 from .words import GOLD, U, Words, grams, mix
 
 #: 28 bands of 5 bins: a pair of similarity 0.85 shares no band with probability 7e-8, one of 0.8 with 1.4e-5.
@@ -31,10 +31,8 @@ WORDS = 5
 AT_LEAST = 85
 #: Stands for a null doc_id.
 LAST = (1 << 63) - 1
-#: Members of a pivot that are verified in one group, and rows of a bucket that meet in one group.
-GROUP, BLOCK = 2000, 512
-#: Pairs a row that the rounds after the first try.
-ROUNDS = (3, 3)
+#: Rows of a block: of sketches that share a bucket, and of documents of a cluster with their texts. Two blocks meet in a group.
+BLOCK, GROUP = 1024, 256
 
 
 def shingle_sets(words: Words, n: int = WORDS) -> list[np.ndarray]:
@@ -113,98 +111,106 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest of the set, band keys and the low byte of every bin; the last three null or empty without words."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_sketched, "doc_id long, n_shingles long, digest binary, bands array<long>, bins binary")
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (pivot, part, is_member): each member against the pivot's sets, which come first."""
-    group, own = None, []
-    for batch in batches:
-        for part in slices(batch, "text"):
-            sets = shingle_sets(Words(part.column("text"), lower=True))
-            keys = zip(part.column("pivot").to_pylist(), part.column("part").to_pylist())
-            hits = []
-            for key, member, doc, found in zip(keys, part.column("is_member").to_pylist(), part.column("node").to_pylist(), sets):
-                if key != group:
-                    group, own = key, []
-                if not member:
-                    own.append(found)
-                elif any(similar(s, found) for s in own):
-                    hits.append((key[0], doc))
-            yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64())], names=["a", "b"])
-
-
-def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (pivot, node) whose full sets are similar enough: rows (a, b).
-
-    ``texts``: (node, text) of all documents that occur in pairs. Every member's text is sent to its pivot; a pivot with many
-    members is several groups, each with a copy of the pivot's text, and a group is streamed: a task holds the pivot's set and one batch.
-    """
-    n = partitions(texts.sparkSession)
-    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    members = pairs.join(sizes, "pivot").select("node", "pivot", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"),
-                                                F.lit(True).alias("is_member"))
-    pivots = sizes.select(F.col("pivot").alias("node"), "pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-                          F.lit(False).alias("is_member"))
-    rows = texts.join(members.unionByName(pivots), "node").repartition(n, "pivot", "part").sortWithinPartitions("pivot", "part", "is_member", "node")
-    return rows.select("pivot", "part", "is_member", "node", "text").mapInArrow(_verify, "a long, b long").distinct()
+#: Bins in which a pair of similarity 0.85 agrees at least: 119 of 140 on average with a standard deviation of 4.2; this is 6.4 of these below.
+CLOSE = round(BINS * AT_LEAST / 100 - 6.4 * (BINS * AT_LEAST / 100 * (1 - AT_LEAST / 100)) ** 0.5)
 
 
-def _close(top: int | None):
-    """Rows sorted by (key, low, high): pairs of a group in different components whose sketches agree often enough.
+class Forest:
+    """Union-find over the rows of one group."""
 
-    A pair of similarity 0.85 agrees in 119 of 140 bins, with a standard deviation of 4.2; the bound is 6.4 of these below.
-    ``top``: only that many pairs a row, those that agree most.
-    """
-    share = AT_LEAST / 100
-    least = round(BINS * share - 6.4 * (BINS * share * (1 - share)) ** 0.5)
-
-    def pairs(group: tuple, held: list) -> pa.RecordBatch:
-        found = []
-        if len(held) > 1:
-            bins = np.frombuffer(b"".join(h[3] for h in held), dtype=np.uint8).reshape(len(held), -1)
-            block, comp, nodes = (np.array([h[i] for h in held]) for i in range(3))
-            for i in range(len(held)):
-                other = comp != comp[i]
-                if group[1] != group[2]:  # pairs inside a block are met in the block's own group
-                    other &= block != block[i]
-                at = np.flatnonzero(other)
-                agree = (bins[at] == bins[i]).sum(axis=1)
-                at, agree = at[agree >= least], agree[agree >= least]
-                at = at[np.argsort(-agree, kind="stable")][:top]
-                found += [(nodes[i], x) for x in nodes[at]]
-        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["x", "y"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = (0, 0, 0), []
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "low", "high", "block", "component", "node", "bins")]
-            for key, low, high, *row in zip(*columns):
-                if (key, low, high) != group:
-                    yield pairs(group, held)
-                    group, held = (key, low, high), []
-                held.append(row)
-        yield pairs(group, held)
-
-    return run
-
-
-def open_pairs(members: DataFrame, labels: DataFrame, top: int | None = None) -> DataFrame:
-    """Pairs (pivot, node) that share a bucket, lie in different components and look similar; with ``top``, each row's best ones only.
-
-    ``members``: (key, node, bins, n) with the number n of a bucket's members. Buckets whose members are in one component are done.
-    In the others, blocks of the members meet in groups of two blocks, so no group grows with a bucket.
+    def __init__(self, n: int) -> None:
+        self.parent = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def union(self, x: int, y: int) -> None:
+        self.parent[self.find(x)] = self.find(y)
+
+    def edges(self, nodes: list[int]) -> list[tuple[int, int]]:
+        return [(node, nodes[root]) for i, node in enumerate(nodes) if (root := self.find(i)) != i]
+
+
+def close_rows(bins: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For every row i the later rows whose sketches are close; of two different blocks, pairs across only."""
+    cross = blocks[0] != blocks[-1]
+    for i in range(len(bins) - 1):
+        at = np.flatnonzero(blocks[i + 1:] != blocks[i]) + i + 1 if cross else np.arange(i + 1, len(bins))
+        if len(at):
+            yield i, at[(bins[at] == bins[i]).sum(axis=1) >= CLOSE]
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], text: bool) -> Iterator[list[tuple]]:
+    """Rows (block, node, bins or text and bins) of each (key, low, high), which come sorted."""
+    group, held = None, []
+    names = ["key", "low", "high", "block", "node", "bins", *(["text"] if text else [])]
+    for batch in batches:
+        for key, low, high, *row in zip(*(batch.column(c).to_pylist() for c in names)):
+            if (key, low, high) != group:
+                if len(held) > 1:
+                    yield sorted(held, key=lambda r: r[0])
+                group, held = (key, low, high), []
+            held.append(row)
+    if len(held) > 1:
+        yield sorted(held, key=lambda r: r[0])
+
+
+def _look_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows of a bucket, a forest over the pairs with close sketches: a row a node at most, never the pairs."""
+    found: list[tuple[int, int]] = []
+    for held in _groups(batches, text=False):
+        nodes = [r[1] for r in held]
+        bins = np.frombuffer(b"".join(r[2] for r in held), dtype=np.uint8).reshape(len(held), -1)
+        if len(held) == 2:
+            if (bins[0] == bins[1]).sum() >= CLOSE:
+                found.append((nodes[0], nodes[1]))
+        else:
+            forest = Forest(len(held))
+            for i, at in close_rows(bins, np.array([r[0] for r in held])):
+                for j in at.tolist():
+                    forest.union(i, j)
+            found += forest.edges(nodes)
+        if len(found) >= 10_000:
+            yield _edges(found)
+            found = []
+    yield _edges(found)
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the documents of a group, a forest over the links confirmed on full sets."""
+    for held in _groups(batches, text=True):
+        nodes = [r[1] for r in held]
+        bins = np.frombuffer(b"".join(r[2] for r in held), dtype=np.uint8).reshape(len(held), -1)
+        sets, forest = shingle_sets(Words(pa.array([r[3] for r in held]), lower=True)), Forest(len(held))
+        for i, at in close_rows(bins, np.array([r[0] for r in held])):
+            for j in at.tolist():
+                if forest.find(i) != forest.find(j) and similar(sets[i], sets[j]):
+                    forest.union(i, j)
+        yield _edges(forest.edges(nodes))
+
+
+def blocked(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (key, node, n, ...) dealt to groups (key, low, high) of two blocks of about ``size``, sorted; each pair of rows of a key meets in one group.
+
+    n is the number of rows of the key. A key of any size is many groups, so no task gathers it.
     """
-    n = partitions(members.sparkSession)
-    rows = members.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("component", F.coalesce("label", "node")).drop("label")
-    several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rows = rows.join(several, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "component", "node", "bins")
-    rows = rows.repartition(n, "key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
-    return rows.mapInArrow(_close(top), "x long, y long").select(F.least("x", "y").alias("pivot"), F.greatest("x", "y").alias("node")).distinct()
+    blocks = rows.withColumn("blocks", F.ceil(F.col("n") / size).cast("int"))
+    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = blocks.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "blocks", "n")
+    keys = ["key", "low", "high"]
+    return blocks.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -215,29 +221,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     says whether it is the document's own. Null and empty texts and those of white space have no shingles and link with nothing.
     A null doc_id sorts last and is reported as null; rows that repeat a doc_id are one name, so with different texts they share their links. Empty table: no rows.
 
-    Every bucket first compares its members with its smallest (the pivot). In two more rounds, members that are still apart are compared with
-    those that their sketches are closest to; that joins groups of near copies. What shares a bucket and is apart even then is
-    compared in full, so no link that banding proposes is lost, and pairs inside a group are not listed.
+    Documents that share a bucket and whose sketches agree often enough for a link make up clusters. The full sets of a cluster's documents are then compared
+    where sketches allow it. Buckets and clusters are met in blocks, and each group of blocks returns a forest, a row a document at
+    most: no link that banding proposes is lost, and nobody lists the pairs of a group.
     """
     name = F.coalesce("doc_id", F.lit(LAST))
     drawn = materialise(sketches(docs).withColumn("doc_id", name), "sketches")
     classes = materialise(drawn.where("n_shingles > 0").groupBy("digest").agg(
         F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("bins").alias("bins")), "classes")
+    # keys alone are exchanged; few of them are shared, and only those rows get their sketches
     keys = classes.select("node", F.explode("bands").alias("key"))
-    shared = materialise(keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1 AND n IS NOT NULL"), "shared")
-    members = materialise(keys.join(shared, "key").select("key", "node", "pivot", "n"), "members")
-    pairs = materialise(members.where("node <> pivot").select("pivot", "node").distinct(), "pairs")
-    ids = pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).distinct()
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    alike = blocked(keys.join(shared, "key").join(classes.select("node", "bins"), "node"), BLOCK).mapInArrow(_look_alike, "a long, b long")
+    clusters = materialise(components(alike).withColumnRenamed("component", "key"), "clusters")
+    sizes = clusters.groupBy("key").agg(F.count("*").alias("n"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = materialise(texts.join(ids, "node", "left_semi"), "texts")
-    links, tested = materialise(verified(texts, pairs), "links"), pairs
-    labels, with_bins = components(links), members.join(classes.select("node", "bins"), "node")
-    for top in (*ROUNDS, None):
-        rest = materialise(open_pairs(with_bins, labels, top).join(tested, ["pivot", "node"], "left_anti"), "rest")
-        if not rest.isEmpty():
-            tested = tested.unionByName(rest)
-            links = materialise(verified(texts, rest), "links")
-            labels = components(links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    members = clusters.join(sizes, "key").join(classes.select("node", "bins"), "node").join(texts, "node")
+    links = blocked(members, GROUP).mapInArrow(_verified, "a long, b long")
+    labels = components(links)
     classes = classes.join(labels, "node", "left").select(F.col("digest").alias("of"), F.coalesce("component", "node").alias("component"))
     out = drawn.join(classes, drawn["digest"] == classes["of"], "left").withColumn("component", F.coalesce("component", "doc_id"))
     return out.select(F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), "n_shingles", F.nullif("component", F.lit(LAST)).alias("component_id"),

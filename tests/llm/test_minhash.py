@@ -69,7 +69,7 @@ def near_group(n, edits, seed):
 @pytest.mark.parametrize("block", [512, 16])
 def test_groups_without_a_central_first_document(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
-    monkeypatch.setattr(minhash, "GROUP", 10)
+    monkeypatch.setattr(minhash, "GROUP", block // 2)
     texts = dict(enumerate([*near_group(60, 3, 1), *near_group(40, 2, 2), *near_group(30, 5, 3)]))
     docs = documents(spark, [(i, t, "en", "a", 1) for i, t in texts.items()])
     check(rows(minhash.near_duplicates(docs)), texts)
