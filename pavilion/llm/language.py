@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, small_batches
-from .words import GOLD, U, mix, text_bytes
+from .words import text_bytes
 
 #: Bytes of context.
 ORDER = 3

@@ -4,11 +4,10 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from pavilion.llm import embed_dedup, topk
 
-from .edge import rows, with_clashes
+from .edge import with_clashes
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
