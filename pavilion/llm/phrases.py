@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import partitions, slices
+from .common import partitions, slices, small_batches
 from .words import U, Words, grams, mix
 
 WINDOW, ANCHOR = 20, 7
@@ -270,7 +270,7 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     """
     n = partitions(docs.sparkSession)
     name = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id")
-    texts = docs.select(name, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text"))
+    texts = small_batches(docs).select(name, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text"))
     profile = texts.mapInArrow(_profile, "doc_id long, tag long, n_words long, sha string, digest binary, repeats boolean, anchors array<long>")
     profile = materialise(profile, "profile")
     profile = profile.join(profile.groupBy("digest").agg(F.min("doc_id").alias("first")), "digest")
