@@ -13,14 +13,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialise
 from .common import components
 
 #: Rows of a block; a task holds two, and a product of SUB x SUB at a time.
 BLOCK_ROWS, SUB = 4096, 1024
-#: Double sums of unit vectors are right to far less than this; pairs this close below the bound are computed again too.
-SLACK = 1e-9
+#: Scaling products in 32 bits and summing unit vectors in 64 is right to less than this; pairs this close below the bound are computed again too.
+SLACK = 1e-6
 #: Stands for a null vec_id.
 LAST = (1 << 63) - 1
 
@@ -50,11 +51,18 @@ def links(left: np.ndarray, right: np.ndarray, at_least: float, same: bool) -> I
     for i in range(0, len(left), SUB):
         for j in range(i if same else 0, len(right), SUB):
             a, b = slice(i, i + SUB), slice(j, j + SUB)
-            bound = ql[2][a, None] * qr[3][None, b] + ql[3][a, None] * qr[2][None, b] + ql[3][a, None] * qr[3][None, b]
-            near = _product(ql[0][a], qr[0][b]) * (ql[1][a, None] * qr[1][None, b])
-            at, to = np.nonzero(near + bound >= at_least - SLACK)
+            near = _product(ql[0][a], qr[0][b])
+            near *= ql[1][a, None].astype(near.dtype)
+            near *= qr[1][None, b].astype(near.dtype)
+            # the block's largest bound first, then each pair's own
+            most = ql[2][a].max() * qr[3][b].max() + ql[3][a].max() * qr[2][b].max() + ql[3][a].max() * qr[3][b].max()
+            at, to = np.nonzero(near >= at_least - SLACK - most)
+            x, y = at + i, to + j
+            bound = ql[2][x] * qr[3][y] + ql[3][x] * qr[2][y] + ql[3][x] * qr[3][y]
+            keep = near[at, to] + bound >= at_least - SLACK
             if same and i == j:
-                at, to = at[at < to], to[at < to]
+                keep &= at < to
+            at, to = at[keep], to[keep]
             for k in range(0, len(at), 1 << 16):
                 x, y = at[k:k + (1 << 16)] + i, to[k:k + (1 << 16)] + j
                 hit = np.einsum("ij,ij->i", left[x], right[y]) >= at_least
@@ -110,12 +118,14 @@ def link_vectors(vectors: DataFrame, at_least: float = 0.95, block_rows: int = B
     Every block meets every block once, as tiles; a tile returns a row a linked vector, never its pairs. Squares of scaled components
     keep norms finite for the largest doubles.
     """
-    wide = F.transform(F.col("embedding"), lambda x: x.cast("double"))
-    most = F.aggregate("wide", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))
+    # floats travel as floats and are widened where they are compared
+    kind = "float" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "double"
+    wide = F.transform(F.col("embedding"), lambda x: x.cast(kind))
     bad = F.exists("wide", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    some = F.exists("wide", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), wide.alias("wide"))
-    rows = rows.withColumn("wide", F.when(~F.coalesce(bad, F.lit(True)) & (F.coalesce(most, F.lit(0.0)) > 0), F.col("wide")))
-    rows = materialise(rows.withColumn("wide", F.transform("wide", lambda x: F.when(x == 0, 0.0).otherwise(x))), "vectors")
+    rows = rows.withColumn("wide", F.when(~F.coalesce(bad, F.lit(True)) & F.coalesce(some, F.lit(False)), F.col("wide")))
+    rows = materialise(rows.withColumn("wide", F.transform("wide", lambda x: F.when(x == 0, F.lit(0).cast(kind)).otherwise(x))), "vectors")
     name = F.coalesce("vec_id", F.lit(LAST))
     classes = materialise(rows.where("wide IS NOT NULL").groupBy("wide").agg(F.min(name).alias("rep"), F.count("*").alias("copies")), "classes")
     n_blocks = -(-classes.count() // block_rows) or 1
@@ -128,7 +138,7 @@ def link_vectors(vectors: DataFrame, at_least: float = 0.95, block_rows: int = B
     def compare(table: pa.Table) -> pa.Table:
         values = table.column("wide").combine_chunks()
         ids = table.column("rep").to_numpy()
-        unit = np.asarray(values.flatten().to_numpy(zero_copy_only=False)).reshape(len(ids), -1)
+        unit = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
         unit = unit / np.abs(unit).max(axis=1, keepdims=True)
         unit = unit / np.sqrt(np.einsum("ij,ij->i", unit, unit))[:, None]
         return pa.Table.from_batches([tile(ids, table.column("copies").to_numpy(), table.column("block").to_numpy(), unit, at_least)])
