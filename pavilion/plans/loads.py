@@ -93,10 +93,9 @@ def load_scorecards(raw: DataFrame, warehouse: dict[str, DataFrame], mode: str =
     """
     sign = F.xxhash64("doc_id", F.coalesce("title", F.lit("")), F.array_join("pieces", "")).cast("decimal(38,0)")
     tagged = pages.parse_pages(raw).withColumns({"_row": F.monotonically_increasing_id(), "_sign": sign})
-    stored = materialise(tagged, "pages", row_group=16 << 20)
-    count, total = stored.agg(F.count("*"), F.sum("_sign")).first()
+    parsed = materialise(scorecards.with_meta(tagged), "pages", row_group=16 << 20)
+    count, total = parsed.agg(F.count("*"), F.sum("_sign")).first()
     load_id = hashlib.md5(f"{count} {total}".encode()).hexdigest()
-    parsed = scorecards.with_meta(stored)
     seen = parsed.select("_row", F.col("meta.team1_name").alias("team1"), F.col("meta.team2_name").alias("team2"),
                          "meta.date", "meta.format", F.lit("ca").alias("source"), F.col("doc_id").alias("source_id"))
     batch = dedup.pick_one(seen, ["source_id"], "_row")
@@ -114,7 +113,7 @@ def load_scorecards(raw: DataFrame, warehouse: dict[str, DataFrame], mode: str =
         "fall_of_wickets": fow.withColumn("id", place("row_no", "part_no")),
         "match_notes": notes.withColumn("id", row_key("match_id", "note_no"))}
 
-    found = scorecards.harvest_entities(fresh)
+    found = materialise(scorecards.harvest_entities(fresh), "entities")
     people = found.filter(F.col("kind") == "player")
     people = dedup.pick_one(people, ["match_id", "id"], F.struct(F.col("dob").isNull().alias("_none"), F.col("seen")))
     people = people.withColumnRenamed("id", "player_id")
