@@ -48,22 +48,22 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): rows (node, component) with the smallest node reachable.
 
-    Large-star and small-star rounds: every round is two joins of edges with per-node minima, and its
-    edges are written to the shared folder, so nothing is gathered on the driver but a checksum. Nodes
+    Large-star and small-star rounds until every node points to one other that points nowhere; a round joins edges with per-node
+    minima and is written to the shared folder, so nothing comes to the driver but a count. Nodes
     without a link to another node are left out; loops and repeated edges change nothing.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs, before = materialise(pairs, "edges"), None
     while True:
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        pairs = materialise(pairs, "edges")
+        roles = pairs.select(F.col("u").alias("node"), F.lit(1).alias("points"), F.lit(0).alias("root")).unionByName(
+            pairs.select(F.col("v").alias("node"), F.lit(0).alias("points"), F.lit(1).alias("root")))
+        roles = roles.groupBy("node").agg(F.sum("points").alias("points"), F.max("root").alias("root"))
+        if not roles.where("points > 1 OR points = 1 AND root = 1").count():
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = state
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = materialise(least.select("u", F.col("m").alias("v")).unionByName(small).distinct(), "edges")
+        pairs = least.select("u", F.col("m").alias("v")).unionByName(small).distinct()
