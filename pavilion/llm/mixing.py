@@ -24,7 +24,7 @@ SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.25), (
 #: No document is taken more often than this.
 MOST_EPOCHS = 3
 #: Documents of a source are summed up in stretches of about so many.
-STRETCH = 5_000
+STRETCH = 1_000
 
 Schedule = Sequence[tuple[float, float]]
 
