@@ -70,7 +70,7 @@ def _event_stream(s, d):
 def _new_commentary(s, d):
     folder = work_dir(s)
     streams.use_disk_state(s)
-    rows = streams.new_commentary(_event_stream(s, d)).select("match_id", "text")
+    rows = streams.new_commentary(_event_stream(s, d), salts=1).select("match_id", "text")
     query = streams.start_append(rows, f"{folder}/rows", f"{folder}/state", availableNow=True)
     query.awaitTermination()
     return s.read.schema(rows.schema).parquet(f"{folder}/rows")
