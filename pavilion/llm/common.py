@@ -32,7 +32,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``most`` bytes in ``column`` (one row at least)."""
     sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
     start = total = 0

@@ -35,7 +35,7 @@ STRIDE = 64
 HORIZON, AGAIN = 1 << 18, 4 * SIZE
 END_OF_DOCUMENT = 1
 #: Entries of a worker's table of encoded words; a full table is started anew.
-KNOWN_WORDS = 2_000_000
+KNOWN_WORDS = 1_000_000
 
 
 class KnownWords:
@@ -283,7 +283,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE, i
 
         encode = packer = None
         pieces: list[tuple] = []
-        for part in (part for b in batches for part in slices(b, "text")):
+        for part in (part for b in batches for part in slices(b, "text", 1 << 20)):
             if packer is None:
                 encode = Encoder(tokenizer_path)
                 packer = Packer(encode.sentence, size, TaskContext.get().partitionId() << 40)
