@@ -22,6 +22,14 @@ def fill(template: str) -> Column:
     return F.concat(*[F.expr(p).cast("string") if i % 2 else F.lit(p) for i, p in enumerate(pieces) if p])
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows that are narrow here and become whole documents, always dealt to all shuffle partitions.
+
+    The number is given, or Spark would merge the partitions by what the narrow rows weigh.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 # ---------------------------------------------------------------- scorecard pages from orders
 
 #: what the pages are made of, in SQL that both engines read
@@ -67,8 +75,7 @@ _THIRD = (_INNINGS.replace("{side}", "0") + _BOWLING.replace("{side}", "1")).rep
 
 
 def _cards(spark, sf_dir) -> DataFrame:
-    # the rows are narrow here and become whole documents, so they are always dealt out first
-    return spark.sql(CARD_SOURCE, orders=read(spark, sf_dir, "orders")).repartition("k")
+    return dealt(spark.sql(CARD_SOURCE, orders=read(spark, sf_dir, "orders")), "k")
 
 
 def scorecard_pages(spark, sf_dir) -> DataFrame:
@@ -102,7 +109,7 @@ _BOWL_BOARD = """<table><tr><th>Player</th><th>Country</th><th>Span</th><th>Mat<
 def leaderboard_pages(spark, sf_dir, kind: str) -> DataFrame:
     """A leaderboard page per customer."""
     board = fill(_BAT_BOARD if kind == "batting" else _BOWL_BOARD)
-    return read(spark, sf_dir, "customer").repartition("c_custkey").select(F.col("c_custkey").cast("string").alias("doc_id"),
+    return dealt(read(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_custkey").cast("string").alias("doc_id"),
                                                   board.alias("content"))
 
 
