@@ -38,8 +38,12 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their ids, by training window."""
-    return packing.pack(docs, ids=True)
+    """Pieces of documents with their ids, by training window, in the order in which the stage before has written ``docs``.
+
+    The files of a range-sorted table are named in its order, so a file's path and a row's place in it are the training order.
+    """
+    at = docs.metadataColumn("_metadata")
+    return packing.pack(docs, ids=True, order=[at["file_path"], at["row_index"]])
 
 
 STAGES: list[tuple[str, Stage]] = [("language", language_id), ("near_duplicates", near_dedup), ("personal_data", personal_data),

@@ -1,6 +1,6 @@
 """Packing documents into training windows by order-preserving dynamic programming.
 
-The documents stay in the order of doc_id. Possible cuts are the ends of documents and sentences, and
+The documents stay in the order that is asked for, by default that of doc_id. Possible cuts are the ends of documents and sentences, and
 in long stretches without any, every STRIDE-th token. A window costs its padding plus a penalty for what
 its end cuts through. With f(j) the least cost of everything up to cut j, the padded windows that end at j give
 f(i) + size - (j - i) over all cuts i within reach: a sliding minimum of f(i) + i, kept in a monotone queue.
@@ -14,11 +14,11 @@ import sys
 import types
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, slices, small_batches
@@ -246,16 +246,16 @@ class Packer:
         self.docs, self.waiting = rest, sum(len(ids) - done for _, ids, done in rest)
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE, ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE, ids: bool = False, order: Sequence[Column] = ()) -> DataFrame:
     """Pieces of all documents in windows of at most ``size`` tokens.
 
     Returns one row a piece: doc_id, start (the document's tokens before it), length, ids_crc32 (of its ids as little-endian 32-bit
     integers), doc_tokens (all of the document's, with the end-of-document id 1), sequence_id, offset (place in the sequence), and with ``ids`` the ids themselves.
     A sequence is padded to ``size`` unless its length is a power of two.
 
-    Documents are range-partitioned by doc_id and packed in that order in every partition; sequence ids rise with doc_id. A partition plans some
+    Documents are range-partitioned by ``order`` (columns of ``docs``; doc_id unless given) and packed in that order in every partition; sequence ids rise with it. A partition plans some
     hundred thousand tokens at a time and carries the last windows over, so memory doesn't grow with it. The last window of a partition
-    is the only one that its end cuts short. Null and empty texts are the end-of-document id alone. Null doc_ids come first, repeated rows are packed each; ties
+    is the only one that its end cuts short. Null and empty texts are the end-of-document id alone. Nulls come first in the order, repeated rows are packed each; ties
     lie by a hash of the text. Empty table: no rows.
     """
     spark = docs.sparkSession
@@ -264,8 +264,10 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE, i
 
         tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
     tie = F.xxhash64("text")
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(partitions(spark), F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
+    places = [c.alias(f"_place_{i}") for i, c in enumerate(order)]
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *places)
+    by = [*(F.col(f"_place_{i}") for i in range(len(places))), tie] if places else [F.col("doc_id"), tie]
+    rows = rows.repartitionByRange(partitions(spark), *by).sortWithinPartitions(*by).select("doc_id", "text")
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()),
               ("sequence_id", pa.int64()), ("offset", pa.int64()), *([("ids", pa.list_(pa.int32()))] if ids else [])]
 

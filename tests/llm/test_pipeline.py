@@ -28,6 +28,22 @@ def steps(spark):
     return dict(zip((n for n, _ in corpus_pipeline.STAGES), out))
 
 
+def training_time(share, schedule):
+    """Time by which ``share`` of a schedule's area is asked for, by bisection."""
+    def area(upto):
+        total = 0.0
+        for (t0, w0), (t1, w1) in zip(schedule, schedule[1:]):
+            d = min(max(upto - t0, 0.0), t1 - t0)
+            total += d * (w0 + (w1 - w0) / (t1 - t0) * d / 2)
+        return total
+
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if area(mid) < share * area(1.0) else (low, mid)
+    return low
+
+
 def test_stages_return_documents(steps):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language", "near_duplicates", "personal_data", "mixing", "packing"]
@@ -79,6 +95,19 @@ def test_windows_hold_all_that_was_mixed(steps, tokenizer):  # noqa: F811
     assert padding < 0.1 and all(len(p["ids"]) == p["length"] for p in pieces)
 
 
+def test_windows_follow_training_time(steps):
+    from pavilion.llm import mixing
+
+    plan = {r["doc_id"]: r for r in rows(mixing.plan(steps["mixing"][0])) if r["taken"]}
+    heads = sorted((p["sequence_id"], p["offset"], p["doc_id"]) for p in rows(steps["packing"][1]) if p["start"] == 0)
+    turns, times = {}, []
+    for _, _, i in heads:
+        r, turns[i] = plan[i], turns.get(i, 0) + 1
+        times.append(training_time(r["share"] + (turns[i] - 1) * r["step"], mixing.SCHEDULES[r["rank"]]))
+    assert max(turns.values()) > 1 and turns == {i: r["copies"] + (r["cut"] > 0) for i, r in plan.items()}
+    assert all(a <= b + 1e-9 for a, b in zip(times, times[1:]))
+
+
 def test_run_and_odd_tables(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     for docs in (odd_documents(spark), empty_documents(spark)):
