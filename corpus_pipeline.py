@@ -14,6 +14,9 @@ from pavilion.llm import language, minhash, mixing, packing, personal
 from pavilion.llm.common import table
 from pavilion.session import materialise
 
+#: Hundredths of similarity from which the pipeline takes two documents for one.
+NEAR = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -24,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near duplicates."""
-    return minhash.keep_one(docs)
+    return minhash.keep_one(docs, NEAR)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

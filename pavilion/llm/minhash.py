@@ -12,7 +12,9 @@ represented by its smallest doc_id, so copies meet in one row before anything is
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,10 @@ from ..session import materialise
 from .common import components, partitions, slices, small_batches
 from .words import GOLD, U, Words, grams, mix
 
-#: 28 bands of 5 bins: a pair of similarity 0.85 shares no band with probability 7e-8, one of 0.8 with 1.4e-5.
-BANDS, ROWS = 28, 5
-BINS = BANDS * ROWS
+#: Bins of a band, and the probability with which a pair right at the threshold may share no band: 28 bands for 0.85, 42 for 0.8.
+ROWS, MISSED = 5, 7.5e-8
 WORDS = 5
-#: Numerator of the link condition 100 * intersection >= AT_LEAST * union.
+#: Numerator of the link condition 100 * intersection >= at_least * union, unless told otherwise.
 AT_LEAST = 85
 #: Stands for a null doc_id.
 LAST = (1 << 63) - 1
@@ -35,6 +36,23 @@ LAST = (1 << 63) - 1
 BLOCK, GROUP = 1024, 256
 
 
+def n_bands(at_least: int = AT_LEAST) -> int:
+    """Bands that miss a pair of similarity ``at_least`` hundredths with a probability of MISSED at most."""
+    return math.ceil(math.log(MISSED) / math.log(max(1 - (at_least / 100) ** ROWS, MISSED)))
+
+
+BINS = n_bands() * ROWS
+
+
+def close(at_least: int, bins: int) -> int:
+    """Bins of ``bins`` in which a pair of similarity ``at_least`` hundredths agrees at least: 6.4 standard deviations below the mean.
+
+    For 85: 119 of 140 on average with a standard deviation of 4.2.
+    """
+    mean = bins * at_least / 100
+    return round(mean - 6.4 * (mean * (1 - at_least / 100)) ** 0.5)
+
+
 def shingle_sets(words: Words, n: int = WORDS) -> list[np.ndarray]:
     """For every text the sorted hashes of its distinct runs of ``n`` words; of all its words if there are fewer."""
     runs, out = grams(words.hashes, n), []
@@ -69,12 +87,11 @@ def sketch(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
     return out
 
 
-def bands(sketches: np.ndarray, n_bands: int = BANDS) -> np.ndarray:
+def bands(sketches: np.ndarray) -> np.ndarray:
     """A key for each band of each sketch; keys of different bands differ."""
-    rows = sketches.shape[1] // n_bands
-    parts = sketches.reshape(len(sketches), n_bands, rows)
-    keys = np.broadcast_to(np.arange(1, n_bands + 1, dtype=np.uint64) * GOLD, parts.shape[:2]).copy()
-    for r in range(rows):
+    parts = sketches.reshape(len(sketches), -1, ROWS)
+    keys = np.broadcast_to(np.arange(1, parts.shape[1] + 1, dtype=np.uint64) * GOLD, parts.shape[:2]).copy()
+    for r in range(ROWS):
         keys = mix(keys * GOLD + mix(parts[:, :, r]))
     return keys
 
@@ -90,18 +107,18 @@ def similar(a: np.ndarray, b: np.ndarray, at_least: int = AT_LEAST) -> bool:
     return 100 * both >= at_least * (len(a) + len(b) - both)
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch], per_set: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             sets = shingle_sets(Words(part.column("text"), lower=True))
             full = [i for i, s in enumerate(sets) if len(s)]
-            keys = np.zeros((len(sets), BANDS), dtype=np.int64)
-            low = np.zeros((len(sets), BINS), dtype=np.uint8)
+            keys = np.zeros((len(sets), per_set), dtype=np.int64)
+            low = np.zeros((len(sets), per_set * ROWS), dtype=np.uint8)
             if full:
-                drawn = sketch([sets[i] for i in full])
+                drawn = sketch([sets[i] for i in full], per_set * ROWS)
                 keys[full], low[full] = bands(drawn).view(np.int64), drawn.astype(np.uint8)
             some = pa.array([len(s) == 0 for s in sets])
-            offsets = pa.array(np.arange(0, (len(sets) + 1) * BANDS, BANDS, dtype=np.int32))
+            offsets = pa.array(np.arange(0, (len(sets) + 1) * per_set, per_set, dtype=np.int32))
             digests = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
@@ -109,14 +126,10 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([r.tobytes() for r in low], pa.binary())], names=["doc_id", "n_shingles", "digest", "bands", "bins"])
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, band keys and the low byte of every bin; the last three null or empty without words."""
+def sketches(docs: DataFrame, per_set: int) -> DataFrame:
+    """doc_id, n_shingles, digest of the set, ``per_set`` band keys and the low byte of every bin; the last three null or empty without words."""
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_sketched, "doc_id long, n_shingles long, digest binary, bands array<long>, bins binary")
-
-
-#: Bins in which a pair of similarity 0.85 agrees at least: 119 of 140 on average with a standard deviation of 4.2; this is 6.4 of these below.
-CLOSE = round(BINS * AT_LEAST / 100 - 6.4 * (BINS * AT_LEAST / 100 * (1 - AT_LEAST / 100)) ** 0.5)
+    return rows.mapInArrow(partial(_sketched, per_set=per_set), "doc_id long, n_shingles long, digest binary, bands array<long>, bins binary")
 
 
 class Forest:
@@ -138,13 +151,13 @@ class Forest:
         return [(node, nodes[root]) for i, node in enumerate(nodes) if (root := self.find(i)) != i]
 
 
-def close_rows(bins: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def close_rows(bins: np.ndarray, blocks: np.ndarray, at_least: int) -> Iterator[tuple[int, np.ndarray]]:
     """For every row i the later rows whose sketches are close; of two different blocks, pairs across only."""
-    cross = blocks[0] != blocks[-1]
+    cross, enough = blocks[0] != blocks[-1], close(at_least, bins.shape[1])
     for i in range(len(bins) - 1):
         at = np.flatnonzero(blocks[i + 1:] != blocks[i]) + i + 1 if cross else np.arange(i + 1, len(bins))
         if len(at):
-            yield i, at[(bins[at] == bins[i]).sum(axis=1) >= CLOSE]
+            yield i, at[(bins[at] == bins[i]).sum(axis=1) >= enough]
 
 
 def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -166,18 +179,18 @@ def _groups(batches: Iterator[pa.RecordBatch], text: bool) -> Iterator[list[tupl
         yield sorted(held, key=lambda r: r[0])
 
 
-def _look_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _look_alike(batches: Iterator[pa.RecordBatch], at_least: int) -> Iterator[pa.RecordBatch]:
     """Of the rows of a bucket, a forest over the pairs with close sketches: a row a node at most, never the pairs."""
     found: list[tuple[int, int]] = []
     for held in _groups(batches, text=False):
         nodes = [r[1] for r in held]
         bins = np.frombuffer(b"".join(r[2] for r in held), dtype=np.uint8).reshape(len(held), -1)
         if len(held) == 2:
-            if (bins[0] == bins[1]).sum() >= CLOSE:
+            if (bins[0] == bins[1]).sum() >= close(at_least, bins.shape[1]):
                 found.append((nodes[0], nodes[1]))
         else:
             forest = Forest(len(held))
-            for i, at in close_rows(bins, np.array([r[0] for r in held])):
+            for i, at in close_rows(bins, np.array([r[0] for r in held]), at_least):
                 for j in at.tolist():
                     forest.union(i, j)
             found += forest.edges(nodes)
@@ -187,15 +200,15 @@ def _look_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _edges(found)
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterator[pa.RecordBatch], at_least: int) -> Iterator[pa.RecordBatch]:
     """Of the documents of a group, a forest over the links confirmed on full sets."""
     for held in _groups(batches, text=True):
         nodes = [r[1] for r in held]
         bins = np.frombuffer(b"".join(r[2] for r in held), dtype=np.uint8).reshape(len(held), -1)
         sets, forest = shingle_sets(Words(pa.array([r[3] for r in held]), lower=True)), Forest(len(held))
-        for i, at in close_rows(bins, np.array([r[0] for r in held])):
+        for i, at in close_rows(bins, np.array([r[0] for r in held]), at_least):
             for j in at.tolist():
-                if forest.find(i) != forest.find(j) and similar(sets[i], sets[j]):
+                if forest.find(i) != forest.find(j) and similar(sets[i], sets[j], at_least):
                     forest.union(i, j)
         yield _edges(forest.edges(nodes))
 
@@ -213,11 +226,11 @@ def blocked(rows: DataFrame, size: int) -> DataFrame:
     return blocks.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, at_least: int = AT_LEAST) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept.
 
     Words are runs of other characters than blank and \\t to \\r, A-Z in lower case; a document's set is its distinct runs of five words, with fewer words
-    all of them as one run. Documents with 100 * intersection >= 85 * union are linked; component_id is the smallest doc_id that links reach, kept
+    all of them as one run. Documents with 100 * intersection >= ``at_least`` * union are linked; component_id is the smallest doc_id that links reach, kept
     says whether it is the document's own. Null and empty texts and those of white space have no shingles and link with nothing.
     A null doc_id sorts last and is reported as null; rows that repeat a doc_id are one name, so with different texts they share their links. Empty table: no rows.
 
@@ -226,18 +239,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     most: no link that banding proposes is lost, and nobody lists the pairs of a group.
     """
     name = F.coalesce("doc_id", F.lit(LAST))
-    drawn = materialise(sketches(docs).withColumn("doc_id", name), "sketches")
+    drawn = materialise(sketches(docs, n_bands(at_least)).withColumn("doc_id", name), "sketches")
     classes = materialise(drawn.where("n_shingles > 0").groupBy("digest").agg(
         F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("bins").alias("bins")), "classes")
     # keys alone are exchanged; few of them are shared, and only those rows get their sketches
     keys = classes.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    alike = blocked(keys.join(shared, "key").join(classes.select("node", "bins"), "node"), BLOCK).mapInArrow(_look_alike, "a long, b long")
+    alike = blocked(keys.join(shared, "key").join(classes.select("node", "bins"), "node"), BLOCK).mapInArrow(partial(_look_alike, at_least=at_least), "a long, b long")
     clusters = materialise(components(alike).withColumnRenamed("component", "key"), "clusters")
     sizes = clusters.groupBy("key").agg(F.count("*").alias("n"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     members = clusters.join(sizes, "key").join(classes.select("node", "bins"), "node").join(texts, "node")
-    links = blocked(members, GROUP).mapInArrow(_verified, "a long, b long")
+    links = blocked(members, GROUP).mapInArrow(partial(_verified, at_least=at_least), "a long, b long")
     labels = components(links)
     classes = classes.join(labels, "node", "left").select(F.col("digest").alias("of"), F.coalesce("component", "node").alias("component"))
     out = drawn.join(classes, drawn["digest"] == classes["of"], "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -245,12 +258,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                       (F.col("doc_id") == F.col("component")).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, at_least: int = AT_LEAST) -> DataFrame:
     """``docs`` without the documents that a smaller doc_id of their group stands for; of rows that repeat a doc_id and a text, one stays.
 
     The columns of ``docs`` are returned as they are.
     """
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = near_duplicates(docs, at_least).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
     ids = docs.agg(F.count("*").alias("n"), F.countDistinct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).alias("d")).first()
     return rows if ids["n"] == ids["d"] else rows.dropDuplicates(["doc_id", "text"])

@@ -8,7 +8,7 @@ import corpus_pipeline
 from pavilion.llm.common import table
 from pavilion.session import materialise
 
-from .edge import empty_documents, odd_documents, rows
+from .edge import documents, empty_documents, odd_documents, rows
 from .test_minhash import brute as near
 from .test_mixing import check as mixed
 from .test_packing import check as packed
@@ -67,6 +67,17 @@ def test_one_of_each_group_stays(steps):
     assert all(text[r["doc_id"]] == r["text"] for r in after.collect())
 
 
+def test_pairs_below_the_query_threshold_go(spark):
+    words = [[f"w{i}x{k}" for k in range(104)] for i in range(60)]
+    texts = {}
+    for i, own in enumerate(words):  # 100 runs of five words; k words less at the end and k others leave 100 - k in common
+        k = (10, 11, 12, 8)[i % 4]  # similarities 0.818, 0.802, 0.786, 0.852
+        texts[i], texts[100 + i] = " ".join(own), " ".join([*own[:-k], *(f"v{i}x{j}" for j in range(k))])
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    kept = {r["doc_id"] for r in stage(spark, documents(spark, [(i, t, "en", "a", 1) for i, t in texts.items()]), SF).collect()}
+    assert kept == {*range(60), *(100 + i for i in range(60) if i % 4 == 2)}
+
+
 def test_no_personal_data_is_left(steps):
     before, after = steps["personal_data"]
     old, new = ({r["doc_id"]: r for r in df.collect()} for df in (before, after))
