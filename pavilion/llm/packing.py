@@ -70,7 +70,7 @@ class Encoder:
     The pre-tokens of such a file never run across the place before a single blank or around a single line end between
     non-blanks, so the ids of a text are those of its words, each led by its blank or line end. Every different word goes through the
     tokenizer once; a batch is then put together from the ids of its different words, found by a 64-bit hash. Texts with any other
-    white space go through the tokenizer whole.
+    white space or with the string of an added token, which is a single id wherever it stands, go through the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -80,9 +80,10 @@ class Encoder:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
             sentence = [bool(re.search(r"[.!?\n][\"')\]]*$", tokenizer.decode([i], skip_special_tokens=False))) for i in range(tokenizer.get_vocab_size())]
-            kept[path] = {"tokenizer": tokenizer, "sentence": np.array(sentence)}
+            added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+            kept[path] = {"tokenizer": tokenizer, "sentence": np.array(sentence), "added": re.compile("|".join(map(re.escape, added)) or "(?!)"),
+                          "spaced": any(re.search(r"\s", t) for t in added)}
         self.kept = kept[path]
         self.tokenizer, self.sentence = self.kept["tokenizer"], self.kept["sentence"]
         self.line_end, = self.tokenizer.encode("\n", add_special_tokens=False).ids
@@ -107,8 +108,9 @@ class Encoder:
         for lead, some in ((" ", new[~line[at[new]]]), ("", new[line[at[new]]])):
             places = zip(words.start[at[some]].tolist(), words.end[at[some]].tolist())
             found = [words.data[a:b].tobytes().decode() for a, b in places]
-            if re.search(r"[^\S\n]", "\n".join(found)):  # other white space than a byte's
-                bad = np.array([w.split() != [w] for w in found])
+            added, joined = self.kept["added"], "\n".join(found)
+            if re.search(r"[^\S\n]", joined) or added.search(joined):  # other white space than a byte's, or an added token
+                bad = np.array([w.split() != [w] or added.search(w) is not None for w in found])
                 odd, some, found = np.concatenate([odd, some[bad]]), some[~bad], [w for w, b in zip(found, bad) if not b]
             if found:
                 ids, size = self._words(found, lead)
@@ -118,6 +120,8 @@ class Encoder:
         return known.start[place] if len(known.keys) else place, np.where(there, known.size[place] if len(known.keys) else 0, 0), odd
 
     def __call__(self, texts: pa.StringArray) -> list[np.ndarray]:
+        if self.kept["spaced"]:  # an added token may run across words
+            return self._ids(texts.to_pylist())
         words = Words(texts)
         n, offsets, first = len(texts), words.offsets, words.first
         count = np.diff(first)

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from pavilion.llm import packing
 from pavilion.llm.common import table
 
-from .edge import empty_documents, odd_documents, rows
+from .edge import documents, empty_documents, odd_documents, rows
 
 
 @pytest.fixture(scope="module")
@@ -90,6 +90,17 @@ def test_encoder_is_the_tokenizer(texts):
     assert [x.tolist() for x in encoder(pa.array(texts))] == [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_are_the_tokenizers(spark):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} b", f"x{mark}y z x", mark, f"{mark}{mark}\n{mark} end", f"no{mark[:-1]} >", f" {mark}\n", "x y z", f"a\t{mark}"]
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for _ in range(2):  # the second time words are known
+        assert [x.tolist() for x in encoder(pa.array(texts))] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    docs = documents(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)])
+    check(rows(packing.pack(docs)), list(enumerate(texts)), plain)
+
+
 def cost(at, penalty, ends, size):
     total, before = 0, 0
     for j in ends:
