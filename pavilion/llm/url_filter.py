@@ -30,7 +30,7 @@ class Rule:
 RULES = (Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"),
          Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"))
 
-#: Labelled URLs that the trees are fitted on, at most about so many (a hash of the URL chooses); statistics of suffixes use the same.
+#: Labelled rows that the trees are fitted on, at most about so many, half of each label; a hash of the row chooses. Statistics use all rows.
 SAMPLE = 20_000
 FEATURES = ("length", "host_length", "depth", "digit_ratio", "entropy", "parameters", "labels", "hyphens", "query_length",
             "longest_label", "suffix_rate", "directory_rate")
@@ -82,7 +82,7 @@ def lexical(urls: DataFrame) -> DataFrame:
 
 
 def _rates(labelled: DataFrame, by: str, prior: float) -> DataFrame:
-    """Share of blocked URLs a value, drawn towards the share of all; fitted on the bounded sample, so it has SAMPLE rows at most."""
+    """Share of blocked URLs a value, over all labelled rows, drawn towards the share of all."""
     return labelled.groupBy(F.col(by).alias(f"{by}_of")).agg(
         ((F.sum("label") + F.lit(5.0 * prior)) / (F.count("*") + F.lit(5.0))).alias(f"{by}_rate"))
 
@@ -98,7 +98,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, sample: int = SAMPLE,
     """One row a page: page_id, host, path, rule, verdict, score (probability of a block by the trees).
 
     The longest fitting rule decides. URLs that a rule fits are the labelled ones; gradient-boosted trees are fitted on a sample of
-    at most about ``sample`` of them, chosen by a hash of the URL, and decide the others: block from 0.5 on. Without labelled URLs of both kinds
+    at most about ``sample`` of them and decide the others: block from 0.5 on. A hash of page_id and URL chooses from each label up to half of
+    the sample, and a chosen row weighs as much as the rows that it stands for. Rates of suffixes and directories count all labelled rows. Without labelled URLs of both kinds
     there is nothing to learn: the others get the only label there is, or allow. Null URLs and those without ``://`` have empty host
     and path, fit no rule and are judged by the trees as an empty URL. Repeated rows stay. Empty table: no rows.
     """
@@ -114,13 +115,15 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, sample: int = SAMPLE,
         return urls.select("page_id", "host", "path", "rule", F.coalesce("given", F.lit(rest)).alias("verdict"),
                            F.lit(1.0 if rest == "block" else 0.0).alias("score"))
     grain = 1 << 20
-    chosen = F.pmod(F.xxhash64("url"), F.lit(grain)) < F.lit(min(grain, sample * grain // n + 1))
-    train = materialise(lexical(known.where(chosen)), "labelled")
+    shares = [min(grain, sample * grain // int(2 * m) + 1) for m in (n - blocked, blocked)]
+    share = F.when(F.col("label") == 0, F.lit(shares[0])).otherwise(F.lit(shares[1]))
+    known = lexical(known).withColumn("weight", F.lit(float(grain)) / share)
+    train = materialise(known.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(grain)) < share), "labelled")
     prior = float(blocked) / n
-    suffixes, directories = (materialise(_rates(train, by, prior), by) for by in ("suffix", "directory"))
+    suffixes, directories = (materialise(_rates(known, by, prior), by) for by in ("suffix", "directory"))
     model: GBTClassificationModel = GBTClassifier(
-        labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, seed=7, checkpointInterval=-1,
-    ).fit(_features(train, suffixes, directories, prior).select("features", "label"))
+        labelCol="label", featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth, seed=7, checkpointInterval=-1,
+    ).fit(_features(train, suffixes, directories, prior).select("features", "label", "weight"))
     scored = model.transform(_features(lexical(urls), suffixes, directories, prior))
     score = F.element_at(vector_to_array("probability"), 2)
     return scored.select("page_id", "host", "path", "rule", F.coalesce("given", F.when(score >= 0.5, "block").otherwise("allow")).alias("verdict"),

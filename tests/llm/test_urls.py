@@ -70,6 +70,32 @@ def test_trees_learn_lexical_features(spark):
     assert found == {r["page_id"]: r["verdict"] for r in rows(url_filter.judge(pages))}
 
 
+def test_statistics_and_labels_outside_the_sample(spark, monkeypatch):
+    seen, fitted = {}, []
+    plain_rates, plain_features = url_filter._rates, url_filter._features
+
+    def rates(labelled, by, prior):
+        out = plain_rates(labelled, by, prior)
+        seen[by] = {r[f"{by}_of"]: r[f"{by}_rate"] for r in out.collect()}
+        return out
+
+    def features(urls, *rest):
+        fitted.append(urls)
+        return plain_features(urls, *rest)
+
+    monkeypatch.setattr(url_filter, "_rates", rates)
+    monkeypatch.setattr(url_filter, "_features", features)
+    urls = [f"http://h.d{i % 400}.org/s{i % 400}/{i}" for i in range(4000)] + ["http://same.org/x"] * 2000 + [f"http://q{i}.com/de/{i}" for i in range(3)]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert url_filter.judge(pages, sample=200).count() == len(urls)
+    prior = 3 / len(urls)
+    assert all(abs(seen["suffix"][f"d{k}.org"] - 5 * prior / 15) < 1e-12 for k in range(400))
+    assert all(f"s{k}" in seen["directory"] for k in range(400)) and seen["directory"]["de"] > 0.3
+    train = [(r["label"], r["url"]) for r in fitted[0].collect()]
+    assert sum(label for label, _ in train) == 3 and len(train) < 200
+    assert 0 < sum(u == "http://same.org/x" for _, u in train) < 100
+
+
 def test_entropy(spark):
     texts = ["", "aaaa", "abab", "abcd", quote("ä%.*[")]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(url_filter.entropy(url_filter.F.col("t")))
