@@ -85,12 +85,16 @@ def forest(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return root
 
 
-def tile(ids: np.ndarray, copies: np.ndarray, blocks: np.ndarray, unit: np.ndarray, at_least: float) -> pa.RecordBatch:
-    """A tile's links, summed up: for every linked row its number of partners here and the smallest id it reaches here."""
+def tile(ids: np.ndarray, copies: np.ndarray, blocks: np.ndarray, unit: np.ndarray, at_least: float, same: bool) -> pa.RecordBatch:
+    """A tile's links, summed up: for every linked row its number of partners here and the smallest id it reaches here.
+
+    ``same``: the tile is one block against itself. A tile of two blocks of which one has no rows has no links.
+    """
     order = np.lexsort((ids, blocks))
     ids, copies, blocks, unit = ids[order], copies[order], blocks[order], unit[order]
     split = int(np.searchsorted(blocks, blocks[0], side="right"))
-    same = split == len(blocks)
+    if not same and split == len(blocks):
+        split, ids, copies, unit = 0, ids[:0], copies[:0], unit[:0]
     count, pairs = np.zeros(len(ids), dtype=np.int64), []
     offset = 0 if same else split
     for x, y in links(unit[:split], unit if same else unit[split:], at_least, same):
@@ -135,13 +139,14 @@ def link_vectors(vectors: DataFrame, at_least: float = 0.95, block_rows: int = B
     tiles = tiles.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.size("wide").alias("width"),
                          "rep", "copies", "block", "wide")
 
-    def compare(table: pa.Table) -> pa.Table:
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         values = table.column("wide").combine_chunks()
         ids = table.column("rep").to_numpy()
         unit = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
         unit = unit / np.abs(unit).max(axis=1, keepdims=True)
         unit = unit / np.sqrt(np.einsum("ij,ij->i", unit, unit))[:, None]
-        return pa.Table.from_batches([tile(ids, table.column("copies").to_numpy(), table.column("block").to_numpy(), unit, at_least)])
+        return pa.Table.from_batches([tile(ids, table.column("copies").to_numpy(), table.column("block").to_numpy(), unit, at_least,
+                                           key[0].as_py() == key[1].as_py())])
 
     found = tiles.groupBy("low", "high", "width").applyInArrow(compare, "a long, n long, b long")
     found = materialise(found, "links")

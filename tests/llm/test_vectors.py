@@ -113,6 +113,15 @@ def test_links_of_groups(spark, block):
     assert found_links(embed_dedup.link_vectors(vectors(spark, data), block_rows=block)) == brute_links(data)
 
 
+def test_links_of_rare_widths(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=16)
+    data = [(i, [float(x) for x in (centre + rng.normal(size=16) * 0.05).astype(np.float32)]) for i in range(120)]
+    for k, width in enumerate((2, 3, 5)):  # fewer vectors than blocks, so many blocks have none
+        data += [(1000 + 10 * k + i, [1.0] * (width - 1) + [1.0 + i / 64]) for i in range(4)]
+    assert found_links(embed_dedup.link_vectors(vectors(spark, data), block_rows=10)) == brute_links(data)
+
+
 def test_error_bound_holds():
     rng = np.random.default_rng(6)
     unit = rng.normal(size=(400, 64)) * rng.random((400, 1))
