@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embed_dedup, language, minhash, mixing, packing, personal, phrases, topk, url_filter, warc
+from . import embed_dedup, language, minhash, mixing, packing, personal, phrases, records, repair, runs, topk, url_filter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +54,30 @@ def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeated(table(spark, sf_dir, "documents"))
 
 
+def run_digests(docs: DataFrame) -> DataFrame:
+    """What find_runs() says of the planted documents, in a few numbers and hashes a document."""
+    found = runs.find_runs(runs.planted(docs))
+    # of the longest the first, and of these the one with the smallest period
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), top.alias("top"), F.sha2(lines, 256).alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.period")).alias("period"),
+                       F.floor(1000 * F.col("top.length") / -F.col("top.period")).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.round_trip(table(spark, sf_dir, "documents"))
+
+
+def _repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report_all(table(spark, sf_dir, "conversations"))
+
+
 def _position_sql(share: str) -> str:
     """The inverse of the schedules in SQL, from the same constants."""
     def inverse(schedule: mixing.Schedule) -> str:
@@ -126,6 +151,106 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id =
 FROM embeddings JOIN groups ON vec_id = groups.a LEFT JOIN counts ON vec_id = counts.a
 """
 
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII string in SQL, by the table of CTE ``crc``."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, crc_steps[xor(c & 255, b) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
+_CRC_TABLE = """crc AS (
+  SELECT list(list_reduce([1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT) ORDER BY i) AS crc_steps
+  FROM range(256) r(i))"""
+
+_RUNS_SQL = rf"""
+WITH {_CRC_TABLE},
+texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, row_number() OVER () AS row, {_crc32_sql("doc_id::VARCHAR")} AS h FROM documents, crc),
+places AS (SELECT *, CAST(len(words) AS BIGINT) AS n, h // 10 AS g, CASE WHEN len(words) > 0 THEN (h // 10) % len(words) END AS a FROM texts),
+chosen AS (SELECT *, h % 10 = 0 AND n > 0 AS hit, 1 + (n - a) // (3 + g % 8) AS p FROM places),
+docs AS (
+  SELECT doc_id, row, n, CASE WHEN hit THEN list_transform(range(n), lambda i: words[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE words END AS words FROM chosen),
+fives AS (
+  SELECT row, n, unnest(range(n - 4)) AS i, unnest(list_transform(range(n - 4), lambda i: hash(words[i + 1:i + 5]))) AS five FROM docs WHERE n >= {runs.LEAST_LENGTH}),
+pairs AS (
+  SELECT x.row, x.i, y.i - x.i AS period FROM fives x JOIN fives y ON x.row = y.row AND x.five = y.five AND y.i > x.i AND y.i - x.i <= x.n // {runs.LEAST_EXPONENT}),
+islands AS (SELECT row, period, i, i - row_number() OVER (PARTITION BY row, period ORDER BY i) AS island FROM pairs),
+stretches AS (SELECT row, period, min(i) AS start, count(*) + 4 + period AS length FROM islands GROUP BY row, period, island),
+found AS (
+  SELECT row, start, length, min(period) AS period FROM stretches
+  WHERE length >= greatest({runs.LEAST_LENGTH}, {runs.LEAST_EXPONENT} * period) GROUP BY row, start, length),
+listed AS (
+  SELECT row, count(*) AS n_runs, list({{'start': start, 'length': length, 'period': period}} ORDER BY length DESC, start, period)[1] AS top,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+         list(list_value(start + period, start + length)) AS gone FROM found GROUP BY row),
+kept AS (
+  SELECT docs.row, doc_id, n_runs, top, lines,
+         CASE WHEN gone IS NULL THEN words ELSE list_filter(words, lambda w, i: len(list_filter(gone, lambda r: i > r[1] AND i <= r[2])) = 0) END AS words
+  FROM docs LEFT JOIN listed ON docs.row = listed.row)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(top.start AS BIGINT) AS start, CAST(top.length AS BIGINT) AS length, CAST(top.period AS BIGINT) AS period,
+       CAST(1000 * top.length // top.period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+       sha256(coalesce(array_to_string(words, ' '), '')) AS collapsed_sha256
+FROM kept
+"""
+
+_REPAIR_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS damage FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role,
+         CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN damage = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM given WHERE damage <> 0),
+turns AS (
+  SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS said,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, left(role, 1) AS c, left(lag(role) OVER w, 1) AS c_before
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text), copy)),
+judged AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank' WHEN said > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'fine' END AS fault FROM turns),
+priced AS (SELECT *, CASE fault WHEN 'truncated' THEN {repair.TRUNCATED} ELSE 0 END AS t, fault IN ('blank', 'duplicate') AS gone FROM judged),
+totals AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 0 AND c_before || c NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS n FROM judged GROUP BY conv_id),
+costs AS (  -- before turn i: least cost to the end with nothing yet, after the system turn, a user's, an assistant's; v is closed under insertion
+  SELECT conv_id, n AS i, [0, {2 * repair.INSERT}, {repair.INSERT}, 0]::BIGINT[] AS v FROM totals
+  UNION ALL
+  SELECT conv_id, i, [least(b[1], {repair.INSERT} + least(b[3], {repair.INSERT} + b[4])), least(b[2], {repair.INSERT} + least(b[3], {repair.INSERT} + b[4])),
+                      least(b[3], {repair.INSERT} + b[4]), least(b[4], {repair.INSERT} + b[3])]
+  FROM (SELECT r.conv_id, r.i, CASE WHEN gone THEN list_transform(v, lambda x: x + {repair.DELETE}) ELSE [
+          least({repair.DELETE} + v[1], {repair.REROLE} + t + v[3], CASE c WHEN 's' THEN t + v[2] WHEN 'u' THEN t + v[3] END),
+          least({repair.DELETE} + v[2], {repair.REROLE} + t + v[3], CASE c WHEN 'u' THEN t + v[3] END),
+          least({repair.DELETE} + v[3], {repair.REROLE} + t + v[4], CASE c WHEN 'a' THEN t + v[4] END),
+          least({repair.DELETE} + v[4], {repair.REROLE} + t + v[3], CASE c WHEN 'u' THEN t + v[3] END)] END AS b
+        FROM costs JOIN priced r ON r.conv_id IS NOT DISTINCT FROM costs.conv_id AND r.i = costs.i - 1)),
+walked AS (  -- state s from 1; the least letter of those on a cheapest path
+  SELECT conv_id, 0::BIGINT AS i, 1 AS s, '' AS audit, NULL::VARCHAR AS out, false AS done FROM totals
+  UNION ALL
+  SELECT conv_id, i + CASE WHEN letter IN ('D', 'K', 'R') THEN 1 ELSE 0 END,
+         CASE letter WHEN 'D' THEN s WHEN 'K' THEN CASE c WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END WHEN '' THEN s ELSE CASE s WHEN 3 THEN 4 ELSE 3 END END,
+         audit || letter,
+         CASE WHEN letter IN ('D', '') THEN out ELSE concat_ws(chr(10), out, CASE letter WHEN 'K' THEN role || ':' || text
+              ELSE CASE s WHEN 3 THEN 'assistant' ELSE 'user' END || ':' || CASE letter WHEN 'R' THEN text ELSE '' END END) END,
+         letter = ''
+  FROM (SELECT w.*, r.role, r.text, r.c,
+               CASE WHEN r.i IS NULL THEN CASE WHEN s IN (1, 4) THEN '' ELSE 'I' END
+                    WHEN {repair.DELETE} + after.v[s] = here.v[s] THEN 'D'
+                    WHEN {repair.INSERT} + here.v[CASE s WHEN 3 THEN 4 ELSE 3 END] = here.v[s] THEN 'I'
+                    WHEN NOT gone AND CASE WHEN r.c = 's' AND s = 1 THEN t + after.v[2] WHEN r.c = 'u' AND s <> 3 THEN t + after.v[3] WHEN r.c = 'a' AND s = 3 THEN t + after.v[4] END = here.v[s] THEN 'K'
+                    ELSE 'R' END AS letter
+        FROM walked w JOIN costs here ON here.conv_id IS NOT DISTINCT FROM w.conv_id AND here.i = w.i
+        LEFT JOIN priced r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i
+        LEFT JOIN costs after ON after.conv_id IS NOT DISTINCT FROM w.conv_id AND after.i = w.i + 1
+        WHERE NOT done)),
+ends AS (SELECT conv_id, audit, out FROM walked WHERE done),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(costs.v[1], 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(out, '')) AS repaired_sha256
+FROM ids LEFT JOIN totals ON ids.conv_id IS NOT DISTINCT FROM totals.conv_id
+LEFT JOIN costs ON ids.conv_id IS NOT DISTINCT FROM costs.conv_id AND costs.i = 0
+LEFT JOIN ends ON ids.conv_id IS NOT DISTINCT FROM ends.conv_id
+"""
+
 #: Name: (query, SQL twin or None). Those without one are held against brute force in tests/llm.
 ENTRIES: dict[str, tuple[Query, str | None]] = {
     "op1_packing": (_packing, None),
@@ -138,4 +263,7 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "op8_url_filter": (_url_filter, None),
     "op9_warc": (_warc, None),
     "op10_repeated_phrases": (_phrases, None),
+    "op11_periodic_runs": (_runs, _RUNS_SQL),
+    "op12_token_records": (_records, None),
+    "op13_conversation_repair": (_repair, _REPAIR_SQL),
 }
