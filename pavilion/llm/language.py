@@ -9,11 +9,13 @@ its code length in each language is worked out once, and a text is scored with o
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,10 @@ SAMPLE = 3_000
 #: Share of remainders of crc32(doc_id) modulo HELD_OF that is never learned from.
 HELD_OF, HELD = 3, 1
 UNKNOWN = "und"
-#: A text that costs more than this many bits a byte in every language is in none of them: storing it raw is shorter.
-MOST_BITS = 8.0
+#: So many labels are learned at most, those with the most rows (ties: the first by name); a label of the others is as good as none.
+MOST_LABELS = 256
+#: A text is in none of the languages if more than this share of its letters was never learned from: another script.
+MOST_UNSEEN = 0.5
 
 
 def held_out(doc_id: Column) -> Column:
@@ -164,20 +168,20 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                                      names=["lang", "depth", "gram", "n"])
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Trees of all languages among the labelled rows that aren't held out; None if there are none.
+def train(docs: DataFrame, sample: int = SAMPLE, most_labels: int = MOST_LABELS) -> Model | None:
+    """Trees of the languages among the labelled rows that aren't held out; None if there are none.
 
-    About ``sample`` documents a language are learned from, whole. The counts of their grams are summed up by Spark; what comes to the
-    driver is bounded by the sample.
+    The ``most_labels`` labels with the most rows are learned, about ``sample`` documents each, whole. The counts of their grams are summed
+    up by Spark; what comes to the driver is bounded by the two.
     """
     rows = small_batches(docs).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("doc_id"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_labels).collect()}
     if not sizes:
         return None
     grain = 1 << 20
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(grain, sample * grain // n + 1))])
-    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(grain)) < share[F.col("lang")])
+    rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(grain)) < share[F.col("lang")])
     counts = rows.select("lang", F.lower("text").alias("text")).mapInArrow(_counted, "lang string, depth int, gram long, n long")
     counts = counts.groupBy("lang", "depth", "gram").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(sizes)
@@ -187,17 +191,40 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     return learn(languages, {k: (gram[depth == k].astype(np.uint32), lang[depth == k], n[depth == k]) for k in range(ORDER + 1)})
 
 
+def unseen(trees: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For every text the share of its letters that no language has learned; characters of one byte count as learned.
+
+    A character of several bytes is learned if it is a gram of that many bytes. Texts with no other are not decoded.
+    """
+    out = np.zeros(len(offsets) - 1)
+    head = np.flatnonzero(data >= 0xC0)
+    size = 2 + (data[head] >= 0xE0) + (data[head] >= 0xF0)
+    full = keys(data, offsets, 3) if len(head) else np.zeros(0, dtype=np.uint32)
+    new = np.zeros(len(head), dtype=bool)
+    for n in (2, 3, 4):
+        some = np.flatnonzero(size == n)
+        if len(some) and n <= len(trees.levels):
+            gram = full[head[some] + n - 1] & np.uint32((1 << 8 * n) - 1)
+            new[some] = trees.levels[n - 1].find(gram) < 0
+    strange = {data[a:a + n].tobytes().decode() for a, n in zip(head[new].tolist(), size[new].tolist())}
+    for i in np.unique(np.searchsorted(offsets, head[new], side="right") - 1).tolist():
+        letters = [c for c in data[offsets[i]:offsets[i + 1]].tobytes().decode() if c.isalpha()]
+        out[i] = sum(c in strange for c in letters) / max(len(letters), 1)
+    return out
+
+
 def classify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with _lang (UNKNOWN without text or letter), _score and _bits (a byte, in the best language) added."""
+    """Columns ``keep`` of ``docs``, named _kept_0, _kept_1 and so on, with _lang (UNKNOWN without text or letter), _score and _unseen (unseen()) added."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    rows = small_batches(docs).select(*keep, F.lower(F.col("text").cast("string")).alias("_text"), F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(model))  # by value, so executors need not have the package
+    kept = [F.col(c).alias(f"_kept_{i}") for i, c in enumerate(keep)]
+    rows = small_batches(docs).select(*kept, F.lower(F.col("text").cast("string")).alias("_text"), F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = shared.value
+        trees = pickle.loads(shared.value)
         for batch in batches:
             for part in slices(batch, "_text", 1 << 20):
-                lang, score, cost = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows), np.zeros(part.num_rows)
+                lang, score, strange = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows), np.zeros(part.num_rows)
                 data, offsets = text_bytes(part.column("_text"))
                 asked = np.flatnonzero(np.array(part.column("_letters").to_pylist(), dtype=bool) & (np.diff(offsets) > 0))
                 if trees is not None and len(asked):
@@ -206,14 +233,14 @@ def classify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
                     best = sums.argmin(axis=1)
                     least = sums[np.arange(len(asked)), best]
                     score[asked] = 1 / np.exp2(np.maximum(least[:, None] - sums, -1000)).sum(axis=1)
-                    cost[asked] = least / np.diff(offsets)[asked]
+                    strange = unseen(trees, data, offsets)
                     for i, b in zip(asked, best):
                         lang[i] = trees.languages[b]
                 columns = [part.column(i) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score), pa.array(cost)],
-                                                 names=[*part.schema.names[:len(keep)], "_lang", "_score", "_bits"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score), pa.array(strange)],
+                                                 names=[*part.schema.names[:len(keep)], "_lang", "_score", "_unseen"])
 
-    schema = rows.select(*rows.columns[:len(keep)]).schema.add("_lang", "string").add("_score", "double").add("_bits", "double")
+    schema = rows.select(*rows.columns[:len(keep)]).schema.add("_lang", "string").add("_score", "double").add("_unseen", "double")
     return rows.mapInArrow(run, schema)
 
 
@@ -225,14 +252,17 @@ def predict(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     everything where nothing can be learned. Ties go to the first language by name. A null doc_id is not held out. Repeated rows stay. Empty table: no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = classify(rows, train(docs, sample), ["doc_id"])
+    found = classify(rows, train(docs, sample), ["doc_id"]).withColumnRenamed("_kept_0", "doc_id")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
-def keep_known(docs: DataFrame, most_bits: float = MOST_BITS) -> DataFrame:
-    """``docs`` without texts that have no letter, or that cost more than ``most_bits`` bits a byte in every language.
+def keep_known(docs: DataFrame, most_unseen: float = MOST_UNSEEN) -> DataFrame:
+    """``docs`` without texts that have no letter, or most of whose letters are of a script that no learned text is written in.
 
-    The columns of ``docs`` are returned as they are, lang included: the label is the source's, the prediction only rejects.
+    How long a text's code is rejects nothing: prose on other subjects, code, tables of numbers or a rare language cost more bits than what was
+    learned from, however well they are written. The columns of ``docs`` are returned as they are, lang included: the label is the
+    source's, the prediction only rejects. Where nothing can be learned, nothing is known and all rows go.
     """
     found = classify(docs, train(docs), docs.columns)
-    return found.where((F.col("_lang") != UNKNOWN) & (F.col("_bits") <= most_bits)).select(*docs.columns)
+    kept = [F.col(f"_kept_{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return found.where((F.col("_lang") != UNKNOWN) & (F.col("_unseen") <= most_unseen)).select(*kept)

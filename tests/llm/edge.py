@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that operators use inside; a table may have them as well.
 CLASHING = ("size", "n", "node", "component", "label", "key", "digest", "taken", "anchor", "position", "rank", "share", "copies", "place", "tag", "words",
-            "features", "score", "first", "sha", "payload", "block", "other", "wide")
+            "features", "score", "first", "sha", "payload", "block", "other", "wide", "_text", "_letters", "_lang", "_bits",
+            "_kept_0", "_kept_5", "_score", "_unseen", "digest", "kind", "row", "turns", "tie", "ids", "runs", "collapsed", "w", "g", "p", "a")
 
 
 def with_clashes(df, of="documents"):

@@ -94,6 +94,58 @@ def test_filter_keeps_columns_and_clean_rows(spark):
     assert 4 in ids and 8 in ids and 1 not in ids and 3 not in ids
 
 
+PROSE = [
+    "The committee met on Thursday to review the annual budget, and members voted unanimously to approve it.",
+    "Mitochondria are organelles that generate most of the chemical energy needed to power a cell's reactions.",
+    "Q1 2023 revenue 14.2 17.9 (3.1) 22.4 | Q2 15.0 18.8 (2.2) 24.9 | Q3 16.1 19.7 (1.9) 27.3 | Q4 16.6 20.2 (1.4) 28.8",
+    "def fold(xs: list[int]) -> int:\n    total = 0\n    for x in xs:\n        total += x * x  # squares\n    return total\n",
+    "Kia ora koutou, ko te reo Māori te reo taketake o Aotearoa.", "1,024 2,048 4,096 8,192 16,384 rows", "OK", "<a href='x.html'>§ 7 – naïve façade…</a>",
+    "Zażółć gęślą jaźń, rzekł żółw do źdźbła.", "x = 東京 and the rest of this line is plain words about a city"]
+
+
+def test_unusual_texts_stay_and_other_scripts_go(spark):
+    """Texts unlike anything learned are kept whatever they cost; those in a script that nobody wrote are not."""
+    learned = table(spark, "/root/testdata/sf0.001", "documents")
+    strange = ["Комитет собрался в четверг, чтобы рассмотреть бюджет.", "東京は日本の首都です。", "12 34 :: --", "Η επιτροπή συνεδρίασε (EU) την Πέμπτη."]
+    extra = documents(spark, [(10**6 + i, t, "en" if i % 2 else None, "new", len(t)) for i, t in enumerate(PROSE)] +
+                      [(2 * 10**6 + i, t, None, "new", len(t)) for i, t in enumerate(strange)]).select(*learned.columns)
+    kept = {r["doc_id"] for r in language.keep_known(learned.unionByName(extra)).collect()}
+    assert {10**6 + i for i in range(len(PROSE))} <= kept
+    assert not kept & {2 * 10**6 + i for i in range(len(strange))}
+
+
+def test_clean_rows_that_were_not_learned_from_stay(spark):
+    """The trees of few documents keep all of a larger table; a language of few rows stays as well."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    few = docs.where("doc_id < 30")
+    rare = documents(spark, [(10**6 + i, f"Saluton mondo, ĉu vi ŝatas ĝardenojn numero {i}?", "eo", "rare", 1) for i in range(3)]).select(*docs.columns)
+    model = language.train(few.unionByName(rare))
+    found = language.classify(docs.where("text IS NOT NULL AND text RLIKE '[A-Za-z]'").unionByName(rare), model, ["doc_id"])
+    kept = found.where((found["_lang"] != language.UNKNOWN) & (found["_unseen"] <= language.MOST_UNSEEN)).count()
+    assert kept >= 0.999 * found.count() and found.where("_lang = 'eo'").count() == 3
+
+
+def test_labels_learned_are_bounded(spark):
+    dirty = documents(spark, [(i, f"label number {i} has its own text", f"x{i}", "a", 1) for i in range(40)] + [(100 + i, "und der die das", "de", "a", 1) for i in range(9)])
+    model = language.train(dirty, most_labels=5)
+    assert len(model.languages) == 5 and "de" in model.languages
+    assert len(language.train(dirty, most_labels=100).languages) > 20
+
+
+def test_model_travels_by_value(spark):
+    import pickle
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    model = language.train(documents(spark, [(1, "the house", "en", "a", 1), (2, "das haus", "de", "a", 1), (6, "ein haus", "de", "a", 1)]))
+    code = "import pickle, sys; m = pickle.loads(sys.stdin.buffer.read()); print(type(m).__name__, len(m.languages))"
+    done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(model), capture_output=True, cwd="/", env={"PYTHONPATH": ""})
+    assert done.stdout.split()[0] == b"Model", done.stderr
+    assert pickle.loads(cloudpickle.dumps(model)).languages == model.languages
+
+
 def test_table_of_keys():
     rng = np.random.default_rng(1)
     known = np.unique(rng.integers(0, 2**32, 5000, dtype=np.uint32))

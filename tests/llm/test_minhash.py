@@ -20,8 +20,8 @@ def shingles(text):
     return {tuple(words[i:i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
 
 
-def brute(texts):
-    """component of each document by all pairs that share a shingle; texts: {doc_id: text}."""
+def brute(texts, least=85):
+    """component of each document by all pairs that share a shingle; texts: {doc_id: text}, ``least``: hundredths of similarity."""
     sets, inverted, parent = {i: shingles(t) for i, t in texts.items()}, defaultdict(list), {i: i for i in texts}
 
     def find(x):
@@ -36,7 +36,7 @@ def brute(texts):
                 common[j] += 1
             inverted[s].append(i)
         for j, n in common.items():
-            if 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n):
+            if 100 * n >= least * (len(sets[i]) + len(sets[j]) - n):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), find(i)) for i in sets}

@@ -61,7 +61,7 @@ def test_language_keeps_clean_documents(steps):
 
 def test_one_of_each_group_stays(steps):
     before, after = steps["near_duplicates"]
-    want = near({r["doc_id"]: r["text"] for r in before.collect()})
+    want = near({r["doc_id"]: r["text"] for r in before.collect()}, corpus_pipeline.NEAR)
     assert {r["doc_id"] for r in after.collect()} == {i for i, (_, component) in want.items() if i == component}
     text = {r["doc_id"]: r["text"] for r in before.collect()}
     assert all(text[r["doc_id"]] == r["text"] for r in after.collect())
