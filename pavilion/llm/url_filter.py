@@ -32,6 +32,8 @@ RULES = (Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("
 
 #: Labelled rows that the trees are fitted on, at most about so many, half of each label; a hash of the row chooses. Statistics use all rows.
 SAMPLE = 20_000
+#: Rates of a labelled URL are worked out from the other ones of so many folds.
+FOLDS = 8
 FEATURES = ("length", "host_length", "depth", "digit_ratio", "entropy", "parameters", "labels", "hyphens", "query_length",
             "longest_label", "suffix_rate", "directory_rate")
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -66,11 +68,25 @@ def entropy(text: Column) -> Column:
     return F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0.0), lambda total, c: total + share(c))
 
 
-def lexical(urls: DataFrame) -> DataFrame:
-    """Adds the features that a URL alone gives, its suffix (last two labels of the host) and its first directory."""
-    url, host, path = F.coalesce("url", F.lit("")), F.col("host"), F.col("path")
-    labels = F.split(host, r"\.")
-    query = F.regexp_extract(url, r"\?([^#]*)", 1)
+def own_path(path: Column, rules: Sequence[Rule]) -> Column:
+    """``path`` after the longest directory that a rule's path names, whatever the rule's host.
+
+    Labels come from rules, so what a rule looks at must not be counted: the directory itself, and the depth and length that it adds.
+    """
+    out = path
+    for name in sorted({r.path[:r.path.rfind("/") + 1] for r in rules}, key=lambda d: (len(d), d)):
+        if len(name) > 1:
+            out = F.when(path.startswith(name), F.substr(path, F.lit(len(name)))).otherwise(out)  # its last slash stays
+    return out
+
+
+def lexical(urls: DataFrame, rules: Sequence[Rule] = ()) -> DataFrame:
+    """Adds the features that a URL alone gives, its suffix (last two labels of the host) and its first directory that no rule names."""
+    host, path = F.col("host"), F.col("path")
+    rest = F.substr(F.coalesce("url", F.lit("")), F.instr(F.coalesce("url", F.lit("")), "://") + F.length(host) + F.length(path) + 3)
+    urls = urls.withColumn("own", own_path(path, rules)).withColumn("counted", F.concat(host, "own", rest))
+    url, path, labels = F.col("counted"), F.col("own"), F.split(host, r"\.")
+    query = F.regexp_extract(rest, r"^\?([^#]*)", 1)
     return urls.withColumns({
         "length": F.length(url), "host_length": F.length(host),
         "depth": F.regexp_count(path, F.lit("/[^/]+")),
@@ -81,16 +97,33 @@ def lexical(urls: DataFrame) -> DataFrame:
         "suffix": F.substring_index(host, ".", -2), "directory": F.regexp_extract(path, "^/([^/]*)", 1)})
 
 
+def fold(url: Column) -> Column:
+    """Equal URLs lie in one fold."""
+    return F.pmod(F.xxhash64(url), F.lit(FOLDS)).cast("int")
+
+
 def _rates(labelled: DataFrame, by: str, prior: float) -> DataFrame:
-    """Share of blocked URLs a value, over all labelled rows, drawn towards the share of all."""
-    return labelled.groupBy(F.col(by).alias(f"{by}_of")).agg(
-        ((F.sum("label") + F.lit(5.0 * prior)) / (F.count("*") + F.lit(5.0))).alias(f"{by}_rate"))
+    """Share of blocked URLs a value and fold left out (-1: none), over all labelled rows, drawn towards the share of all.
+
+    A labelled URL takes the rate without its own fold, so that the rate of a value seen once says nothing about its label; others take the full one.
+    """
+    sums = labelled.groupBy(F.col(by).alias(f"{by}_of")).agg(
+        F.sum("label").alias("blocked"), F.count("*").alias("n"),
+        *[F.sum(F.when(fold(F.col("url")) == k, F.col("label")).otherwise(0.0)).alias(f"blocked_{k}") for k in range(FOLDS)],
+        *[F.count(F.when(fold(F.col("url")) == k, 1)).alias(f"n_{k}") for k in range(FOLDS)])
+
+    def rate(k: int, blocked: Column, n: Column) -> Column:
+        return F.struct(F.lit(k).alias(f"{by}_fold"), ((blocked + F.lit(5.0 * prior)) / (n + F.lit(5.0))).alias(f"{by}_rate"))
+
+    rates = [rate(-1, F.col("blocked"), F.col("n")), *[rate(k, F.col("blocked") - F.col(f"blocked_{k}"), F.col("n") - F.col(f"n_{k}")) for k in range(FOLDS)]]
+    return sums.select(f"{by}_of", F.inline(F.array(*rates)))
 
 
 def _features(urls: DataFrame, suffixes: DataFrame, directories: DataFrame, prior: float) -> DataFrame:
-    rows = urls.join(suffixes, urls["suffix"] == suffixes["suffix_of"], "left").drop("suffix_of")
-    rows = rows.join(directories, rows["directory"] == directories["directory_of"], "left").drop("directory_of")
-    rows = rows.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(prior if f.endswith("_rate") else 0.0)) for f in FEATURES})
+    """``urls`` says in ``fold`` which fold's labels a row may not see (-1: it has no label)."""
+    for by, rates in (("suffix", suffixes), ("directory", directories)):
+        urls = urls.join(rates, (urls[by] == rates[f"{by}_of"]) & (urls["fold"] == rates[f"{by}_fold"]), "left").drop(f"{by}_of", f"{by}_fold")
+    rows = urls.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(prior if f.endswith("_rate") else 0.0)) for f in FEATURES})
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
 
 
@@ -99,7 +132,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, sample: int = SAMPLE,
 
     The longest fitting rule decides. URLs that a rule fits are the labelled ones; gradient-boosted trees are fitted on a sample of
     at most about ``sample`` of them and decide the others: block from 0.5 on. A hash of page_id and URL chooses from each label up to half of
-    the sample, and a chosen row weighs as much as the rows that it stands for. Rates of suffixes and directories count all labelled rows. Without labelled URLs of both kinds
+    the sample, and a chosen row weighs as much as the rows that it stands for. Rates of suffixes and directories count all labelled rows,
+    but for a labelled row those of its own fold; the directories that rules name are left out of all features. Without labelled URLs of both kinds
     there is nothing to learn: the others get the only label there is, or allow. Null URLs and those without ``://`` have empty host
     and path, fit no rule and are judged by the trees as an empty URL. Repeated rows stay. Empty table: no rows.
     """
@@ -117,14 +151,16 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, sample: int = SAMPLE,
     grain = 1 << 20
     shares = [min(grain, sample * grain // int(2 * m) + 1) for m in (n - blocked, blocked)]
     share = F.when(F.col("label") == 0, F.lit(shares[0])).otherwise(F.lit(shares[1]))
-    known = lexical(known).withColumn("weight", F.lit(float(grain)) / share)
+    known = lexical(known, rules).withColumns({"weight": F.lit(float(grain)) / share, "fold": fold(F.col("url"))})
     train = materialise(known.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(grain)) < share), "labelled")
     prior = float(blocked) / n
     suffixes, directories = (materialise(_rates(known, by, prior), by) for by in ("suffix", "directory"))
     model: GBTClassificationModel = GBTClassifier(
         labelCol="label", featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth, seed=7, checkpointInterval=-1,
     ).fit(_features(train, suffixes, directories, prior).select("features", "label", "weight"))
-    scored = model.transform(_features(lexical(urls), suffixes, directories, prior))
+    # decided rows are scored as what they were learned from
+    asked = lexical(urls, rules).withColumn("fold", F.when(F.col("given").isNotNull(), fold(F.col("url"))).otherwise(F.lit(-1)))
+    scored = model.transform(_features(asked, suffixes, directories, prior))
     score = F.element_at(vector_to_array("probability"), 2)
     return scored.select("page_id", "host", "path", "rule", F.coalesce("given", F.when(score >= 0.5, "block").otherwise("allow")).alias("verdict"),
                          score.alias("score"))

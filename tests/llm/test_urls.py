@@ -70,13 +70,40 @@ def test_trees_learn_lexical_features(spark):
     assert found == {r["page_id"]: r["verdict"] for r in rows(url_filter.judge(pages))}
 
 
+def test_unseen_hosts_are_judged_by_their_shape(spark):
+    """Every host is new, a tenth of the labels is wrong: rates that held a URL's own label would be all that is learned."""
+    rng = random.Random(8)
+
+    def url(i, spam, zone, directory=""):
+        path = "".join(rng.choice("0123456789") for _ in range(14)) if spam else rng.choice(["news/today", "about/us", "story/one"])
+        return f"http://{''.join(rng.choice('abcdefgh') for _ in range(8))}{i}.{zone}/{directory}{path}" + ("?" + "&".join(f"k{j}={rng.randrange(99)}" for j in range(4)) if spam else "")
+
+    rules = (url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "com", "/bad/"))
+    urls = [url(i, (i % 2 == 1) != (rng.random() < 0.1), ("org", "com")[i % 2], ("", "bad/")[i % 2]) for i in range(800)]
+    asked = [url(800 + i, i % 2 == 1, "net") for i in range(200)]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls + asked)], "page_id long, url string, html string")
+    found = {r["page_id"]: r["verdict"] for r in rows(url_filter.judge(pages, rules))}
+    assert sum(found[800 + i] == ("allow", "block")[i % 2] for i in range(200)) >= 190
+
+
+def test_features_leave_out_what_rules_name(spark):
+    rules = [url_filter.Rule("block", "a.com", "/x/y/1"), url_filter.Rule("allow", "org", "/"), url_filter.Rule("allow", "b.com", "/x/")]
+    paths = {"/x/y/12/z": "/12/z", "/x/yy/1": "/yy/1", "/x/": "/", "/x": "/x", "": "", "/q/x/y/1": "/q/x/y/1"}
+    df = spark.createDataFrame([(i, f"http://h.net{p}?a=1&b=2#/x/", None) for i, p in enumerate(paths)], "page_id long, url string, html string")
+    host, path = url_filter.host_path(url_filter.F.col("url"))
+    found = {r["page_id"]: r for r in url_filter.lexical(df.withColumns({"host": host, "path": path}), rules).collect()}
+    for i, own in enumerate(paths.values()):
+        assert found[i]["own"] == own and found[i]["counted"] == f"h.net{own}?a=1&b=2#/x/" and found[i]["parameters"] == 2
+
+
 def test_statistics_and_labels_outside_the_sample(spark, monkeypatch):
-    seen, fitted = {}, []
+    seen, folds, fitted = {}, {}, []
     plain_rates, plain_features = url_filter._rates, url_filter._features
 
     def rates(labelled, by, prior):
         out = plain_rates(labelled, by, prior)
-        seen[by] = {r[f"{by}_of"]: r[f"{by}_rate"] for r in out.collect()}
+        seen[by] = {r[f"{by}_of"]: r[f"{by}_rate"] for r in out.collect() if r[f"{by}_fold"] == -1}
+        folds[by] = {(r[f"{by}_of"], r[f"{by}_fold"]): r[f"{by}_rate"] for r in out.collect()}
         return out
 
     def features(urls, *rest):
@@ -90,7 +117,11 @@ def test_statistics_and_labels_outside_the_sample(spark, monkeypatch):
     assert url_filter.judge(pages, sample=200).count() == len(urls)
     prior = 3 / len(urls)
     assert all(abs(seen["suffix"][f"d{k}.org"] - 5 * prior / 15) < 1e-12 for k in range(400))
-    assert all(f"s{k}" in seen["directory"] for k in range(400)) and seen["directory"]["de"] > 0.3
+    assert all(f"s{k}" in seen["directory"] for k in range(400)) and "de" not in seen["directory"]
+    # a URL's own label is in none of the rates that it is learned with
+    for i in range(3):
+        own = {k: folds["directory"][str(i), k] for k in range(url_filter.FOLDS)}
+        assert sum(abs(rate - prior) < 1e-12 for rate in own.values()) == 1 and seen["directory"][str(i)] > 0.1
     train = [(r["label"], r["url"]) for r in fitted[0].collect()]
     assert sum(label for label, _ in train) == 3 and len(train) < 200
     assert 0 < sum(u == "http://same.org/x" for _, u in train) < 100
