@@ -4,8 +4,10 @@ Writing: one gzip member a record, with its own length in the member's extra fie
 a record without inflating it. Files are listed in a manifest that is written when all tasks have ended; what a lost
 task leaves behind is in no manifest and is never read.
 
-Reading: files are planned into partitions by size. Predicates on the record type and on headers are pushed down;
-a record's headers are inflated first, and the rest only if the record is wanted and a column needs the payload.
+Reading: a folder with a manifest, or any other file or folder of ``.warc`` and ``.warc.gz`` files. Files are planned into partitions by size.
+Predicates on the record type and on headers are pushed down; a record's headers are inflated first, and the rest only if the record is
+wanted and a column needs the payload. Members that state their length are stepped over; in other compressed files what isn't wanted is inflated
+and thrown away, in plain ones it is skipped.
 """
 
 from __future__ import annotations
@@ -40,6 +42,10 @@ MANIFEST = "manifest.json"
 FILE_BYTES, SPLIT_BYTES = 64 << 20, 64 << 20
 #: Inflated first, to see the headers.
 HEAD = 4096
+#: Read or thrown away at once.
+CHUNK = 1 << 20
+#: Headers longer than this are damage.
+MOST_HEAD = 16 << 20
 
 
 def _clean(value: str) -> str:
@@ -82,8 +88,11 @@ class Writer(DataSourceArrowWriter):
         store.create_dir(base, recursive=True)
         files, out, name, size = [], None, "", 0
         for batch in iterator:
+            columns = {n: batch.column(n) for n in batch.schema.names}
+            small = {n: c.to_pylist() for n, c in columns.items() if n != "payload"}
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
+                row = {n: values[i] for n, values in small.items()}
+                row["payload"], row["payload_digest"] = columns["payload"][i].as_py(), base32(row["payload_digest"])
                 if out is None:  # the name is new in every attempt of a task
                     name, size = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = store.open_output_stream(f"{base}/{name}", compression=None)
@@ -114,8 +123,118 @@ class Files(InputPartition):
 
 
 def parse_head(head: bytes) -> dict[str, str]:
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+    """Fields by lower-case name, the first of each; lines that begin with white space go on with the one before."""
+    fields: dict[str, str] = {}
+    name = None
+    for line in head.decode("utf-8", "replace").splitlines()[1:]:
+        if line[:1] in (" ", "\t") and name is not None:
+            fields[name] += " " + line.strip()
+            continue
+        key, _, value = line.partition(":")
+        name = key.strip().lower()
+        if name in fields:
+            name = None
+        else:
+            fields[name] = value.strip()
+    return fields
+
+
+class Bytes:
+    """The bytes of an archive file from its start on, inflated member by member if they are compressed."""
+
+    def __init__(self, source: pa.NativeFile, end: int) -> None:
+        self.source, self.end = source, end
+        self.held = b""
+        self.raw = source.read(2)
+        self.inflate = zlib.decompressobj(31) if self.raw == b"\x1f\x8b" else None
+
+    def _more(self) -> bool:
+        """Take some more bytes; False at the end."""
+        if self.inflate is None:
+            data, self.raw = self.raw or self.source.read(HEAD), b""
+            self.held += data
+            return bool(data)
+        while True:
+            if self.inflate.eof:  # the next member, after what pads this one
+                self.raw = self.inflate.unused_data.lstrip(b"\0") or self.source.read(CHUNK).lstrip(b"\0")
+                if not self.raw:
+                    return False
+                self.inflate = zlib.decompressobj(31)
+            data = self.raw or self.inflate.unconsumed_tail or self.source.read(CHUNK)
+            if not data:
+                raise ValueError("a compressed record ends early")
+            self.raw = b""
+            if text := self.inflate.decompress(data, CHUNK):
+                self.held += text
+                return True
+
+    def head(self) -> bytes | None:
+        """A record's header with its version line, without line ends around it; None at the end of the file."""
+        while True:
+            self.held = self.held.lstrip(b"\r\n")
+            for mark in (b"\r\n\r\n", b"\n\n"):
+                at = self.held.find(mark)
+                if at >= 0:
+                    head, self.held = self.held[:at], self.held[at + len(mark):]
+                    return head
+            if len(self.held) > MOST_HEAD:
+                raise ValueError("no end of a record's header")
+            if not self._more():
+                if self.held:
+                    raise ValueError("a record's header ends early")
+                return None
+
+    def read(self, most: int) -> bytes:
+        """Some bytes, ``most`` at most; empty at the end."""
+        if not self.held:
+            self._more()
+        data, self.held = self.held[:most], self.held[most:]
+        return data
+
+    def skip(self, size: int) -> None:
+        take = min(size, len(self.held))
+        self.held, size = self.held[take:], size - take
+        if self.inflate is None and size > len(self.raw):
+            if self.source.tell() + size - len(self.raw) > self.end:
+                raise ValueError("a record ends early")
+            self.source.seek(self.source.tell() + size - len(self.raw))
+            self.raw = b""
+            return
+        while size:
+            if not (data := self.read(min(size, CHUNK))):
+                raise ValueError("a record ends early")
+            size -= len(data)
+
+
+class Block:
+    """The block of one record: reads until its length is used up."""
+
+    def __init__(self, source: Bytes, size: int) -> None:
+        self.source, self.left = source, size
+
+    def more(self) -> bytes:
+        data = self.source.read(min(self.left, CHUNK)) if self.left else b""
+        if self.left and not data:
+            raise ValueError("a record ends early")
+        self.left -= len(data)
+        return data
+
+
+def unchunked(body: bytes) -> bytes:
+    """The payload of a body in chunks (as it is, if it isn't in chunks after all)."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        try:
+            size = int(body[at:end].split(b";")[0].strip() or b"x", 16) if end >= 0 else -1
+        except ValueError:
+            size = -1
+        if size < 0 or end + 2 + size > len(body):
+            return body
+        if not size:
+            return b"".join(out)
+        out.append(body[end + 2:end + 2 + size])
+        at = end + 4 + size
 
 
 class Reader(DataSourceReader):
@@ -142,8 +261,7 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> Sequence[Files]:
         store, base = fs.FileSystem.from_uri(self.path)
-        with store.open_input_stream(f"{base}/{MANIFEST}", compression=None) as source:
-            files = json.loads(source.read())
+        files = self.listed(store, base)
         out, size = [], 0
         for name, length in files:
             if not out or size + length > SPLIT_BYTES:
@@ -152,6 +270,18 @@ class Reader(DataSourceReader):
             size += length
         return out or [Files([])]
 
+    def listed(self, store: fs.FileSystem, base: str) -> list[tuple[str, int]]:
+        """(name, bytes) of the files: those of the manifest, or without one all archives in the folder and below, or the file itself."""
+        at = store.get_file_info(base)
+        if at.type == fs.FileType.File:
+            return [("", at.size)]
+        if store.get_file_info(f"{base}/{MANIFEST}").type == fs.FileType.File:
+            with store.open_input_stream(f"{base}/{MANIFEST}", compression=None) as source:
+                return json.loads(source.read())
+        found = store.get_file_info(fs.FileSelector(base, recursive=True))
+        return sorted((f.path[f.path.index(base) + len(base):].lstrip("/"), f.size) for f in found
+                      if f.type == fs.FileType.File and f.path.endswith((".warc", ".warc.gz")) and not f.base_name.startswith((".", "_")))
+
     def fits(self, values: dict[str, str | None]) -> bool:
         for kind, column, want in self.wanted:
             value = values[column]
@@ -162,10 +292,36 @@ class Reader(DataSourceReader):
     def read(self, partition: Files) -> Iterator[tuple]:
         store, base = fs.FileSystem.from_uri(self.path)
         for name in partition.names:
-            with store.open_input_file(f"{base}/{name}") as source:
-                yield from self.records(source)
+            with store.open_input_file(f"{base}/{name}" if name else base) as source:
+                start = source.read(14)
+                source.seek(0)
+                try:
+                    yield from self.records(source) if start[:4] == b"\x1f\x8b\x08\x04" and start[12:14] == b"sl" else self.foreign(source)
+                except (ValueError, zlib.error) as error:
+                    raise ValueError(f"{name or base}: {error}") from error
+
+    def headers(self, head: bytes) -> tuple[dict, dict]:
+        """(values of the columns, all fields) of a record's header."""
+        if not head.startswith(b"WARC/"):
+            raise ValueError("no record's header where one should be")
+        fields = parse_head(head)
+        values = {column: fields.get(header.lower()) for column, header in HEADERS.items()}
+        if values["payload_digest"]:
+            values["payload_digest"] = values["payload_digest"].removeprefix("sha1:")
+        return values, fields
+
+    def foreign(self, source: pa.NativeFile) -> Iterator[tuple]:
+        """Records of a file that says no more than the standard asks for."""
+        data = Bytes(source, source.size())
+        while (head := data.head()) is not None:
+            values, fields = self.headers(head)
+            block = Block(data, int(fields["content-length"]))
+            if self.fits(values):
+                yield self.row(values, fields, b"", block.more)
+            data.skip(block.left)
 
     def records(self, source: pa.NativeFile) -> Iterator[tuple]:
+        """Records of a file whose members state their length."""
         at, end = 0, source.size()
         while at < end:
             source.seek(at)
@@ -178,45 +334,70 @@ class Reader(DataSourceReader):
             text = inflate.decompress(packed, HEAD)
             rest = size - 32 - len(packed)
 
-            def more() -> bytes:
+            def inflated() -> bytes:
                 nonlocal rest
                 data = inflate.unconsumed_tail
                 if not data and rest:
-                    data = source.read(min(1 << 20, rest))
+                    data = source.read(min(CHUNK, rest))
                     rest -= len(data)
-                return inflate.decompress(data, 1 << 20)
+                return inflate.decompress(data, CHUNK)
 
-            while b"\r\n\r\n" not in text and (new := more()):
+            while b"\r\n\r\n" not in text and (new := inflated()):
                 text += new
             head, _, block = text.partition(b"\r\n\r\n")
-            fields = parse_head(head)
-            values = {column: fields.get(header.lower()) for column, header in HEADERS.items()}
-            if values["payload_digest"]:
-                values["payload_digest"] = values["payload_digest"].removeprefix("sha1:")
+            values, fields = self.headers(head)
             if self.fits(values):
-                yield self.row(values, fields, block, more)
+                left = max(int(fields["content-length"]) - len(block), 0)
+
+                def more() -> bytes:
+                    nonlocal left
+                    data = inflated()[:left] if left else b""
+                    left -= len(data)
+                    return data
+
+                yield self.row(values, fields, block[:int(fields["content-length"])], more)
             at += size
 
     def row(self, values: dict, fields: dict, block: bytes, more) -> tuple:
+        """The asked columns of a record whose block starts with ``block`` and goes on with what ``more()`` gives until it is empty.
+
+        Payload: what follows the HTTP header, chunks put together; of a block that isn't HTTP, all of it. A revisit has none, and as many bytes as its HTTP header
+        says, or NULL.
+        """
         if "payload_bytes" in self.names or "payload" in self.names or self.verify:
-            while b"\r\n\r\n" not in block and (new := more()):
-                block += new
-            http, _, payload = block.partition(b"\r\n\r\n")
-            values["payload_bytes"] = int(parse_head(http)["content-length"])
-            if values["record_type"] == "response" and ("payload" in self.names or self.verify):
-                parts, length = [payload], len(payload)
-                while length < values["payload_bytes"] and (new := more()):
+            size = int(fields["content-length"])
+            http: dict[str, str] = {}
+            if fields.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+                while b"\r\n\r\n" not in block and len(block) < MOST_HEAD and (new := more()):
+                    block += new
+                head, mark, rest = block.partition(b"\r\n\r\n")
+                if mark:
+                    http, size, block = parse_head(head), size - len(head) - 4, rest
+            chunked = http.get("transfer-encoding", "").lower().endswith("chunked")
+            revisit = values["record_type"] == "revisit"
+            if revisit:
+                size = http.get("content-length")
+                size = int(size) if size is not None and size.isdigit() else None
+            elif "payload" in self.names or chunked or self.verify and values["payload_digest"]:
+                parts = [block]
+                while new := more():
                     parts.append(new)
-                    length += len(new)
-                payload = b"".join(parts)[:values["payload_bytes"]]
-                if self.verify and digest(payload) != values["payload_digest"]:
+                sent = b"".join(parts)
+                payload = unchunked(sent) if chunked else sent
+                size = len(payload)
+                # some writers hash the body as it was sent
+                if self.verify and len(values["payload_digest"] or "") == 32 and values["payload_digest"] not in (digest(payload), digest(sent)):
                     raise ValueError(f"payload of {values['record_id']} differs from its digest")
                 values["payload"] = payload
+            values["payload_bytes"] = size
         return tuple(values.get(name) for name in self.names)
 
 
 class WarcSource(DataSource):
-    """``spark.read.format("warc").schema(...).load(path)``: any columns of SCHEMA; only asked ones are decoded. Option verify: check payloads."""
+    """``spark.read.format("warc").schema(...).load(path)``: any columns of SCHEMA; only asked ones are decoded. Option verify: check payloads against SHA-1 digests.
+
+    ``path`` is a folder that write_pages() made, any folder with ``.warc`` and ``.warc.gz`` files in it or below, or one such file.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -240,13 +421,6 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        columns = {n: batch.column(n) for n in batch.schema.names}
-        columns["payload_digest"] = pa.array([base32(h) for h in batch.column("payload_digest").to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-
 def write_pages(pages: DataFrame, path: str, least: int = 0) -> None:
     """Write a record for each row of ``pages`` (page_id, url, html) to a new folder ``path``.
 
@@ -271,7 +445,6 @@ def write_pages(pages: DataFrame, path: str, least: int = 0) -> None:
         name("page_id").alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"),
         F.col("url").alias("target_uri"), F.lit(None).cast("string").alias("date"), F.col("sha").alias("payload_digest"),
         F.when(again, name("first")).alias("refers_to"), "payload_bytes", F.when(~again, F.col("payload")).alias("payload"))
-    rows = rows.mapInArrow(_digests, SCHEMA)
     rows.write.format("warc").mode("append").save(path)
 
 

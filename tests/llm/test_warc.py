@@ -127,6 +127,76 @@ def test_damage_is_noticed():
             assert list(reader.records(pa.PythonFile(__import__("io").BytesIO(data), mode="r"))) == [("<urn:page:1>",)]
 
 
+def foreign_record(kind, block, content_type=None, **fields):
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:{len(block)}:{kind}>", *(f"WARC-{k.replace('_', '-')}: {v}" for k, v in fields.items())]
+    if content_type:
+        head.append(f"Content-Type: {content_type}")
+    return "\r\n".join(["WARC/1.0", *head, f"content-length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+
+
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX-Long: a\r\n b\r\n"
+BODY = b"<p>one</p>" * 30_000
+CHUNKS = b"".join(b"%x;ext=1\r\n%s\r\n" % (len(BODY[i:i + 7001]), BODY[i:i + 7001]) for i in range(0, len(BODY), 7001)) + b"0\r\nTrailer: x\r\n\r\n"
+
+
+def foreign():
+    """(records, what is to be read: type, payload bytes, payload) of an archive by another writer."""
+    http = "application/http; msgtype=response"
+    return [
+        (foreign_record("warcinfo", b"software: other\r\n\r\nformat: x", "application/warc-fields"), ("warcinfo", 28, b"software: other\r\n\r\nformat: x")),
+        (foreign_record("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "application/http;msgtype=request"), ("request", 0, b"")),
+        (foreign_record("response", HTTP + b"\r\n" + BODY, http, Payload_Digest="sha1:" + warc.digest(BODY), Target_URI="http://a/"), ("response", len(BODY), BODY)),
+        (foreign_record("response", HTTP + b"Transfer-Encoding: chunked\r\n\r\n" + CHUNKS, http, Payload_Digest="sha1:" + warc.digest(BODY)), ("response", len(BODY), BODY)),
+        (foreign_record("response", HTTP + b"Transfer-Encoding: chunked\r\n\r\nnot in chunks", http, Payload_Digest="sha256:abc"), ("response", 13, b"not in chunks")),
+        (foreign_record("response", b"HTTP/1.1 200 OK", http), ("response", 15, b"HTTP/1.1 200 OK")),
+        (foreign_record("resource", b"\x00\x01\r\n\r\n\xff", "image/png"), ("resource", 7, b"\x00\x01\r\n\r\n\xff")),
+        (foreign_record("metadata", b""), ("metadata", 0, b"")),
+        (foreign_record("revisit", HTTP + b"Content-Length: 5\r\n\r\n", http, Refers_To="<urn:x>"), ("revisit", 5, None)),
+        (foreign_record("revisit", b""), ("revisit", None, None)),
+    ]
+
+
+@pytest.mark.parametrize("form", ["plain", "members", "one member", "padded"])
+def test_archives_of_other_writers(spark, tmp_path, form):
+    records = [r for r, _ in foreign()]
+    (tmp_path / "below").mkdir()
+    name = tmp_path / "below" / ("a.warc" if form == "plain" else "a.warc.gz")
+    name.write_bytes({"plain": b"".join(records), "members": b"".join(map(gzip.compress, records)), "one member": gzip.compress(b"".join(records)),
+                      "padded": b"".join(gzip.compress(r) + b"\0" * 7 for r in records)}[form])
+    (tmp_path / "note.txt").write_text("no archive")
+    for path in (tmp_path, name):
+        df = warc.read_records(spark, f"file://{path}", "record_type string, payload_bytes long, payload binary", verify=True)
+        assert [(r[0], r[1], None if r[2] is None else bytes(r[2])) for r in df.collect()] == [want for _, want in foreign()]
+        sizes = warc.read_records(spark, f"file://{path}", "payload_bytes long, target_uri string, refers_to string").collect()
+        assert [r[0] for r in sizes] == [want[1] for _, want in foreign()]
+        assert [r[1] for r in sizes if r[1]] == ["http://a/"] and [r[2] for r in sizes if r[2]] == ["<urn:x>"]
+        assert df.where("record_type = 'resource'").count() == 1
+
+
+def test_payloads_of_other_writers_are_skipped(spark, tmp_path, monkeypatch):
+    """A plain file is sought in, a compressed one holds a block at a time; what a predicate refuses makes no row."""
+    from pyspark.sql.datasource import EqualTo
+
+    records = [r for r, _ in foreign()]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    reader = warc.Reader(spark.createDataFrame([], "record_id string, payload binary").schema, {"path": f"file://{tmp_path}"})
+    assert list(reader.pushFilters([EqualTo(("record_type",), "metadata")])) == []
+    taken = []
+    plain = warc.Bytes._more
+    monkeypatch.setattr(warc.Bytes, "_more", lambda self: (plain(self), taken.append(len(self.held)))[0])
+    assert [r[0] for p in reader.partitions() for r in reader.read(p)] == ["<urn:0:metadata>"]
+    assert sum(taken) < len(BODY) / 2
+
+
+@pytest.mark.parametrize("damage", ["cut", "no header", "cut gz", "digest"])
+def test_damaged_archives_of_other_writers(spark, tmp_path, damage):
+    record = foreign_record("response", HTTP + b"\r\n" + BODY, "application/http", Payload_Digest="sha1:" + warc.digest(b"other" if damage == "digest" else BODY))
+    name = tmp_path / ("a.warc.gz" if damage == "cut gz" else "a.warc")
+    name.write_bytes({"cut": record[:-400], "no header": record + b"noise\r\n\r\nmore", "cut gz": gzip.compress(record)[:-200], "digest": record}[damage])
+    with pytest.raises(Exception, match="ends early|no record|differs"):
+        warc.read_records(spark, f"file://{name}", verify=True).collect()
+
+
 def test_files_of_lost_attempts_are_not_read(spark, archive):
     before = warc.read_records(spark, archive, "record_id string").count()
     with open(f"{archive.removeprefix('file://')}/lost.warc.gz", "wb") as out:
