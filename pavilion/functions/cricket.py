@@ -83,6 +83,23 @@ def ordinal_date(series: Column | str, venue: Column | str) -> Column:
     return F.coalesce(first_group(series, pattern), first_group(venue, pattern), F.lit("Date Unknown"))
 
 
+def parse_date(text: Column | str) -> Column:
+    """The day that a date text names, NULL where it names none.
+
+    Ordinal suffixes, commas and further white space don't count, nor does a day of the week in front. Of several days
+    ("26th, 27th July 2025", "26-29 July 2025") the first one is meant. Years have four digits.
+    """
+    plain = strip(F.regexp_replace(F.regexp_replace(as_col(text), fixed.ORDINAL_SUFFIX, "$1"), r"[\s,.]+", " "))
+    plain = F.regexp_replace(plain, r"(?i)^(?:mon|tues|wednes|thurs|fri|satur|sun)day ", "")
+    plain = F.initcap(plain)
+    # several days of one month: the first, with the month and year that follow
+    days = r"^(\d{1,2})(?:(?: |-| - | & | And )\d{1,2})+ ([A-Za-z]+ \d{4})$"
+    plain = F.regexp_replace(plain, days, "$1 $2")
+    spans = r"^(\d{1,2}) ([A-Za-z]+)(?: - | To | & | And )\d{1,2} [A-Za-z]+ (\d{4})$"
+    plain = F.regexp_replace(plain, spans, "$1 $2 $3")
+    return F.coalesce(*[F.try_to_date(plain, form) for form in fixed.DATE_FORMS])
+
+
 def toss_decision(text: Column | str) -> Column:
     """Bat before field, NULL if neither is named."""
     low = F.lower(as_col(text))

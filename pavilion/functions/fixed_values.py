@@ -217,6 +217,9 @@ TOTAL_WICKETS = r"(\d+)\s+wicket"
 TOTAL_OVERS = r"(\d+\.?\d*)\s+over"
 FALLEN_WICKET = r"^(\d+)-(\d+)"
 FALLEN_OVERS = r"(\d+\.?\d*)\s+ov"
+ORDINAL_SUFFIX = r"(?i)\b(\d{1,2})(?:st|nd|rd|th)\b"
+#: Forms that dates are written in, tried in this order.
+DATE_FORMS = ["yyyy-MM-dd", "d MMMM yyyy", "d MMM yyyy", "MMMM d yyyy", "MMM d yyyy", "d/M/yyyy", "yyyy/MM/dd", "yyyyMMdd"]
 DATE_OF_BIRTH = r"dob:\s*([^']+)"
 PLAYER_LABEL = r"^(.+?)\s*\(([^)]+)\)\s*$"
 

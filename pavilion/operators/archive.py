@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cricket
-from ..functions.text import blank_default
+from ..functions.text import as_col, blank_default
 
 CATEGORIES = {"international": "International", "domestic": "Domestic"}
 
@@ -73,6 +73,64 @@ def search(df: DataFrame, name: str, ident: str, word: str, n: int = 10) -> Data
     return hits.orderBy("name", "id").limit(n)
 
 
+def grams(text: Column | str, size: int = 3) -> Column:
+    """The different runs of ``size`` letters of a text, lower-cased; none in a shorter or NULL text."""
+    low = F.lower(as_col(text))
+    places = F.sequence(F.lit(1), F.length(low) - (size - 1))
+    return F.when(F.length(low) >= size, F.array_distinct(F.transform(places, lambda i: F.substring(low, i, F.lit(size)))))
+
+
+def postings(df: DataFrame, name: str, ident: str) -> DataFrame:
+    """an inverted index of names: (gram, id), each once."""
+    return df.select(F.explode(grams(name)).alias("gram"), F.col(ident).alias("id")).distinct()
+
+
+def search_postings(df: DataFrame, index: DataFrame, counts: DataFrame, name: str, ident: str, word: str, n: int = 10, rarest: int = 3) -> DataFrame:
+    """what search() returns, by an index of trigrams.
+
+    ``index`` has rows (gram, id), ``counts`` (gram, n). Only entries that hold the ``rarest`` grams of the word are candidates,
+    and each is checked by its text; a word of less than three letters has no gram, so it is looked for in all names. Filters on gram reach the scan of
+    an index that is laid out by it.
+    """
+    spark = df.sparkSession
+    asked = spark.range(1).select(grams(F.lit(word)).alias("g")).first()["g"]  # as Spark lower-cases them
+    if not asked:
+        return search(df, name, ident, word, n)
+    known = {r["gram"]: r["n"] for r in counts.where(F.col("gram").isin(asked)).collect()}  # a row a letter of the word at most
+    if len(known) < len(asked):
+        return search(df.where(F.lit(False)), name, ident, word, n)
+    few = sorted(known, key=lambda g: (known[g], g))[:rarest]
+    held = index.where(F.col("gram").isin(few)).groupBy("id").agg(F.count("*").alias("_n")).where(F.col("_n") == len(few))
+    return search(df.join(held.select(F.col("id").alias("_id")), F.col(ident) == F.col("_id"), "left_semi"), name, ident, word, n)
+
+
+#: log2 of the buckets of a sketch of names: its estimate is off by 1.04 / sqrt(2 ** SKETCH_BITS) = 0.8 % (one standard error).
+SKETCH_BITS = 14
+STATUS_PARTS = "total_matches bigint, completed_extractions bigint, total_balls_delivered bigint, players binary"
+
+
+def status_parts(matches: DataFrame, progress: DataFrame, batting: DataFrame) -> DataFrame:
+    """A8, A9 for one load: its counts and a sketch of its players' names, in one small row."""
+    none = F.lit(None).cast("bigint")
+    rows = matches.agg(F.count("*").alias("total_matches")).select("total_matches", none.alias("completed_extractions"),
+                                                                   none.alias("total_balls_delivered"), F.lit(None).cast("binary").alias("players"))
+    rows = rows.unionByName(progress.agg(F.count("*").alias("completed_extractions")).select(
+        none.alias("total_matches"), "completed_extractions", none.alias("total_balls_delivered"), F.lit(None).cast("binary").alias("players")))
+    rows = rows.unionByName(batting.agg(F.sum("balls").cast("bigint").alias("total_balls_delivered"), F.hll_sketch_agg("player_name", SKETCH_BITS).alias("players"))
+                            .select(none.alias("total_matches"), none.alias("completed_extractions"), "total_balls_delivered", "players"))
+    return rows.agg(*[F.max(c).alias(c) for c in ("total_matches", "completed_extractions", "total_balls_delivered", "players")])
+
+
+def status_of(parts: DataFrame) -> DataFrame:
+    """A8, A9 from the rows of status_parts() of all loads: sums, and an estimate of the different names (see SKETCH_BITS).
+
+    Loads may name the same players; they count once. Without a load everything is 0.
+    """
+    players = F.hll_sketch_estimate(F.hll_union_agg("players"))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("total_matches", "completed_extractions", "total_balls_delivered")]
+    return parts.agg(*sums, F.coalesce(players, F.lit(0)).cast("bigint").alias("total_players"))
+
+
 def warehouse_status(matches: DataFrame | None = None, progress: DataFrame | None = None,
                      batting: DataFrame | None = None, approximate: bool = False) -> DataFrame:
     """Sizes of the warehouse in one row; a table that is missing counts 0."""
@@ -120,20 +178,16 @@ def _card_rows(batting: DataFrame, bowling: DataFrame) -> DataFrame:
         shaped(bowling, "bowling", BOWL_FIELDS, batting))
 
 
-def _innings_heads(matches: DataFrame, innings: DataFrame, fow: DataFrame) -> DataFrame:
-    """One row per innings that its match lists, with its last fall of wickets.
+def _listed(matches: DataFrame, innings: DataFrame) -> DataFrame:
+    """The innings that known matches list."""
+    return innings.select("match_id", "innings_number").join(matches.select("match_id"), "match_id", "left_semi")
 
-    Innings and wickets are stacked and grouped once, so the keys move once for both.
-    """
-    order = "id" if "id" in fow.columns else "fow_string"
-    kinds = dict(fow.dtypes)
-    stacked = innings.select("match_id", "innings_number", F.lit(1).alias("_listed"), F.lit(None).cast(kinds[order]).alias("_at"),
-                             F.lit(None).cast("string").alias("_fow"))
-    stacked = stacked.unionByName(fow.select("match_id", "innings_number", F.lit(None).cast("int").alias("_listed"),
-                                             F.col(order).alias("_at"), F.col("fow_string").alias("_fow")))
-    heads = stacked.groupBy("match_id", "innings_number").agg(
-        F.max("_listed").alias("_listed"), F.coalesce(F.max_by("_fow", "_at"), F.lit("")).alias("fow"))
-    return heads.filter("_listed = 1").drop("_listed").join(matches.select("match_id"), "match_id", "left_semi")
+
+def _innings_heads(matches: DataFrame, innings: DataFrame, fow: DataFrame) -> DataFrame:
+    """One row per innings that its match lists, with its last fall of wickets."""
+    keys = ["match_id", "innings_number"]
+    last = fow.groupBy(*keys).agg(F.max_by("fow_string", "id" if "id" in fow.columns else "fow_string").alias("fow"))
+    return _listed(matches, innings).distinct().join(last, keys, "left").withColumn("fow", F.coalesce("fow", F.lit("")))
 
 
 def scorecard_rows(matches: DataFrame, innings: DataFrame, fow: DataFrame, batting: DataFrame, bowling: DataFrame,
@@ -141,21 +195,19 @@ def scorecard_rows(matches: DataFrame, innings: DataFrame, fow: DataFrame, batti
     """J10, flat: a head row per innings and its batting and bowling rows.
 
     Rows of an innings the match does not list are left out; an innings without rows keeps
-    its head. Nothing is collected, so a scorecard may have any size.
+    its head. Nothing is collected, so a scorecard may have any size. Each table meets the listed innings on its own, so
+    tables bucketed by match (``layout.lay_out``) are joined where they lie.
     """
     if match_id is not None:
         matches, innings, fow, batting, bowling = (match_by_id(t, match_id)
                                                    for t in (matches, innings, fow, batting, bowling))
-    # an inner join on unique keys stays above the union, so the heads are worked out once
-    heads = _innings_heads(matches, innings, fow).select(
-        F.col("match_id").alias("_match"), F.col("innings_number").alias("_innings"), "fow")
-    rows = _card_rows(batting, bowling)
+    keys, listed = ["match_id", "innings_number"], _listed(matches, innings)
+    rows = _card_rows(batting.join(listed, keys, "left_semi"), bowling.join(listed, keys, "left_semi")).withColumn("fow", F.lit(""))
     shape = {f.name: f.dataType for f in rows.schema.fields}
-    top = innings.select("match_id", "innings_number", F.lit("innings").alias("section"), F.lit(0).cast("bigint").alias("row_id"),
-                         *[F.lit(None).cast(shape[f]).alias(f) for f in ROW_FIELDS])
-    rows = top.unionByName(rows).join(heads, (F.col("match_id") == F.col("_match")) & (F.col("innings_number") == F.col("_innings")))
-    shown = F.when(F.col("section") == "innings", F.col("fow")).otherwise(F.lit(""))
-    return rows.select("match_id", "innings_number", "section", "row_id", *ROW_FIELDS, shown.alias("fow"))
+    heads = _innings_heads(matches, innings, fow).select(
+        *keys, F.lit("innings").alias("section"), F.lit(0).cast("bigint").alias("row_id"),
+        *[F.lit(None).cast(shape[f]).alias(f) for f in ROW_FIELDS], "fow")
+    return heads.unionByName(rows)
 
 
 def _section(section: str, fields: list[str]) -> Column:
@@ -208,21 +260,20 @@ def _by_match(matches: DataFrame, cards: DataFrame, meta: str, fields: list[str]
 
 # ---------------------------------------------------------------- archive scorecards
 
-#: No match has more innings; a row that says so is rejected, since gaps up to its number would have to be filled.
-MAX_INNINGS = 100
 
+def _possible(most: int | None) -> Column:
+    """An innings has a number from 1 on; no upper bound unless ``most`` is given."""
+    test = F.col("innings_number") >= 1
+    return test if most is None else test & (F.col("innings_number") <= most)
 
-def _possible() -> Column:
-    return F.col("innings_number").between(1, MAX_INNINGS)
 
+def rejected_rows(batting: DataFrame, bowling: DataFrame, most: int | None = None) -> DataFrame:
+    """Rows whose innings number is missing, below 1 or above ``most``: those that no archive scorecard shows."""
+    return _card_rows(batting, bowling).filter(~F.coalesce(_possible(most), F.lit(False)))
 
-def rejected_rows(batting: DataFrame, bowling: DataFrame) -> DataFrame:
-    """Rows whose innings number is missing or no possible one."""
-    return _card_rows(batting, bowling).filter(~F.coalesce(_possible(), F.lit(False)))
 
-
-def _archive_rows(matches: DataFrame, batting: DataFrame, bowling: DataFrame) -> DataFrame:
-    rows = _card_rows(batting, bowling).filter(_possible())
+def _archive_rows(matches: DataFrame, batting: DataFrame, bowling: DataFrame, most: int | None) -> DataFrame:
+    rows = _card_rows(batting, bowling).filter(_possible(most))
     return rows.join(matches.select(F.col("match_id").alias("_match")).distinct(), F.col("match_id") == F.col("_match")).drop("_match")
 
 
@@ -230,30 +281,39 @@ def _label() -> Column:
     return F.concat(F.lit("Innings "), F.col("innings_number").cast("string")).alias("batting_team")
 
 
-def archive_scorecard_rows(matches: DataFrame, batting: DataFrame, bowling: DataFrame) -> DataFrame:
-    """J11, W4, flat: rows of innings 1 to the highest one seen; one without rows gives one empty row."""
-    rows = _archive_rows(matches, batting, bowling)
+def _gaps(rows: DataFrame) -> DataFrame:
+    """Innings without rows below the highest one of their match: the numbers between one that was played and the one before."""
+    played = rows.select("match_id", "innings_number").distinct()
+    before = F.coalesce(F.lag("innings_number").over(Window.partitionBy("match_id").orderBy("innings_number")), F.lit(0))
+    spans = played.select("match_id", before.alias("low"), F.col("innings_number").alias("high")).where("high - low > 1")
+    return spans.select("match_id", F.explode(F.sequence(F.col("low") + 1, F.col("high") - 1)).alias("innings_number"))
+
+
+def archive_scorecard_rows(matches: DataFrame, batting: DataFrame, bowling: DataFrame, most: int | None = None) -> DataFrame:
+    """J11, W4, flat: rows of innings 1 to the highest one seen; one without rows gives one empty row.
+
+    Gaps come from neighbouring numbers that were played, so nothing bounds an innings number; ``most`` rejects higher ones.
+    """
+    rows = _archive_rows(matches, batting, bowling, most)
     shape = {f.name: f.dataType for f in rows.schema.fields}
-    spans = rows.groupBy("match_id").agg(F.max("innings_number").alias("_top"), F.collect_set("innings_number").alias("_played"))
-    gaps = spans.select("match_id", F.explode(F.array_except(F.sequence(F.lit(1), F.col("_top")), "_played")).alias("innings_number"))
-    empty = gaps.select("match_id", "innings_number", F.lit("empty").alias("section"),
+    empty = _gaps(rows).select("match_id", "innings_number", F.lit("empty").alias("section"),
                                *[F.lit(None).cast(shape[f]).alias(f) for f in ["row_id", *ROW_FIELDS]])
     return rows.unionByName(empty).select("match_id", "innings_number", _label(), "section", "row_id", *ROW_FIELDS)
 
 
-def archive_scorecards(matches: DataFrame, batting: DataFrame, bowling: DataFrame) -> DataFrame:
+def archive_scorecards(matches: DataFrame, batting: DataFrame, bowling: DataFrame, most: int | None = None) -> DataFrame:
     """J11, nested by innings: one document per innings 1 to the highest one; gaps are empty innings."""
-    cards = archive_match_scorecards(matches, batting, bowling).select("match_id", F.explode("innings").alias("i"))
+    cards = archive_match_scorecards(matches, batting, bowling, most).select("match_id", F.explode("innings").alias("i"))
     return cards.select("match_id", "i.*")
 
 
-def archive_match_scorecards(matches: DataFrame, batting: DataFrame, bowling: DataFrame) -> DataFrame:
+def archive_match_scorecards(matches: DataFrame, batting: DataFrame, bowling: DataFrame, most: int | None = None) -> DataFrame:
     """One document per match, its metadata and its innings 1 to the highest one seen.
 
     Gaps are empty innings; a match without rows has none. Rows are grouped by innings and then by match;
     the gaps come from the grouped rows, so nothing is read twice.
     """
-    cards = _cards(_card_rows(batting, bowling).filter(_possible()), ["match_id", "innings_number"])
+    cards = _cards(_card_rows(batting, bowling).filter(_possible(most)), ["match_id", "innings_number"])
     fields = F.struct("innings_number", _label(), "batting", "bowling", F.array().cast("array<string>").alias("fow"))
     every = cards.groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct("innings_number", fields.alias("card")))).alias("_cards"),
                                           F.max("innings_number").alias("_top"))

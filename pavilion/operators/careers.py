@@ -21,8 +21,11 @@ def with_format(card: DataFrame, innings: DataFrame, matches: DataFrame) -> Data
     """Scorecard rows with the format of their match.
 
     The two dimension tables are joined first, on two columns each, so the scorecard rows
-    move once, and not at all while the dimension fits a broadcast.
+    move once, and not at all while the dimension fits a broadcast. Rows that know their match meet it directly, and where
+    both are bucketed by match (``layout.lay_out``) nothing moves.
     """
+    if "match_id" in card.columns:
+        return card.join(matches.select("match_id", "format"), "match_id")
     formats = (innings.select(F.col("id").alias("innings_id"), "match_id")
                .join(matches.select("match_id", "format"), "match_id").select("innings_id", "format"))
     return card.join(formats, "innings_id")
@@ -32,8 +35,9 @@ def _facts(card: DataFrame, kind: str, **numbers: Column | str) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     given = {n: F.coalesce(as_col(numbers[n]).cast("bigint"), zero) if n in numbers else zero for n in _NUMBERS}
     dismissal = F.coalesce("dismissal_text", F.lit("")) if kind == "bat" else F.lit("")
+    place = [c for c in ("innings_id", "match_id") if c in card.columns]
     return card.filter(~is_blank("player_id")).select(
-        "innings_id", "player_id", F.lit(kind == "bat").alias("bats"),
+        *place, "player_id", F.lit(kind == "bat").alias("bats"),
         (F.lit(kind == "bat") & (dismissal != "did not bat")).alias("batted"),
         F.lower(dismissal).contains("not out").alias("not_out"), *[v.alias(n) for n, v in given.items()])
 
@@ -50,8 +54,15 @@ def bowling_facts(bowling: DataFrame) -> DataFrame:
                   maidens="maidens", wickets="wickets")
 
 
-def _totals(facts: DataFrame, innings: DataFrame, matches: DataFrame) -> DataFrame:
-    """A1–A5 in one aggregation, combined on the map side.
+#: Totals of a player in a format that add up, and those of which the highest counts.
+SUMS = ["matches", "bat_innings", "bat_runs", "bat_balls", "fours", "sixes", "not_outs", "hundreds", "fifties", "bowl_innings", "bowl_balls",
+        "bowl_maidens", "bowl_runs", "bowl_wickets", "five_wickets"]
+TOPS = ["top_score", "best_bowling"]
+PARTIALS = ", ".join(["player_id string, format string", *[f"{c} bigint" for c in [*SUMS, *TOPS]]])
+
+
+def partial_totals(facts: DataFrame, innings: DataFrame, matches: DataFrame) -> DataFrame:
+    """A1–A5 in one aggregation, combined on the map side: totals that merge_totals() can add to others.
 
     "Best" figures are ordered inside one number, which keeps the aggregation in hashed
     fixed-width buffers: the score doubled, plus one when not out; the wickets in the high
@@ -64,23 +75,41 @@ def _totals(facts: DataFrame, innings: DataFrame, matches: DataFrame) -> DataFra
     def total(value: Column | str, when: Column) -> Column:
         return F.sum(F.when(when, as_col(value)).otherwise(F.lit(0)))
 
-    sums = rows.groupBy("player_id", "format").agg(
+    return rows.groupBy("player_id", "format").agg(
         F.count_if("bats").alias("matches"), F.count_if(batted).alias("bat_innings"),
         total("runs", batted).alias("bat_runs"), total("balls", batted).alias("bat_balls"),
         total("fours", batted).alias("fours"), total("sixes", batted).alias("sixes"),
         F.count_if(batted & F.col("not_out")).alias("not_outs"),
         F.count_if(batted & (runs >= 100)).alias("hundreds"),
         F.count_if(batted & (runs >= 50) & (runs < 100)).alias("fifties"),
-        F.max(F.when(batted, runs * 2 + F.col("not_out").cast("int"))).alias("_top"),
         F.count_if(bowls).alias("bowl_innings"), total("balls", bowls).alias("bowl_balls"),
         total("maidens", bowls).alias("bowl_maidens"), total("runs", bowls).alias("bowl_runs"),
         total("wickets", bowls).alias("bowl_wickets"), F.count_if(bowls & (wickets >= 5)).alias("five_wickets"),
-        F.max(F.when(bowls, F.shiftleft(wickets, 32) + (F.lit(2**31 - 1) - runs))).alias("_best"))
-    top = F.coalesce(F.col("_top"), F.lit(0))
-    return sums.select(
+        F.max(F.when(batted, runs * 2 + F.col("not_out").cast("int"))).alias("top_score"),
+        F.max(F.when(bowls, F.shiftleft(wickets, 32) + (F.lit(2**31 - 1) - runs))).alias("best_bowling"))
+
+
+def merge_totals(partials: DataFrame, *keep: str) -> DataFrame:
+    """Partial totals of several loads as one row per player and format; ``keep`` are columns that follow from these two."""
+    return partials.groupBy("player_id", "format", *keep).agg(*[F.sum(c).alias(c) for c in SUMS], *[F.max(c).alias(c) for c in TOPS])
+
+
+def with_best(totals: DataFrame) -> DataFrame:
+    """The best figures taken apart again."""
+    top = F.coalesce(F.col("top_score"), F.lit(0))
+    return totals.select(
         "*", F.shiftright(top, 1).alias("highest_score"), (top % 2 == 1).alias("highest_score_not_out"),
-        F.shiftright("_best", 32).alias("best_bowling_wickets"),
-        (F.lit(2**31 - 1) - F.col("_best").bitwiseAND(F.lit(2**32 - 1))).alias("best_bowling_runs"))
+        F.shiftright("best_bowling", 32).alias("best_bowling_wickets"),
+        (F.lit(2**31 - 1) - F.col("best_bowling").bitwiseAND(F.lit(2**32 - 1))).alias("best_bowling_runs"))
+
+
+def _totals(facts: DataFrame, innings: DataFrame, matches: DataFrame) -> DataFrame:
+    return with_best(partial_totals(facts, innings, matches))
+
+
+def career_facts(batting: DataFrame, bowling: DataFrame) -> DataFrame:
+    """Both disciplines stacked."""
+    return batting_facts(batting).unionByName(bowling_facts(bowling))
 
 
 def with_rates(totals: DataFrame) -> DataFrame:
@@ -101,8 +130,17 @@ def career_stats(batting: DataFrame, bowling: DataFrame, innings: DataFrame, mat
     Both disciplines are stacked and aggregated together, so there is one join to the
     formats, one shuffle for the totals, and no outer join of two results.
     """
-    facts = batting_facts(batting).unionByName(bowling_facts(bowling))
-    return with_rates(_totals(facts, innings, matches)).select(CAREER_COLUMNS)
+    return with_rates(_totals(career_facts(batting, bowling), innings, matches)).select(CAREER_COLUMNS)
+
+
+def career_stats_by_match(batting: DataFrame, bowling: DataFrame, matches: DataFrame) -> DataFrame:
+    """A6 for scorecard rows that carry their match_id. Of tables bucketed by match only the totals move, once, to their player.
+
+    Each discipline meets the matches on its own, since a union forgets how its parts lie.
+    """
+    known = matches.filter(~is_blank("format"))
+    parts = [partial_totals(facts, None, known) for facts in (batting_facts(batting), bowling_facts(bowling))]
+    return with_rates(with_best(merge_totals(parts[0].unionByName(parts[1])))).select(CAREER_COLUMNS)
 
 
 def batting_career(batting: DataFrame, innings: DataFrame, matches: DataFrame) -> DataFrame:

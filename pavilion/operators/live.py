@@ -24,11 +24,6 @@ SUMMARY = ("header struct<competitions:array<struct<status:struct<type:struct<de
            "rosters array<struct<team:struct<displayName:string>,roster:array<struct<"
            f"athlete:struct<displayName:string>,statistics:array<{_STAT}>>>>>")
 
-_LISTED = ("array<struct<objectId:string,id:string,title:string,name:string,state:string,status:string,"
-           "statusText:string,statusDetail:string,team1:struct<name:string>,team2:struct<name:string>,"
-           "ground:struct<name:string>,format:string>>")
-_SPOKEN = "array<struct<over:string,text:string,html:string,runs:int,isWicket:boolean>>"
-
 FEED_A = ("over struct<number:string,ball:string>, scoreValue int, "
           "batsman struct<athlete:struct<displayName:string>>, bowler struct<athlete:struct<displayName:string>>, "
           "text string, shortText string, dismissal struct<text:string>, isBoundary boolean, isSix boolean")
@@ -36,8 +31,6 @@ FEED_B = ("overNumber string, ballNumber string, totalRuns int, batsmanStriker s
           "bowlerStriker struct<name:string>, commentTextItems array<struct<html:string>>, text string, "
           "isWicket boolean, isBoundary boolean, dismissalText string")
 
-
-
 #: The situation as a map: one that tells other things than the known six still is one.
 _SITUATED = "competitions array<struct<situation:map<string,string>>>"
 
@@ -146,20 +139,38 @@ def roster_stats(df: DataFrame, col: str = "value", *keep: str) -> DataFrame:
 # ---------------------------------------------------------------- pages that embed JSON
 
 
-def _embedded(df: DataFrame, html: str, parts: list[str], lists: list[str], items: str, keep) -> DataFrame:
-    inner = ",".join(f"{name}:{items}" for name in lists)
-    outer = ",".join(f"{part}:struct<{inner}>" for part in parts)
-    props = F.from_json(first_group(html, fixed.EMBEDDED_DATA), f"props struct<pageProps:struct<{outer}>>")
-    read = df.select(*keep, props["props"]["pageProps"].alias("pp"))
-    none = F.array().cast(items)
-    every = F.concat(*[F.coalesce(F.col(f"pp.{part}.{name}"), none) for part in parts for name in lists])
-    return read.select(*keep, F.posexplode(every).alias("item_no", "m")).filter(F.col("m").isNotNull())
+def _embedded(df: DataFrame, html: str, parts: list[str], lists: list[str], keep) -> DataFrame:
+    """Items of the lists under any of the paths, as variants ``m``.
+
+    The document is parsed once; a part that is no object, a list that is none and an item that is no object give no row and
+    leave the others as they are, whatever their keys hold.
+    """
+    props = F.try_variant_get(F.try_parse_json(first_group(html, fixed.EMBEDDED_DATA)), "$.props.pageProps", "variant")
+    read = df.select(*keep, props.alias("pp"))
+    none = F.array().cast("array<variant>")
+    every = F.concat(*[F.coalesce(F.try_variant_get("pp", f"$.{part}.{name}", "array<variant>"), none) for part in parts for name in lists])
+    rows = read.select(*keep, F.posexplode(every).alias("item_no", "m"))
+    return rows.filter(_is_object(F.col("m")))
+
+
+def _is_object(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+
+
+def _said(path: str, kind: str = "string") -> Column:
+    return F.try_variant_get("m", f"$.{path}", kind)
 
 
 def embedded_matches(df: DataFrame, html: str = "html", *keep: str) -> DataFrame:
-    """Matches listed in the JSON that a page embeds, under any of nine paths."""
-    rows = _embedded(df, html, ["data", "appData", "content"], ["matches", "events", "liveMatches"], _LISTED, keep)
-    either = lambda *names: F.coalesce(*[F.col(f"m.{n}") for n in names], F.lit(""))
+    """Matches listed in the JSON that a page embeds, under any of nine paths.
+
+    Ids may be numbers or texts. A match whose side or ground is there but no object can't be read and is left out.
+    """
+    rows = _embedded(df, html, ["data", "appData", "content"], ["matches", "events", "liveMatches"], keep)
+    for part in ("team1", "team2", "ground"):
+        value = _said(part, "variant")
+        rows = rows.filter(value.isNull() | _is_object(value))
+    either = lambda *paths: F.coalesce(*[_said(p) for p in paths], F.lit(""))
     return rows.select(
         *keep, "item_no", either("objectId", "id").alias("match_id"), either("title", "name").alias("name"),
         either("state", "status").alias("status"), either("statusText", "statusDetail").alias("status_detail"),
@@ -175,12 +186,12 @@ def listed_matches(df: DataFrame, col: str = "value") -> DataFrame:
 
 def embedded_commentary(df: DataFrame, html: str = "html", *keep: str) -> DataFrame:
     """Commentary in the JSON that a page embeds; blank texts dropped, markup removed."""
-    rows = _embedded(df, html, ["data", "appData"], ["commentary", "commentaryList", "recentBalls"], _SPOKEN, keep)
-    text = F.coalesce("m.text", "m.html", F.lit(""))
-    wicket = F.coalesce("m.isWicket", F.lit(False))
+    rows = _embedded(df, html, ["data", "appData"], ["commentary", "commentaryList", "recentBalls"], keep)
+    text = F.coalesce(_said("text"), _said("html"), F.lit(""))
+    wicket = F.coalesce(_said("isWicket", "boolean"), F.lit(False))
     return rows.filter(text != "").select(
-        *keep, "item_no", _text("m.over").alias("over"), strip_tags(text).alias("text"),
-        F.coalesce("m.runs", F.lit(0)).alias("runs"), wicket.alias("is_wicket"),
+        *keep, "item_no", _text(_said("over")).alias("over"), strip_tags(text).alias("text"),
+        F.coalesce(_said("runs", "int"), F.lit(0)).alias("runs"), wicket.alias("is_wicket"),
         F.when(wicket, F.lit("wicket")).otherwise(F.lit("ball")).alias("type"))
 
 

@@ -95,6 +95,9 @@ def team_rows(players: DataFrame) -> DataFrame:
 def team_rollup(players: DataFrame, parts: int = PARTS) -> DataFrame:
     """Teams with their squads as arrays, in a fixed number of parts by a hash of player_id; ``parts=1``: whole squads.
 
+    An array holds a squad's size divided by ``parts``: choose it so that the largest one stays within some thousand players, or
+    take team_rows(), which collects nothing.
+
     Players without a team are a squad of their own, without a team_id.
     """
     squads = collect_parts(players, ["team"], F.struct(*players.columns), "player_id", "players", parts)

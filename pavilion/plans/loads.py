@@ -12,7 +12,7 @@ from .. import schemas
 from ..operators import dedup, maintenance, nested, pages, registry, scorecards
 from ..functions.text import row_key
 from ..session import materialise
-from ..sources import sinks
+from ..sources import commits, sinks
 
 TABLES = {
     "match_registry": schemas.REGISTRY, "tournaments": schemas.TOURNAMENTS, "teams": schemas.TEAMS,
@@ -24,7 +24,6 @@ TABLES = {
 #: key by which a table's later rows replace earlier ones; the others only grow
 KEYS = {"match_registry": "universal_match_id", "tournaments": "tournament_id", "teams": "team_id", "players": "player_id",
         "matches": "match_id"}
-LOADS = "seq bigint, load_id string"
 
 
 @dataclass
@@ -42,37 +41,49 @@ class Load:
         stopped on the way is invisible, and running it again replaces its folders. One that is committed already changes nothing.
         """
         spark = next(iter(self.added.values())).sparkSession
-        done = _commits(spark, root)
-        if done.filter(F.col("load_id") == self.load_id).count():
+        if commits.is_known(spark, root, self.load_id):
             return
-        seq = (done.agg(F.max("seq")).first()[0] or 0) + 1
         for name, df in {**self.added, **self.changed}.items():
             sinks.replace_part(df, f"{root}/{name}", self.load_id)
-        sinks.replace_part(spark.createDataFrame([(seq, self.load_id)], LOADS).coalesce(1), f"{root}/loads", self.load_id)
+        commits.commit(spark, root, self.load_id)
 
 
 def create_warehouse(spark: SparkSession, root: str) -> None:
     """Empty tables at ``root``."""
-    for name, schema in {**TABLES, "loads": LOADS}.items():
+    for name, schema in TABLES.items():
         sinks.replace_part(spark.createDataFrame([], schema), f"{root}/{name}", "none")
+    commits.create(spark, root)
 
 
-def _stored(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    return spark.read.schema(f"{schema}, load_id string").parquet(f"{root}/{name}")
+def read_warehouse(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables at ``root`` as the committed loads left them; of a key that several loads wrote, the last row counts.
 
+    Where one load counts, as after merge_loads(), there is nothing to pick and no table is grouped.
+    """
+    loads, out = commits.current(spark, root), {}
+    for name, schema in TABLES.items():
+        rows = commits.stored(spark, root, name, schema, loads)
+        if name in KEYS and len(loads) > 1:
+            order = F.element_at(F.create_map(*[F.lit(x) for pair in loads.items() for x in pair]), F.col("load_id"))
+            rows = dedup.pick_one(rows.withColumn("seq", order).drop("load_id"), [KEYS[name]], "seq", last=True).drop("seq")
+        out[name] = rows.drop("load_id")
+    return out
 
-def _commits(spark: SparkSession, root: str) -> DataFrame:
-    """Committed loads, one small row each."""
-    return spark.read.schema(LOADS).parquet(f"{root}/loads").filter(F.col("seq").isNotNull())
 
+def merge_loads(spark: SparkSession, root: str) -> str | None:
+    """Replace all loads by one that holds the same tables; returns its id, None if there is nothing to merge.
 
-def read_warehouse(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The tables at ``root`` as the committed loads left them; of a key that several loads wrote, the last row counts."""
-    done, out = _commits(spark, root).select("load_id", "seq"), {}
-    for name, schema in TABLES.items():
-        rows = _stored(spark, root, name, schema).join(done, "load_id").drop("load_id")
-        out[name] = (dedup.pick_one(rows, [KEYS[name]], "seq", last=True) if name in KEYS else rows).drop("seq")
-    return out
+    Every table is read and written once, those with a key with one row a key. The merged load counts from its commit on, and those that it
+    replaces don't any more; a merge that stopped changes nothing. ``commits.remove_replaced`` deletes the old folders.
+    """
+    loads = commits.current(spark, root)
+    if len(loads) < 2:
+        return None
+    load_id = "merged-" + hashlib.md5(" ".join(sorted(loads)).encode()).hexdigest()
+    for name, rows in read_warehouse(spark, root).items():
+        sinks.replace_part(rows, f"{root}/{name}", load_id)
+    commits.commit(spark, root, load_id, max(loads.values()), sorted(loads))
+    return load_id
 
 
 def empty_warehouse(spark: SparkSession) -> dict[str, DataFrame]:

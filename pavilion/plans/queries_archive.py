@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import archive
+from ..session import work_dir
+from ..sources import layout
 from .adapters import adapt, oracle
 
 _CARD = ("scraped_matches", "scraped_innings", "scraped_fow", "scraped_batting", "scraped_bowling")
@@ -24,7 +28,21 @@ rows_all AS (
   SELECT match_id, innings_number, 'bowling', id, player_name, NULL, runs, NULL, NULL, NULL, NULL, overs, maidens,
          wickets, wides, no_balls FROM scraped_bowling)"""
 
-_NULLS = ", ".join(["NULL"] * len(archive.ROW_FIELDS))
+_NULLS = ", ".join(f"CAST(NULL AS {'VARCHAR' if f in ('player_name', 'dismissal') else 'INT'}) AS {f}" for f in archive.ROW_FIELDS)
+
+_BAT_ROW = """match_id, innings_number, 'batting' AS section, id AS row_id, player_name, dismissal, runs, balls, mins, fours, sixes,
+  CAST(NULL AS INT) AS overs, CAST(NULL AS INT) AS maidens, CAST(NULL AS INT) AS wickets, CAST(NULL AS INT) AS wides, CAST(NULL AS INT) AS no_balls"""
+_BOWL_ROW = """match_id, innings_number, 'bowling' AS section, id AS row_id, player_name, CAST(NULL AS VARCHAR) AS dismissal, runs,
+  CAST(NULL AS INT) AS balls, CAST(NULL AS INT) AS mins, CAST(NULL AS INT) AS fours, CAST(NULL AS INT) AS sixes, overs, maidens, wickets, wides, no_balls"""
+_LISTED = """(match_id, innings_number) IN (SELECT (i.match_id, i.innings_number) FROM scraped_innings i
+  WHERE i.match_id IN (SELECT m.match_id FROM scraped_matches m))"""
+_SCORECARD_ROWS = f"""
+SELECT {_BAT_ROW}, '' AS fow FROM scraped_batting WHERE {_LISTED}
+UNION ALL SELECT {_BOWL_ROW}, '' AS fow FROM scraped_bowling WHERE {_LISTED}
+UNION ALL SELECT h.match_id, h.innings_number, 'innings' AS section, CAST(0 AS BIGINT) AS row_id, {_NULLS}, coalesce(f.fow, '') AS fow
+  FROM (SELECT DISTINCT i.match_id, i.innings_number FROM scraped_innings i WHERE i.match_id IN (SELECT m.match_id FROM scraped_matches m)) h
+  LEFT JOIN (SELECT w.match_id, w.innings_number, arg_max(w.fow_string, w.id) AS fow FROM scraped_fow w GROUP BY w.match_id, w.innings_number) f
+    ON h.match_id = f.match_id AND h.innings_number = f.innings_number"""
 
 _HEADS = """
 heads AS (SELECT i.match_id, i.innings_number, coalesce(f.fow, '') AS fow
@@ -119,6 +137,25 @@ def _status(s, d):
     return archive.warehouse_status(*adapt(s, d, "scraped_matches", "progress", "scraped_batting"))
 
 
+def _rejected(s, d):
+    """Rows of innings that no match of five innings has."""
+    _, _, _, bat, bowl = adapt(s, d, *_CARD)
+    return archive.rejected_rows(bat, bowl, 5)
+
+
+def laid_out(s, d, *names: str):
+    """Adapted tables, written bucketed by match once and read as such."""
+    folder = work_dir(s)
+    session, tag = layout.co_partitioned(s), uuid.uuid4().hex
+    for name, df in zip(names, adapt(s, d, *names)):
+        layout.lay_out(df, f"{name}_{tag}", f"{folder}/{name}")
+    return [session.table(f"{name}_{tag}") for name in names]
+
+
+def _laid_out_rows(s, d):
+    return archive.scorecard_rows(*laid_out(s, d, *_CARD))
+
+
 ENTRIES = {
     "recent_matches": (
         lambda s, d: archive.recent_matches(adapt(s, d, "scraped_matches")),
@@ -166,10 +203,11 @@ ENTRIES = {
                "progress", "scraped_matches")),
     "scorecard_rows": (
         lambda s, d: archive.scorecard_rows(*adapt(s, d, *_CARD)),
-        oracle(f""", {_ROWS.strip()}, {_HEADS.strip()}
-            SELECT r.*, '' AS fow FROM rows_all r
-              JOIN heads h ON r.match_id = h.match_id AND r.innings_number = h.innings_number
-            UNION ALL SELECT match_id, innings_number, 'innings', 0, {_NULLS}, fow FROM heads""", *_CARD)),
+        oracle(_SCORECARD_ROWS, *_CARD)),
+    "scorecard_rows_by_match": (_laid_out_rows, oracle(_SCORECARD_ROWS, *_CARD)),
+    "rejected_rows": (
+        _rejected, oracle(f"""SELECT {_BAT_ROW} FROM scraped_batting WHERE innings_number > 5
+            UNION ALL SELECT {_BOWL_ROW} FROM scraped_bowling WHERE innings_number > 5""", *_CARD)),
     "scorecard_documents": (
         _scorecards,
         oracle(f""", {_HEADS.strip()} SELECT x.*, m.title FROM ({_documents('heads')}) x

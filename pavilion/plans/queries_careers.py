@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from ..operators import careers
+from ..session import work_dir
+from ..sources import layout
 from .adapters import adapt, oracle
 
 _CARD = ("batting", "bowling", "innings", "matches")
@@ -76,6 +82,17 @@ def career_stats(spark, sf_dir):
     return careers.career_stats(*adapt(spark, sf_dir, *_CARD))
 
 
+def _career_by_match(spark, sf_dir):
+    """Facts that carry their match, laid out by it together with the matches."""
+    bat, bowl, inns, matches = adapt(spark, sf_dir, *_CARD)
+    of = inns.select(F.col("id").alias("innings_id"), "match_id")
+    folder, session, tag = work_dir(spark), layout.co_partitioned(spark), uuid.uuid4().hex
+    tables = {"batting": bat.join(of, "innings_id"), "bowling": bowl.join(of, "innings_id"), "matches": matches}
+    for name, df in tables.items():
+        layout.lay_out(df, f"{name}_{tag}", f"{folder}/{name}")
+    return careers.career_stats_by_match(*[session.table(f"{name}_{tag}") for name in tables])
+
+
 def _query(mode: str, filters: dict):
     def run(spark, sf_dir):
         bat, bowl, inns, matches = adapt(spark, sf_dir, *_CARD)
@@ -90,6 +107,7 @@ WHERE m.venue = 'Ground F' AND m.season >= 1995 AND m.season <= 1998 AND i.bowli
 
 ENTRIES = {
     "career_stats": (career_stats, oracle(_CAREER, *_CARD)),
+    "career_stats_by_match": (_career_by_match, oracle(_CAREER, *_CARD)),
     "batting_career": (
         lambda s, d: careers.batting_career(*adapt(s, d, "batting", "innings", "matches")),
         oracle(f""", {_BAT_ROWS.strip()} SELECT player_id, format, matches, bat_innings, bat_runs, bat_balls, fours, sixes,

@@ -76,7 +76,7 @@ def _log_file(s, d):
 def _team_documents(s, d):
     path = f"{work_dir(s)}/teams"
     players = adapt(s, d, "squads").withColumn("name", F.concat(F.lit("P "), "player_id"))
-    sinks.write_teams_json(profiles.team_heads(players), players, path, parts=1)
+    sinks.write_teams_json(profiles.team_heads(players), players, path)
     found = scans.parse_teams(s.read.text(path))
     return found.select("team_id", "player_name", F.col("player.player_id").alias("player_id"))
 
@@ -90,13 +90,18 @@ def _table(s, d):
     return scans.table(s, "squads", root).select("player_id", "role", "team")
 
 
+#: A poll's rows lie in so many files, which a batch takes together.
+POLL_FILES = 8
+
+
 def _until_post(s, d):
-    """Four polls; the third says that the match is over."""
+    """Four polls, one after the other; the third says that the match is over."""
     folder = work_dir(s)
     for n in range(4):
         rows = read(s, d, "events").filter(F.col("event_id") % 4 == n).select("event_id", F.lit("post" if n == 2 else "in").alias("status"))
-        rows.coalesce(1).write.mode("append").json(f"{folder}/polls")
-    polls = s.readStream.schema("event_id bigint, status string").option("maxFilesPerTrigger", 1).json(f"{folder}/polls")
+        rows.repartition(POLL_FILES, "event_id").write.option("compression", "none").json(f"{folder}/polls/poll={n}")
+    polls = s.readStream.schema("event_id bigint, status string, poll int").option("maxFilesPerTrigger", POLL_FILES).json(f"{folder}/polls")
+    polls = polls.drop("poll")
     streams.run_until_post(polls, lambda b: b.write.mode("append").parquet(f"{folder}/shown"), f"{folder}/state", "0 seconds", timeout=120)
     return s.read.schema("event_id bigint, status string").parquet(f"{folder}/shown")
 

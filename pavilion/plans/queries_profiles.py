@@ -122,6 +122,10 @@ ENTRIES = {
               FROM (SELECT *, CAST(CAST('0x' || substr(md5(player_id), 1, 7) AS BIGINT) % 16 AS INT) AS part FROM squads)
               GROUP BY team, part""",
                "squads")),
+    "team_rows": (
+        lambda s, d: profiles.team_rows(adapt(s, d, "squads")),
+        oracle("""SELECT team AS team_id, team AS name, CAST(0.03 AS DOUBLE) AS home_advantage, player_id, team AS player_team, role, recent_form
+                  FROM squads""", "squads")),
     "playing_xi": (
         lambda s, d: profiles.playing_xi(adapt(s, d, "squads")),
         oracle("""SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY team ORDER BY recent_form DESC, player_id)

@@ -58,6 +58,13 @@ REGISTRY = table(**_strings("universal_match_id", "team1", "team2", "match_date"
 
 CRAWL_QUEUE = table(ca_match_id="string", status="string", discovered_at="timestamp")
 
+#: The career table, as careers.CAREER_COLUMNS lists it.
+CAREER = table(
+    **_strings("player_id", "format"), matches="bigint", bat_innings="bigint", bat_runs="bigint", bat_avg="double", bat_sr="double",
+    highest_score="bigint", highest_score_not_out="boolean", fifties="bigint", hundreds="bigint", fours="bigint", sixes="bigint",
+    not_outs="bigint", bowl_innings="bigint", bowl_overs="double", bowl_maidens="bigint", bowl_runs="bigint", bowl_wickets="bigint",
+    bowl_avg="double", bowl_econ="double", bowl_sr="double", five_wickets="bigint", best_bowling_runs="bigint", best_bowling_wickets="bigint")
+
 HISTORY = table(source="string", match_id="string", id="string", title="string", url="string", status="string")
 
 # --- nested inputs ------------------------------------------------------------------------

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,15 +30,14 @@ def build_session(app: str = "pavilion", master: str | None = None, **extra: str
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder below the shared directory the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session. Only a local session without
-    that setting gets a temporary folder; a cluster session without it is an error,
-    because executors on other hosts could not read a folder on this machine.
+    ``spark.checkpoint.dir`` is read from the session, and in a local session without that setting the session's
+    warehouse. A cluster session without it is an error, because the default warehouse is a folder on one machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = os.path.join(tempfile.gettempdir(), "pavilion-work")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/pavilion-{uuid.uuid4().hex}"
 
 
@@ -54,15 +51,3 @@ def materialise(df: DataFrame, name: str = "table", row_group: int | None = None
     path = f"{work_dir(spark)}/{name}"
     (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a table of deeply nested rows.
-
-    Such rows vary a lot in size. A checkpoint is read back row by row, where a columnar
-    file would be read thousands of whole pages at a time.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(work_dir(df.sparkSession))
-    return df.checkpoint()

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import is_blank
 from ..operators.dedup import last_wins
 from ..operators.pages import parse_pages
+from ..sources import layout
 
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -69,12 +72,118 @@ def new_commentary(stream: DataFrame, ts: str | None = None, delay: str | None =
     return once(spoken, key)
 
 
+#: The state of a share of a match's texts: whether the match is over, and 16 bytes for each text it has shown.
+SEEN = "ended boolean, hashes binary"
+
+
+def _once_until_post(remembered: int | None):
+    def show(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        frames = list(frames)
+        ended, stored = state.get if state.exists else (False, b"")
+        if ended or not frames:
+            return
+        batch = pd.concat(frames).sort_values(["place", "hash"], kind="stable")
+        over = batch.loc[batch["over"], "place"]
+        if len(over):  # texts up to the end are shown, and those of the same place
+            batch = batch[batch["place"] <= over.min()]
+        stored = bytes(stored)
+        known = {stored[i:i + 16] for i in range(0, len(stored), 16)}
+        texts = batch[batch["text"].str.strip() != ""].drop_duplicates("hash")
+        fresh = texts.loc[[bytes(h) not in known for h in texts["hash"]]]
+        if len(over):
+            state.update((True, b""))
+            if remembered is not None:
+                state.setTimeoutDuration(remembered)
+        else:
+            state.update((False, stored + b"".join(map(bytes, fresh["hash"]))))
+        if len(fresh):
+            yield fresh[["match_id", "text", "place"]]
+
+    return show
+
+
+def match_commentary(stream: DataFrame, place: str = "place", parts: int = 4, remembered: int | None = None) -> DataFrame:
+    """Each text of a match once while the match lasts; rows (match_id, text, place).
+
+    ``stream`` has match_id, text and status; ``place`` is a number that rises within a match. Once a row of status ``post`` comes, what
+    lies behind it is not shown and the match's texts leave the state. One flag a part says that it is over, so what comes late is not shown either;
+    after ``remembered`` milliseconds, if given, the flag goes as well and nothing is left of the match. (Spark then runs batches also without new rows; with
+    a trigger that is to end, set spark.sql.streaming.noDataMicroBatches.enabled to false.) NULL and blank texts are left out.
+
+    The texts of a match are dealt to ``parts`` tasks by a hash, and its end is told to each, so a match that everybody talks about is
+    neither one task nor one state entry.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = stream.select("match_id", text.alias("text"), (F.coalesce("status", F.lit("")) == "post").alias("over"), F.col(place).cast("bigint").alias("place"),
+                         F.unhex(F.md5(text)).alias("hash"), F.pmod(F.xxhash64(text), F.lit(parts)).cast("int").alias("own"))
+    every = F.when(F.col("over"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array("own"))
+    rows = rows.withColumn("part", F.explode(every))
+    rows = rows.withColumn("text", F.when(F.col("part") == F.col("own"), F.col("text")).otherwise(F.lit("")))
+    kind = stream.schema["match_id"].dataType.simpleString()
+    return rows.groupBy("match_id", "part").applyInPandasWithState(
+        _once_until_post(remembered), f"match_id {kind}, text string, place bigint", SEEN, "append",
+        GroupStateTimeout.NoTimeout if remembered is None else GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def latest_scores(stream: DataFrame, value: list[str], order: Column | str = "ts", key: str = "match_id") -> DataFrame:
     """T4: last known state of each match; run it in update mode."""
     row = F.max_by(F.struct(*value), order).alias("r")
     return stream.groupBy(key).agg(row).select(key, "r.*")
 
 
+QUEUE = "ca_match_id string, status string, batch bigint"
+
+
+def create_queue(queue: DataFrame, path: str, parts: int = layout.PARTS) -> None:
+    """A status table (ca_match_id, status) that keep_queue() takes outcomes to, by hash of the id."""
+    layout.write_parts(queue.select("ca_match_id", "status", F.lit(None).cast("bigint").alias("batch")), path, "ca_match_id", parts)
+
+
+def keep_queue(outcomes: DataFrame, path: str, checkpoint: str, parts: int = layout.PARTS, **trigger) -> StreamingQuery:
+    """Merge a stream of outcomes (ca_match_id, ok) into the status table at ``path``, batch by batch.
+
+    A row says which batch decided it, and a batch changes no row that a later one has decided, so a batch that is run again, whole or from where it
+    stopped, changes nothing. Only the parts that have an outcome are read and written. Of several outcomes in a batch success counts;
+    outcomes of ids that are not queued are left out.
+    """
+    def save(batch: DataFrame, batch_id: int) -> None:
+        merge_outcomes(batch, path, batch_id, parts)
+
+    return (outcomes.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(**(trigger or {"processingTime": "30 seconds"})).start())
+
+
+def merge_outcomes(batch: DataFrame, path: str, batch_id: int, parts: int = layout.PARTS) -> list[int]:
+    """One batch of keep_queue(); returns the parts it changed."""
+    def change(stored: DataFrame, rows: DataFrame) -> DataFrame:
+        told = rows.groupBy("ca_match_id").agg(F.max("ok").alias("_ok"))
+        mine = F.col("_ok").isNotNull() & (F.coalesce("batch", F.lit(-1)) <= batch_id)
+        state = F.when(mine & F.col("_ok"), "COMPLETED").when(mine, "FAILED").otherwise(F.col("status"))
+        now = F.when(mine, F.lit(batch_id).cast("bigint")).otherwise(F.col("batch"))
+        return stored.join(told, "ca_match_id", "left").withColumns({"status": state, "batch": now}).drop("_ok")
+
+    return layout.merge_parts(path, QUEUE, batch.select("ca_match_id", "ok"), "ca_match_id", change, parts)
+
+
+def migrate(spark: SparkSession, path: str, schema: str, change: Callable[[DataFrame], DataFrame], into: str, checkpoint: str,
+            files_per_batch: int = 1000) -> None:
+    """Take what is new in a folder of Parquet files through ``change`` to the folder ``into``, some files a batch, until all are done.
+
+    Which files are done is committed in ``checkpoint`` after each batch. A run that stops goes on with the batch it was at, whose folder is
+    replaced; a run that finds nothing new does nothing.
+    """
+    def save(batch: DataFrame, batch_id: int) -> None:
+        change(batch).write.mode("overwrite").parquet(f"{into}/batch_id={batch_id}")
+
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).parquet(path)
+    files.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def start_append(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Write a stream to a Parquet folder, once per row."""
     return (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)

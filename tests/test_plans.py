@@ -3,8 +3,9 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from pavilion.plans import catalog, queries_files, queries_pages
+from pavilion.plans import catalog, queries_files, queries_kept, queries_pages
 
 QUERIES = {name: run for name, (run, _) in catalog.entries().items()}
 #: queries that start from pages already parsed into a written table, so their own plan has no Python left
@@ -12,7 +13,7 @@ PARSED_BEFORE = {"attach_batting", "attach_bowling", "attach_bowling_by_team"}
 #: the markup pass is the only Python in any plan
 WITH_PAGES = set(queries_pages.ENTRIES) - {"strip_tags", "url_ids"} - PARSED_BEFORE
 #: queries that write files, streams or tables first and read them back
-STREAMED = {"new_commentary", "latest_scores"} | set(queries_files.ENTRIES)
+STREAMED = {"new_commentary", "latest_scores", "scorecard_rows_by_match", "career_stats_by_match"} | set(queries_files.ENTRIES) | set(queries_kept.ENTRIES)
 
 
 def plan(df):
@@ -64,6 +65,35 @@ def test_pages_to_facts_without_a_shuffle(spark, sf_dir):
         assert "Exchange" not in physical(rows)
 
 
+def test_tables_laid_out_by_match_join_where_they_lie(spark, sf_dir):
+    from pavilion.plans.queries_archive import _CARD, laid_out
+    from pavilion.operators import archive
+
+    tables = laid_out(spark, sf_dir, *_CARD)
+    tables[0].sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    text = physical(archive.scorecard_rows(*tables))
+    assert "Exchange" not in text and text.count("SortMergeJoin") >= 4 and "Bucketed: true" in text
+
+
+def test_careers_by_match_move_their_totals_only(spark, sf_dir):
+    df = QUERIES["career_stats_by_match"](spark, sf_dir)
+    df.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    text = physical(df.select("*"))
+    below = [part.split("Scan parquet")[0] for part in text.split("SortMergeJoin")[1:]]
+    assert len(below) == 2 and not any("Exchange" in b for b in below)
+
+
+def test_ranges_and_parts_reach_the_scan(spark, sf_dir, tmp_path):
+    from pavilion.sources import layout
+
+    text = physical(QUERIES["matches_between"](spark, sf_dir))
+    assert "GreaterThanOrEqual(day,1995-03-01)" in text and "LessThanOrEqual(day,1996-12-31)" in text
+    rows = spark.range(1000).withColumn("v", F.col("id"))
+    layout.write_parts(rows, str(tmp_path / "t"), "id", 16)
+    some = layout.read_parts(spark, str(tmp_path / "t"), "id bigint, v bigint", [3, 5])
+    assert "part#" in re.search(r"PartitionFilters: \[[^\]]*\]", physical(some)).group(0)
+
+
 def test_scorecard_rows_move_once(spark, sf_dir):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -73,7 +103,9 @@ def test_scorecard_rows_move_once(spark, sf_dir):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert len(re.findall(r"(?<!, )Exchange hashpartitioning", text)) <= 5, text
+    # batting and bowling rows move once each, straight from their scans, to the listed innings, which are worked out once
+    assert len(re.findall(r"(?<!, )Exchange hashpartitioning\(l_orderkey#\w+, l_linenumber#\w+", text)) == 2, text
+    assert len(re.findall(r"ReusedExchange", text)) >= 3
 
 
 @pytest.mark.parametrize("name", ["entity_players", "entity_teams"])
