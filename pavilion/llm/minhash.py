@@ -34,6 +34,8 @@ AT_LEAST = 85
 LAST = (1 << 63) - 1
 #: Rows of a block: of sketches that share a bucket, and of documents of a cluster with their texts. Two blocks meet in a group.
 BLOCK, GROUP = 1024, 256
+#: So often each cluster of more than a block is first compared with one of its documents.
+ROUNDS = 2
 
 
 def n_bands(at_least: int = AT_LEAST) -> int:
@@ -226,6 +228,47 @@ def blocked(rows: DataFrame, size: int) -> DataFrame:
     return blocks.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
 
 
+def _hits(batches: Iterator[pa.RecordBatch], at_least: int) -> Iterator[pa.RecordBatch]:
+    """Whether each document is linked with its cluster's pivot."""
+    pivot, of = None, np.zeros(0, dtype=np.uint64)
+    for batch in batches:
+        for part in slices(batch, "text"):
+            hits = []
+            for mine, at, other in zip(shingle_sets(Words(part.column("text"), lower=True)), part.column("pivot").to_pylist(), part.column("pivot_text")):
+                if at != pivot:
+                    pivot, of = at, shingle_sets(Words(pa.array([other.as_py()]), lower=True))[0]
+                hits.append(similar(mine, of, at_least))
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("pivot"), pa.array(hits)], names=["node", "pivot", "hit"])
+
+
+def stars(members: DataFrame, at_least: int = AT_LEAST) -> DataFrame:
+    """(node, pivot, hit): documents of clusters (key, node, text) compared with the smallest of their cluster, one comparison a document."""
+    pivots = members.groupBy("key").agg(F.min("node").alias("pivot"))
+    heads = members.select("node", F.col("text").alias("pivot_text")).join(pivots, F.col("node") == F.col("pivot")).drop("node")
+    pairs = members.select("key", "node", "text").join(heads, "key").select("node", "pivot", "text", "pivot_text")
+    return pairs.mapInArrow(partial(_hits, at_least=at_least), "node long, pivot long, hit boolean")
+
+
+def apart(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (key, node, star, ...) dealt to groups (key, low, high) of two blocks of about ``size``, sorted.
+
+    ``star`` is 0 for a row of its own and a number that the rows of a key share that are known to hang together. Two rows of a
+    key meet in one group unless they are of one star: its blocks meet all others but each other, so a key whose rows are nearly all of one star
+    costs its few others times its rows.
+    """
+    kinds = rows.groupBy("key", "star").agg(F.ceil(F.count("*") / size).cast("long").alias("blocks"))
+    kinds = kinds.groupBy(F.col("key").alias("of")).agg(F.collect_list(F.struct("star", "blocks")).alias("kinds"))  # ROUNDS + 1 at most
+    dealt = rows.join(kinds, rows["key"] == kinds["of"]).drop("of")
+    mine = F.element_at(F.filter("kinds", lambda k: k["star"] == F.col("star")), 1)["blocks"]
+    base = 1 << 40
+    dealt = dealt.withColumn("block", F.col("star") * base + F.pmod(F.xxhash64("node"), mine))
+    others = F.filter("kinds", lambda k: (k["star"] != F.col("star")) | (k["star"] == 0))
+    places = F.flatten(F.transform(others, lambda k: F.transform(F.sequence(F.lit(0).cast("long"), k["blocks"] - 1), lambda b: k["star"] * base + b)))
+    dealt = dealt.withColumn("other", F.explode(places)).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    keys = ["key", "low", "high"]
+    return dealt.drop("other", "kinds", "star").repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+
+
 def near_duplicates(docs: DataFrame, at_least: int = AT_LEAST) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept.
 
@@ -236,7 +279,8 @@ def near_duplicates(docs: DataFrame, at_least: int = AT_LEAST) -> DataFrame:
 
     Documents that share a bucket and whose sketches agree often enough for a link make up clusters. The full sets of a cluster's documents are then compared
     where sketches allow it. Buckets and clusters are met in blocks, and each group of blocks returns a forest, a row a document at
-    most: no link that banding proposes is lost, and nobody lists the pairs of a group.
+    most: no link that banding proposes is lost, and nobody lists the pairs of a group. A cluster of more than a block is first compared with one of its
+    documents, ROUNDS times; those that are linked with it need not meet each other any more.
     """
     name = F.coalesce("doc_id", F.lit(LAST))
     drawn = materialise(sketches(docs, n_bands(at_least)).withColumn("doc_id", name), "sketches")
@@ -249,8 +293,17 @@ def near_duplicates(docs: DataFrame, at_least: int = AT_LEAST) -> DataFrame:
     clusters = materialise(components(alike).withColumnRenamed("component", "key"), "clusters")
     sizes = clusters.groupBy("key").agg(F.count("*").alias("n"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    members = clusters.join(sizes, "key").join(classes.select("node", "bins"), "node").join(texts, "node")
-    links = blocked(members, GROUP).mapInArrow(partial(_verified, at_least=at_least), "a long, b long")
+    members = clusters.join(sizes, "key").join(classes.select("node", "bins"), "node").join(texts, "node").withColumn("star", F.lit(0).cast("long"))
+    links, large = None, F.col("n") > GROUP
+    if not sizes.where(large).isEmpty():
+        members = materialise(members, "members")
+        for k in range(1, ROUNDS + 1):
+            found = materialise(stars(members.where(large & (F.col("star") == 0)), at_least).where("hit").select(F.col("node").alias("b"), F.col("pivot").alias("a")), "stars")
+            links = found if links is None else links.unionByName(found)
+            members = members.join(found.select(F.col("b").alias("node"), F.lit(k).cast("long").alias("found")), "node", "left")
+            members = members.withColumn("star", F.coalesce("found", "star")).drop("found")
+    verified = apart(members.drop("n"), GROUP).mapInArrow(partial(_verified, at_least=at_least), "a long, b long")
+    links = verified if links is None else verified.unionByName(links)
     labels = components(links)
     classes = classes.join(labels, "node", "left").select(F.col("digest").alias("of"), F.coalesce("component", "node").alias("component"))
     out = drawn.join(classes, drawn["digest"] == classes["of"], "left").withColumn("component", F.coalesce("component", "doc_id"))

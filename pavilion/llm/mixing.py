@@ -85,6 +85,12 @@ def invert(share: Column, schedule: Schedule) -> Column:
     return position
 
 
+def place(doc_id: Column, text: Column) -> Column:
+    """A hash that orders the documents of a source; different texts of one doc_id, or of none, lie far apart."""
+    name = F.coalesce(doc_id.cast("long").cast("string"), F.lit(""))
+    return F.md5(F.concat(name, F.lit(":"), F.md5(F.coalesce(text.cast("string"), F.lit("")))))
+
+
 def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[Schedule] = SCHEDULES,
          most: int = MOST_EPOCHS, keep: Sequence[str] = ()) -> DataFrame:
     """What the mix takes of every document.
@@ -93,7 +99,7 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[
     one more, unfinished pass), position (training time of its first words; NULL if nothing is taken), step
     (distance of two passes as a share of the source's demand), share (place of its first words) and the columns ``keep``.
 
-    A source is a stream of its documents in the order of a hash of doc_id, run through again until the target is reached;
+    A source is a stream of its documents in the order of a hash of doc_id and text, run through again until the target is reached;
     the document at the end is cut there, so the taken words of a source are its target, rounded down.
     Running sums go over stretches: documents of a source are dealt to ranges of the hash, so a source with a
     third of all rows is many groups. Null text: size 0, taken 0. Null source: a source of its own, the last.
@@ -101,13 +107,11 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[
     """
     kept = [F.col(c).alias(f"_kept_{i}") for i, c in enumerate(keep)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                       word_count(F.col("text")).alias("size"), *kept)
+                       word_count(F.col("text")).alias("size"), place(F.col("doc_id"), F.col("text")).alias("place"), *kept)
     if not keep:  # narrow: the texts are read once
         rows = materialise(rows, "sizes")
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, most)
     goal = materialise(goal, "targets")  # its size is known then, so texts aren't exchanged to meet a small table
-    digits = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = rows.withColumn("place", digits)
     # md5 is even, so its leading 32 bits deal a source's documents evenly to ranges in the order of the hash
     goal = goal.withColumn("stretches", F.ceil(F.col("n_docs") / STRETCH))
     rows = rows.join(goal.select(F.col("source").alias("s"), "source_size", "target", "ordinal", "stretches"),

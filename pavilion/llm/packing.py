@@ -267,10 +267,13 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE, i
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
-    tie = F.xxhash64("text")
+    tie = F.col("_tie")
     places = [c.alias(f"_place_{i}") for i, c in enumerate(order)]
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *places)
-    by = [*(F.col(f"_place_{i}") for i in range(len(places))), tie] if places else [F.col("doc_id"), tie]
+    # equal rows lie by their place in the input, so many of them are dealt to several ranges
+    rows = rows.withColumns({"_tie": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    by = [*(F.col(f"_place_{i}") for i in range(len(places)))] if places else [F.col("doc_id")]
+    by += [tie, F.col("_row")]
     rows = rows.repartitionByRange(partitions(spark), *by).sortWithinPartitions(*by).select("doc_id", "text")
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()),
               ("sequence_id", pa.int64()), ("offset", pa.int64()), *([("ids", pa.list_(pa.int32()))] if ids else [])]

@@ -96,7 +96,7 @@ def _position_sql(share: str) -> str:
 
 _MIXING_SQL = rf"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS place, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS ordinal
   FROM sized GROUP BY source),
@@ -104,20 +104,20 @@ weighed AS (
   SELECT *, [{', '.join(map(str, mixing.WEIGHTS))}][CAST(ordinal % {len(mixing.WEIGHTS)} AS INTEGER) + 1] AS weight,
          sum(source_size) OVER () AS total FROM sources),
 ranked AS (
-  SELECT *, row_number() OVER w AS place, CAST(sum(source_size) OVER w - source_size AS BIGINT) AS size_before,
+  SELECT *, row_number() OVER w AS nth, CAST(sum(source_size) OVER w - source_size AS BIGINT) AS size_before,
          CAST(sum(weight) OVER () - sum(weight) OVER w + weight AS BIGINT) AS left_weight
   FROM weighed WINDOW w AS (ORDER BY source_size * 1.0::DOUBLE / weight, ordinal ROWS UNBOUNDED PRECEDING)),
 level AS (
-  SELECT place AS free_from, CAST(total - {mixing.MOST_EPOCHS} * size_before AS BIGINT) AS words, left_weight AS weights FROM ranked
-  WHERE {mixing.MOST_EPOCHS} * source_size * left_weight > (total - {mixing.MOST_EPOCHS} * size_before) * weight ORDER BY place LIMIT 1),
+  SELECT nth AS free_from, CAST(total - {mixing.MOST_EPOCHS} * size_before AS BIGINT) AS words, left_weight AS weights FROM ranked
+  WHERE {mixing.MOST_EPOCHS} * source_size * left_weight > (total - {mixing.MOST_EPOCHS} * size_before) * weight ORDER BY nth LIMIT 1),
 goals AS (
   SELECT source, source_size, ordinal,
-         CASE WHEN place >= free_from THEN CAST(words * weight AS DOUBLE) / weights
+         CASE WHEN nth >= free_from THEN CAST(words * weight AS DOUBLE) / weights
               ELSE CAST({mixing.MOST_EPOCHS} * source_size AS DOUBLE) END AS target
   FROM ranked LEFT JOIN level ON true),
 placed AS (
   SELECT doc_id, size, source_size, target, ordinal, CAST(floor(target) AS BIGINT) AS goal,
-         CAST(sum(size) OVER (PARTITION BY ordinal ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS before
+         CAST(sum(size) OVER (PARTITION BY ordinal ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS before
   FROM sized JOIN goals ON sized.source IS NOT DISTINCT FROM goals.source),
 counted AS (
   SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS epochs, CASE WHEN goal > 0 THEN before / goal::DOUBLE END AS share FROM placed),

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pavilion.llm import minhash
 from pavilion.llm.common import components, table
@@ -132,3 +133,45 @@ def test_components(spark):
     random.Random(0).shuffle(path)
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert set(found.values()) == {0} and len(found) == 301
+
+
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_large_clusters_in_small_blocks(spark, monkeypatch, rounds):
+    """Clusters of many blocks: one tight, one of two halves, one chain; every link of the brute force is found."""
+    monkeypatch.setattr(minhash, "GROUP", 4)
+    monkeypatch.setattr(minhash, "ROUNDS", rounds)
+    rng = random.Random(6)
+    texts, word = {}, lambda: f"w{rng.randrange(10**6)}"
+    tight = [word() for _ in range(120)]
+    for i in range(40):
+        own = list(tight)
+        own[rng.randrange(120)] = word()
+        texts[i] = " ".join(own)
+    half = [tight[:60] + [word() for _ in range(60)], [word() for _ in range(120)]]
+    half[1][:90] = half[0][:90]
+    for i in range(30):
+        own = list(half[i % 2])
+        own[rng.choice([0, 119])] = word()
+        texts[100 + i] = " ".join(own)
+    chain = [word() for _ in range(150)]
+    for i in range(25):
+        chain[4 * i:4 * i + 4] = [word() for _ in range(4)]
+        texts[200 + i] = " ".join(chain)
+    order = list(texts)
+    rng.shuffle(order)
+    docs = documents(spark, [(i, texts[i], "en", "a", 1) for i in order])
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs).collect()}
+    assert found == brute(texts)
+
+
+def test_a_tight_cluster_costs_its_size(spark):
+    """All rows are of one star but three: no row is copied more than once for each block of those."""
+    rows = spark.range(5000).select(F.lit(7).alias("key"), F.col("id").alias("node"), F.when(F.col("id") < 3, 0).otherwise(1).cast("long").alias("star"))
+    dealt = minhash.apart(rows, 256)
+    assert dealt.count() <= 5000 + 3 * (5000 // 256 + 2)
+    groups = dealt.groupBy("low", "high").agg(F.count("*").alias("n"), F.collect_set("block").alias("b")).collect()
+    assert max(r["n"] for r in groups) < 400 and not any(len(r["b"]) == 1 and r["low"] != r["high"] for r in groups)
+    alone = spark.range(2000).select(F.lit(7).alias("key"), F.col("id").alias("node"), F.lit(0).cast("long").alias("star"))
+    met = minhash.apart(alone, 500)
+    pairs = met.alias("x").join(met.alias("y"), ["key", "low", "high"]).where("x.node < y.node AND (x.block <> y.block OR low = high)").select("x.node", "y.node")
+    assert pairs.count() == pairs.distinct().count() == 2000 * 1999 // 2
