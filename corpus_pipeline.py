@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pavilion.llm import language, minhash, mixing, packing, personal
 from pavilion.llm.common import table
@@ -43,10 +44,12 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their ids, by training window, in the order in which the stage before has written ``docs``.
 
-    The files of a range-sorted table are named in its order, so a file's path and a row's place in it are the training order.
+    The files of a range-sorted table are numbered in its order, so the number in a file's name and a row's place in it are the training
+    order. ``docs`` has to be read from Parquet files that Spark has written.
     """
     at = docs.metadataColumn("_metadata")
-    return packing.pack(docs, ids=True, order=[at["file_path"], at["row_index"]])
+    number = F.regexp_extract(at["file_name"], r"^part-(\d+)", 1).cast("long")
+    return packing.pack(docs, ids=True, order=[number, at["file_name"], at["row_index"]])
 
 
 STAGES: list[tuple[str, Stage]] = [("language", language_id), ("near_duplicates", near_dedup), ("personal_data", personal_data),
