@@ -103,7 +103,7 @@ def fold(url: Column) -> Column:
 
 
 def _rates(labelled: DataFrame, by: str, prior: float) -> DataFrame:
-    """Share of blocked URLs a value and fold left out (-1: none), over all labelled rows, drawn towards the share of all.
+    """Shares of blocked URLs a value, each without one of the folds and, last, without none, over all labelled rows, drawn towards the share of all.
 
     A labelled URL takes the rate without its own fold, so that the rate of a value seen once says nothing about its label; others take the full one.
     """
@@ -112,17 +112,17 @@ def _rates(labelled: DataFrame, by: str, prior: float) -> DataFrame:
         *[F.sum(F.when(fold(F.col("url")) == k, F.col("label")).otherwise(0.0)).alias(f"blocked_{k}") for k in range(FOLDS)],
         *[F.count(F.when(fold(F.col("url")) == k, 1)).alias(f"n_{k}") for k in range(FOLDS)])
 
-    def rate(k: int, blocked: Column, n: Column) -> Column:
-        return F.struct(F.lit(k).alias(f"{by}_fold"), ((blocked + F.lit(5.0 * prior)) / (n + F.lit(5.0))).alias(f"{by}_rate"))
+    def rate(blocked: Column, n: Column) -> Column:
+        return (blocked + F.lit(5.0 * prior)) / (n + F.lit(5.0))
 
-    rates = [rate(-1, F.col("blocked"), F.col("n")), *[rate(k, F.col("blocked") - F.col(f"blocked_{k}"), F.col("n") - F.col(f"n_{k}")) for k in range(FOLDS)]]
-    return sums.select(f"{by}_of", F.inline(F.array(*rates)))
+    rates = [*[rate(F.col("blocked") - F.col(f"blocked_{k}"), F.col("n") - F.col(f"n_{k}")) for k in range(FOLDS)], rate(F.col("blocked"), F.col("n"))]
+    return sums.select(f"{by}_of", F.array(*rates).alias(f"{by}_rates"))
 
 
 def _features(urls: DataFrame, suffixes: DataFrame, directories: DataFrame, prior: float) -> DataFrame:
-    """``urls`` says in ``fold`` which fold's labels a row may not see (-1: it has no label)."""
+    """``urls`` says in ``fold`` which fold's labels a row may not see (FOLDS: it has no label)."""
     for by, rates in (("suffix", suffixes), ("directory", directories)):
-        urls = urls.join(rates, (urls[by] == rates[f"{by}_of"]) & (urls["fold"] == rates[f"{by}_fold"]), "left").drop(f"{by}_of", f"{by}_fold")
+        urls = urls.join(rates, urls[by] == rates[f"{by}_of"], "left").withColumn(f"{by}_rate", F.get(f"{by}_rates", F.col("fold"))).drop(f"{by}_of", f"{by}_rates")
     rows = urls.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(prior if f.endswith("_rate") else 0.0)) for f in FEATURES})
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
 
@@ -159,7 +159,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, sample: int = SAMPLE,
         labelCol="label", featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth, seed=7, checkpointInterval=-1,
     ).fit(_features(train, suffixes, directories, prior).select("features", "label", "weight"))
     # decided rows are scored as what they were learned from
-    asked = lexical(urls, rules).withColumn("fold", F.when(F.col("given").isNotNull(), fold(F.col("url"))).otherwise(F.lit(-1)))
+    asked = lexical(urls, rules).withColumn("fold", F.when(F.col("given").isNotNull(), fold(F.col("url"))).otherwise(F.lit(FOLDS)))
     scored = model.transform(_features(asked, suffixes, directories, prior))
     score = F.element_at(vector_to_array("probability"), 2)
     return scored.select("page_id", "host", "path", "rule", F.coalesce("given", F.when(score >= 0.5, "block").otherwise("allow")).alias("verdict"),

@@ -102,8 +102,9 @@ def test_statistics_and_labels_outside_the_sample(spark, monkeypatch):
 
     def rates(labelled, by, prior):
         out = plain_rates(labelled, by, prior)
-        seen[by] = {r[f"{by}_of"]: r[f"{by}_rate"] for r in out.collect() if r[f"{by}_fold"] == -1}
-        folds[by] = {(r[f"{by}_of"], r[f"{by}_fold"]): r[f"{by}_rate"] for r in out.collect()}
+        found = out.collect()
+        seen[by] = {r[f"{by}_of"]: r[f"{by}_rates"][-1] for r in found}
+        folds[by] = {(r[f"{by}_of"], k): rate for r in found for k, rate in enumerate(r[f"{by}_rates"][:-1])}
         return out
 
     def features(urls, *rest):
