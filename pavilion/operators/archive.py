@@ -261,14 +261,18 @@ def _by_match(matches: DataFrame, cards: DataFrame, meta: str, fields: list[str]
 # ---------------------------------------------------------------- archive scorecards
 
 
+#: Unless told otherwise, a row of a higher innings is a mistake, since the gaps up to its number would have to be filled; rejected_rows() shows it.
+MAX_INNINGS = 100
+
+
 def _possible(most: int | None) -> Column:
-    """An innings has a number from 1 on; no upper bound unless ``most`` is given."""
+    """An innings has a number from 1 on, up to ``most`` unless that is None."""
     test = F.col("innings_number") >= 1
     return test if most is None else test & (F.col("innings_number") <= most)
 
 
-def rejected_rows(batting: DataFrame, bowling: DataFrame, most: int | None = None) -> DataFrame:
-    """Rows whose innings number is missing, below 1 or above ``most``: those that no archive scorecard shows."""
+def rejected_rows(batting: DataFrame, bowling: DataFrame, most: int | None = MAX_INNINGS) -> DataFrame:
+    """Rows whose innings number is missing, below 1 or above ``most``: those that no archive scorecard with that ``most`` shows."""
     return _card_rows(batting, bowling).filter(~F.coalesce(_possible(most), F.lit(False)))
 
 
@@ -289,10 +293,10 @@ def _gaps(rows: DataFrame) -> DataFrame:
     return spans.select("match_id", F.explode(F.sequence(F.col("low") + 1, F.col("high") - 1)).alias("innings_number"))
 
 
-def archive_scorecard_rows(matches: DataFrame, batting: DataFrame, bowling: DataFrame, most: int | None = None) -> DataFrame:
+def archive_scorecard_rows(matches: DataFrame, batting: DataFrame, bowling: DataFrame, most: int | None = MAX_INNINGS) -> DataFrame:
     """J11, W4, flat: rows of innings 1 to the highest one seen; one without rows gives one empty row.
 
-    Gaps come from neighbouring numbers that were played, so nothing bounds an innings number; ``most`` rejects higher ones.
+    Gaps come from neighbouring numbers that were played. Rows of an innings above ``most`` are in rejected_rows() instead; with None there is no bound.
     """
     rows = _archive_rows(matches, batting, bowling, most)
     shape = {f.name: f.dataType for f in rows.schema.fields}
@@ -301,13 +305,13 @@ def archive_scorecard_rows(matches: DataFrame, batting: DataFrame, bowling: Data
     return rows.unionByName(empty).select("match_id", "innings_number", _label(), "section", "row_id", *ROW_FIELDS)
 
 
-def archive_scorecards(matches: DataFrame, batting: DataFrame, bowling: DataFrame, most: int | None = None) -> DataFrame:
+def archive_scorecards(matches: DataFrame, batting: DataFrame, bowling: DataFrame, most: int | None = MAX_INNINGS) -> DataFrame:
     """J11, nested by innings: one document per innings 1 to the highest one; gaps are empty innings."""
     cards = archive_match_scorecards(matches, batting, bowling, most).select("match_id", F.explode("innings").alias("i"))
     return cards.select("match_id", "i.*")
 
 
-def archive_match_scorecards(matches: DataFrame, batting: DataFrame, bowling: DataFrame, most: int | None = None) -> DataFrame:
+def archive_match_scorecards(matches: DataFrame, batting: DataFrame, bowling: DataFrame, most: int | None = MAX_INNINGS) -> DataFrame:
     """One document per match, its metadata and its innings 1 to the highest one seen.
 
     Gaps are empty innings; a match without rows has none. Rows are grouped by innings and then by match;

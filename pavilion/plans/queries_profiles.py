@@ -123,7 +123,7 @@ ENTRIES = {
               GROUP BY team, part""",
                "squads")),
     "team_rows": (
-        lambda s, d: profiles.team_rows(adapt(s, d, "squads")),
+        lambda s, d: profiles.team_rows(adapt(s, d, "squads")).drop("country", "format_rankings"),
         oracle("""SELECT team AS team_id, team AS name, CAST(0.03 AS DOUBLE) AS home_advantage, player_id, team AS player_team, role, recent_form
                   FROM squads""", "squads")),
     "playing_xi": (

@@ -295,14 +295,15 @@ def test_documents_whose_keys_drift(spark):
     assert [(r.over, r.text, r.runs, r.type) for r in got] == [("1.2", "5", 4, "ball"), ("", "x", 0, "wicket")]
 
 
-def test_innings_numbers_have_no_bound(spark):
+def test_the_bound_of_innings_numbers_is_a_choice(spark):
     matches = spark.createDataFrame([(1,)], "match_id int")
     bat = spark.createDataFrame([(1, 1, 150, "p", "b", 1, 1, 1, 0, 0), (2, 1, 148, "q", "b", 1, 1, 1, 0, 0), (3, 1, 0, "r", "b", 1, 1, 1, 0, 0), (4, 1, None, "s", "b", 1, 1, 1, 0, 0)],
                                 "id int, match_id int, innings_number int, player_name string, dismissal string, runs int, balls int, mins int, fours int, sixes int")
     bowl = spark.createDataFrame([], "id int, match_id int, innings_number int, player_name string, overs int, maidens int, runs int, wickets int, wides int, no_balls int")
-    rows = archive.archive_scorecard_rows(matches, bat, bowl)
+    assert not archive.archive_scorecard_rows(matches, bat, bowl).count() and {r.player_name for r in archive.rejected_rows(bat, bowl).collect()} == {"p", "q", "r", "s"}
+    rows = archive.archive_scorecard_rows(matches, bat, bowl, None)
     assert sorted(r.innings_number for r in rows.collect()) == list(range(1, 151)) and rows.where("section = 'empty'").count() == 148
-    assert archive.archive_scorecards(matches, bat, bowl).count() == 150
+    assert archive.archive_scorecards(matches, bat, bowl, None).count() == 150
     assert archive.archive_scorecards(matches, bat, bowl, most=148).count() == 148
-    assert {r.player_name for r in archive.rejected_rows(bat, bowl).collect()} == {"r", "s"}
+    assert {r.player_name for r in archive.rejected_rows(bat, bowl, None).collect()} == {"r", "s"}
     assert {r.player_name for r in archive.rejected_rows(bat, bowl, 149).collect()} == {"p", "r", "s"}

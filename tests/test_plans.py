@@ -104,7 +104,7 @@ def test_scorecard_rows_move_once(spark, sf_dir):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     # batting and bowling rows move once each, straight from their scans, to the listed innings, which are worked out once
-    assert len(re.findall(r"Exchange hashpartitioning\(match_id#\w+, innings_number#\w+, 4\), ENSURE_REQUIREMENTS, \[plan_id=\d+\]\n", text)) == 5, text
+    assert len(set(re.findall(r"Exchange hashpartitioning\(match_id#\w+, innings_number#\w+, 4\)", text))) == 5, text
     assert len(re.findall(r"ReusedExchange", text)) >= 3
 
 
