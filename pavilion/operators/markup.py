@@ -1,6 +1,6 @@
 """Markup reader: records the tables, links and note lines of pages.
 
-Runs inside Spark tasks. The module uses nothing but the standard library and Arrow, and is
+Runs inside Spark tasks. The module uses nothing but the standard library, numpy and Arrow, and is
 sent to the tasks by value, so executors need no copy of the package.
 
 A page becomes flat lists: text pieces in page order, and links, centred parts, cells, rows and tables that
@@ -15,6 +15,7 @@ import re
 from collections.abc import Callable, Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 
 _QUOTED = r"""(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+"""
@@ -69,35 +70,36 @@ def _attribute(text: str, name: str) -> str | None:
 
 
 class Page:
-    """The flat lists of one page. An element is [text from, to, links from, to, parts from, to, own values...]."""
+    """The flat lists of one page. An element is six numbers: texts from, to, links from, to, parts from, to."""
 
     def __init__(self) -> None:
         self.title: str | None = None
         self.pieces: list[str] = []
-        self.links: list[list] = []                 # [href, first piece, last piece]
-        self.lists: list[list[list]] = [[], [], [], []]  # tables, rows, cells, centred parts
-        self.stack: list[tuple[int, list]] = []
-        self.places: list[list[int]] = [[], [], [], []]  # of each kind, where its open elements are in the stack
-
-    def _start(self, kind: int, *own) -> None:
-        parts = self.lists[kind + 1] if kind < _CENTER else ()
-        node = [len(self.pieces), 0, len(self.links), 0, len(parts), 0, *own]
-        self.lists[kind].append(node)
-        self.places[kind].append(len(self.stack))
-        self.stack.append((kind, node))
-
-    def _end(self, at: int) -> None:
-        """End the open elements from the stack's place ``at`` on."""
-        text, links = len(self.pieces), len(self.links)
-        while len(self.stack) > at:
-            kind, node = self.stack.pop()
-            self.places[kind].pop()
-            node[1], node[3] = text, links
-            node[5] = len(self.lists[kind + 1]) if kind < _CENTER else 0
+        self.hrefs: list[str | None] = []
+        self.anchors: list[int] = []                       # two numbers a link: texts from, to
+        self.elements: list[list[int]] = [[], [], [], []]  # tables, rows, cells, centred parts
+        self.tags: list[str] = []                          # of the cells, as are the tooltips
+        self.tooltips: list[str | None] = []
 
     def read(self, found: list[tuple]) -> None:
-        pieces, links, places, stack = self.pieces, self.links, self.places, self.stack
-        anchor, kinds = None, _KINDS
+        pieces, hrefs, anchors, elements, kinds = self.pieces, self.hrefs, self.anchors, self.elements, _KINDS
+        opened: list[int] = []                             # kinds of the open elements, and where their numbers start
+        starts: list[int] = []
+        places: list[list[int]] = [[], [], [], []]         # of each kind, where its open elements are among these
+        parts = [elements[_ROW], elements[_CELL], elements[_CENTER], []]
+        in_link = False
+
+        def end(at: int) -> None:
+            """End the open elements from place ``at`` on."""
+            text, links = len(pieces), len(hrefs)
+            while len(opened) > at:
+                kind, node = opened.pop(), starts.pop()
+                places[kind].pop()
+                numbers = elements[kind]
+                numbers[node + 1] = text
+                numbers[node + 3] = links
+                numbers[node + 5] = len(parts[kind]) // _WIDTH
+
         for text, raw, inner, slash, tag, inside, _, lone in found:
             if text:
                 pieces.append(unescape(text) if "&" in text else text)
@@ -117,34 +119,39 @@ class Page:
             if inside and inside[0] in "\"'":
                 continue
             if kind == _LINK:
-                if anchor is not None:
-                    anchor[2] = len(pieces)
-                    anchor = None
-                if not slash:
-                    anchor = [_attribute(inside, "href"), len(pieces), len(pieces)]
-                    links.append(anchor)
+                if in_link:
+                    anchors[-1] = len(pieces)
+                in_link = not slash
+                if in_link:
+                    hrefs.append(_attribute(inside, "href"))
+                    anchors += (len(pieces), len(pieces))
                 continue
             if slash:
                 if kind == _SECTION:
                     continue
                 close = kind
             else:
-                close = _ROW if kind in (_ROW, _SECTION) else _CELL if kind == _CELL and stack and stack[-1][0] != _ROW else None
+                close = _ROW if kind in (_ROW, _SECTION) else _CELL if kind == _CELL and opened and opened[-1] != _ROW else None
             if close is not None and places[close]:
                 at, stop = places[close][-1], _STOP[close]
                 if stop is None or not places[stop] or at > places[stop][-1]:
-                    if anchor is not None:
-                        anchor[2] = len(pieces)
-                        anchor = None
-                    self._end(at)
-            if not slash:
-                if kind == _CELL:
-                    self._start(_CELL, tag, _attribute(inside, "onmouseover") if inside else None)
-                elif kind != _SECTION:
-                    self._start(kind)
-        if anchor is not None:
-            anchor[2] = len(pieces)
-        self._end(0)
+                    if in_link:
+                        anchors[-1] = len(pieces)
+                        in_link = False
+                    end(at)
+            if slash or kind == _SECTION:
+                continue
+            if kind == _CELL:
+                self.tags.append(tag)
+                self.tooltips.append(_attribute(inside, "onmouseover") if inside else None)
+            numbers = elements[kind]
+            places[kind].append(len(opened))
+            opened.append(kind)
+            starts.append(len(numbers))
+            numbers += (len(pieces), 0, len(hrefs), 0, len(parts[kind]) // _WIDTH, 0)
+        if in_link:
+            anchors[-1] = len(pieces)
+        end(0)
 
 
 def note_lines(found: list[tuple]) -> list[str]:
@@ -153,7 +160,8 @@ def note_lines(found: list[tuple]) -> list[str]:
     A heading is a bold element that holds one string and nothing else, however deep.
     """
     for i, token in enumerate(found):
-        if not token[0] or not token[3] or "notes" not in unescape(token[0]).lower():
+        string = token[0]
+        if not string or not token[3] or "notes" not in (unescape(string) if "&" in string else string).lower():
             continue
         opened, at = [], i - 1                      # the tags that open right before the string, innermost first
         while at >= 0 and found[at][4] and not found[at][3] and found[at][4].lower() not in _VOID:
@@ -186,23 +194,23 @@ def _lines(found: list[tuple]) -> list[str]:
     return [unescape("".join(line)) for line in lines]
 
 
-#: Per element list: name, its Arrow type, and which of an element's values they are.
-_SPAN = [("p0", 0), ("p1", 1), ("l0", 2), ("l1", 3)]
-_FIELDS = {
-    "tables": [*_SPAN, ("r0", 4), ("r1", 5)], "rows": [*_SPAN, ("c0", 4), ("c1", 5)],
-    "cells": [*_SPAN, ("m0", 4), ("m1", 5), ("tag", 6), ("tooltip", 7)], "centers": _SPAN,
-}
-_TEXTS = ("tag", "tooltip", "href")
+#: Numbers of an element in ``Page.elements`` and of a link in ``Page.anchors``.
+_WIDTH, _LINK_WIDTH = 6, 2
+
 
+def _lists(kind: pa.ListType, pages: list[list[int]], width: int, **texts: list[list[str | None]]) -> pa.ListArray:
+    """A list of structs per page from its elements' numbers, ``width`` of them an element, and texts, one an element.
 
-def _lists(pages: list[list], fields: list[tuple[str, int]]) -> pa.ListArray:
-    """A list of structs per page from lists of values."""
+    The fields of ``kind`` that are no texts take the numbers in their order.
+    """
     offsets, flat = [0], []
     for page in pages:
         flat += page
-        offsets.append(len(flat))
-    arrays = [pa.array([e[i] for e in flat], pa.string() if name in _TEXTS else pa.int32()) for name, i in fields]
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(arrays, names=[n for n, _ in fields]))
+        offsets.append(len(flat) // width)
+    columns = iter(np.ascontiguousarray(np.array(flat, dtype=np.int32).reshape(-1, width).T))
+    fields = list(kind.value_type)
+    arrays = [pa.array([t for page in texts[f.name] for t in page], f.type) if f.name in texts else pa.array(next(columns), f.type) for f in fields]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(arrays, fields=fields))
 
 
 def _strings(pages: list[list[str]]) -> pa.ListArray:
@@ -231,12 +239,15 @@ def batch_reader(schema: pa.Schema, rows_per_batch: int = 256) -> Callable:
                 part = batch.slice(start, rows_per_batch)
                 found = [read_page(content) for content in part.column(1).to_pylist()]
                 pages = [f[0] for f in found]
-                lists = {name: _lists([p.lists[i] for p in pages], _FIELDS[name]) for i, name in enumerate(("tables", "rows", "cells", "centers"))}
+                kinds = {name: schema.field(name).type for name in ("tables", "rows", "cells", "centers", "links")}
+                texts = {"cells": {"tag": [p.tags for p in pages], "tooltip": [p.tooltips for p in pages]}}
                 columns = {
                     "doc_id": part.column(0), "title": pa.array([p.title for p in pages], pa.string()),
                     "script_title": pa.array([f[1] for f in found], pa.string()), "notes": _strings([f[2] for f in found]),
                     "pieces": _strings([p.pieces for p in pages]),
-                    "links": _lists([p.links for p in pages], [("href", 0), ("p0", 1), ("p1", 2)]), **lists}
+                    "links": _lists(kinds["links"], [p.anchors for p in pages], _LINK_WIDTH, href=[p.hrefs for p in pages]),
+                    **{name: _lists(kinds[name], [p.elements[i] for p in pages], _WIDTH, **texts.get(name, {}))
+                       for i, name in enumerate(("tables", "rows", "cells", "centers"))}}
                 yield pa.RecordBatch.from_arrays([columns[n].cast(t) for n, t in zip(schema.names, schema.types)], schema=schema)
 
     return read
