@@ -169,8 +169,10 @@ places AS (SELECT *, CAST(len(words) AS BIGINT) AS n, h // 10 AS g, CASE WHEN le
 chosen AS (SELECT *, h % 10 = 0 AND n > 0 AS hit, 1 + (n - a) // (3 + g % 8) AS p FROM places),
 docs AS (
   SELECT doc_id, row, n, CASE WHEN hit THEN list_transform(range(n), lambda i: words[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE words END AS words FROM chosen),
+said AS (SELECT row, n, unnest(range(n)) AS i, unnest(words) AS w FROM docs WHERE n >= {runs.LEAST_LENGTH}),
 fives AS (
-  SELECT row, n, unnest(range(n - 4)) AS i, unnest(list_transform(range(n - 4), lambda i: hash(words[i + 1:i + 5]))) AS five FROM docs WHERE n >= {runs.LEAST_LENGTH}),
+  SELECT row, n, i, hash([w, lead(w, 1) OVER following, lead(w, 2) OVER following, lead(w, 3) OVER following, lead(w, 4) OVER following]) AS five
+  FROM said WINDOW following AS (PARTITION BY row ORDER BY i) QUALIFY i <= n - 5),
 pairs AS (
   SELECT x.row, x.i, y.i - x.i AS period FROM fives x JOIN fives y ON x.row = y.row AND x.five = y.five AND y.i > x.i AND y.i - x.i <= x.n // {runs.LEAST_EXPONENT}),
 islands AS (SELECT row, period, i, i - row_number() OVER (PARTITION BY row, period ORDER BY i) AS island FROM pairs),
