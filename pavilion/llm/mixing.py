@@ -23,8 +23,8 @@ WEIGHTS = (5, 2, 1)
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.25), (0.5, 0.75), (1.0, 2.25)))
 #: No document is taken more often than this.
 MOST_EPOCHS = 3
-#: Documents of a source are summed up in stretches of about so many.
-STRETCH = 1_000
+#: Documents of a source are summed up in stretches of about so many, and so many stretches in a section.
+STRETCH = SECTION = 1_000
 
 Schedule = Sequence[tuple[float, float]]
 
@@ -91,6 +91,21 @@ def place(doc_id: Column, text: Column) -> Column:
     return F.md5(F.concat(name, F.lit(":"), F.md5(F.coalesce(text.cast("string"), F.lit("")))))
 
 
+def running(sums: DataFrame, section: int) -> DataFrame:
+    """Rows (ordinal, stretch, words) with ``words_before``, the words of the source's stretches before.
+
+    Stretches are summed up in sections and these in turn, so a task orders ``section`` rows, or one row a section of a source.
+    """
+    sums = sums.withColumn("section", F.floor(F.col("stretch") / section))
+    whole = sums.groupBy("ordinal", "section").agg(F.sum("words").alias("all"))
+    over = Window.partitionBy("ordinal").orderBy("section").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = whole.select(F.col("ordinal").alias("o"), F.col("section").alias("s"), (F.sum("all").over(over) - F.col("all")).alias("far"))
+    inside = Window.partitionBy("ordinal", "section").orderBy("stretch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = sums.withColumn("near", F.sum("words").over(inside) - F.col("words"))
+    joined = near.join(whole, (F.col("ordinal") == F.col("o")) & (F.col("section") == F.col("s")))
+    return joined.select("ordinal", "stretch", "words", (F.col("far") + F.col("near")).alias("words_before"))
+
+
 def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[Schedule] = SCHEDULES,
          most: int = MOST_EPOCHS, keep: Sequence[str] = ()) -> DataFrame:
     """What the mix takes of every document.
@@ -101,8 +116,8 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[
 
     A source is a stream of its documents in the order of a hash of doc_id and text, run through again until the target is reached;
     the document at the end is cut there, so the taken words of a source are its target, rounded down.
-    Running sums go over stretches: documents of a source are dealt to ranges of the hash, so a source with a
-    third of all rows is many groups. Null text: size 0, taken 0. Null source: a source of its own, the last.
+    Running sums have three levels: documents of a source are dealt to ranges of the hash, so a source with a
+    third of all rows is many stretches, and stretches are many sections. Null text: size 0, taken 0. Null source: a source of its own, the last.
     Null doc_id sorts as the empty text. Repeated rows are documents of their own. Empty table: no rows.
     """
     kept = [F.col(c).alias(f"_kept_{i}") for i, c in enumerate(keep)]
@@ -119,8 +134,8 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[
     at = F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * F.col("stretches") / F.lit(float(1 << 32)))
     rows = rows.withColumn("stretch", at.cast("long"))
     sums = rows.groupBy("ordinal", "stretch").agg(F.sum("size").alias("words"))
-    run = Window.partitionBy("ordinal").orderBy("stretch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = sums.select(F.col("ordinal").alias("o"), F.col("stretch").alias("r"), (F.sum("words").over(run) - F.col("words")).alias("words_before"))
+    before = running(materialise(sums, "sums"), SECTION)
+    sums = before.select(F.col("ordinal").alias("o"), F.col("stretch").alias("r"), "words_before")
     inside = Window.partitionBy("ordinal", "stretch").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("before", F.sum("size").over(inside) - F.col("size"))
     rows = rows.join(sums, (F.col("ordinal") == F.col("o")) & (F.col("stretch") == F.col("r")))

@@ -64,9 +64,17 @@ def test_stretches_change_nothing(spark, monkeypatch):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     whole = {r["doc_id"]: r["taken"] for r in rows(mixing.plan(docs))}
     monkeypatch.setattr(mixing, "STRETCH", 3)
+    monkeypatch.setattr(mixing, "SECTION", 4)
     assert {r["doc_id"]: r["taken"] for r in rows(mixing.plan(docs))} == whole
 
 
+def test_running_sums_of_many_sections(spark):
+    words = {(o, r): (7 * r + 3 * o) % 11 for o in range(3) for r in range(50) if (o + r) % 4}
+    found = mixing.running(spark.createDataFrame([(*k, v) for k, v in words.items()], "ordinal long, stretch long, words long"), 5).collect()
+    assert len(found) == len(words)
+    assert all(r["words_before"] == sum(v for (o, s), v in words.items() if o == r["ordinal"] and s < r["stretch"]) for r in found)
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     found = rows(mixing.plan(docs))
