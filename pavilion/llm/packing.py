@@ -9,6 +9,7 @@ Windows of exactly a power of two tokens need no padding and are looked up direc
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import types
@@ -77,6 +78,8 @@ class Encoder:
         # kept by the worker process, so the next task of the same worker knows the words already
         kept = vars(sys.modules.setdefault("known_words_of_worker", types.ModuleType("known_words_of_worker")))
         if path not in kept:
+            # a task has one core; the tokenizer's own threads would each keep a heap of their own
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
@@ -305,6 +308,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE, i
             pieces += packer.flush()
         if pieces:
             yield batch(pieces)
+        pa.default_memory_pool().release_unused()  # the worker stays, its next task may be another operator's
 
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return rows.mapInArrow(run, kinds + (", ids array<int>" if ids else ""))

@@ -1,7 +1,11 @@
 """Packing: every id once, in order, windows within bounds, the plan least in cost."""
 
 import itertools
+import os
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -137,3 +141,18 @@ def test_horizon_carries_over(monkeypatch):
     for i, d in enumerate(docs):
         assert np.concatenate([p[2] for p in out if p[0] == i]).tolist() == d.tolist()
     assert [p[4] for p in out] == sorted(p[4] for p in out)
+
+
+def test_encoder_stays_on_the_tasks_core():
+    """Every thread of the tokenizer's own would keep a heap in the worker; a task has one core."""
+    code = """
+import os, pyarrow as pa, public_tokenizers
+from pavilion.llm import packing
+encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+before = len(os.listdir("/proc/self/task"))
+encoder(pa.array([" ".join(f"w{i}x{j}" for j in range(2000)) for i in range(20)]))
+print(len(os.listdir("/proc/self/task")) - before)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    told = subprocess.run([sys.executable, "-c", code], env=env, cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True)
+    assert told.stdout.split() == ["0"], told.stdout
