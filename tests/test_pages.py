@@ -143,3 +143,31 @@ def test_notes_heading_holds_one_string():
     assert lines("<b>Notes <i>more</i></b>x<b>Footnotes</b>y") == ["y"]
     assert lines("<b><br>Notes</b>x") == [] and lines("<i>Notes</i>x") == [] and lines("<b>Notes") == []
     assert lines("<p><b>Notes</b>x<i>y<u>z</u></i></p>w") == ["x", "yz", ""]
+
+
+def test_wanted_columns_are_those_of_whole_pages(spark):
+    pieces = ["<title>a &amp; b</title>", "<TITLE>c</TITLE>", "<table>", "<table 'x>", "</table>", "<TABLE a=\"1>2\">", "<tr><td>x", "<!-- <table> -->",
+              "<script>document.title = \"s\"; <table></script>", "<b>Notes</b>--> n<br>", "y < z", "<table "]
+    odd = ["".join(pieces[(i * j + j) % len(pieces)] for j in range(1, 2 + i % 9)) for i in range(60)]
+    rows = spark.createDataFrame([(f"m{i}", c) for i, c in enumerate([PAGE, "", None, *odd, *(make(50) for make in BAD.values())])], "doc_id string, content string")
+    whole = pages.parse_pages(rows)
+    assert {r.doc_id: r.n_tables for r in whole.collect()} == {r.doc_id: r.n for r in whole.selectExpr("doc_id", "size(tables) n").collect()}
+    for only in (["n_tables"], ["title", "script_title"], ["notes"], ["notes", "n_tables"], ["pieces", "links"], ["tables"]):
+        some = pages.parse_pages(rows, only=only)
+        assert some.columns == ["doc_id", *(c for c in whole.columns if c in only)]
+        assert sorted(map(repr, some.collect())) == sorted(map(repr, whole.select(some.columns).collect())), only
+
+
+def test_notes_and_counts_read_no_elements(monkeypatch):
+    def never(*_):
+        raise AssertionError("elements were read")
+
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+    import pyarrow as pa
+
+    from pavilion import schemas
+    monkeypatch.setattr(markup.Page, "read", never)
+    reader = markup.batch_reader(to_arrow_schema(T.StructType([f for f in schemas.PAGE if f.name in ("doc_id", "notes", "n_tables", "title", "script_title")])))
+    got = next(reader([pa.RecordBatch.from_pydict({"doc_id": ["m"], "content": [PAGE]})])).to_pylist()
+    assert got == [{"doc_id": "m", "title": "The Home of CricketArchive", "script_title": "A v B", "notes": got[0]["notes"], "n_tables": 5}]
