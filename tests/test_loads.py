@@ -3,6 +3,7 @@
 import pytest
 
 from pavilion.plans import loads
+from pavilion.sources import sinks
 from test_pages import PAGE
 
 FACTS = {"innings": 2, "batting": 6, "bowling": 2, "fall_of_wickets": 4, "match_notes": 4}
@@ -82,3 +83,23 @@ def test_later_loads_write_only_what_they_touch(spark, tmp_path):
     tables = loads.read_warehouse(spark, root)
     assert tables["matches"].count() == 3 and tables["match_registry"].count() == 3
     assert {r.player_id: r.dob for r in tables["players"].collect()}["7"] == "1st Jan 1990"
+
+
+def test_new_pages_are_picked_once(spark):
+    """Too many new pages for a broadcast: they are exchanged once, not for every table."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(f"m{i}", PAGE.replace("26th July", f"{i}th July")) for i in range(4, 9)]
+        load = loads.load_scorecards(spark.createDataFrame(rows, "doc_id string, content string"), loads.empty_warehouse(spark))
+        for name, df in load.added.items():
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString(), name
+        assert load.added["innings"].count() == 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_load_folders_are_packed_tight(spark, tmp_path):
+    sinks.replace_part(spark.range(2000).selectExpr("sha2(string(id), 256) AS id"), str(tmp_path / "t"), "x")
+    files = list((tmp_path / "t" / "load_id=x").glob("*.parquet"))
+    assert sum(f.stat().st_size for f in files) < 2000 * 64 * 0.75
