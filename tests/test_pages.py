@@ -171,3 +171,33 @@ def test_notes_and_counts_read_no_elements(monkeypatch):
     reader = markup.batch_reader(to_arrow_schema(T.StructType([f for f in schemas.PAGE if f.name in ("doc_id", "notes", "n_tables", "title", "script_title")])))
     got = next(reader([pa.RecordBatch.from_pydict({"doc_id": ["m"], "content": [PAGE]})])).to_pylist()
     assert got == [{"doc_id": "m", "title": "The Home of CricketArchive", "script_title": "A v B", "notes": got[0]["notes"], "n_tables": 5}]
+
+
+def test_ranges_of_a_page_copy_no_list(spark, capsys):
+    meta = scorecards.with_meta(parsed(spark, PAGE))
+    for facts in (scorecards.innings, scorecards.batting_rows, scorecards.bowling_rows, scorecards.harvest_entities):
+        facts(meta).explain()
+        plan = capsys.readouterr().out
+        assert not any(f"slice({name}" in plan for name in pages.LISTS), facts
+
+
+def test_words_in_any_case(spark):
+    from pavilion.functions.text import has_word
+    words = ["Side 1 INNINGS", "x innings", "innings", "İnnings", " İnnings", " inningſ", "", None]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string")
+    got = {r.i: (r.a, r.b) for r in rows.selectExpr("i", "w", "contains(lower(w), ' innings') a").withColumn("b", has_word(rows["w"], " innings")).collect()}
+    assert all(a == b for a, b in got.values()) and got[0] == (True, True) and got[7] == (None, None)
+
+
+def test_attached_rows_are_cut_from_narrow_tables(spark, sf_dir, monkeypatch):
+    from pavilion.plans import queries_pages
+    written, real = [], queries_pages.materialise
+
+    def narrow(df, *args, **kwargs):
+        written.append(set(df.columns))
+        return real(df, *args, **kwargs)
+
+    monkeypatch.setattr(queries_pages, "materialise", narrow)
+    for name in ("attach_batting", "attach_bowling", "attach_bowling_by_team"):
+        queries_pages.ENTRIES[name][0](spark, sf_dir)
+    assert len(written) == 3 and not any(w & {"pieces", "cells", "links"} for w in written)
