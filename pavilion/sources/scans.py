@@ -24,9 +24,27 @@ def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     return files.select(_stem(r"\.html").alias("doc_id"), "content")
 
 
+#: What opening a file counts for, in bytes, where files are small and many: about a thousand of them go to a task, 32 by Spark's default.
+SMALL_FILE = 128 * 1024
+
+
+def _for_small_files(spark: SparkSession) -> SparkSession:
+    """A session over the same catalog that deals many small files, and many folders to list, to a task.
+
+    By default a folder is listed by a task of its own, up to 10,000 of them, and a task reads 32 files; starting the tasks takes most of the time.
+    """
+    session = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.checkpoint.dir"):
+        if (value := spark.conf.get(key, None)) and session.conf.isModifiable(key):
+            session.conf.set(key, value)
+    session.conf.set("spark.sql.files.openCostInBytes", str(SMALL_FILE))
+    session.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * spark.sparkContext.defaultParallelism))
+    return session
+
+
 def scan_match_json(spark: SparkSession, path: str) -> DataFrame:
     """One ball-by-ball match per JSON file as (match_id, info, innings)."""
-    files = (spark.read.schema(schemas.MATCH_JSON).option("multiLine", True)
+    files = (_for_small_files(spark).read.schema(schemas.MATCH_JSON).option("multiLine", True)
              .option("pathGlobFilter", "*.json").json(path))
     name = F.split_part(F.col("_metadata.file_name"), F.lit("."), F.lit(1))
     return files.select(prefix_id(fixed.BALL_BY_BALL_PREFIX, name).alias("match_id"), "info", "innings")

@@ -119,3 +119,14 @@ def test_work_dir_comes_from_the_session(spark):
     with pytest.raises(ValueError):
         from pavilion.operators import careers
         careers.player_query(None, None, None, None, "fielding")
+
+
+def test_small_files_are_read_and_listed_by_few_tasks(spark, tmp_path):
+    for n in range(400):
+        folder = tmp_path / str(n % 40)
+        folder.mkdir(exist_ok=True)
+        (folder / f"{n}.v1.json").write_text('{"info": {"city": "C"}}')
+    found = scans.scan_match_json(spark, f"{tmp_path}/*")
+    assert found.rdd.getNumPartitions() <= 8 and found.select("match_id").distinct().count() == 400
+    assert found.sparkSession.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "16"
+    assert spark.conf.get("spark.sql.files.openCostInBytes") != found.sparkSession.conf.get("spark.sql.files.openCostInBytes")
