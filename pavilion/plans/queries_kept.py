@@ -97,7 +97,7 @@ def _indexed(table: str, ident: str, word: str):
     def run(s, d):
         folder = work_dir(s)
         names = adapt(s, d, table)
-        layout.write_parts(archive.postings(names, "name", ident), f"{folder}/postings", "gram")
+        layout.write_parts(archive.postings(names, "name", ident), f"{folder}/postings", "gram", spread="id")
         index = layout.read_parts(s, f"{folder}/postings", f"gram string, id {dict(names.dtypes)[ident]}")
         index.groupBy("gram").agg(F.count("*").alias("n")).write.parquet(f"{folder}/counts")
         return archive.search_postings(names, index, s.read.schema("gram string, n bigint").parquet(f"{folder}/counts"), "name", ident, word)

@@ -48,9 +48,14 @@ def part_of(key: str | Sequence[str], parts: int = PARTS) -> Column:
     return F.pmod(F.xxhash64(*([key] if isinstance(key, str) else key)), F.lit(parts)).cast("int")
 
 
-def write_parts(df: DataFrame, path: str, key: str | Sequence[str], parts: int = PARTS) -> None:
-    """Write ``df`` with a folder ``part=`` for each remainder of a hash of ``key``."""
-    df.withColumn("part", part_of(key, parts)).repartition(parts, "part").write.partitionBy("part").mode("overwrite").parquet(path)
+def write_parts(df: DataFrame, path: str, key: str | Sequence[str], parts: int = PARTS, spread: str | None = None, files: int = 16) -> None:
+    """Write ``df`` with a folder ``part=`` for each remainder of a hash of ``key``.
+
+    Where single keys have a large share of all rows, ``spread`` names a column whose hash deals a part to up to ``files`` tasks.
+    """
+    rows = df.withColumn("part", part_of(key, parts))
+    rows = rows.repartition(parts * files, "part", part_of(spread, files)) if spread else rows.repartition(parts, "part")
+    rows.write.partitionBy("part").mode("overwrite").parquet(path)
 
 
 def read_parts(spark: SparkSession, path: str, schema: str, some: Sequence[int] | None = None) -> DataFrame:

@@ -307,3 +307,21 @@ def test_the_bound_of_innings_numbers_is_a_choice(spark):
     assert archive.archive_scorecards(matches, bat, bowl, most=148).count() == 148
     assert {r.player_name for r in archive.rejected_rows(bat, bowl, None).collect()} == {"r", "s"}
     assert {r.player_name for r in archive.rejected_rows(bat, bowl, 149).collect()} == {"p", "r", "s"}
+
+
+def test_a_hot_key_is_dealt_to_many_files(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("if(id % 100 = 0, cast(id as string), 'hot') gram", "id")
+    layout.write_parts(rows, f"{tmp_path}/p", "gram", 4, spread="id")
+    back = layout.read_parts(spark, f"{tmp_path}/p", "gram string, id bigint")
+    assert back.exceptAll(rows.withColumn("part", layout.part_of("gram", 4))).isEmpty() and back.count() == 4000
+    per_file = back.where("gram = 'hot'").groupBy("_metadata.file_name").count().agg({"count": "max"}).first()[0]
+    assert per_file < 1000
+
+
+def test_postings_are_dealt_before_they_are_combined(spark, capsys):
+    names = spark.createDataFrame([(1, "abcd"), (1, "abcd"), (2, "bcd"), (3, None), (4, "xy")], "id int, name string")
+    found = archive.postings(names, "name", "id")
+    found.explain()
+    plan = capsys.readouterr().out
+    assert sorted(map(tuple, found.collect())) == [("abc", 1), ("bcd", 1), ("bcd", 2)]
+    assert plan.count("Exchange") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange")
