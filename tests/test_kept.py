@@ -325,3 +325,10 @@ def test_postings_are_dealt_before_they_are_combined(spark, capsys):
     plan = capsys.readouterr().out
     assert sorted(map(tuple, found.collect())) == [("abc", 1), ("bcd", 1), ("bcd", 2)]
     assert plan.count("Exchange") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange")
+
+
+def test_migrated_rows_are_zstd(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/old")
+    streams.migrate(spark, f"{tmp_path}/old", "id bigint", lambda b: b, f"{tmp_path}/new", f"{tmp_path}/state")
+    names = [p.name for p in (tmp_path / "new").rglob("*.parquet")]
+    assert names and all(n.endswith(".zstd.parquet") for n in names) and spark.read.parquet(f"{tmp_path}/new").count() == 3
