@@ -332,3 +332,10 @@ def test_migrated_rows_are_zstd(spark, tmp_path):
     streams.migrate(spark, f"{tmp_path}/old", "id bigint", lambda b: b, f"{tmp_path}/new", f"{tmp_path}/state")
     names = [p.name for p in (tmp_path / "new").rglob("*.parquet")]
     assert names and all(n.endswith(".zstd.parquet") for n in names) and spark.read.parquet(f"{tmp_path}/new").count() == 3
+
+
+def test_archive_rows_are_not_sorted_for_their_match(spark, sf_dir, capsys):
+    matches, bat, bowl = adapt(spark, sf_dir, "scraped_matches", "scraped_batting", "scraped_bowling")
+    archive._archive_rows(matches, bat, bowl, 100).explain()
+    plan = capsys.readouterr().out
+    assert "ShuffledHashJoin" in plan and "Sort " not in plan
