@@ -201,3 +201,37 @@ def test_attached_rows_are_cut_from_narrow_tables(spark, sf_dir, monkeypatch):
     for name in ("attach_batting", "attach_bowling", "attach_bowling_by_team"):
         queries_pages.ENTRIES[name][0](spark, sf_dir)
     assert len(written) == 3 and not any(w & {"pieces", "cells", "links"} for w in written)
+
+
+def test_what_nobody_asks_of_a_page_is_not_worked_out(spark, sf_dir, capsys):
+    from pavilion.plans import queries_pages
+    for name in ("entity_players", "entity_teams", "innings_totals", "attach_bowling", "bowling_rows"):
+        queries_pages.ENTRIES[name][0](spark, sf_dir).explain()
+        assert "toss" not in capsys.readouterr().out.split("MapInArrow")[0].lower().replace("venue|toss|result", ""), name
+
+
+def test_kinds_of_entities_are_those_of_the_whole_harvest(spark):
+    whole = scorecards.harvest_entities(scorecards.with_meta(parsed(spark, PAGE))).collect()
+    for kinds in (("player",), ("team", "tournament"), ("tournament",)):
+        pages = scorecards.with_meta(parsed(spark, PAGE), *scorecards.named_fields(*kinds))
+        some = scorecards.harvest_entities(pages, *kinds).collect()
+        assert some and sorted(map(str, some)) == sorted(str(r) for r in whole if r.kind in kinds)
+
+
+def test_links_are_read_alike(spark):
+    from pavilion.operators import markup
+    for tag in ('a href=""', 'a href="x"', 'a href="x&amp;y\'s"', 'a href="x>y"', 'a href="x" id="y"', 'A HREF="x"', 'a href="x', "a href='x'"):
+        page, slow = f"<td><{tag}>text</a>rest</td>", markup.Page()
+        slow.read(markup._marks_of(markup.tokens(page)))
+        fast = markup.read_page(page)[0]
+        assert (fast.hrefs, fast.anchors, "".join(fast.pieces)) == (slow.hrefs, slow.anchors, "".join(slow.pieces)), tag
+    assert markup.read_page('<a href="">x</a><a href="y&amp;z">x</a>')[0].hrefs == ["", "y&z"]
+
+
+def test_ends_are_stripped_alike(spark):
+    from pavilion.functions.text import _SPACES, lenient_int, strip
+    texts = ["", "a", "!", "~", "\x7f", "a\xa0", "\u3000a", "\x1f", " a b ", "é", "\xa0é\t", "x\x85", "- 5", "5 -", " -1,2 ", "-", None]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(texts)], "i int, w string")
+    for i, w, got, number in rows.select("i", "w", strip("w"), lenient_int("w")).collect():
+        assert got == (None if w is None else w.strip(_SPACES))
+        assert number == {12: 5, 13: 5, 14: 12}.get(i, 0)
