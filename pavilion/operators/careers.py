@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cricket
-from ..functions.text import as_col, is_blank
+from ..functions.text import as_col, is_blank, round2
 
 CAREER_COLUMNS = [
     "player_id", "format", "matches", "bat_innings", "bat_runs", "bat_avg", "bat_sr", "highest_score",
@@ -113,15 +113,20 @@ def career_facts(batting: DataFrame, bowling: DataFrame) -> DataFrame:
 
 
 def with_rates(totals: DataFrame) -> DataFrame:
-    """Averages, strike rates, economy and overs of career totals."""
+    """Averages, strike rates, economy and overs of career totals.
+
+    Rounding names its value several times, so the quotients are columns of their own first: worked out once, and the code that
+    Spark generates for a row stays below the 8,000 bytes up to which the JVM compiles a method.
+    """
     c = F.col
-    return totals.withColumns({
-        "bat_avg": cricket.batting_average(c("bat_runs"), c("bat_innings"), c("not_outs")),
-        "bat_sr": cricket.ratio(c("bat_runs") * F.lit(100.0), c("bat_balls")),
-        "bowl_overs": cricket.balls_to_overs("bowl_balls"),
-        "bowl_avg": cricket.ratio(c("bowl_runs"), c("bowl_wickets")),
-        "bowl_econ": cricket.ratio(c("bowl_runs") * F.lit(6.0), c("bowl_balls")),
-        "bowl_sr": cricket.ratio(c("bowl_balls"), c("bowl_wickets"))})
+    quotients = {
+        "bat_avg": cricket.runs_per_out(c("bat_runs"), c("bat_innings"), c("not_outs")),
+        "bat_sr": cricket.quotient(c("bat_runs") * F.lit(100.0), c("bat_balls")),
+        "bowl_avg": cricket.quotient(c("bowl_runs"), c("bowl_wickets")),
+        "bowl_econ": cricket.quotient(c("bowl_runs") * F.lit(6.0), c("bowl_balls")),
+        "bowl_sr": cricket.quotient(c("bowl_balls"), c("bowl_wickets"))}
+    return totals.withColumns(quotients).withColumns({
+        **{name: round2(name) for name in quotients}, "bowl_overs": cricket.balls_to_overs("bowl_balls")})
 
 
 def career_stats(batting: DataFrame, bowling: DataFrame, innings: DataFrame, matches: DataFrame) -> DataFrame:

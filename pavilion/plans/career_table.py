@@ -33,6 +33,11 @@ def _partials(spark: SparkSession, root: str, parts: list[int] | None = None) ->
     return rows if parts is None else rows.where(F.col("part").isin(parts))
 
 
+def _merged(spark: SparkSession, root: str, some: list[int] | None, parts: int) -> DataFrame:
+    """The partials as one row per player and format, which lie by part."""
+    return careers.merge_totals(layout.by_part(_partials(spark, root, some).drop("load_id"), parts), "part")
+
+
 def add(root: str, load_id: str, facts: DataFrame, innings: DataFrame, matches: DataFrame, parts: int = PARTS) -> list[int]:
     """Add the scorecard lines of a load (``careers.career_facts``) and bring the touched parts of the career table up to date; returns these.
 
@@ -52,12 +57,11 @@ def add(root: str, load_id: str, facts: DataFrame, innings: DataFrame, matches:
 
 
 def refresh(spark: SparkSession, root: str, touched: list[int] | None = None, parts: int = PARTS) -> None:
-    """Work out the given parts of the career table (all by default) from the partials."""
+    """Work out the given parts of the career table (all by default) from the partials, which move once, to their part."""
     if touched == []:
         return
-    totals = careers.merge_totals(_partials(spark, root, touched), "part")
-    rows = careers.with_rates(careers.with_best(totals)).select(*careers.CAREER_COLUMNS, "part")
-    layout.replace_parts(rows, f"{root}/careers", parts)
+    totals = _merged(spark, root, touched, parts)
+    layout.put_parts(careers.with_rates(careers.with_best(totals)).select(*careers.CAREER_COLUMNS, "part"), f"{root}/careers")
 
 
 def read(spark: SparkSession, root: str) -> DataFrame:
@@ -74,7 +78,7 @@ def merge(spark: SparkSession, root: str, parts: int = PARTS) -> str | None:
     if len(loads) < 2:
         return None
     load_id = "merged-" + hashlib.md5(" ".join(sorted(loads)).encode()).hexdigest()
-    layout.write_parts(careers.merge_totals(_partials(spark, root)), f"{root}/partials/load_id={load_id}", "player_id", parts)
+    _merged(spark, root, None, parts).write.partitionBy("part").mode("overwrite").parquet(f"{root}/partials/load_id={load_id}")
     commits.commit(spark, root, load_id, max(loads.values()), sorted(loads))
     refresh(spark, root, None, parts)
     return load_id

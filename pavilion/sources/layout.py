@@ -69,14 +69,23 @@ def touched(rows: DataFrame) -> list[int]:
     return sorted(r["part"] for r in rows.select("part").distinct().collect())
 
 
-def replace_parts(rows: DataFrame, path: str, parts: int = PARTS) -> None:
-    """Put ``rows`` (with ``part``) in the place of the parts that they lie in; other parts stay as they are.
+def by_part(rows: DataFrame, parts: int = PARTS) -> DataFrame:
+    """Rows with ``part``, one task a part. A grouping by a key and its ``part`` moves nothing after this."""
+    return rows.repartitionById(parts, "part")
+
+
+def put_parts(rows: DataFrame, path: str) -> None:
+    """Write rows that lie by part in the place of their parts; other parts stay as they are.
 
-    ``rows`` may read the table itself: they are written elsewhere first. A run that is stopped on the way may leave some parts new
-    and some old, each whole; the same run again finishes it.
+    ``rows`` must not read the table itself. A run that is stopped on the way may leave some parts new and some old, each whole; the same run
+    again finishes it.
     """
-    done = materialise(rows, "parts")
-    done.repartition(parts, "part").write.option("partitionOverwriteMode", "dynamic").partitionBy("part").mode("overwrite").parquet(path)
+    rows.write.option("partitionOverwriteMode", "dynamic").partitionBy("part").mode("overwrite").parquet(path)
+
+
+def replace_parts(rows: DataFrame, path: str, parts: int = PARTS) -> None:
+    """``put_parts`` for rows (with ``part``) that lie anywhere and may read the table itself: they are written elsewhere first."""
+    put_parts(by_part(materialise(rows, "parts"), parts), path)
 
 
 def merge_parts(path: str, schema: str, src: DataFrame, key: str, change: Callable[[DataFrame, DataFrame], DataFrame], parts: int = PARTS) -> list[int]:

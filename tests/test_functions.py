@@ -1,5 +1,6 @@
 """Column functions against plain Python on edge cases and random values."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -39,6 +40,12 @@ def test_round2_is_exact(spark):
     assert column(spark, values, "double", text.round2) == [round(v, 2) for v in values]
 
 
+def test_round2_keeps_what_is_not_finite_and_has_no_negative_zero(spark):
+    values = [float("inf"), float("-inf"), None, -0.001, -2.675, -0.125, 1e300, 12345678.125]
+    assert list(map(str, column(spark, values, "double", text.round2))) == ["inf", "-inf", "None", "0.0", "-2.67", "-0.12", "1e+300", "12345678.12"]
+    assert math.isnan(column(spark, [float("nan")], "double", text.round2)[0])
+
+
 def _balls(overs):
     if not overs:
         return 0

@@ -89,6 +89,33 @@ def test_a_stopped_load_is_finished_by_the_same_load(spark, lines, tmp_path, mon
     assert same(career_table.read(spark, root), whole)
 
 
+def test_a_refresh_moves_the_partials_once(spark, lines, tmp_path, monkeypatch):
+    facts, inns, matches, whole = lines
+    root = str(tmp_path / "w")
+    career_table.create(spark, root)
+    written = []
+
+    def put(rows, path):
+        written.append(rows._jdf.queryExecution().toString().split("== Physical Plan ==")[1])
+        plainly(rows, path)
+
+    plainly = layout.put_parts
+    monkeypatch.setattr(layout, "put_parts", put)
+    monkeypatch.setattr(layout, "materialise", lambda *a: pytest.fail("written twice"))
+    career_table.add(root, "d0", facts, inns, matches)
+    assert len(written) == 1 and written[0].count("Exchange") == 1
+    assert same(career_table.read(spark, root), whole)
+    parts = layout.by_part(spark.range(100).withColumn("part", (F.col("id") % 32).cast("int")), 32)
+    assert parts.groupBy(F.spark_partition_id()).agg(F.count_distinct("part").alias("n")).agg(F.max("n")).first()[0] == 1
+
+
+def test_rates_stay_below_what_the_jvm_compiles(spark):
+    rows = spark.range(10).select(F.col("id").cast("string").alias("player_id"), F.lit("f").alias("format"),
+                                  *[(F.col("id") + n).alias(c) for n, c in enumerate([*careers.SUMS, *careers.TOPS])])
+    code = careers.with_rates(careers.with_best(rows)).select(careers.CAREER_COLUMNS)._jdf.queryExecution().debug().codegenToSeq()
+    assert 0 < max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())) < 8000
+
+
 # ---------------------------------------------------------------- loads
 
 
