@@ -68,7 +68,11 @@ def partial_totals(facts: DataFrame, innings: DataFrame, matches: DataFrame) ->
     fixed-width buffers: the score doubled, plus one when not out; the wickets in the high
     half of a long, the runs given away subtracted in the low half.
     """
-    rows = with_format(facts, innings, matches.filter(~is_blank("format")))
+    return _sum_up(with_format(facts, innings, matches.filter(~is_blank("format"))))
+
+
+def _sum_up(rows: DataFrame) -> DataFrame:
+    """``partial_totals`` of facts with their format."""
     bowls, batted = ~F.col("bats"), F.col("batted")
     runs, wickets = F.col("runs"), F.col("wickets")
 
@@ -141,11 +145,11 @@ def career_stats(batting: DataFrame, bowling: DataFrame, innings: DataFrame, mat
 def career_stats_by_match(batting: DataFrame, bowling: DataFrame, matches: DataFrame) -> DataFrame:
     """A6 for scorecard rows that carry their match_id. Of tables bucketed by match only the totals move, once, to their player.
 
-    Each discipline meets the matches on its own, since a union forgets how its parts lie.
+    Each discipline meets the matches on its own, since a union forgets how its parts lie; both are added up together.
     """
     known = matches.filter(~is_blank("format"))
-    parts = [partial_totals(facts, None, known) for facts in (batting_facts(batting), bowling_facts(bowling))]
-    return with_rates(with_best(merge_totals(parts[0].unionByName(parts[1])))).select(CAREER_COLUMNS)
+    rows = [with_format(facts, None, known) for facts in (batting_facts(batting), bowling_facts(bowling))]
+    return with_rates(with_best(_sum_up(rows[0].unionByName(rows[1])))).select(CAREER_COLUMNS)
 
 
 def batting_career(batting: DataFrame, innings: DataFrame, matches: DataFrame) -> DataFrame:

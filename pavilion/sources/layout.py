@@ -19,13 +19,14 @@ PARTS = 64
 
 
 def lay_out(df: DataFrame, name: str, path: str, key: str = "match_id", buckets: int | None = None) -> None:
-    """Write ``df`` as catalog table ``name`` in ``path``, bucketed and sorted by ``key``.
+    """Write ``df`` as catalog table ``name`` in ``path``, bucketed by ``key``.
 
     Tables with the same key and number of buckets (the session's shuffle partitions unless given) join without an exchange. Rows are dealt
-    to the buckets once, so there is one file a bucket.
+    to the buckets once, so there is one file a bucket. They are not sorted in it: a join sorts the columns it needs in any case, as Spark does not
+    rely on the order of bucketed files, and a bucketed write works out the bucket again at every comparison of its sort.
     """
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).mode("overwrite").saveAsTable(name)
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).mode("overwrite").saveAsTable(name)
 
 
 def co_partitioned(spark: SparkSession) -> SparkSession:

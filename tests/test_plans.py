@@ -83,6 +83,20 @@ def test_careers_by_match_move_their_totals_only(spark, sf_dir):
     assert len(below) == 2 and not any("Exchange" in b for b in below)
 
 
+def test_careers_by_match_are_added_up_once(spark, sf_dir):
+    text = physical(QUERIES["career_stats_by_match"](spark, sf_dir))
+    assert len(re.findall("Exchange hashpartitioning", text)) == 1 and text.count("HashAggregate") == 2
+
+
+def test_tables_are_laid_out_without_a_sort(spark, tmp_path):
+    from pavilion.sources import layout
+
+    layout.lay_out(spark.range(100).select(F.col("id").alias("match_id")), "unsorted", str(tmp_path / "t"), buckets=4)
+    told = {r["col_name"]: r["data_type"] for r in spark.sql("DESCRIBE EXTENDED unsorted").collect()}
+    assert told["Num Buckets"] == "4" and "match_id" in told["Bucket Columns"] and told.get("Sort Columns", "[]") == "[]"
+    spark.sql("DROP TABLE unsorted")
+
+
 def test_ranges_and_parts_reach_the_scan(spark, sf_dir, tmp_path):
     from pavilion.sources import layout
 
