@@ -139,26 +139,21 @@ def roster_stats(df: DataFrame, col: str = "value", *keep: str) -> DataFrame:
 # ---------------------------------------------------------------- pages that embed JSON
 
 
-def _embedded(df: DataFrame, html: str, parts: list[str], lists: list[str], keep) -> DataFrame:
-    """Items of the lists under any of the paths, as variants ``m``.
+def _embedded(df: DataFrame, html: str, parts: list[str], lists: list[str], item: str, keep) -> DataFrame:
+    """Items of the lists under any of the paths, each a struct ``m`` of the fields ``item``.
 
-    The document is parsed once; a part that is no object, a list that is none and an item that is no object give no row and
-    leave the others as they are, whatever their keys hold.
+    The document is parsed once and all lists are taken out together, as are all fields of an item: a path that leads nowhere costs a thrown
+    exception in Spark, a field that is missing costs nothing. A part that is no object, a list that is none and an item that is no object give
+    no row and leave the others as they are, whatever their keys hold.
     """
     props = F.try_variant_get(F.try_parse_json(first_group(html, fixed.EMBEDDED_DATA)), "$.props.pageProps", "variant")
-    read = df.select(*keep, props.alias("pp"))
+    part = f"struct<{','.join(f'{name}:array<variant>' for name in lists)}>"
+    read = df.select(*keep, F.try_variant_get(props, "$", f"struct<{','.join(f'{name}:{part}' for name in parts)}>").alias("pp"))
     none = F.array().cast("array<variant>")
-    every = F.concat(*[F.coalesce(F.try_variant_get("pp", f"$.{part}.{name}", "array<variant>"), none) for part in parts for name in lists])
-    rows = read.select(*keep, F.posexplode(every).alias("item_no", "m"))
-    return rows.filter(_is_object(F.col("m")))
-
-
-def _is_object(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
-
-
-def _said(path: str, kind: str = "string") -> Column:
-    return F.try_variant_get("m", f"$.{path}", kind)
+    every = F.concat(*[F.coalesce(F.col(f"pp.{part}.{name}"), none) for part in parts for name in lists])
+    # read before they are rows: a filter on rows would be moved below the reading and read each item again
+    items = F.transform(every, lambda m: F.try_variant_get(m, "$", f"struct<{item}>"))
+    return read.select(*keep, F.posexplode(items).alias("item_no", "m")).filter(F.col("m").isNotNull())
 
 
 def embedded_matches(df: DataFrame, html: str = "html", *keep: str) -> DataFrame:
@@ -166,16 +161,19 @@ def embedded_matches(df: DataFrame, html: str = "html", *keep: str) -> DataFrame
 
     Ids may be numbers or texts. A match whose side or ground is there but no object can't be read and is left out.
     """
-    rows = _embedded(df, html, ["data", "appData", "content"], ["matches", "events", "liveMatches"], keep)
-    for part in ("team1", "team2", "ground"):
-        value = _said(part, "variant")
-        rows = rows.filter(value.isNull() | _is_object(value))
-    either = lambda *paths: F.coalesce(*[_said(p) for p in paths], F.lit(""))
+    sides = ["team1", "team2", "ground"]
+    texts = ["objectId", "id", "title", "name", "state", "status", "statusText", "statusDetail", "format"]
+    item = ",".join([*[f"{name}:string" for name in texts], *[f"{name}:variant" for name in sides]])
+    rows = _embedded(df, html, ["data", "appData", "content"], ["matches", "events", "liveMatches"], item, keep)
+    rows = rows.select(*keep, "item_no", "m", *[F.try_variant_get(f"m.{name}", "$", "struct<name:string>").alias(f"_{name}") for name in sides])
+    for name in sides:
+        rows = rows.filter(F.col(f"m.{name}").isNull() | F.col(f"_{name}").isNotNull())
+    either = lambda *paths: F.coalesce(*[F.col(p) for p in paths], F.lit(""))
     return rows.select(
-        *keep, "item_no", either("objectId", "id").alias("match_id"), either("title", "name").alias("name"),
-        either("state", "status").alias("status"), either("statusText", "statusDetail").alias("status_detail"),
-        either("team1.name").alias("team1"), either("team2.name").alias("team2"),
-        either("ground.name").alias("venue"), either("format").alias("format"))
+        *keep, "item_no", either("m.objectId", "m.id").alias("match_id"), either("m.title", "m.name").alias("name"),
+        either("m.state", "m.status").alias("status"), either("m.statusText", "m.statusDetail").alias("status_detail"),
+        either("_team1.name").alias("team1"), either("_team2.name").alias("team2"),
+        either("_ground.name").alias("venue"), either("m.format").alias("format"))
 
 
 def listed_matches(df: DataFrame, col: str = "value") -> DataFrame:
@@ -186,12 +184,13 @@ def listed_matches(df: DataFrame, col: str = "value") -> DataFrame:
 
 def embedded_commentary(df: DataFrame, html: str = "html", *keep: str) -> DataFrame:
     """Commentary in the JSON that a page embeds; blank texts dropped, markup removed."""
-    rows = _embedded(df, html, ["data", "appData"], ["commentary", "commentaryList", "recentBalls"], keep)
-    text = F.coalesce(_said("text"), _said("html"), F.lit(""))
-    wicket = F.coalesce(_said("isWicket", "boolean"), F.lit(False))
+    item = "text:string,html:string,over:string,runs:int,isWicket:boolean"
+    rows = _embedded(df, html, ["data", "appData"], ["commentary", "commentaryList", "recentBalls"], item, keep)
+    text = F.coalesce("m.text", "m.html", F.lit(""))
+    wicket = F.coalesce("m.isWicket", F.lit(False))
     return rows.filter(text != "").select(
-        *keep, "item_no", _text(_said("over")).alias("over"), strip_tags(text).alias("text"),
-        F.coalesce(_said("runs", "int"), F.lit(0)).alias("runs"), wicket.alias("is_wicket"),
+        *keep, "item_no", _text("m.over").alias("over"), strip_tags(text).alias("text"),
+        F.coalesce("m.runs", F.lit(0)).alias("runs"), wicket.alias("is_wicket"),
         F.when(wicket, F.lit("wicket")).otherwise(F.lit("ball")).alias("type"))
 
 

@@ -322,6 +322,14 @@ def test_documents_whose_keys_drift(spark):
     assert [(r.over, r.text, r.runs, r.type) for r in got] == [("1.2", "5", 4, "ball"), ("", "x", 0, "wicket")]
 
 
+def test_embedded_items_are_read_once(spark):
+    pages = spark.createDataFrame([], "html string")
+    for rows in (live.embedded_matches(pages), live.embedded_commentary(pages)):
+        text = rows._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        # no path a list or field: the page's part and its lists, an item, and its three sides, which a filter reads first
+        assert "schemaOfVariant" not in text and text.count("variant_get(") <= 3 + 6 and text.count("objectId") <= 2
+
+
 def test_the_bound_of_innings_numbers_is_a_choice(spark):
     matches = spark.createDataFrame([(1,)], "match_id int")
     bat = spark.createDataFrame([(1, 1, 150, "p", "b", 1, 1, 1, 0, 0), (2, 1, 148, "q", "b", 1, 1, 1, 0, 0), (3, 1, 0, "r", "b", 1, 1, 1, 0, 0), (4, 1, None, "s", "b", 1, 1, 1, 0, 0)],
