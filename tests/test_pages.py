@@ -235,3 +235,43 @@ def test_ends_are_stripped_alike(spark):
     for i, w, got, number in rows.select("i", "w", strip("w"), lenient_int("w")).collect():
         assert got == (None if w is None else w.strip(_SPACES))
         assert number == {12: 5, 13: 5, 14: 12}.get(i, 0)
+
+
+def _read(contents, reader):
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from pavilion import schemas
+    ids, content = pa.array([str(i) for i in range(len(contents))]), pa.array(contents, pa.string())
+    return reader(ids, content, to_arrow_schema(schemas.PAGE))
+
+
+def test_pages_are_read_together(monkeypatch):
+    plain = [PAGE.replace("<table><tr><td>outer<table><tr><td>inner</td></tr></table></td></tr></table>", ""), "", None, "no markup é",
+             "<center><table><tr><td>a</table></center>", "<table><tr><th>1<td>2<a href='x'>y<tbody><tr><td><center>z</table>w"]
+    slow = _read(plain, markup._one_by_one).to_pylist()
+
+    def never(*_):
+        raise AssertionError("a page was read on its own")
+
+    monkeypatch.setattr(markup.Page, "read", never)
+    pages, odd = _read(plain, markup._at_once)
+    assert not odd.any() and pages.to_pylist() == slow
+
+
+def test_pages_read_together_are_those_read_alone():
+    import random
+
+    soup = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "<TD a='1'>", "<td onmouseover=\"t('<br>')\">", "<td/>", '<td"x">', "<td\xa0>", "<tdx>",
+            "<center>", "</center>", '<a href="u">', "</a>", "<a name=x>", '<A HREF="v&amp;w">', '<a href="x>y">', "text", "&amp;&nbsp;é", "<b>", "<tbody>", "</tbody>",
+            "<!-- <table> -->", "<!-- é -->", "<title>T &amp; t</title>", '<script>document.title = "s"; <td></script>', ">", '"', "< ", "<ſcript>", "<!DOCTYPE 'a'>",
+            "<b>Notes</b>--> x<br>", "<table", '<td a="']
+    deal = random.Random(4)
+    shapes = [lambda: "<table><tr>" + "".join(deal.choices(["<td>", "</td>", "<th>", "x", "<a href=\"u\">", "</a>", "<center>", "</center>", "</tr><tr>"], k=9)) + "</table>",
+              lambda: "".join(deal.choices(soup, k=deal.choice([1, 4, 12])))]
+    contents = [PAGE, None, *(shapes[i % 2]() for i in range(600)), *(make(40) for make in BAD.values())]
+    pages, odd = _read(contents, markup._at_once)
+    alone = _read(contents, markup._one_by_one).to_pylist()
+    assert 100 < odd.sum() < 500
+    for content, page, is_odd, one in zip(contents, pages.to_pylist(), odd, alone):
+        assert is_odd or page == one, content
