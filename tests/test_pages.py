@@ -275,3 +275,24 @@ def test_pages_read_together_are_those_read_alone():
     assert 100 < odd.sum() < 500
     for content, page, is_odd, one in zip(contents, pages.to_pylist(), odd, alone):
         assert is_odd or page == one, content
+
+
+def test_steps_of_a_page_are_small_enough_to_be_compiled(spark, sf_dir):
+    """The JVM interprets a method of more than 8,000 bytes for ever."""
+    from pavilion.plans import queries_pages
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ("match_meta", "fall_of_wickets", "batting_rows", "entity_players"):
+            stages = debug.codegenStringSeq(queries_pages.ENTRIES[name][0](spark, sf_dir)._jdf.queryExecution().executedPlan())
+            sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+            assert sizes and max(sizes) < 8000, (name, sizes)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_texts_are_kept_once(spark):
+    deep = "<table><tr><td>x" * 400
+    page = pages.parse_pages(spark.createDataFrame([("m", deep + "<table><tr><td>a<td>b &amp; c")], "doc_id string, content string")).first()
+    assert [d.text for d in page.data[-2:]] == ["a", "b & c"] and page.tables[-1].header == "ab & c"
+    assert sum(len(d.text or "") for d in page.data) <= len(deep) and page.rows[0].deep and not page.rows[-1].deep
