@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import fnmatch
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,12 +48,99 @@ def _for_small_files(spark: SparkSession) -> SparkSession:
     return session
 
 
+def _fixed_part(path: str) -> tuple[str, str]:
+    """A path up to its first part with wildcards, and the rest."""
+    uri = path.rstrip("/") if "://" in path else f"file://{path.rstrip('/')}"
+    parts = uri.split("/")
+    first = next((i for i, part in enumerate(parts) if any(sign in part for sign in "*?[")), len(parts))
+    return "/".join(parts[:first]), "/".join(parts[first:])
+
+
+def _named_by(path: str) -> list[tuple[str, bool]]:
+    """(entry, is a folder) that a path with wildcards names; nothing below them is looked at."""
+    fixed_part, rest = _fixed_part(path)
+    store, base = fs.FileSystem.from_uri(fixed_part)
+    found = [(base.rstrip("/") or "/", store.get_file_info(base).type == fs.FileType.Directory)]
+    for part in filter(None, rest.split("/")):
+        below = [f for folder, is_folder in found if is_folder for f in _entries(store, folder)]
+        found = [(f.path, f.type == fs.FileType.Directory) for f in below if fnmatch.fnmatchcase(f.base_name, part)]
+    if not found or store.get_file_info(found[0][0]).type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    return found
+
+
+def _entries(store: fs.FileSystem, folder: str) -> list[fs.FileInfo]:
+    """Entries of a folder but hidden ones, which Spark's own readers leave out too."""
+    return [f for f in store.get_file_info(fs.FileSelector(folder)) if f.base_name[:1] not in ("_", ".")]
+
+
+#: Bytes of files that a task hands over together.
+FILES_TOGETHER = 4 * 1024 * 1024
+
+
+def read_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """Small text files as (name, content), NULL where the bytes are no text.
+
+    Tasks list the folders that ``path`` names, are dealt the files and read them, so the driver holds no more than the names of
+    these folders; a file source would keep the status of every file there. A folder is listed by one task.
+    """
+    root = _fixed_part(path)[0]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for entry, is_folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if is_folder:
+                    below = store.get_file_info(fs.FileSelector(entry, recursive=True))
+                    files = [f.path for f in below if f.type == fs.FileType.File and f.path.endswith(suffix)
+                             and not any(part[:1] in ("_", ".") for part in f.path[len(entry):].split("/") if part)]
+                else:
+                    files = [entry] if entry.endswith(suffix) else []
+                for start in range(0, len(files), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(files[start:start + 10_000], pa.string())], names=["path"])
+
+    def text(content: bytes) -> str | None:
+        try:
+            return content.decode(json.detect_encoding(content)).removeprefix("\ufeff")
+        except UnicodeDecodeError:
+            return None
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = fs.FileSystem.from_uri(root)
+        names, texts, size = [], [], 0
+
+        def together() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["name", "content"])
+
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                with store.open_input_file(file) as source:
+                    content = source.read()
+                names.append(file.rpartition("/")[2])
+                texts.append(text(content))
+                size += len(content)
+                if size >= FILES_TOGETHER or len(names) >= 10_000:
+                    yield together()
+                    names, texts, size = [], [], 0
+        if names:
+            yield together()
+
+    entries = spark.createDataFrame(_named_by(path), "path string, is_folder boolean").repartition(parts)
+    files = entries.mapInArrow(listed, "path string").repartition(parts, "path")
+    return files.mapInArrow(taken, "name string, content string")
+
+
 def scan_match_json(spark: SparkSession, path: str) -> DataFrame:
-    """One ball-by-ball match per JSON file as (match_id, info, innings)."""
-    files = (_for_small_files(spark).read.schema(schemas.MATCH_JSON).option("multiLine", True)
-             .option("pathGlobFilter", "*.json").json(path))
-    name = F.split_part(F.col("_metadata.file_name"), F.lit("."), F.lit(1))
-    return files.select(prefix_id(fixed.BALL_BY_BALL_PREFIX, name).alias("match_id"), "info", "innings")
+    """One ball-by-ball match per JSON file as (match_id, info, innings); a file of a list has a row per item.
+
+    A file that is no JSON has a row with nothing but its id, an empty one has none, as the reader of JSON files has it.
+    """
+    files = read_files(_for_small_files(spark), path, ".json")
+    kind = f"struct<{schemas.MATCH_JSON}>"
+    records = F.coalesce(F.from_json("content", f"array<{kind}>"), F.array(F.lit(None).cast(kind)))
+    rows = files.filter(F.col("content").isNull() | F.col("content").rlike(r"\S")).select("name", F.explode(records).alias("m"))
+    return rows.select(prefix_id(fixed.BALL_BY_BALL_PREFIX, F.split_part("name", F.lit("."), F.lit(1))).alias("match_id"), "m.info", "m.innings")
 
 
 def parse_jsonl(lines: DataFrame, schema: str = schemas.HISTORY, line: str = "value") -> DataFrame:

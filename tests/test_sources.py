@@ -130,3 +130,29 @@ def test_small_files_are_read_and_listed_by_few_tasks(spark, tmp_path):
     assert found.rdd.getNumPartitions() <= 8 and found.select("match_id").distinct().count() == 400
     assert found.sparkSession.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "16"
     assert spark.conf.get("spark.sql.files.openCostInBytes") != found.sparkSession.conf.get("spark.sql.files.openCostInBytes")
+
+
+def test_driver_lists_no_file_of_a_folder(spark, tmp_path):
+    """Odd files have the rows that Spark's own reader gives them, but their names stay in the tasks."""
+    from pavilion import schemas
+    files = {"1.v1": '{"info": {"city": "C"}}', "2": "", "3": " \n", "4": "[]", "5": '[{"info": {"city": "A"}}, {"info": {"city": "B"}}]', "6": "no json",
+             "7": '{"info": "text", "innings": []}', "8": '{"info": {"city": "D"}} tail', "9": "null", "10": '{"info": {"city": "\u00e9"}}',
+             "11": '{"info": {"dates": ["x"], "city": 5}, "innings": [{"team": "T", "overs": "no list"}]}', "12": '{"info": {"city": "E"'}
+    for n, (name, content) in enumerate(files.items()):
+        folder = tmp_path / f"f{n % 3}" / ("deep" if n % 2 else "")
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{name}.json").write_text(content)
+    (tmp_path / "f0" / "13.json").write_bytes('{"info": {"city": "\u00e9"}}'.encode("utf-16"))
+    (tmp_path / "f0" / "14.json").write_bytes(b'{"info": {"city": "\xff"}}')
+    for hidden in ("_x.json", ".y.json", "z.txt"):
+        (tmp_path / "f0" / hidden).write_text("{}")
+    (tmp_path / "_hidden").mkdir()
+    (tmp_path / "_hidden" / "15.json").write_text("{}")
+    own = spark.read.schema(schemas.MATCH_JSON).option("multiLine", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", True)
+    own = own.json(str(tmp_path)).selectExpr("concat('cricsheet_', split_part(_metadata.file_name, '.', 1)) match_id", "info", "innings")
+    for path in (str(tmp_path), f"{tmp_path}/*", f"{tmp_path}/f?/"):
+        found = scans.scan_match_json(spark, path)
+        assert found.inputFiles() == []
+        assert sorted(map(str, found.collect())) == sorted(map(str, own.collect())), path
+    with pytest.raises(FileNotFoundError):
+        scans.scan_match_json(spark, f"{tmp_path}/nothing/*")
