@@ -103,3 +103,18 @@ def test_load_folders_are_packed_tight(spark, tmp_path):
     sinks.replace_part(spark.range(2000).selectExpr("sha2(string(id), 256) AS id"), str(tmp_path / "t"), "x")
     files = list((tmp_path / "t" / "load_id=x").glob("*.parquet"))
     assert sum(f.stat().st_size for f in files) < 2000 * 64 * 0.75
+
+
+def test_pages_are_written_without_what_no_table_reads(spark, tmp_path, monkeypatch):
+    written, real = {}, loads.materialise
+
+    def seen(df, name, *args, **kwargs):
+        written[name] = set(df.columns)
+        return real(df, name, *args, **kwargs)
+
+    monkeypatch.setattr(loads, "materialise", seen)
+    root = str(tmp_path / "warehouse")
+    loads.create_warehouse(spark, root)
+    assert counts(loads.load_scorecards(raw_pages(spark), loads.read_warehouse(spark, root)).added) == FACTS
+    for name in ("pages", "fresh_pages"):
+        assert not written[name] & {"cells", "centers", "n_tables", "title", "script_title"}, written[name]
